@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shelfline.plans import reports
+from shelfline.plans import features, reports
 
-GROUPS = (reports,)
+GROUPS = (reports, features)
 
 
 def queries() -> dict:

@@ -309,11 +309,10 @@ _PRICE_ON = """price_history ph on ph.product_id = s.product_id and (ph.store_id
   and s.date >= ph.valid_from and (ph.valid_to is null or s.date <= ph.valid_to)"""
 _PROMO_ON = """promotion pr on pr.product_id = s.product_id and (pr.store_id is null or pr.store_id = s.store_id)
   and s.date between pr.start_date and pr.end_date"""
-_DISCOUNT = r(
-    "case when price is null then null when price = 0 then 0 "
-    "else round(cast(price - unit_price as double) / cast(price as double) * 100, 2) end",
-    "discount_pct",
-)
+# exact half-away rounding in whole cents, since the other engine divides decimals as doubles
+_DISCOUNT = """case when price is null then null when price = 0 then 0 else
+       sign(price - unit_price) * ((2 * abs(cast((price - unit_price) * 100 as bigint)) * 10000 + cast(price * 100 as bigint))
+       // (2 * cast(price * 100 as bigint))) / 100.0 end as discount_pct"""
 
 
 def _since(days: int) -> str:

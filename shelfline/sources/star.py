@@ -229,6 +229,6 @@ def daily_series(sales: DataFrame, entity: tuple[str, ...]) -> DataFrame:
     """One row per entity and day, so a series never has more rows than the calendar has days."""
     return sales.groupBy(*entity, "date").agg(
         F.sum("quantity").alias("quantity"),
-        F.try_divide(F.sum("total_amount"), F.sum("quantity")).cast("double").alias("unit_price"),
+        F.try_divide(F.sum("total_amount").cast("double"), F.sum("quantity").cast("double")).alias("unit_price"),
         F.sum("total_amount").alias("total_amount"),
     )
