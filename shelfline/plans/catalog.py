@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shelfline.plans import features, reports
+from shelfline.plans import features, forecast, reports
 
-GROUPS = (reports, features)
+GROUPS = (reports, features, forecast)
 
 
 def queries() -> dict:
