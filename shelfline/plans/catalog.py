@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shelfline.plans import features, forecast, reports
+from shelfline.plans import features, forecast, quality, reports
 
-GROUPS = (reports, features, forecast)
+GROUPS = (reports, features, forecast, quality)
 
 
 def queries() -> dict:
