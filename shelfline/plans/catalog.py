@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shelfline.plans import features, forecast, quality, reports
+from shelfline.plans import documents, features, forecast, quality, reports
 
-GROUPS = (reports, features, forecast, quality)
+GROUPS = (reports, features, forecast, quality, documents)
 
 
 def queries() -> dict:
