@@ -80,12 +80,12 @@ def fill(df: DataFrame, column: str, strategy: str, entity: Sequence[str], date:
     )
     w = Window.partitionBy(*entity).orderBy("_block")
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    later = w.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*entity).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*entity)
     carried = summary.select(
         *keys,
         F.last("_last", ignorenulls=True).over(earlier).alias("_past"),
-        F.first("_first", ignorenulls=True).over(later).alias("_next"),
+        F.last("_first", ignorenulls=True).over(later).alias("_next"),
         F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_past_sum"),
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_past_n"),
         F.sum("_sum").over(whole).alias("_all_sum"),
@@ -98,7 +98,8 @@ def fill(df: DataFrame, column: str, strategy: str, entity: Sequence[str], date:
         seen = F.last(value, ignorenulls=True).over(local.rowsBetween(Window.unboundedPreceding, 0))
         filled = F.coalesce(seen, F.col("_past"))
     elif strategy == "bfill":
-        seen = F.first(value, ignorenulls=True).over(local.rowsBetween(0, Window.unboundedFollowing))
+        back = Window.partitionBy(*keys).orderBy(F.desc("_idx")).rowsBetween(Window.unboundedPreceding, 0)
+        seen = F.last(value, ignorenulls=True).over(back)
         filled = F.coalesce(seen, F.col("_next"))
     elif strategy == "mean":
         filled = F.coalesce(value, F.try_divide(F.col("_all_sum"), F.col("_all_n")))

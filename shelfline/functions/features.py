@@ -103,7 +103,10 @@ def _filled(column: str, strategy: str, entity: Sequence[str], date: str) -> Col
     if strategy == "ffill":
         return F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     if strategy == "bfill":
-        return F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        # a running "last" over the reversed series: Spark evaluates frames that end at
+        # "unbounded following" from scratch for every row
+        back = Window.partitionBy(*entity).orderBy(F.desc(date))
+        return F.last(value, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     if strategy == "mean":
         return F.coalesce(value, F.avg(value).over(Window.partitionBy(*entity)))
     # expanding_mean: earlier rows only

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfline.operators.scale import salted_join
+
 # fixed values: (month, day) -> name
 FIXED_HOLIDAYS = {
     (1, 1): "New Year's Day",
@@ -87,15 +89,22 @@ def promotion_days(promotions: DataFrame) -> DataFrame:
 def promotion_store_days(promotions: DataFrame, assortment: DataFrame) -> DataFrame:
     """``promotion_days`` with NULL stores replaced by every store that carries the product.
 
-    ``assortment`` has one row per (store_id, product_id).  Days are expanded after the stores, and
-    the join is on the product, so no store meets a product it does not carry.
+    ``assortment`` has one row per (store_id, product_id).  Overlapping promotions are merged while
+    the days still belong to a product; after the stores are attached no row occurs twice, so the
+    expanded rows need no further shuffle.  No store meets a product it does not carry.
     """
-    chain = promotions.where(F.col("store_id").isNull()).select("product_id", "start_date", "end_date")
-    own = promotions.where(F.col("store_id").isNotNull()).select(
-        "product_id", "store_id", "start_date", "end_date"
+    days = promotion_days(promotions)
+    chain = days.where(F.col("store_id").isNull()).select("product_id", "date")
+    carried = assortment.select("store_id", "product_id").distinct()
+    everywhere = salted_join(carried, chain, ["product_id"], spread=["store_id"]).select(
+        "product_id", "store_id", "date"
+    )
+    own = days.where(F.col("store_id").isNotNull())
+    covered = own.join(chain, ["product_id", "date"], "left_semi").join(
+        carried, ["store_id", "product_id"], "left_semi"
     )
-    carried = chain.join(assortment.select("store_id", "product_id").distinct(), "product_id")
-    return promotion_days(own.unionByName(carried))
+    alone = own.join(covered, ["product_id", "store_id", "date"], "left_anti")
+    return everywhere.unionByName(alone)
 
 
 # -- expected demand ------------------------------------------------------------------

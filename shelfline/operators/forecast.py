@@ -75,28 +75,27 @@ def fit(
 ) -> tuple[DataFrame, DataFrame]:
     """Fitted states and rejected series (fewer values than the model needs).
 
-    Sizes come from a count that combines before the shuffle, and only the last ``tail`` rows of a
-    series leave each task, so a long series costs no more than a short one.
+    One shuffle by series; a daily series has at most one row per day of the period.
     """
     rows = series.where(F.col("date").between(start, end)).select(
         *entity, "date", F.col(target).cast("double").alias("y")
     )
-    latest = Window.partitionBy(*entity).orderBy(F.desc("date"))
-    tails = (
-        rows.withColumn("_rn", F.row_number().over(latest))
+    whole = Window.partitionBy(*entity)
+    state = (
+        rows.withColumn("_rn", F.row_number().over(whole.orderBy(F.desc("date"))))
+        .withColumn("_n", F.count(F.lit(1)).over(whole))
         .where(F.col("_rn") <= model.tail)
         .groupBy(*entity)
-        .agg(F.array_sort(F.collect_list(F.struct("date", "y"))).alias("_tail"))
-    )
-    sizes = rows.groupBy(*entity).agg(F.count(F.lit(1)).alias("n_obs"))
-    state = sizes.join(tails, list(entity)).select(
-        *entity,
-        F.lit(model.model_type).alias("model_type"),
-        F.lit(model.config_hash()).alias("config_hash"),
-        F.lit(start).alias("train_start"),
-        F.lit(end).alias("train_end"),
-        "n_obs",
-        F.transform("_tail", lambda p: p["y"]).alias("last_values"),
+        .agg(F.max("_n").alias("n_obs"), F.array_sort(F.collect_list(F.struct("date", "y"))).alias("_tail"))
+        .select(
+            *entity,
+            F.lit(model.model_type).alias("model_type"),
+            F.lit(model.config_hash()).alias("config_hash"),
+            F.lit(start).alias("train_start"),
+            F.lit(end).alias("train_end"),
+            "n_obs",
+            F.transform("_tail", lambda p: p["y"]).alias("last_values"),
+        )
     )
     enough = F.col("n_obs") >= model.tail
     rejected = state.where(~enough).select(

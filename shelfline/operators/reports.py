@@ -108,9 +108,14 @@ def drilldown(
         if with_id:
             groups = groups.withColumnRenamed(key, "dimension_id")
     groups = groups.where(F.col("dimension_value").isNotNull())
+    # all measures are summed, also those not shown: the subquery then needs the very columns of the
+    # main plan, and Spark reuses its shuffle instead of reading the facts twice
     whole = groups.agg(
         F.struct(
-            F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("total_revenue"), F.lit(0)).alias("revenue")
+            F.count(F.lit(1)).alias("items"),
+            F.coalesce(F.sum("total_revenue"), F.lit(0)).alias("revenue"),
+            F.sum("total_units"),
+            F.sum("total_transactions"),
         ).alias("whole")
     ).scalar()
     top = groups.orderBy(F.desc("total_revenue"), "dimension_value").limit(max_items)

@@ -52,14 +52,9 @@ def durable(df: DataFrame) -> DataFrame:
 # -- size and skew checks -----------------------------------------------------
 
 
-def _bytes_setting(spark: SparkSession) -> int:
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB")
-    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(text)))
-
-
 def fits_broadcast(df: DataFrame) -> bool:
     """True when the optimizer's size estimate is below the session's broadcast threshold."""
-    limit = _bytes_setting(df.sparkSession)
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return limit > 0 and int(str(size)) <= limit
 

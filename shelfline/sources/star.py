@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,22 +34,31 @@ class Star:
 
     spark: SparkSession
     folder: str
+    _raw: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
     def raw(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.folder, name)
+        """A given table; its schema is read once."""
+        if name not in self._raw:
+            self._raw[name] = read_table(self.spark, self.folder, name)
+        return self._raw[name]
 
     @cached_property
     def store(self) -> DataFrame:
-        s, n, r = self.raw("supplier"), self.raw("nation"), self.raw("region")
+        # The list of nations is a lookup map: joining it would make the optimizer take the product of
+        # the table sizes as the size of the stores and shuffle the facts to join them.
+        nations = self.raw("nation").join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        entry = F.struct(F.col("n_nationkey").cast("int"), F.struct("n_name", "r_name"))
+        lookup = nations.agg(F.map_from_entries(F.collect_set(entry))).scalar()
         return (
-            s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+            self.raw("supplier")
+            .withColumn("place", F.try_element_at(lookup, F.col("s_nationkey").cast("int")))
+            .where(F.col("place").isNotNull())
             .select(
                 F.col("s_suppkey").alias("id"),
                 F.concat(F.lit("S"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0")).alias("code"),
                 F.col("s_name").alias("name"),
-                F.col("r_name").alias("region"),
-                F.col("n_name").alias("city"),
+                F.col("place.r_name").alias("region"),
+                F.col("place.n_name").alias("city"),
                 F.when(F.col("s_suppkey") % 3 == 0, "supermarket")
                 .when(F.col("s_suppkey") % 3 == 1, "express")
                 .otherwise("warehouse")
