@@ -1,9 +1,9 @@
 """Windows over series that are too long for one task.
 
-A series is numbered without sorting it in one place: its rows are grouped by day blocks, each
-block is numbered on its own and shifted by the sizes of the earlier blocks (one small row per
-block).  The numbered series is then cut every ``block_rows`` rows, and each cut also gets the last
-rows of the cut before it (the halo), which is all that a lag or a rolling window can read.
+The rows of all series are numbered in the order (series, date) by range partitioning, so neither a
+long series nor a burst of rows on one day has to fit into a task.  The numbered rows are cut every
+``block_rows`` rows, and each cut also gets the last rows of the cut before it (the halo), which is
+all that a lag or a rolling window can read.
 """
 
 from __future__ import annotations
@@ -13,24 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_DAYS = 31
+from shelfline.operators.scale import global_row_number
 
+INDEX = "_idx"
 
-def _day_block(date: str):
-    return F.floor(F.unix_date(F.col(date).cast("date")) / F.lit(_DAYS)).cast("int")
 
-
-def with_row_index(df: DataFrame, entity: Sequence[str], date: str, name: str = "_idx") -> DataFrame:
-    """0-based position of each row in its series, ordered by ``date`` (unique within the series)."""
-    blocked = df.withColumn("_days", _day_block(date))
-    sizes = blocked.groupBy(*entity, "_days").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*entity).orderBy("_days").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    keys = [*entity, "_days"]
-    local = F.row_number().over(Window.partitionBy(*keys).orderBy(date)) - 1
-    numbered = blocked.withColumn("_local", local)
-    joined = _attach(numbered, offsets, keys)
-    return joined.select(*df.columns, (F.col("_local") + F.col("_before")).alias(name))
+def with_row_index(df: DataFrame, entity: Sequence[str], date: str) -> DataFrame:
+    """Position of each row in the order of series and date (which is unique within a series)."""
+    return global_row_number(df, [F.col(c) for c in (*entity, date)], INDEX)
 
 
 def _attach(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -42,19 +32,16 @@ def _attach(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFra
     return rows.join(renamed, test, "inner").drop(*[f"_s_{k}" for k in keys])
 
 
-def with_halo(df: DataFrame, entity: Sequence[str], date: str, lookback: int, block_rows: int) -> DataFrame:
-    """Rows with their block, plus a copy of the last ``lookback`` rows of each block for the next one."""
+def with_halo(df: DataFrame, lookback: int, block_rows: int) -> DataFrame:
+    """Numbered rows with their block, plus a copy of the last ``lookback`` rows of each block for the next one."""
     if block_rows < lookback:
         raise ValueError(f"block_rows must be at least the lookback of {lookback} rows")
-    block = F.floor(F.col("_idx") / block_rows).cast("long")
+    block = F.floor(F.col(INDEX) / block_rows).cast("long")
     targets = F.when(
-        F.col("_idx") % block_rows >= block_rows - lookback, F.array(block, block + 1)
+        F.col(INDEX) % block_rows >= block_rows - lookback, F.array(block, block + 1)
     ).otherwise(F.array(block))
     return (
-        with_row_index(df, entity, date)
-        .withColumn("_block", F.explode(targets))
-        .withColumn("_halo", F.col("_block") > block)
-        .drop("_idx")
+        df.withColumn("_block", F.explode(targets)).withColumn("_halo", F.col("_block") > block).drop(INDEX)
     )
 
 
@@ -66,12 +53,12 @@ def drop_halo(df: DataFrame) -> DataFrame:
     return df.where(~F.col("_halo")).drop("_halo", "_block")
 
 
-def fill(df: DataFrame, column: str, strategy: str, entity: Sequence[str], date: str, block_rows: int) -> DataFrame:
-    """``ffill``, ``bfill``, ``mean`` or ``expanding_mean`` over blocks and one summary row per block."""
-    numbered = with_row_index(df, entity, date).withColumn("_block", F.floor(F.col("_idx") / block_rows))
+def fill(df: DataFrame, column: str, strategy: str, entity: Sequence[str], block_rows: int) -> DataFrame:
+    """``ffill``, ``bfill``, ``mean`` or ``expanding_mean`` over numbered rows and one summary row per block."""
+    numbered = df.withColumn("_block", F.floor(F.col(INDEX) / block_rows))
     value = F.col(column)
     keys = [*entity, "_block"]
-    known = F.when(value.isNotNull(), F.col("_idx"))
+    known = F.when(value.isNotNull(), F.col(INDEX))
     summary = numbered.groupBy(*keys).agg(
         F.min_by(value, known).alias("_first"),
         F.max_by(value, known).alias("_last"),
@@ -92,13 +79,13 @@ def fill(df: DataFrame, column: str, strategy: str, entity: Sequence[str], date:
         F.sum("_n").over(whole).alias("_all_n"),
     )
     joined = _attach(numbered, carried, keys)
-    local = Window.partitionBy(*keys).orderBy("_idx")
+    local = Window.partitionBy(*keys).orderBy(INDEX)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     if strategy == "ffill":
         seen = F.last(value, ignorenulls=True).over(local.rowsBetween(Window.unboundedPreceding, 0))
         filled = F.coalesce(seen, F.col("_past"))
     elif strategy == "bfill":
-        back = Window.partitionBy(*keys).orderBy(F.desc("_idx")).rowsBetween(Window.unboundedPreceding, 0)
+        back = Window.partitionBy(*keys).orderBy(F.desc(INDEX)).rowsBetween(Window.unboundedPreceding, 0)
         seen = F.last(value, ignorenulls=True).over(back)
         filled = F.coalesce(seen, F.col("_next"))
     elif strategy == "mean":

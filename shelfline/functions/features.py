@@ -81,6 +81,9 @@ def impute(
     block_rows: int | None = None,
 ) -> DataFrame:
     """Fill nulls column by column in the order of the config; absent columns are ignored."""
+    number_here = block_rows is not None and blocks.INDEX not in df.columns
+    if number_here:
+        df = blocks.with_row_index(df, entity, date)
     for column, strategy in config.strategies.items():
         if column not in df.columns:
             continue
@@ -91,10 +94,10 @@ def impute(
         elif strategy == "drop":
             df = df.dropna(subset=[column])
         elif block_rows is not None:
-            df = blocks.fill(df, column, strategy, entity, date, block_rows)
+            df = blocks.fill(df, column, strategy, entity, block_rows)
         else:
             df = df.withColumn(column, _filled(column, strategy, entity, date))
-    return df
+    return df.drop(blocks.INDEX) if number_here else df
 
 
 def _filled(column: str, strategy: str, entity: Sequence[str], date: str) -> Column:
@@ -204,11 +207,16 @@ def compute_features(
     """Cutoff, imputation, then lag, rolling, calendar and exogenous columns, in this order."""
     entity, date = config.entity_columns, config.date_column
     rows = cutoff(df, cutoff_date, date=date)
+    if block_rows is not None:
+        rows = blocks.with_row_index(rows, entity, date)
     if config.imputation_config:
         rows = impute(rows, config.imputation_config, entity, date, block_rows)
     w = series_window(entity, date)
     if block_rows is not None:
-        rows = blocks.with_halo(rows, entity, date, _lookback(config), block_rows)
+        if config.imputation_config and "drop" in config.imputation_config.strategies.values():
+            # dropped rows leave holes in the numbers, and a halo counts rows
+            rows = blocks.with_row_index(rows.drop(blocks.INDEX), entity, date)
+        rows = blocks.with_halo(rows, _lookback(config), block_rows)
         w = blocks.block_window(entity, date)
     columns: dict[str, Column] = {}
     if config.lag_config:

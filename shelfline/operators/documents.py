@@ -199,19 +199,8 @@ def spec_chunks(documents: DataFrame, key: str, text: str = "content") -> DataFr
         F.when(F.coalesce(F.col("info.description"), blank) != "", F.concat(F.lit("\n"), F.col("info.description"))),
         F.when(F.size("servers") > 0, F.concat(F.lit("\n## Servers\n"), F.array_join(servers, "\n"))),
     )
-    info = parsed.where(has_info).select(
-        key,
-        F.lit(0).alias("chunk_index"),
-        F.lit("api_info").alias("type"),
-        F.lit(None).cast("string").alias("path"),
-        F.lit(None).cast("string").alias("method"),
-        F.lit(None).cast("string").alias("operation_id"),
-        F.lit(None).cast("string").alias("summary"),
-        F.lit(None).cast("array<string>").alias("tags"),
-        overview.alias("content"),
-    )
-
     wanted = lambda m: ~m["key"].startswith("x-") & F.coalesce(m["value"].startswith("{"), F.lit(False))
+    call = "struct<path:string,method:string,body:string>"
     calls = F.flatten(
         F.transform(
             F.map_entries("paths"),
@@ -221,14 +210,12 @@ def spec_chunks(documents: DataFrame, key: str, text: str = "content") -> DataFr
             ),
         )
     )
-    rows = parsed.select(key, has_info.cast("int").alias("_first"), F.posexplode(calls).alias("_pos", "_c")).select(
-        key,
-        (F.col("_pos") + F.col("_first")).alias("chunk_index"),
-        F.lit("endpoint").alias("type"),
-        F.col("_c.path").alias("path"),
-        F.upper("_c.method").alias("method"),
-        F.col("_c.method").alias("_m"),
-        F.from_json("_c.body", _OPERATION).alias("_o"),
+    nothing = F.lit(None).cast("string")
+    # the info row is an entry without a path in front of the calls: one pass over the documents
+    head = F.when(has_info, F.array(F.struct(nothing.alias("path"), nothing.alias("method"), nothing.alias("body"))))
+    entries = F.concat(F.coalesce(head, F.array().cast(f"array<{call}>")), F.coalesce(calls, F.array().cast(f"array<{call}>")))
+    rows = parsed.select(key, overview.alias("_overview"), F.posexplode(entries).alias("chunk_index", "_c")).select(
+        key, "chunk_index", "_overview", "_c.path", "_c.method", F.from_json("_c.body", _OPERATION).alias("_o")
     )
     o = F.col("_o")
     params = F.transform(
@@ -243,8 +230,8 @@ def spec_chunks(documents: DataFrame, key: str, text: str = "content") -> DataFr
         lambda a: F.concat(F.lit("- **"), a["key"], F.lit("**: "), F.coalesce(a["value"]["description"], blank)),
     )
     bodies = F.transform(F.map_keys(o["requestBody"]["content"]), lambda t: F.concat(F.lit("Content-Type: "), t))
-    content = _lines(
-        F.concat(F.lit("## "), F.col("method"), F.lit(" "), F.col("path")),
+    endpoint = _lines(
+        F.concat(F.lit("## "), F.upper("method"), F.lit(" "), F.col("path")),
         F.concat(F.lit("**"), _some(o["summary"]), F.lit("**")),
         F.concat(F.lit("\n"), _some(o["description"])),
         F.when(F.size(o["tags"]) > 0, F.concat(F.lit("\nTags: "), F.array_join(o["tags"], ", "))),
@@ -252,18 +239,18 @@ def spec_chunks(documents: DataFrame, key: str, text: str = "content") -> DataFr
         _listed("Request Body", bodies),
         _listed("Responses", answers),
     )
-    endpoints = rows.select(
+    is_call = F.col("path").isNotNull()
+    return rows.select(
         key,
         "chunk_index",
-        "type",
+        F.when(is_call, "endpoint").otherwise("api_info").alias("type"),
         "path",
-        "method",
-        F.coalesce(o["operationId"], F.concat("_m", F.lit("_"), "path")).alias("operation_id"),
+        F.upper("method").alias("method"),
+        F.coalesce(o["operationId"], F.concat("method", F.lit("_"), "path")).alias("operation_id"),
         o["summary"].alias("summary"),
-        F.coalesce(o["tags"], F.array().cast("array<string>")).alias("tags"),
-        content.alias("content"),
+        F.when(is_call, F.coalesce(o["tags"], F.array().cast("array<string>"))).alias("tags"),
+        F.when(is_call, endpoint).otherwise(F.col("_overview")).alias("content"),
     )
-    return info.unionByName(endpoints)
 
 
 # -- embeddings ---------------------------------------------------------------------------

@@ -142,16 +142,23 @@ def citations(hits: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id") ->
 
 
 def two_digits(score: Column) -> Column:
-    """A score of size up to 1 as text with two digits, rounded by its exact binary value (ties to even)."""
-    one = 1 << 56
-    size = (F.abs(score) * F.lit(float(one))).cast("long") * 100
-    whole = F.shiftright(size, 56)
-    rest = size - F.shiftleft(whole, 56)
-    up = (rest > one // 2) | ((rest == one // 2) & (whole % 2 == 1))
-    cents = whole + up.cast("long")
-    sign = F.when((score < 0), "-").otherwise("")
+    """A score of size up to 1 as text with two digits, rounded by its exact binary value (ties to even).
+
+    The score times 2**62 is a whole number for every score that can lie near a half cent; it is
+    multiplied by 100 in two halves of 31 bits, so the remainder is exact as well.
+    """
+    half_bits = 31
+    low_mask = F.lit((1 << half_bits) - 1)
+    units = (F.abs(score) * F.lit(float(1 << 62))).cast("long")
+    low = units.bitwiseAND(low_mask) * 100
+    high = F.shiftright(units, half_bits) * 100 + F.shiftright(low, half_bits)
+    whole = F.shiftright(high, half_bits)
+    rest = F.shiftleft(high.bitwiseAND(low_mask), half_bits) + low.bitwiseAND(low_mask)
+    half = F.lit(1 << 61)
+    cents = whole + ((rest > half) | ((rest == half) & (whole % 2 == 1))).cast("long")
     return F.concat(
-        sign, F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"),
+        F.when(score < 0, "-").otherwise(""),
+        F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"),
     )
 
 

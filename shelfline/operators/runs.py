@@ -101,7 +101,7 @@ def transition_audit(events: DataFrame) -> DataFrame:
     so a broken writer that floods one run does not overload a task.
     """
     entity = ["run_id"]
-    rows = blocks.with_halo(events, entity, "at", 1, EVENT_BLOCK)
+    rows = blocks.with_halo(blocks.with_row_index(events, entity, "at"), 1, EVENT_BLOCK)
     before = F.lag("status").over(blocks.block_window(entity, "at"))
     rows = blocks.drop_halo(rows.withColumn("from_status", before))
     allowed = F.col("from_status").isNull() & (F.col("status") == "pending")
@@ -115,7 +115,9 @@ def _paired(pairs: DataFrame, runs: DataFrame, column: str) -> DataFrame:
     """Pairs (run_a, run_b) with both values of a map column; pairs with an unknown run drop out."""
     a = runs.select(F.col("run_id").alias("run_a"), F.col(column).alias("_a"))
     b = runs.select(F.col("run_id").alias("run_b"), F.col(column).alias("_b"))
-    return pairs.select("run_a", "run_b").join(a, "run_a").join(b, "run_b")
+    # one run may be compared with very many others
+    first = salted_join(pairs.select("run_a", "run_b"), a, ["run_a"], spread=["run_b"])
+    return salted_join(first, b, ["run_b"], spread=["run_a"])
 
 
 def _keyed(paired: DataFrame) -> DataFrame:

@@ -66,8 +66,9 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> Da
     result is bounded whatever the table size.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return counts.where(F.col("_n") > total.scalar() * F.lit(share)).select(*keys)
+    # summing the counts instead of counting again lets Spark reuse the shuffle of the counts
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.where(F.col("_n") > total * F.lit(share)).select(*keys)
 
 
 def salted_join(
@@ -83,8 +84,9 @@ def salted_join(
     """Join ``left`` to ``right`` on the columns ``on`` (plus ``condition``), whatever the skew of ``left``.
 
     A right side below the broadcast threshold is joined as is (no shuffle, so no skew).
-    Otherwise the hot key values of ``left`` are found, their left rows are spread over ``salts``
-    buckets by a hash of ``spread`` and only the matching right rows are repeated once per bucket.
+    Otherwise the hot key values of ``left`` (NULL may be one) are found, their left rows are spread
+    over ``salts`` buckets by a hash of ``spread`` and only the matching right rows are repeated once
+    per bucket.
     Every left row still meets every right row of its key exactly once; the salt is a pure
     function of the row, so a recomputed task gives the same rows.  Right and left may share
     only the ``on`` columns.  ``how``: inner, left, left_semi or left_anti.
@@ -105,7 +107,7 @@ def salted_join(
         return left.join(renamed, match, how).drop(*drop)
 
     # At most 1/share rows: a literal list keeps both sides on the very same decision.
-    hot = hot_keys(left.where(_all_set(on)), on, share).collect()
+    hot = hot_keys(left, on, share).collect()
     if not hot:
         return left.join(renamed, match, how).drop(*drop)
     is_hot_left = _among(hot, on, "")
@@ -125,23 +127,14 @@ def salted_join(
     return joined.drop("_salt", "_r_salt", *drop)
 
 
-def _all_set(cols: Sequence[str]) -> Column:
-    test = F.lit(True)
-    for c in cols:
-        test = test & F.col(c).isNotNull()
-    return test
-
-
 def _among(rows, cols: Sequence[str], prefix: str) -> Column:
-    if len(cols) == 1:
-        return F.coalesce(F.col(prefix + cols[0]).isin([r[0] for r in rows]), F.lit(False))
     test = F.lit(False)
-    for r in rows:
+    for row in rows:
         one = F.lit(True)
-        for c, v in zip(cols, r):
-            one = one & (F.col(prefix + c) == F.lit(v))
+        for c, value in zip(cols, row):
+            one = one & F.col(prefix + c).eqNullSafe(F.lit(value))
         test = test | one
-    return F.coalesce(test, F.lit(False))
+    return test
 
 
 # -- order over the whole table ----------------------------------------------

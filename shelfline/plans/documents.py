@@ -163,7 +163,7 @@ def _chunks(spark, folder):
     text = read_table(spark, folder, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_path"), F.col("text").alias("content")
     )
-    return vectors.join(text, "chunk_id")
+    return vectors.join(text, "chunk_id", "left")
 
 
 def _queries(spark, folder):
@@ -487,7 +487,7 @@ from embeddings""",
         select="""select query_id, cast(rank as int) as rank, vec_id as chunk_id, source_type, source as source_path,
        printf('%.2f', round(s, 4)) as relevance,
        case when length(text) > 200 then substring(text, 1, 200) || '...' else text end as snippet
-from hits join documents on doc_id = vec_id""",
+from hits left join documents on doc_id = vec_id""",
     ),
     "sufficient_evidence": _top_sql(
         3,

@@ -229,7 +229,18 @@ def test_one_shuffle_for_all_features(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
-def test_row_index_without_one_task_per_series(spark):
-    df = series(spark, range(200))
-    out = blocks.with_row_index(df, ["store_id", "product_id"], "date").orderBy("date").collect()
-    assert [r["_idx"] for r in out] == list(range(200))
+def test_blocks_after_dropped_rows(spark):
+    values = [None if i % 4 == 1 else i for i in range(60)]
+    cfg = FeatureSetConfig(lag_config=LagConfig(lags=(1, 3)), imputation_config=ImputationConfig(strategies={"quantity": "drop"}))
+    both = series(spark, values).unionByName(series(spark, values, product=2))
+    plain = features.compute_features(both, cfg).df
+    cut = features.compute_features(both, cfg, None, 10).df
+    order = ["product_id", "date"]
+    assert plain.orderBy(order).collect() == cut.select(plain.columns).orderBy(order).collect()
+
+
+def test_row_index_orders_series_and_days(spark):
+    df = series(spark, range(200)).unionByName(series(spark, range(50), product=2)).repartition(7)
+    out = blocks.with_row_index(df, ["store_id", "product_id"], "date").orderBy("_idx").collect()
+    assert [r["_idx"] for r in out] == list(range(1, 251))
+    assert [(r.product_id, r.date) for r in out] == sorted((r.product_id, r.date) for r in out)

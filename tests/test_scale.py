@@ -50,6 +50,15 @@ def test_salted_join_spreads_the_hot_key(no_broadcast, skewed, right):
     assert "_salt" in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_hot_null_key(spark, no_broadcast, rows):
+    left = spark.createDataFrame([(i, None if i % 2 else i % 50) for i in range(1000)], "id int, key int")
+    right = spark.createDataFrame([(k, k * 10) for k in range(50)] + [(None, -1)], "key int, v int")
+    assert None in [r.key for r in hot_keys(left, ["key"], 0.1).collect()]
+    for how in ("left", "inner", "left_anti"):
+        plain = left.join(right, "key", how)
+        assert rows(salted_join(left, right, ["key"], how).select(plain.columns)) == rows(plain)
+
+
 def test_salted_join_on_two_keys(spark, no_broadcast, rows):
     left = spark.createDataFrame([(i, 1, i % 2) for i in range(500)] + [(900, 2, 0)], "id int, a int, b int")
     right = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (1, 1, "z")], "a int, b int, v string")
