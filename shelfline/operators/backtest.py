@@ -57,12 +57,6 @@ class Fold:
     test_start: Column
     test_end: Column
 
-    def is_train(self, i: Column) -> Column:
-        return (i >= self.train_start) & (i < self.train_end)
-
-    def is_test(self, i: Column) -> Column:
-        return (i >= self.test_start) & (i < self.test_end)
-
 
 def _fold(cfg: SplitConfig, f: Column) -> Fold:
     first = f * F.col("_step")
@@ -105,26 +99,38 @@ def too_short(series: DataFrame, cfg: SplitConfig, entity: Sequence[str]) -> Dat
     )
 
 
+def _folds_around(cfg: SplitConfig, before: int) -> Column:
+    """Folds whose rows from ``before`` rows ahead of the training end up to the test end hold row ``i``.
+
+    Training ends at ``min_train_size + fold * step``, so these folds are one run of numbers that
+    follows from the position by division: a row costs the same whatever the number of folds.
+    """
+    i, step = F.col("i"), F.col("_step")
+    reach = cfg.min_train_size + cfg.gap + cfg.horizon
+    last_complete = F.floor((F.col("n") - reach) / step)
+    low = F.greatest(F.lit(0), F.ceil((i - reach + 1) / step))
+    high = F.least(F.col("_folds") - 1, last_complete, F.floor((i - cfg.min_train_size + before) / step))
+    return _run(low, high)
+
+
+def _run(low: Column, high: Column) -> Column:
+    return F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(
+        F.array().cast("array<int>")
+    )
+
+
 def fold_rows(
     series: DataFrame,
     cfg: SplitConfig,
     entity: Sequence[str],
-    keep: Callable[[Fold, Column], Column],
+    folds: Callable[[], Column],
     target: str = "quantity",
 ) -> DataFrame:
-    """Each row once per fold for which ``keep(fold, position)`` holds, with that fold's positions."""
+    """Each row once per fold in the array ``folds()``, with the positions of that fold."""
     rows = indexed(series, entity, target).where(F.col("n") >= cfg.least_rows)
-    folds, step = _plan_columns(cfg, F.col("n"))
-    i = F.col("i")
-
-    def wanted(f: Column) -> Column:
-        fold = _fold(cfg, f)
-        return keep(fold, i) & (fold.test_end <= F.col("n"))
-
+    count, step = _plan_columns(cfg, F.col("n"))
     rows = (
-        rows.withColumn("_folds", folds)
-        .withColumn("_step", step)
-        .withColumn("fold", F.explode(F.filter(F.sequence(F.lit(0), F.col("_folds") - 1), wanted)))
+        rows.withColumn("_folds", count).withColumn("_step", step).withColumn("fold", F.explode(folds()))
     )
     fold = _fold(cfg, F.col("fold"))
     return rows.withColumns(
@@ -139,7 +145,15 @@ def fold_rows(
 
 def fold_membership(series: DataFrame, cfg: SplitConfig, entity: Sequence[str]) -> DataFrame:
     """Label train, gap or test of every row in every fold that spans it."""
-    rows = fold_rows(series, cfg, entity, lambda fold, i: (i >= fold.train_start) & (i < fold.test_end))
+
+    def spanning() -> Column:
+        i, step = F.col("i"), F.col("_step")
+        reach = cfg.least_rows
+        low = F.greatest(F.lit(0), F.ceil((i - reach + 1) / step))
+        high = F.least(F.col("_folds") - 1, F.floor((F.col("n") - reach) / step))
+        return _run(low, high if cfg.strategy == "expanding" else F.least(high, F.floor(i / step)))
+
+    rows = fold_rows(series, cfg, entity, spanning)
     i = F.col("i")
     role = (
         F.when(i < F.col("train_end_idx"), "train").when(i < F.col("test_start_idx"), "gap").otherwise("test")
@@ -148,19 +162,24 @@ def fold_membership(series: DataFrame, cfg: SplitConfig, entity: Sequence[str])
 
 
 def split_boundaries(series: DataFrame, cfg: SplitConfig, entity: Sequence[str]) -> DataFrame:
-    """First and last train and test day of each fold; only the four edge rows of a fold are read."""
-    edges = fold_rows(
-        series,
-        cfg,
-        entity,
-        lambda fold, i: (i == fold.train_start)
-        | (i == fold.train_end - 1)
-        | (i == fold.test_start)
-        | (i == fold.test_end - 1),
+    """First and last train and test day of each fold, from the rows at the edges of the fold."""
+
+    def at_edges() -> Column:
+        i, step = F.col("i"), F.col("_step")
+        last_complete = F.floor((F.col("n") - cfg.least_rows) / step)
+        last = F.least(F.col("_folds") - 1, last_complete).cast("int")
+        if cfg.strategy == "expanding":
+            starts = F.when(i == 0, _run(F.lit(0), last))
+        else:
+            starts = F.when((i % step == 0) & (i / step <= last), F.array((i / step).cast("int")))
+        return F.array_union(_folds_around(cfg, 1), F.coalesce(starts, F.array().cast("array<int>")))
+
+    c = F.col
+    i, day = c("i"), c("date")
+    edges = fold_rows(series, cfg, entity, at_edges).where(
+        i.isin(c("train_start_idx"), c("train_end_idx") - 1, c("test_start_idx"), c("test_end_idx") - 1)
     )
-    i, day = F.col("i"), F.col("date")
     at = lambda position: F.max(F.when(i == position, day))
-    c = F.col
     return edges.groupBy(
         *entity, "fold", "train_start_idx", "train_end_idx", "test_start_idx", "test_end_idx"
     ).agg(
@@ -204,13 +223,7 @@ def backtest(
     if not usable:
         raise ValueError("no model can be fitted on min_train_size rows")
     tail = max(m.tail for m in usable)
-    rows = fold_rows(
-        series,
-        cfg,
-        entity,
-        lambda fold, i: ((i >= fold.train_end - tail) & (i < fold.train_end)) | fold.is_test(i),
-        target,
-    )
+    rows = fold_rows(series, cfg, entity, lambda: _folds_around(cfg, tail), target)
     i = F.col("i")
     train = F.when(i < F.col("train_end_idx"), F.struct("i", "y"))
     test = F.when(i >= F.col("test_start_idx"), F.struct("i", "date", "y"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfline.functions.chunking import ChunkRules, Words, pack
-from shelfline.operators.scale import salted_join
+from shelfline.operators.scale import salted_join, spread_small
 
 SOURCE_KEY = ("source_type", "source_path")
 
@@ -117,7 +117,8 @@ def pack_chunks(
     run the packing fold over the sections of one document at a time.
     """
     tokens = tokens or Words()
-    prepared = documents.select(
+    spread = spread_small(documents.select(key, text), key)
+    prepared = spread.select(
         F.col(key), F.transform(sections(F.col(text)), lambda s: F.struct(s["path"], s["content"])).alias("sections")
     )
 

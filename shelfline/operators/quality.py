@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfline.operators.exog import orphans, resolve_keys
 
@@ -15,13 +16,17 @@ CODE_CHARS, SKU_CHARS = 20, 50
 # -- ingest ---------------------------------------------------------------------
 
 
-def _two_decimals(value: Column) -> Column:
+def _two_decimals(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.DecimalType):
+        if kind.scale <= 2:
+            return F.lit(True)
+        return value == value.cast(T.DecimalType(kind.precision, 2))
     exact = value.cast("decimal(38,10)")
     return exact == F.round(exact, 2)
 
 
-def row_rule_error() -> Column:
-    """Code of the first field rule a row breaks, NULL when it breaks none.
+def row_rule_error(schema: T.StructType) -> Column:
+    """Code of the first field rule a row of this schema breaks, NULL when it breaks none.
 
     ``total_amount`` is trusted as sent: it need not equal quantity times price.
     """
@@ -29,7 +34,8 @@ def row_rule_error() -> Column:
         return F.coalesce(F.char_length(F.col(c)).between(1, most), F.lit(False))
 
     def amount(c: str) -> Column:
-        return F.coalesce((F.col(c) >= 0) & _two_decimals(F.col(c)), F.lit(False))
+        exact = _two_decimals(F.col(c), schema[c].dataType)
+        return F.coalesce((F.col(c) >= 0) & exact, F.lit(False))
 
     rules = [
         (F.col("date").isNotNull(), "BAD_DATE"),
@@ -64,7 +70,7 @@ def judge(rows: DataFrame, store: DataFrame, product: DataFrame, calendar: DataF
         .when(~F.col("date_exists"), "UNKNOWN_DATE")
     )
     return (
-        resolved.withColumn("error_code", F.coalesce(row_rule_error(), unknown))
+        resolved.withColumn("error_code", F.coalesce(row_rule_error(rows.schema), unknown))
         .withColumn("error_message", _message())
         .drop("date_exists")
     )

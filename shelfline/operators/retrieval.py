@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfline.operators.scale import spread_small
+
 QUERY_BLOCK = 1024
 SNIPPET_CHARS = 200
 
@@ -45,7 +47,7 @@ def top_k(
     Equal scores are ordered by chunk id.  Rows without a vector, or with one of length zero, are skipped.
     Filter ``chunks`` beforehand to search a part of the table.
     """
-    chunks = chunks.where(F.col(vector).isNotNull()).select(chunk_id, vector)
+    chunks = spread_small(chunks.where(F.col(vector).isNotNull()).select(chunk_id, vector), chunk_id)
     wanted = queries.where(F.col(vector).isNotNull()).select(query_id, vector)
     blocks = max(1, -(-wanted.count() // block))
     bucket = F.pmod(F.xxhash64(query_id), F.lit(blocks))

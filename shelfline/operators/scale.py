@@ -1,6 +1,7 @@
 """Building blocks that keep a plan whole when keys are hot or tables are large.
 
 * ``fits_broadcast``   - is a side provably small enough for a hash broadcast?
+* ``spread_small``     - all cores for heavy work on a table of few files
 * ``hot_keys``         - the few key values that hold a large share of the rows
 * ``salted_join``      - equi join that spreads hot keys over many tasks
 * ``global_row_number``- exact 1..n numbering without a single-task window
@@ -59,6 +60,18 @@ def fits_broadcast(df: DataFrame) -> bool:
     return limit > 0 and int(str(size)) <= limit
 
 
+def spread_small(df: DataFrame, key: str, below: int = 1 << 30) -> DataFrame:
+    """Spread a small table over all cores before heavy work per row.
+
+    A table of one or two files is one or two tasks.  Below one gigabyte a shuffle is cheap next to
+    the work it spreads; larger tables have enough splits of their own and are left alone.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > below:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
     """Key values that each hold more than ``share`` of the rows.
 

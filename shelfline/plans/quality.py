@@ -52,7 +52,8 @@ def resolved_keys(spark, folder):
 
 
 def rule_errors(spark, folder):
-    rows = raw_batch(load_star(spark, folder)).withColumn("error_code", quality.row_rule_error())
+    batch = raw_batch(load_star(spark, folder))
+    rows = batch.withColumn("error_code", quality.row_rule_error(batch.schema))
     return rows.groupBy("error_code").agg(F.count(F.lit(1)).alias("rows"))
 
 
