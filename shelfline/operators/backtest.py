@@ -235,16 +235,17 @@ def backtest(
     tests = per_fold.withColumn("_t", F.explode("_test")).withColumn(
         "step", (F.col("_t.i") - F.col("test_start_idx")).cast("int")
     )
+    columns = {
+        f"_p_{m.model_type}": predict_column(m, F.slice("_tail", F.lit(-m.tail), F.lit(m.tail)), F.col("step"))
+        for m in usable
+    }
     forecasts = F.array(
         *[
-            F.struct(
-                F.lit(m.model_type).alias("model"),
-                predict_column(m, F.slice("_tail", F.lit(-m.tail), F.lit(m.tail)), F.col("step")).alias("value"),
-            )
+            F.struct(F.lit(m.model_type).alias("model"), F.col(f"_p_{m.model_type}").alias("value"))
             for m in usable
         ]
     )
-    return tests.withColumn("_p", F.explode(forecasts)).select(
+    return tests.withColumns(columns).withColumn("_p", F.explode(forecasts)).select(
         *entity,
         "fold",
         F.col("_p.model").alias("model"),

@@ -197,15 +197,17 @@ def _chosen(key: Column, factors: dict) -> Column:
 def demand_by_scenario(
     spine: DataFrame, base_date: dt.date, scenarios: dict[str, DemandConfig] | None = None
 ) -> DataFrame:
-    """Every spine row once per scenario; the scenarios are columns of the plan, not a join."""
+    """Every spine row once per scenario; the scenarios are columns of the plan, not a join.
+
+    The demands are computed as plain columns first, which Spark compiles; inside the exploded array
+    the same expressions would be interpreted.
+    """
     scenarios = scenarios or SCENARIOS
+    columns = {f"_d_{name}": expected_demand(c, F.lit(base_date)) for name, c in scenarios.items()}
     cells = F.array(
-        *[
-            F.struct(F.lit(name).alias("scenario"), expected_demand(c, F.lit(base_date)).alias("expected_demand"))
-            for name, c in scenarios.items()
-        ]
+        *[F.struct(F.lit(n).alias("scenario"), F.col(f"_d_{n}").alias("expected_demand")) for n in scenarios]
     )
-    return spine.select(*spine.columns, F.inline(cells))
+    return spine.withColumns(columns).select(*spine.columns, F.inline(cells))
 
 
 # -- sparsity --------------------------------------------------------------------------

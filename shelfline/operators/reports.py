@@ -377,20 +377,16 @@ def stockout_impact(
 
 
 def table_profile(tables: dict[str, DataFrame], dated: str = "sales_daily") -> DataFrame:
-    """Rows per table and, for the dated table, its first and last day."""
-    day = "date"
-    parts = []
+    """Rows per table, first and last day of the dated table, last change where ``updated_at`` exists."""
+    profile = None
     for name, df in tables.items():
-        has_day = name == dated
-        parts.append(
-            df.agg(
-                F.lit(name).alias("table_name"),
-                F.count(F.lit(1)).alias("row_count"),
-                (F.min(day) if has_day else F.lit(None).cast("date")).alias("first_date"),
-                (F.max(day) if has_day else F.lit(None).cast("date")).alias("last_date"),
-            )
+        has_day, has_update = name == dated, "updated_at" in df.columns
+        part = df.agg(
+            F.lit(name).alias("table_name"),
+            F.count(F.lit(1)).alias("row_count"),
+            (F.min("date") if has_day else F.lit(None).cast("date")).alias("first_date"),
+            (F.max("date") if has_day else F.lit(None).cast("date")).alias("last_date"),
+            (F.max("updated_at") if has_update else F.lit(None).cast("timestamp")).alias("last_update"),
         )
-    profile = parts[0]
-    for part in parts[1:]:
-        profile = profile.unionByName(part)
+        profile = part if profile is None else profile.unionByName(part)
     return profile

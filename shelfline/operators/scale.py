@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -18,7 +19,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SALTS = 32
 HOT_SHARE = 1 / 200
 DEEP_PAGE_ROWS = 10_000
 
@@ -73,7 +73,7 @@ def spread_small(df: DataFrame, key: str, below: int = 1 << 30) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Key values that each hold more than ``share`` of the rows.
+    """Key values that each hold more than ``share`` of the rows, with their part in ``_part``.
 
     Counting combines on the map side, and at most ``1 / share`` values can qualify, so the
     result is bounded whatever the table size.
@@ -81,7 +81,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> Da
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     # summing the counts instead of counting again lets Spark reuse the shuffle of the counts
     total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") > total * F.lit(share)).select(*keys)
+    return counts.withColumn("_part", F.col("_n") / total).where(F.col("_part") > share).drop("_n")
 
 
 def salted_join(
@@ -91,18 +91,17 @@ def salted_join(
     how: str = "inner",
     condition: Column | None = None,
     spread: Sequence[str] | None = None,
-    salts: int = SALTS,
     share: float = HOT_SHARE,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on the columns ``on`` (plus ``condition``), whatever the skew of ``left``.
 
     A right side below the broadcast threshold is joined as is (no shuffle, so no skew).
-    Otherwise the hot key values of ``left`` (NULL may be one) are found, their left rows are spread
-    over ``salts`` buckets by a hash of ``spread`` and only the matching right rows are repeated once
-    per bucket.
-    Every left row still meets every right row of its key exactly once; the salt is a pure
-    function of the row, so a recomputed task gives the same rows.  Right and left may share
-    only the ``on`` columns.  ``how``: inner, left, left_semi or left_anti.
+    Otherwise the hot key values of ``left`` (NULL may be one) are found.  A key that holds a third of
+    the rows is cut into a third of the shuffle partitions, by a hash of ``spread``, and only its
+    partner rows are repeated once per piece.  Every left row still meets every right row of its
+    key exactly once; the piece is a pure function of the row, so a recomputed task gives the same
+    rows.  Right and left may share only the ``on`` columns.  ``how``: inner, left, left_semi or
+    left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join does not support how={how!r}")
@@ -119,35 +118,30 @@ def salted_join(
     if fits_broadcast(right):
         return left.join(renamed, match, how).drop(*drop)
 
-    # At most 1/share rows: a literal list keeps both sides on the very same decision.
+    # At most 1/share rows: literals keep both sides on the very same decision.
     hot = hot_keys(left, on, share).collect()
     if not hot:
         return left.join(renamed, match, how).drop(*drop)
-    is_hot_left = _among(hot, on, "")
-    is_hot_right = _among(hot, on, "_r_")
-    spread = list(spread or left.columns)
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted_left = left.withColumn(
-        "_salt",
-        F.when(is_hot_left, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)),
+        "_salt", F.pmod(F.xxhash64(*(spread or left.columns)), _pieces(hot, on, "", tasks))
     )
     salted_right = renamed.withColumn(
-        "_r_salt",
-        F.explode(
-            F.when(is_hot_right, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ),
+        "_r_salt", F.explode(F.sequence(F.lit(0).cast("long"), _pieces(hot, on, "_r_", tasks) - 1))
     )
     joined = salted_left.join(salted_right, match & (F.col("_salt") == F.col("_r_salt")), how)
     return joined.drop("_salt", "_r_salt", *drop)
 
 
-def _among(rows, cols: Sequence[str], prefix: str) -> Column:
-    test = F.lit(False)
-    for row in rows:
-        one = F.lit(True)
-        for c, value in zip(cols, row):
-            one = one & F.col(prefix + c).eqNullSafe(F.lit(value))
-        test = test | one
-    return test
+def _pieces(hot, on: Sequence[str], prefix: str, tasks: int) -> Column:
+    """Into how many pieces the key of a row is cut: 1 unless it is hot."""
+    pieces = F.lit(1).cast("long")
+    for row in hot:
+        same = F.lit(True)
+        for c in on:
+            same = same & F.col(prefix + c).eqNullSafe(F.lit(row[c]))
+        pieces = F.when(same, F.lit(max(2, math.ceil(row["_part"] * tasks))).cast("long")).otherwise(pieces)
+    return pieces
 
 
 # -- order over the whole table ----------------------------------------------

@@ -448,7 +448,7 @@ order by lost desc, date, store_code, sku limit 100""",
         " union all ".join(
             f"select '{t}' as table_name, count(*) as row_count, "
             + ("min(date) as first_date, max(date) as last_date" if t == "sales_daily" else "cast(null as date), cast(null as date)")
-            + f" from {t}"
+            + f", cast(null as timestamp) as last_update from {t}"
             for t in ("sales_daily", "store", "product", "calendar", "price_history", "promotion", "inventory_snapshot_daily")
         ),
     ),

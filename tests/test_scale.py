@@ -45,9 +45,19 @@ def test_salted_join_equals_plain_join(spark, no_broadcast, skewed, right, rows,
         *salted_join(skewed, right, ["key"], how).columns))
 
 
-def test_salted_join_spreads_the_hot_key(no_broadcast, skewed, right):
-    plan = salted_join(skewed, right, ["key"], "left")
-    assert "_salt" in plan._jdf.queryExecution().optimizedPlan().toString()
+def test_salted_join_spreads_the_hot_key(spark, no_broadcast, skewed, right):
+    joined = salted_join(skewed, right, ["key"], "left")
+    assert "_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [len(p) for p in salted_join(skewed, right, ["key"], "left").rdd.glom().collect()]
+        plain = [len(p) for p in skewed.join(right, "key", "left").rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == sum(plain) and max(sizes) < max(plain) / 3
 
 
 def test_hot_null_key(spark, no_broadcast, rows):
