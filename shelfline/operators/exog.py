@@ -24,6 +24,7 @@ def interval_join(
     last: str,
     how: str = "left",
     bucket_days: int = BUCKET_DAYS,
+    measure: DataFrame | None = None,
 ) -> DataFrame:
     """Sales rows with the windows of their product that cover their date and store.
 
@@ -33,7 +34,7 @@ def interval_join(
     A small ``windows`` side is broadcast by the optimizer.  Otherwise both sides also carry a time
     bucket as join key (a sale has one, a window one per bucket it touches inside the sales
     period), which keeps long histories of one product from meeting all its sales, and products
-    that hold a large share of the sales are salted on top.
+    that hold a large share of the sales are salted on top.  ``measure``: see ``salted_join``.
     """
     side = windows.withColumnRenamed("store_id", "_w_store")
     covers = (
@@ -44,7 +45,8 @@ def interval_join(
     drop = ["_w_store"] if how in ("inner", "left") else []
     if fits_broadcast(windows):
         return salted_join(sales, side, ["product_id"], how, covers).drop(*drop)
-    span = sales.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi")).alias("span")).scalar()
+    base = sales if measure is None else measure
+    span = base.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi")).alias("span")).scalar()
     bucketed = sales.withColumn("_bucket", _bucket(F.col("date"), bucket_days))
     side = (
         side.withColumn("_span", span)
@@ -54,7 +56,8 @@ def interval_join(
         .withColumn("_bucket", F.explode(F.sequence("_from", "_to")))
         .drop("_span", "_from", "_to")
     )
-    joined = salted_join(bucketed, side, ["product_id", "_bucket"], how, covers, spread=GRAIN)
+    counted = base.select("product_id", _bucket(F.col("date"), bucket_days).alias("_bucket"))
+    joined = salted_join(bucketed, side, ["product_id", "_bucket"], how, covers, spread=GRAIN, measure=counted)
     return joined.drop("_bucket", *drop)
 
 
@@ -159,16 +162,17 @@ def exogenous_set(
         prices.select("product_id", "store_id", F.col("price").alias("list_price"), "valid_from", "valid_to"),
         "valid_from",
         "valid_to",
+        measure=sales,
     )
-    facts = interval_join(facts, _promo_windows(promotions), "start_date", "end_date")
+    facts = interval_join(facts, _promo_windows(promotions), "start_date", "end_date", measure=sales)
     stores = store.select(
         F.col("id").alias("store_id"), F.col("code").alias("store_code"), "region", "store_type"
     )
     products = product.select(F.col("id").alias("product_id"), "sku", "category", "brand")
     days = calendar.select("date", "day_of_week", "month", "quarter", "is_holiday")
-    named = salted_join(facts, stores, ["store_id"], spread=GRAIN)
-    named = salted_join(named, products, ["product_id"], spread=GRAIN)
-    named = salted_join(named, days, ["date"], spread=GRAIN)
+    named = salted_join(facts, stores, ["store_id"], spread=GRAIN, measure=sales)
+    named = salted_join(named, products, ["product_id"], spread=GRAIN, measure=sales)
+    named = salted_join(named, days, ["date"], spread=GRAIN, measure=sales)
     return named.select(
         "date",
         "store_code",
@@ -202,7 +206,7 @@ def orphans(sales: DataFrame, store: DataFrame, product: DataFrame, calendar: Da
     checked = sales
     for key, dim, flag in marks:
         known = dim.distinct().withColumn(f"_{flag}", F.lit(True))
-        checked = salted_join(checked, known, [key], "left", spread=GRAIN)
+        checked = salted_join(checked, known, [key], "left", spread=GRAIN, measure=sales)
         checked = checked.withColumn(flag, F.col(f"_{flag}").isNull()).drop(f"_{flag}")
     return checked.where(F.col("no_store") | F.col("no_product") | F.col("no_date"))
 
@@ -223,6 +227,6 @@ def resolve_keys(
     products = product.select("sku", F.col("id").alias("product_id"))
     days = calendar.select("date").distinct().withColumn("date_exists", F.lit(True))
     out = salted_join(rows, stores, ["store_code"], "left")
-    out = salted_join(out, products, ["sku"], "left")
-    out = salted_join(out, days, ["date"], "left")
+    out = salted_join(out, products, ["sku"], "left", measure=rows)
+    out = salted_join(out, days, ["date"], "left", measure=rows)
     return out.withColumn("date_exists", F.coalesce("date_exists", F.lit(False)))

@@ -369,7 +369,13 @@ def stockout_impact(
     skus = product.select(F.col("id").alias("product_id"), "sku")
     # the dimension joins are inner, so they have to come before the cut
     return (
-        salted_join(salted_join(ranked, names, ["store_id"], spread=grain), skus, ["product_id"], spread=grain)
+        salted_join(
+            salted_join(ranked, names, ["store_id"], spread=grain, measure=out),
+            skus,
+            ["product_id"],
+            spread=grain,
+            measure=out,
+        )
         .select("date", "store_code", "sku", "is_stockout", "actual_sales", "expected_sales", "estimated_lost_sales")
         .orderBy(F.desc("estimated_lost_sales"), "date", "store_code", "sku")
         .limit(n)

@@ -117,7 +117,7 @@ def _paired(pairs: DataFrame, runs: DataFrame, column: str) -> DataFrame:
     b = runs.select(F.col("run_id").alias("run_b"), F.col(column).alias("_b"))
     # one run may be compared with very many others
     first = salted_join(pairs.select("run_a", "run_b"), a, ["run_a"], spread=["run_b"])
-    return salted_join(first, b, ["run_b"], spread=["run_a"])
+    return salted_join(first, b, ["run_b"], spread=["run_a"], measure=pairs)
 
 
 def _keyed(paired: DataFrame) -> DataFrame:

@@ -91,6 +91,7 @@ def salted_join(
     how: str = "inner",
     condition: Column | None = None,
     spread: Sequence[str] | None = None,
+    measure: DataFrame | None = None,
     share: float = HOT_SHARE,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on the columns ``on`` (plus ``condition``), whatever the skew of ``left``.
@@ -100,8 +101,10 @@ def salted_join(
     the rows is cut into a third of the shuffle partitions, by a hash of ``spread``, and only its
     partner rows are repeated once per piece.  Every left row still meets every right row of its
     key exactly once; the piece is a pure function of the row, so a recomputed task gives the same
-    rows.  Right and left may share only the ``on`` columns.  ``how``: inner, left, left_semi or
-    left_anti.
+    rows.  In a chain of joins ``measure`` names the table the chain started from: its key columns
+    are counted instead of those of ``left``, which would compute the earlier joins for it.
+
+    Right and left may share only the ``on`` columns.  ``how``: inner, left, left_semi or left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join does not support how={how!r}")
@@ -119,7 +122,7 @@ def salted_join(
         return left.join(renamed, match, how).drop(*drop)
 
     # At most 1/share rows: literals keep both sides on the very same decision.
-    hot = hot_keys(left, on, share).collect()
+    hot = hot_keys(left if measure is None else measure, on, share).collect()
     if not hot:
         return left.join(renamed, match, how).drop(*drop)
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))

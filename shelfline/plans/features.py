@@ -43,7 +43,7 @@ def brand_daily(spark, folder):
     products = star.product.select(F.col("id").alias("product_id"), "brand")
     grain = ["date", "store_id", "product_id"]
     named = salted_join(star.sales_daily, products, ["product_id"], spread=grain)
-    named = salted_join(named, stores, ["store_id"], spread=grain)
+    named = salted_join(named, stores, ["store_id"], spread=grain, measure=star.sales_daily)
     return daily_series(named, BRAND)
 
 

@@ -228,7 +228,7 @@ def demand_spine(star):
         "base_price",
         F.when(F.col("first_sale") > F.date_add(F.lit(BASE_DATE), 120), F.col("first_sale")).alias("launch_date"),
     )
-    return salted_join(promoted.join(stock, grain, "left"), launched, ["product_id"], spread=grain)
+    return salted_join(promoted.join(stock, grain, "left"), launched, ["product_id"], spread=grain, measure=star.sales_daily)
 
 
 def expected_demand(spark, folder):
