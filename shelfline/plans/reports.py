@@ -285,7 +285,7 @@ def _drill_sql(dimension: str) -> str:
     return with_views(
         views,
         f"""select cast(dimension_value as varchar) as dimension_value, {'dimension_id,' if with_id else ''}
-       {r('total_revenue', 'total_revenue')}, total_units, total_transactions, rank, total_items,
+       {r('total_revenue', 'total_revenue')}, total_units, total_transactions, cast(rank as int) as rank, total_items,
        {r('round(total_revenue * 100 / revenue_all, 2)', 'revenue_share_pct')}, {RATIOS}
 from (select *, row_number() over (order by total_revenue desc, dimension_value) as rank,
              count(*) over () as total_items, cast(sum(total_revenue) over () as double) as revenue_all from groups) t
@@ -327,7 +327,8 @@ from sales_daily join store on store_id = store.id where {BETWEEN} and store_typ
     ),
     "load_calendar": with_views(
         "sales_daily calendar",
-        f"""select c.*, (select count(*) from sales_daily s where s.date = c.date) as sales_rows
+        f"""select date, cast(day_of_week as int) as day_of_week, cast(month as int) as month, cast(quarter as int) as quarter,
+       cast(year as int) as year, is_holiday, (select count(*) from sales_daily s where s.date = c.date) as sales_rows
 from calendar c where {BETWEEN}""",
     ),
     "search_products": with_views(
