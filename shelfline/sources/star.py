@@ -44,7 +44,7 @@ class Star:
 
     @cached_property
     def store(self) -> DataFrame:
-        # The list of nations is a lookup map: joining it would make the optimizer take the product of
+        # The list of nations (25 rows in this schema) is a lookup map: joining it would make the optimizer take the product of
         # the table sizes as the size of the stores and shuffle the facts to join them.
         nations = self.raw("nation").join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         entry = F.struct(F.col("n_nationkey").cast("int"), F.struct("n_name", "r_name"))
