@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -99,3 +100,25 @@ def cut(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
         half = batch.num_rows // 2
         yield from cut(batch.slice(0, half), size)
         yield from cut(batch.slice(half), size)
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string column without nulls, and where each row starts (and the end)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    buffers = column.buffers()
+    at = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
+
+
+def uniform(keys: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) that are a fixed function of 64-bit keys."""
+    x = keys.astype(np.int64).view(np.uint64).copy()
+    with np.errstate(over="ignore"):
+        for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(29)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)

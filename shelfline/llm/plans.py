@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from shelfline.llm import licences, mixing
+from shelfline.llm import licences, mixing, packing, pii, quality, simhash
 from shelfline.sources.star import read_table
 
 
+def op3_pii(spark, folder):
+    return pii.scan(read_table(spark, folder, "documents"))
+
+
+def op4_packing(spark, folder):
+    return packing.pack(read_table(spark, folder, "documents"))
+
+
 def op5_licences(spark, folder):
     return licences.scan_licences(read_table(spark, folder, "documents"))
 
@@ -15,9 +23,21 @@ def op6_mixing(spark, folder):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_simhash(spark, folder):
+    return simhash.near_duplicates(read_table(spark, folder, "documents"))
+
+
+def op9_quality(spark, folder):
+    return quality.classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 QUERIES = {
+    "op3_pii": op3_pii,
+    "op4_packing": op4_packing,
     "op5_licences": op5_licences,
     "op6_mixing": op6_mixing,
+    "op7_simhash": op7_simhash,
+    "op9_quality": op9_quality,
 }
 
 ORACLES = {
