@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from shelfline.llm import licences, mixing, packing, pii, quality, simhash
+from shelfline.llm import licences, mixing, packing, pii, quality, simhash, suffixes
 from shelfline.sources.star import read_table
 
 
+def op2_suffixes(spark, folder):
+    return suffixes.remove_repeats(read_table(spark, folder, "documents"))
+
+
 def op3_pii(spark, folder):
     return pii.scan(read_table(spark, folder, "documents"))
 
@@ -32,6 +36,7 @@ def op9_quality(spark, folder):
 
 
 QUERIES = {
+    "op2_suffixes": op2_suffixes,
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op5_licences": op5_licences,
