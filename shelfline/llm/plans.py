@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from shelfline.llm import licences, mixing, packing, pii, quality, simhash, suffixes
+from shelfline.llm import hilbert, licences, mixing, packing, pii, pq_dedup, quality, secret_scan, simhash, suffixes
 from shelfline.sources.star import read_table
 
 
+def op1_secrets(spark, folder):
+    return secret_scan.scan(read_table(spark, folder, "documents"))
+
+
 def op2_suffixes(spark, folder):
     return suffixes.remove_repeats(read_table(spark, folder, "documents"))
 
@@ -31,18 +35,29 @@ def op7_simhash(spark, folder):
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
+def op8_pq(spark, folder):
+    return pq_dedup.near_duplicates(read_table(spark, folder, "embeddings"))
+
+
 def op9_quality(spark, folder):
     return quality.classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+def op10_hilbert(spark, folder):
+    return hilbert.search(read_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_suffixes": op2_suffixes,
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op5_licences": op5_licences,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
+    "op8_pq": op8_pq,
     "op9_quality": op9_quality,
+    "op10_hilbert": op10_hilbert,
 }
 
 ORACLES = {
