@@ -98,8 +98,8 @@ def _bounds(reps: DataFrame, projections: Projections, size: int, longest: float
     return np.array([r["low"] for r in rows]), np.array([r["high"] for r in rows])
 
 
-def orderings(reps: DataFrame, projections: Projections, size: int) -> DataFrame:
-    """``curve, node, rank``: all vectors on all curves, numbered along them from 1."""
+def orderings(reps: DataFrame, projections: Projections, size: int, count: int) -> DataFrame:
+    """``curve, node, rank``: all ``count`` vectors on all curves, numbered from 0 along each."""
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     longest = float(reps.agg(F.max(norm)).first()[0])
     low, high = _bounds(reps, projections, size, longest)
@@ -112,30 +112,30 @@ def orderings(reps: DataFrame, projections: Projections, size: int) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), curve, np.int32)), pa.array(key), batch.column("node")], ["curve", "key", "node"])
 
     keyed = reps.select("node", "vector").mapInArrow(work, "curve int, key long, node long")
-    return global_row_number(keyed, [F.col("curve"), F.col("key"), F.col("node")], "rank").select("curve", "node", "rank")
+    numbered = global_row_number(keyed, [F.col("curve"), F.col("key"), F.col("node")], "all")
+    return numbered.select("curve", "node", (F.col("all") - 1 - F.col("curve") * F.lit(count)).alias("rank"))
 
 
-def windows(reps: DataFrame, ranked: DataFrame, window: int) -> DataFrame:
-    """Candidates (role 0) in their block of the order, queries (role 1) in all blocks that their window meets."""
-    block = F.floor((F.col("rank") - 1) / BLOCK)
+def windows(reps: DataFrame, ranked: DataFrame, window: int, count: int) -> DataFrame:
+    """Candidates (role 0) in their block of a curve, queries (role 1) in all blocks that their window meets."""
     rows = ranked.join(reps.select("node", "least", "asks", "vector"), "node")
 
-    def near(by: int) -> Column:
-        return F.floor((F.col("rank") - 1 + by) / BLOCK)
+    def block(by: int) -> Column:
+        return F.floor(F.least(F.lit(count - 1), F.greatest(F.lit(0), F.col("rank") + by)) / BLOCK)
 
-    places = F.array(F.struct(block.alias("block"), F.lit(0).alias("role")))
-    asked = F.transform(F.sequence(F.greatest(F.lit(0), near(-window)), near(window)), lambda b: F.struct(b.alias("block"), F.lit(1).alias("role")))
+    places = F.array(F.struct(block(0).alias("block"), F.lit(0).alias("role")))
+    asked = F.transform(F.sequence(block(-window), block(window)), lambda b: F.struct(b.alias("block"), F.lit(1).alias("role")))
     rows = rows.withColumn("p", F.explode(F.when(F.col("asks"), F.concat(places, asked)).otherwise(places)))
-    rows = rows.select(F.col("p.block").alias("block"), F.col("p.role").alias("role"), "node", "least", "rank", "vector")
-    return rows.repartition("block").sortWithinPartitions("block", "role")
+    rows = rows.select("curve", F.col("p.block").alias("block"), F.col("p.role").alias("role"), "node", "least", "rank", "vector")
+    return rows.repartition("curve", "block").sortWithinPartitions("curve", "block", "role")
 
 
 def merged(dealt: DataFrame, size: int, window: int, k: int) -> DataFrame:
     """``query, node, least, score``: the best ``k`` of each query in each block, then over all blocks and curves."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in sorted_groups(_flat(batches), 1):
-            starts = np.append(group_starts(columns[:1]), len(columns[0]))
+        for columns in sorted_groups(_flat(batches), 2):
+            starts = np.append(group_starts(columns[:2]), len(columns[0]))
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 yield from _best([c[s:e] for c in columns], size, window, k)
 
@@ -155,7 +155,7 @@ def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _best(columns: list[np.ndarray], size: int, window: int, k: int) -> Iterator[pa.RecordBatch]:
-    _, role, node, least, rank, vector = columns
+    _, _, role, node, least, rank, vector = columns
     n = int((role == 0).sum())
     if not n or n == len(role):
         return
@@ -201,8 +201,8 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K, curves: int = CUR
     if not count:
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     reach = max(LEAST_WINDOW, math.ceil(window * count))
-    ranked = orderings(reps, Projections(size, curves), size)
-    best = merged(windows(reps, ranked, reach), size, reach, k + 1)
+    ranked = orderings(reps, Projections(size, curves), size, count)
+    best = merged(windows(reps, ranked, reach, count), size, reach, k + 1)
     entries = best.join(reps.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     entries = entries.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)

@@ -1,0 +1,416 @@
+"""The document operators against plain Python on small tables."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from shelfline.llm import licences, mixing, packing, pii, plans, quality, secret_scan, simhash, suffixes
+from tests.oracle_check import compare, connect
+
+WORD = "[^\x20\x09-\x0d]+"
+
+
+def texts(df):
+    return [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
+
+
+def bag(rows):
+    return Counter(tuple(r) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(plans.ORACLES))
+def test_sql_twins(spark, folder, name):
+    assert compare(plans.QUERIES[name](spark, folder), connect(folder), plans.ORACLES[name]) in (None, "no rows")
+
+
+# -- repeated passages -------------------------------------------------------------------
+
+
+def brute_repeats(rows, length):
+    seen = Counter(t.encode()[i : i + length] for _, t in rows for i in range(len(t.encode()) - length + 1))
+    out = []
+    for doc_id, t in rows:
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out.append((doc_id, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return bag(out)
+
+
+@pytest.mark.parametrize("together", [2, 4096])
+def test_repeats_as_brute_force(documents, monkeypatch, together):
+    monkeypatch.setattr(suffixes, "TOGETHER", together)
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abé "), n))
+    shared = [word(n) for n in (70, 90, 130, 250)]
+    rows = [(i, word(rng.integers(0, 300)) + shared[i % 4] + word(rng.integers(0, 40)) + shared[(i * 7) % 3], "s") for i in range(60)]
+    rows += [(100, rows[3][1], "s"), (101, "ab" * 400, "s"), (102, None, None)]
+    df = documents(rows)
+    assert bag(suffixes.remove_repeats(df, length=80, batches=3).collect()) == brute_repeats(texts(df), 80)
+
+
+def test_repeats_in_messy_rows(messy, no_documents):
+    assert bag(suffixes.remove_repeats(messy.where("doc_id is null or doc_id <> 9")).collect()) == brute_repeats(texts(messy.where("doc_id is null or doc_id <> 9")), 200)
+    nine = suffixes.remove_repeats(messy.where("doc_id = 9")).first()
+    assert (nine.n_bytes, nine.n_removed, nine.n_spans) == (200_000, 200_000, 1)
+    assert suffixes.remove_repeats(no_documents).count() == 0
+
+
+def test_levels_merge_geometrically(spark, documents):
+    index = suffixes.SuffixIndex(spark)
+    for i in range(7):
+        index.add(suffixes.keyed_texts(documents([(i, f"{i} " * 300, "s")])))
+    assert [size for size, _ in index.levels] == [4, 2, 1]
+    entries = sum(spark.table(name).select("id").distinct().count() for _, name in index.levels)
+    assert entries == 7
+
+
+# -- personal data -------------------------------------------------------------------------
+
+
+def brute_pii(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    found = {
+        "email": re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t),
+        "ip": (m for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))),
+        "card": (m for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m.group())) <= 19 and pii.luhn(digits(m.group()))),
+        "phone": (m for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m.group())) <= 15),
+    }
+    return {kind: [m.span() for m in ms] for kind, ms in found.items()}
+
+
+def test_base_detectors_as_regular_expressions():
+    rng = np.random.default_rng(3)
+    for alphabet in ("aZ0194+@..-- ()%_é", "0123456789 -.", "+0123456789()-. ", "a@.b-"):
+        for _ in range(4000):
+            t = "".join(rng.choice(list(alphabet), rng.integers(0, 45)))
+            assert pii.base_spans(t) == brute_pii(t), t
+
+
+@pytest.mark.parametrize(
+    "text, kind, source",
+    [
+        ("mail bob [at] example [dot] com now", "email", "bob [at] example [dot] com"),
+        ("bob at example dot co dot uk", "email", "bob at example dot co dot uk"),
+        ("to аdmin@exаmple.com", "email", "аdmin@exаmple.com"),
+        ("ｂｏｂ＠ｅｘａｍｐｌｅ．ｃｏｍ", "email", "ｂｏｂ＠ｅｘａｍｐｌｅ．ｃｏｍ"),
+        ("bo​b@example.com", "email", "bo​b@example.com"),
+        ("call plus one five five five zero one zero zero one two three ok", "phone", "plus one five five five zero one zero zero one two three"),
+        ("at one nine two dot one six eight dot one dot one", "ip", "one nine two dot one six eight dot one dot one"),
+        ("٤١١١ ١١١١ ١١١١ ١١١١", "card", "٤١١١ ١١١١ ١١١١ ١١١١"),
+    ],
+)
+def test_disguises_map_back_to_the_source(text, kind, source):
+    base, found = pii.find(text)
+    assert (text.index(source), text.index(source) + len(source)) in found[kind]
+    assert all(set(base[k]) <= set(found[k]) for k in pii.KINDS)
+
+
+def test_clean_text_is_left_alone():
+    clean = "We met at the dot matrix printer at one two or three o'clock; seven at example of it. Ou la été."
+    assert pii.find(clean)[1] == {kind: [] for kind in pii.KINDS} and pii.redacted(clean, pii.find(clean)[1]) == clean
+
+
+def test_pii_scan(spark, folder, messy, no_documents):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    source = dict(texts(docs))
+    for r in pii.scan(docs).collect():
+        base = brute_pii(source[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(pii.listed(base).encode()).hexdigest()
+        assert set(filter(None, pii.listed(base).split(","))) <= set(r.spans.split(","))
+        assert r.n_email + r.n_ip + r.n_card + r.n_phone == len([s for s in r.spans.split(",") if s])
+    assert pii.scan(messy).count() == messy.count() and pii.scan(no_documents).count() == 0
+    redacted = pii.redact(docs)
+    assert redacted.dtypes == docs.dtypes and redacted.where(F.length("text") != F.col("n_chars")).isEmpty()
+    assert all(not any(pii.find(r.text)[0].values()) for r in redacted.collect())
+    assert bag(pii.redact(messy).collect()) == bag(messy.collect())
+
+
+# -- packing -------------------------------------------------------------------------------
+
+
+def check_packing(placed, capacity):
+    ends = {}
+    for r in sorted(placed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values(), default=0) <= capacity
+    return len(ends)
+
+
+def test_packing(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    placed = packing.pack(docs, with_ids=True).collect()
+    n = check_packing(placed, 1024)
+    total = sum(r.length for r in placed)
+    assert n <= 1.01 * -(-total // 1024) + 1
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = {}
+    for r in sorted(placed, key=lambda r: (r.doc_id, r.piece)):
+        have = pieces.setdefault(r.doc_id, [])
+        assert r.start == len(have) and (r.piece == 0 or r.length == 1024)
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        have += r.ids
+    assert pieces == {d: exact.encode(t, add_special_tokens=False).ids + [2] for d, t in texts(docs)}
+    made = packing.sequences(spark.createDataFrame(placed))
+    assert sum(len(r.ids) for r in made.collect()) == total
+
+
+def test_fast_ids_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    exact, ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder("byte_bpe_50k.json")
+    rng = np.random.default_rng(2)
+    letters = [chr(c) for c in range(0x250)] + list(" \n\t  aeiou019'.,!") * 20 + ["Ж", "漢", "🙂"]
+    for t in ["<|endoftext|>", "a<|endoftext|>b", "it's WE'LL", ""] + ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(5000)]:
+        assert ids(t) == exact.encode(t, add_special_tokens=False).ids, t
+
+
+def test_plans_hold_every_piece():
+    rng = np.random.default_rng(1)
+    for lengths in (rng.integers(1, 1025, 5000), np.minimum(1024, rng.geometric(0.004, 9000)), np.full(700, 333), np.ones(5000, int), [1024, 1]):
+        histogram = Counter(int(x) for x in lengths)
+        patterns = packing.plan(histogram)
+        used = Counter()
+        for pattern, times in patterns:
+            assert sum(pattern) <= 1024 and times > 0
+            for length in pattern:
+                used[length] += times
+        assert used == histogram
+    # three lengths that only fit exactly together
+    assert sum(t for _, t in packing.plan({500: 10, 300: 10, 224: 10})) == 10
+    with pytest.raises(ValueError):
+        packing.plan({1025: 1})
+
+
+def test_packing_messy_rows(messy, no_documents):
+    placed = packing.pack(messy).collect()
+    check_packing(placed, 1024)
+    assert sum(r.piece == 0 for r in placed) == messy.count() and packing.pack(no_documents).count() == 0
+
+
+# -- licences ------------------------------------------------------------------------------
+
+
+def test_licences(documents, messy, no_documents):
+    header = licences.TEMPLATES["Apache-2.0 header"].replace(". ", ".\n")
+    mit = licences.TEMPLATES["MIT"].replace(": ", ":\n\n")
+    df = documents(
+        [
+            (1, "Some words.\nReleased under the  MIT licence, MIT License!\nMore.", "s"),
+            (2, "Intro.\n\n" + header + "\n\nEnd of it.", "s"),
+            (3, mit, "s"),
+            (4, "Released under the MIT License.", "s"),
+            (4, "Released under the MIT License.", "s"),
+        ]
+    )
+    found = {(r.doc_id, r.scope, r.licence) for r in licences.scan_licences(df).collect()}
+    assert {(2, "paragraph", "Apache-2.0 header"), (3, "document", "MIT"), (4, "line", "MIT notice")} <= found
+    assert licences.scan_licences(df.where("doc_id = 4")).count() == 2
+    assert licences.scan_licences(messy).count() == 0 and licences.scan_licences(no_documents).count() == 0
+    assert licences.scan_licences(df, templates={"one": "word"}).count() == 0
+
+
+def test_size_bounds_are_exact():
+    for n in range(1, 60):
+        low, high = licences.size_bounds(n, 0.8)
+        fits = [m for m in range(1, 200) if 2 * min(n, m) / (n + m) >= 0.8 - 1e-12]
+        assert (low, high) == (fits[0], fits[-1])
+
+
+# -- mixing --------------------------------------------------------------------------------
+
+
+def brute_targets(sizes, weights=(5, 2, 1), epochs=3):
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, open_, left = {}, set(order), sum(sizes.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if epochs * sizes[s] <= level * weight[s]}
+        if not full:
+            return target | {s: level * weight[s] for s in open_}
+        for s in full:
+            target[s] = float(epochs * sizes[s])
+            left -= epochs * sizes[s]
+        open_ -= full
+    return target
+
+
+def test_mixing_targets_and_whole_documents(documents):
+    rng = np.random.default_rng(4)
+    rows = [(i, "w " * int(rng.integers(0, 60)), [None, "a", "b", "c", "é", "Z"][int(rng.choice(6, p=[0.02, 0.5, 0.02, 0.3, 0.15, 0.01]))]) for i in range(900)]
+    df = documents(rows)
+    got = mixing.mix(df).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(re.findall(WORD, t))
+    target = brute_targets(sizes)
+    taken, largest = Counter(), Counter()
+    for r in got:
+        assert r.size * r.copies == r.taken <= 3 * r.size and r.source_size == sizes[r.source]
+        assert r.target == pytest.approx(target[r.source])
+        taken[r.source] += r.taken
+        largest[r.source] = max(largest[r.source], r.size)
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6 for s in sizes)
+    assert bag(got) == bag(mixing.mix(df.repartition(7)).collect())
+    mixed = Counter(r.doc_id for r in mixing.mixed_documents(df).collect())
+    assert mixed == Counter({r.doc_id: r.copies for r in got if r.copies})
+
+
+def test_mixing_messy_rows(messy, no_documents):
+    assert mixing.mix(messy).count() == messy.count() and mixing.mix(no_documents).count() == 0
+    mixed = mixing.mixed_documents(messy)
+    assert mixed.columns == messy.columns and mixed.count() == mixing.mix(messy).agg(F.sum("copies")).first()[0]
+
+
+# -- SimHash -------------------------------------------------------------------------------
+
+
+def brute_print(t):
+    words = re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+    parts = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def brute_classes(prints):
+    up = list(range(len(prints)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= 3:
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(len(prints))]
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_links_of_fingerprints(spark, monkeypatch, block):
+    rng = np.random.default_rng(6)
+    prints = {int(x) for x in rng.integers(0, 1 << 63, 30, dtype=np.uint64)}
+    for x in list(prints)[:12]:
+        for _ in range(20):  # a dense group, and chains away from it
+            for b in rng.integers(0, 64, rng.integers(1, 4)):
+                x ^= 1 << int(b)
+            prints.add(x)
+    prints = sorted(prints)
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(signed)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash.linked, "__defaults__", (block,))
+    got = {r.fp: r.component_id for r in simhash.classes(df).collect()}
+    assert [got[x] for x in signed] == brute_classes(prints)
+
+
+def test_simhash(spark, folder, messy, no_documents):
+    for df in (spark.read.parquet(f"{folder}/documents.parquet"), messy.where("doc_id is null or doc_id < 8")):
+        rows = sorted(texts(df), key=lambda r: (r[0] is None, r[0] or 0))
+        prints = [brute_print(t) for _, t in rows]
+        least = {}
+        for (doc_id, _), c in zip(rows, brute_classes(prints)):
+            least.setdefault(c, doc_id)
+        want = bag((d, f"{p:016x}", least[c]) for (d, _), p, c in zip(rows, prints, brute_classes(prints)))
+        assert bag(simhash.near_duplicates(df).collect()) == want
+        kept = simhash.keep_one(df)
+        assert kept.columns == df.columns and kept.count() == len(least)
+    assert simhash.near_duplicates(messy).count() == messy.count()
+    assert simhash.near_duplicates(no_documents).count() == 0 and simhash.keep_one(no_documents).count() == 0
+
+
+# -- quality -------------------------------------------------------------------------------
+
+
+def brute_ngrams(t):
+    """Tokens by regular expression; equal tokens in a row are one symbol after the first."""
+    tokens = [x.lower() for x in re.findall(r"(?:[0-9A-Za-z_]|[^\x00-\x7f])+|[!-/:-@\[-^`{-~]+", t)]
+    marked = [None if i and x == tokens[i - 1] else x for i, x in enumerate(tokens)]
+    return marked, list(zip(marked, marked[1:]))
+
+
+def test_ngrams_follow_tokens():
+    rows = ["The cat -- the CAT the the the", "", "é!é ?", "a", "  x  "]
+    data = "".join(rows).encode()
+    at = np.cumsum([0] + [len(r.encode()) for r in rows])
+    bucket, row = quality.ngrams(np.frombuffer(data, np.uint8), at)
+    for i, r in enumerate(rows):
+        single, pairs = brute_ngrams(r)
+        mine = bucket[row == i]
+        assert len(mine) == len(single) + len(pairs)
+        assert len(set(mine[: len(single)])) == len(set(single)) and len(set(mine[len(single) :])) == len(set(pairs))
+
+
+def test_quality_on_documents_held_out(spark):
+    """Fitted on half of the labels, judged on the other half."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64(F.lit("test"), "doc_id"), F.lit(2)) == 0
+    out = quality.classify(docs, labels.where(half)).join(labels.where(~half), "doc_id")
+    right = out.agg(F.avg((F.col("kept") == (F.col("quality") == 1)).cast("double"))).first()[0]
+    assert right >= 0.97
+    best = quality.classify(docs, labels, k=100)
+    assert best.where("kept").count() == 100
+    cut = best.where("kept").agg(F.min("key")).first()[0]
+    assert best.where("not kept").agg(F.max("key")).first()[0] < cut
+
+
+def test_quality_messy_rows(spark, messy, no_documents):
+    labels = spark.createDataFrame([(5, 1), (5, 0), (4, 1), (None, 1), (6, None), (7, 1)], "doc_id long, quality int")
+    assert quality.classify(messy, labels).count() == messy.count()
+    assert quality.classify(messy, labels.limit(0)).where("kept").count() == messy.count()
+    assert quality.keep_good(messy, labels.limit(0)).columns == messy.columns
+    assert quality.classify(no_documents, labels).count() == 0
+    empty = quality.classify(messy, labels).where("doc_id = 2").first()
+    assert empty.n_grams == 0 and empty.importance == 0
+
+
+def test_kth_largest(spark):
+    values = [1.5, 1.5, -3.0, 1e300, 0.0, 2.0, 2.0, 2.0, -1e300] + [i / 7 for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for k in (1, 2, 5, 250, len(values)):
+        assert quality.kth_largest(df, "v", k, bins=16) == sorted(values)[-k]
+
+
+# -- secrets -------------------------------------------------------------------------------
+
+
+def test_secrets(documents, messy, no_documents):
+    rng = np.random.default_rng(8)
+    key = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    card = lambda: "".join(rng.choice(list("0123456789"), 16))
+    rows = [(i, f"some words\nmy token = \"{key()}\" and more", "src/app") for i in range(60)]
+    rows += [(100 + i, f"we saw {card()} in the order of it", "src/app") for i in range(60)]
+    out = secret_scan.scan(documents(rows))
+    right = out.agg(F.avg((F.col("secret") == (F.col("doc_id") < 100)).cast("double"))).first()[0]
+    assert out.count() == 120 and right == 1.0
+    first = out.where("doc_id = 0").first()
+    value = rows[0][1][first.start : first.end]
+    assert len(value) == 40 and hashlib.sha256(value.encode()).hexdigest() == first.value_sha256
+    assert "features" not in out.columns
+    secret_scan.scan(messy).collect()
+    assert secret_scan.scan(no_documents).count() == 0
+
+
+def test_candidates_are_whole_runs():
+    long = "a1" * 5000
+    assert secret_scan.candidates(f"x {long} y") == [(2, 10_002)]
+    assert secret_scan.candidates('password: "hunterhunter"') == [(11, 23)]
+    assert secret_scan.candidates("nothing in plain words, 12 of them") == []
