@@ -1,103 +1,105 @@
-"""Packing of document sections into chunks of bounded size: the small per-document helper.
+"""Chunks of bounded size: the small per-document helper.
 
-Spark splits the documents and spreads them over tasks; this code sees one document at a time.
+Spark splits the documents and spreads them over tasks; this code sees one document at a time.  A document
+is a row of tokens with places where it may be cut: before sections, paragraphs and sentences.  A chunk is
+a slice of the original text between two tokens, so no text is lost and none is rewritten.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+#: One to six marks, white space and a text; only a line feed ends a line.
+_HEADING = re.compile(r"^(#{1,6})[^\S\n]+([^\n]+)", re.M)
+_WORD = re.compile(r"\S+")
 
 
 class Words:
-    """Token counter over whitespace-separated words; any object with these methods will do."""
+    """Tokens are runs without white space; any object with ``spans`` will do."""
 
-    _word = re.compile(r"\S+")
-
-    def count(self, text: str) -> int:
-        return len(text.split())
-
-    def head(self, text: str, n: int) -> str:
-        """``text`` up to the end of its ``n``-th token."""
-        for i, m in enumerate(self._word.finditer(text), 1):
-            if i == n:
-                return text[: m.end()]
-        return text
-
-    def tail(self, text: str, n: int) -> str:
-        """``text`` from the start of its ``n``-th last token."""
-        starts = [m.start() for m in self._word.finditer(text)]
-        return text if len(starts) <= n else text[starts[-n] :]
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        return [m.span() for m in _WORD.finditer(text)]
 
 
 @dataclass(frozen=True)
 class ChunkRules:
+    """``size``: most tokens of a chunk, of which the first ``overlap`` repeat the end of the chunk before.
+
+    A cut at a border gives at least ``least`` new tokens.
+    """
+
     size: int = 512
     overlap: int = 50
     least: int = 100
-    cap: int = 8191
 
+    def __post_init__(self):
+        if not 0 <= self.overlap < self.size or not 1 <= self.least <= self.size - self.overlap:
+            raise ValueError("need 0 <= overlap < size and 1 <= least <= size - overlap")
 
-def _merge(
-    pieces: Iterable[str], glue: str, alone: int, split: Callable[[str], Iterator[str]], rules: ChunkRules, tokens
-) -> Iterator[str]:
-    """Join neighbouring pieces while they fit; a piece of more than ``alone`` tokens goes to ``split``."""
-    held = ""
-    for piece in filter(None, (p.strip() for p in pieces)):
-        if tokens.count(piece) > alone:
-            if held:
-                yield held
-            held = ""
-            yield from split(piece)
-            continue
-        joined = f"{held}{glue}{piece}" if held else piece
-        if held and tokens.count(joined) > rules.size:
-            yield held
-            joined = piece
-        held = joined
-    if held:
-        yield held
 
-
-def _break_up(text: str, rules: ChunkRules, tokens) -> Iterator[str]:
-    """A section above the size limit: by paragraphs, those by sentences, those cut at the cap."""
-
-    def by_sentence(paragraph: str) -> Iterator[str]:
-        def cut(sentence: str) -> Iterator[str]:
-            yield tokens.head(sentence, rules.cap)
-
-        return _merge(SENTENCE_END.split(paragraph), " ", rules.cap, cut, rules, tokens)
-
-    return _merge(text.split("\n\n"), "\n\n", rules.size, by_sentence, rules, tokens)
+@dataclass(frozen=True)
+class Section:
+    path: tuple[str, ...]
+    heading: str | None
+    level: int
+    start: int
+    end: int
 
 
-def pack(sections: Iterable[tuple[list[str], str]], rules: ChunkRules, tokens) -> Iterator[tuple[list[str], str]]:
-    """(heading path, text) of each chunk.
+def outline(text: str) -> list[Section]:
+    """Sections of a markdown text, the one before the first heading included; blank ones are left out.
 
-    Small sections share a chunk, and a chunk that overflows hands its last ``overlap`` tokens to
-    the next one.  A chunk is labelled with the heading path reached when it is closed.  A last
-    chunk below ``least`` tokens is dropped unless it is the only one.
+    A heading cuts the path to the entries above its level and appends itself, so a skipped level leaves
+    no hole.  A heading of blanks opens a section but names nothing.
+    """
+    found = list(_HEADING.finditer(text))
+    edges = [0, *(m.start() for m in found), len(text)]
+    out, path = [], ()
+    for m, start, end in zip([None, *found], edges, edges[1:]):
+        heading = m.group(2).strip() if m else ""
+        level = len(m.group(1)) if m else 0
+        if heading:
+            path = (*path[: level - 1], heading)
+        if text[start:end].strip():
+            out.append(Section(path, heading or None, level, start, end))
+    return out
+
+
+def chunks(text: str, rules: ChunkRules, tokens) -> Iterator[tuple[tuple[str, ...], str, int]]:
+    """(heading path where the new text starts, slice of the text, number of tokens) of each chunk.
+
+    The new text of a chunk ends at the last section start that its size allows, else at the last start
+    of a paragraph, else of a sentence, else where it is full.
     """
-    held, path, count = "", [], 0
-    for path, text in sections:
-        if tokens.count(text) > rules.size:
-            if held.strip():
-                count += 1
-                yield path, held.strip()
-            held = ""
-            for part in _break_up(text, rules, tokens):
-                count += 1
-                yield path, part.strip()
-        elif tokens.count(held + text) > rules.size:
-            if held.strip():
-                count += 1
-                yield path, held.strip()
-            held = (tokens.tail(held, rules.overlap) if rules.overlap > 0 else "") + text
-        else:
-            held += text
-    rest = held.strip()
-    if rest and (count == 0 or tokens.count(rest) >= rules.least):
-        yield path, rest
+    spans = tokens.spans(text)
+    n = len(spans)
+    starts = [a for a, _ in spans]
+    sections = outline(text)
+    first = [bisect_right(starts, s.start - 1) for s in sections]
+    paragraphs, sentences = [], []
+    for i in range(1, n):
+        gap = text[spans[i - 1][1] : starts[i]]
+        if gap.count("\n") > 1:
+            paragraphs.append(i)
+        if gap and text[spans[i - 1][1] - 1] in ".!?":
+            sentences.append(i)
+    at = 0
+    while at < n:
+        back = min(rules.overlap, at)
+        most = at + rules.size - back
+        end = n if n <= most else _last((first, paragraphs, sentences), at + rules.least, most)
+        section = bisect_right(first, at) - 1
+        yield sections[section].path if section >= 0 else (), text[starts[at - back] : spans[end - 1][1]], end - at + back
+        at = end
+
+
+def _last(borders: tuple[list[int], ...], low: int, high: int) -> int:
+    """The last border between ``low`` and ``high`` of the first kind that has one, else ``high``."""
+    for kind in borders:
+        i = bisect_right(kind, high) - 1
+        if i >= 0 and kind[i] >= low:
+            return kind[i]
+    return high

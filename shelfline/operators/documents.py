@@ -5,13 +5,16 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from shelfline.functions.chunking import ChunkRules, Words, pack
-from shelfline.operators.scale import salted_join, spread_small
+from shelfline.functions.chunking import ChunkRules, Words, chunks, outline
+from shelfline.operators.scale import salted_join
 
 SOURCE_KEY = ("source_type", "source_path")
 
@@ -26,14 +29,14 @@ def detect_changes(documents: DataFrame, sources: DataFrame) -> DataFrame:
     ``status``: unchanged for an equal hash, updated for a known source, else indexed.
     """
     keys = list(SOURCE_KEY)
-    known = sources.select(*keys, "source_id", F.col("content_hash").alias("_stored"))
+    known = sources.select(*keys, "source_id", F.col("content_hash").alias("_stored"), F.lit(True).alias("_known"))
     fresh = documents.withColumn("content_hash", content_hash(F.col("content")))
     status = (
         F.when(F.col("_stored") == F.col("content_hash"), "unchanged")
-        .when(F.col("_stored").isNotNull(), "updated")
+        .when(F.col("_known"), "updated")
         .otherwise("indexed")
     )
-    return fresh.join(known, keys, "left").withColumn("status", status).drop("_stored")
+    return fresh.join(known, keys, "left").withColumn("status", status).drop("_stored", "_known")
 
 
 def replace_chunks(chunks: DataFrame, fresh: DataFrame, gone: DataFrame) -> DataFrame:
@@ -57,55 +60,38 @@ def token_totals(chunks: DataFrame, by: Sequence[str]) -> DataFrame:
 
 # -- markdown ---------------------------------------------------------------------
 
-# a heading line: up to six marks, white space, text; (?d) lets only \n end a line
-_BEFORE_HEADING = r"(?mdU)(?=^#{1,6}[^\S\n]+[^\n])"
-_HEADING = r"(?dU)^(#{1,6})[^\S\n]+([^\n]+)"
+def _slices(documents: DataFrame, columns: str, work) -> DataFrame:
+    """Rows that ``work`` makes of each text, next to the other columns; texts never leave their task."""
+    names = documents.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list(work(t)) if t is not None else [] for t in batch.column(len(names) - 1).to_pylist()]
+            rows = pa.array([i for i, made in enumerate(found) for _ in made], pa.int64())
+            made = [pa.array([r[c] for rs in found for r in rs], kind) for c, kind in enumerate(kinds)]
+            kept = [batch.column(i).take(rows) for i in range(len(names) - 1)]
+            yield pa.RecordBatch.from_arrays([*kept, *made], [f.name for f in schema])
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    made_type = T._parse_datatype_string(columns)
+    kinds = [to_arrow_type(f.dataType) for f in made_type]
+    schema = T.StructType([*documents.schema.fields[:-1], *made_type])
+    return documents.mapInArrow(run, schema)
 
 
-def sections(text: Column) -> Column:
-    """Array of (path, heading, level, content), one entry per heading, text before the first one included.
+def split_sections(documents: DataFrame, text: str = "content") -> DataFrame:
+    """One row per section with its 0-based ``section_index``, ``path``, ``heading``, ``level``, ``content``.
 
-    A heading cuts the path to its level and appends itself, so a skipped level leaves no hole.  The
-    text never leaves its row: no shuffle, and no window over lines.
+    Linear in the text: no shuffle, and no window over lines.  The text ends with a line feed.
     """
-    pieces = F.filter(
-        F.split(F.concat(text, F.lit("\n")), _BEFORE_HEADING), lambda p: _strip(p) != ""
-    )
-    described = F.transform(
-        pieces,
-        lambda p: F.struct(
-            _strip(F.regexp_extract(p, _HEADING, 2)).alias("heading"),
-            F.length(F.regexp_extract(p, _HEADING, 1)).alias("level"),
-            p.alias("content"),
-        ),
-    )
-    entry = "struct<path:array<string>,heading:string,level:int,content:string>"
-    start = F.struct(
-        F.array().cast("array<string>").alias("path"), F.array().cast(f"array<{entry}>").alias("done")
-    )
-
-    def step(state: Column, s: Column) -> Column:
-        cut = F.slice(state["path"], F.lit(1), F.greatest(s["level"] - 1, F.lit(0)))
-        path = F.when(s["heading"] != "", F.concat(cut, F.array(s["heading"]))).otherwise(state["path"])
-        heading = F.when(s["heading"] != "", s["heading"])
-        one = F.struct(
-            path.alias("path"), heading.alias("heading"), s["level"].alias("level"), s["content"].alias("content")
-        )
-        return F.struct(path.alias("path"), F.concat(state["done"], F.array(one)).alias("done"))
+    rest = [c for c in documents.columns if c != text]
 
-    return F.aggregate(described, start, step, lambda state: state["done"])
+    def work(content: str):
+        content += "\n"
+        for i, s in enumerate(outline(content)):
+            yield i, list(s.path), s.heading, s.level, content[s.start : s.end]
 
-
-def split_sections(documents: DataFrame, text: str = "content") -> DataFrame:
-    """One row per section with its 0-based ``section_index``."""
-    rest = [c for c in documents.columns if c != text]
-    return documents.select(*rest, F.posexplode(sections(F.col(text))).alias("section_index", "_s")).select(
-        *rest, "section_index", "_s.path", "_s.heading", "_s.level", "_s.content"
-    )
+    columns = "section_index int, path array<string>, heading string, level int, content string"
+    return _slices(documents.select(*rest, F.col(text).alias("_text")), columns, work)
 
 
 def pack_chunks(
@@ -113,37 +99,17 @@ def pack_chunks(
 ) -> DataFrame:
     """Chunks of every document: key, chunk_index, content, token_count, heading, section_path.
 
-    The split into sections is done by Spark; Python workers receive Arrow batches of documents and
-    run the packing fold over the sections of one document at a time.
+    Every token of a text is the new text of exactly one chunk.  ``heading`` and ``section_path`` are
+    those where the new text starts.  Null and blank texts have no chunks.
     """
     tokens = tokens or Words()
-    spread = spread_small(documents.select(key, text), key)
-    prepared = spread.select(
-        F.col(key), F.transform(sections(F.col(text)), lambda s: F.struct(s["path"], s["content"])).alias("sections")
-    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, parts in zip(pdf[key], pdf["sections"]):
-                found = ((list(p["path"]), p["content"]) for p in parts) if parts is not None else ()
-                for index, (path, chunk) in enumerate(pack(found, rules, tokens)):
-                    rows.append((doc, index, chunk, tokens.count(chunk), path[-1] if path else None, path))
-            yield pd.DataFrame(
-                rows, columns=[key, "chunk_index", "content", "token_count", "heading", "section_path"]
-            )
-
-    schema = T.StructType(
-        [
-            prepared.schema[key],
-            T.StructField("chunk_index", T.IntegerType()),
-            T.StructField("content", T.StringType()),
-            T.StructField("token_count", T.IntegerType()),
-            T.StructField("heading", T.StringType()),
-            T.StructField("section_path", T.ArrayType(T.StringType())),
-        ]
-    )
-    return prepared.mapInPandas(run, schema)
+    def work(content: str):
+        for i, (path, part, count) in enumerate(chunks(content, rules, tokens)):
+            yield i, part, count, path[-1] if path else None, list(path)
+
+    columns = "chunk_index int, content string, token_count int, heading string, section_path array<string>"
+    return _slices(documents.select(key, F.col(text).alias("_text")), columns, work)
 
 
 # -- API specifications -----------------------------------------------------------------
@@ -156,7 +122,7 @@ _SPEC = (
 _OPERATION = (
     "operationId string, summary string, description string, tags array<string>,"
     "parameters array<struct<name:string,`in`:string,required:boolean,description:string>>,"
-    "requestBody struct<content:map<string,string>>,"
+    "requestBody struct<content:map<string,struct<schema:string>>>,"
     "responses map<string,struct<description:string>>"
 )
 
@@ -178,6 +144,8 @@ def spec_chunks(documents: DataFrame, key: str, text: str = "content") -> DataFr
     """JSON API specifications to one info row and one row per path and method.
 
     Methods that start with ``x-`` or are no objects are left out.  Schema references are not resolved.
+    Documents that are no specification (no JSON, or neither info nor paths) are packed as markdown, as
+    rows of type ``text``; only null and blank ones have no row.
     """
     parsed = documents.select(F.col(key), F.from_json(F.col(text), _SPEC).alias("_d")).select(key, "_d.*")
     blank = F.lit("")
@@ -215,6 +183,12 @@ def spec_chunks(documents: DataFrame, key: str, text: str = "content") -> DataFr
     # the info row is an entry without a path in front of the calls: one pass over the documents
     head = F.when(has_info, F.array(F.struct(nothing.alias("path"), nothing.alias("method"), nothing.alias("body"))))
     entries = F.concat(F.coalesce(head, F.array().cast(f"array<{call}>")), F.coalesce(calls, F.array().cast(f"array<{call}>")))
+    plain = documents.withColumn("_d", F.from_json(F.col(text), _SPEC))
+    plain = plain.where(F.col("_d.info").isNull() & F.col("_d.paths").isNull()).select(key, F.col(text).alias("content"))
+    others = pack_chunks(plain, key).select(
+        key, "chunk_index", F.lit("text").alias("type"), *[F.lit(None).cast("string").alias(c) for c in ("path", "method", "operation_id", "summary")],
+        F.lit(None).cast("array<string>").alias("tags"), "content",
+    )
     rows = parsed.select(key, overview.alias("_overview"), F.posexplode(entries).alias("chunk_index", "_c")).select(
         key, "chunk_index", "_overview", "_c.path", "_c.method", F.from_json("_c.body", _OPERATION).alias("_o")
     )
@@ -230,7 +204,13 @@ def spec_chunks(documents: DataFrame, key: str, text: str = "content") -> DataFr
         F.map_entries(o["responses"]),
         lambda a: F.concat(F.lit("- **"), a["key"], F.lit("**: "), F.coalesce(a["value"]["description"], blank)),
     )
-    bodies = F.transform(F.map_keys(o["requestBody"]["content"]), lambda t: F.concat(F.lit("Content-Type: "), t))
+    bodies = F.transform(
+        F.map_entries(o["requestBody"]["content"]),
+        lambda e: F.concat(
+            F.lit("Content-Type: "), e["key"],
+            F.coalesce(F.concat(F.lit("\n```json\n"), e["value"]["schema"], F.lit("\n```")), blank),
+        ),
+    )
     endpoint = _lines(
         F.concat(F.lit("## "), F.upper("method"), F.lit(" "), F.col("path")),
         F.concat(F.lit("**"), _some(o["summary"]), F.lit("**")),
@@ -241,7 +221,7 @@ def spec_chunks(documents: DataFrame, key: str, text: str = "content") -> DataFr
         _listed("Responses", answers),
     )
     is_call = F.col("path").isNotNull()
-    return rows.select(
+    specified = rows.select(
         key,
         "chunk_index",
         F.when(is_call, "endpoint").otherwise("api_info").alias("type"),
@@ -252,6 +232,7 @@ def spec_chunks(documents: DataFrame, key: str, text: str = "content") -> DataFr
         F.when(is_call, F.coalesce(o["tags"], F.array().cast("array<string>"))).alias("tags"),
         F.when(is_call, endpoint).otherwise(F.col("_overview")).alias("content"),
     )
+    return specified.unionByName(others)
 
 
 # -- embeddings ---------------------------------------------------------------------------
@@ -271,22 +252,33 @@ class EmbeddingProvider(ABC):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
-def embed(chunks: DataFrame, provider: EmbeddingProvider, text: str = "content", tokens=None) -> DataFrame:
-    """``embedding`` for every row; texts above the token limit of the provider are cut."""
+def embed(rows: DataFrame, provider: EmbeddingProvider, text: str = "content", tokens=None) -> DataFrame:
+    """``embedding`` for every row.
+
+    A text above the token limit of the provider is embedded in parts of that size, and the vectors are
+    averaged by their tokens.
+    """
     tokens = tokens or Words()
 
+    def parts(content: str) -> list[tuple[str, int]]:
+        spans = tokens.spans(content)
+        if len(spans) <= provider.max_tokens:
+            return [(content, max(1, len(spans)))]
+        cut = (spans[i : i + provider.max_tokens] for i in range(0, len(spans), provider.max_tokens))
+        return [(content[p[0][0] : p[-1][1]], len(p)) for p in cut]
+
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            fitted = [
-                tokens.head(t, provider.max_tokens) if tokens.count(t) > provider.max_tokens else t
-                for t in texts.fillna("")
-            ]
+            cut = [parts(t) for t in texts.fillna("")]
+            flat = [p for ps in cut for p, _ in ps]
             out: list[list[float]] = []
-            for start in range(0, len(fitted), provider.batch_size):
-                out.extend(provider.embed(fitted[start : start + provider.batch_size]))
+            for start in range(0, len(flat), provider.batch_size):
+                out.extend(provider.embed(flat[start : start + provider.batch_size]))
             if any(len(v) != provider.dimension for v in out):
                 raise ValueError(f"provider did not return {provider.dimension} values per text")
-            yield pd.Series(out, index=texts.index)
+            made = iter(out)
+            pooled = [np.average([next(made) for _ in ps], axis=0, weights=[n for _, n in ps]).tolist() for ps in cut]
+            yield pd.Series(pooled, index=texts.index)
 
-    return chunks.withColumn("embedding", vectors(F.col(text)))
+    return rows.withColumn("embedding", vectors(F.col(text)))

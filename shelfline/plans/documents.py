@@ -61,12 +61,16 @@ def page_sections(spark, folder):
     )
 
 
+def _joined_path(chunks):
+    return chunks.withColumn("section_path", F.array_join("section_path", " > "))
+
+
 def document_chunks(spark, folder):
-    return docs.pack_chunks(_documents(spark, folder), "doc_id")
+    return _joined_path(docs.pack_chunks(_documents(spark, folder), "doc_id"))
 
 
 def page_chunks(spark, folder):
-    return docs.pack_chunks(_outlines(spark, folder), "page_id")
+    return _joined_path(docs.pack_chunks(_outlines(spark, folder), "page_id"))
 
 
 def _chunk_rows(spark, folder):
@@ -100,11 +104,14 @@ def replaced_chunks(spark, folder):
 
 
 def source_overview(spark, folder):
-    chunks = _chunk_rows(spark, folder).where(F.col("token_count") > 20)
-    sources = _documents(spark, folder).select(
+    """Every document, and for each language a source that was registered but never indexed."""
+    d = _documents(spark, folder)
+    sources = d.select(
         F.concat(F.lit("src-"), F.col("doc_id").cast("string")).alias("source_id"), "source_type", "source_path"
     )
-    return docs.source_overview(sources, chunks)
+    lang = F.substring_index("source_path", "/", 1)
+    new = d.select(F.concat(F.lit("new-"), lang).alias("source_id"), lang.alias("source_type"), lang.alias("source_path"))
+    return docs.source_overview(sources.unionByName(new.distinct()), _chunk_rows(spark, folder))
 
 
 def token_totals(spark, folder):
@@ -406,6 +413,43 @@ from marked group by 1, 2""",
     + " from depths",
 }
 
+_SIZE, _OVERLAP, _LEAST = 512, 50, 100
+
+
+def _chunk_ctes(key: str) -> dict[str, str]:
+    """Chunks of ``parts`` (key, sec, path, heading, content): one step of the recursion for each chunk."""
+    end = f"""case when n <= s + room then n else coalesce(
+        list_max(list_filter(sb, lambda x: x between s + {_LEAST} and s + room)),
+        list_max(list_filter(pb, lambda x: x between s + {_LEAST} and s + room)),
+        list_max(list_filter(tb, lambda x: x between s + {_LEAST} and s + room)), s + room) end"""
+    return {
+        "pieces": f"""select {key}, sec, path, heading, unnest(regexp_extract_all(content, '\\S+\\s*')) as p,
+       unnest(range(len(regexp_extract_all(content, '\\S+\\s*')))) as j from parts""",
+        "tokens": f"""select *, row_number() over (partition by {key} order by sec, j) - 1 as i,
+       lag(p) over (partition by {key} order by sec, j) as before from pieces""",
+        "listed": f"""select {key}, count(*) as n, list(p order by i) as ps, list(i order by i) filter (j = 0) as sb,
+       list(path order by i) filter (j = 0) as paths, list(heading order by i) filter (j = 0) as heads,
+       list(i order by i) filter (length(before) - length(replace(before, chr(10), '')) > 1) as pb,
+       list(i order by i) filter (regexp_matches(before, '[.!?]\\s')) as tb from tokens group by 1""",
+        "steps": f"""select {key}, 0 as k, cast(0 as bigint) as s, {end.replace("room", str(_SIZE)).replace(" s ", " 0 ")} as e
+from (select *, cast(0 as bigint) as s from listed)
+union all
+select {key}, k + 1, e, {end} from (
+  select l.*, r.k, r.s as old, r.e, r.e as s, {_SIZE - _OVERLAP} + greatest(0, {_OVERLAP} - r.e) as room
+  from steps r join listed l using ({key}) where r.e < l.n)""",
+    }
+
+
+def _chunks_sql(key: str, **ctes: str) -> str:
+    made = {**ctes, **_chunk_ctes(key)}
+    at = "len(list_filter(sb, lambda x: x <= s))"
+    return "with recursive " + ", ".join(f"{name} as ({sql})" for name, sql in made.items()) + f"""
+select {key}, cast(k as int) as chunk_index,
+       regexp_replace(array_to_string(ps[greatest(0, s - {_OVERLAP}) + 1 : e], ''), '\\s+$', '') as content,
+       cast(e - greatest(0, s - {_OVERLAP}) as int) as token_count, heads[{at}] as heading, paths[{at}] as section_path
+from steps join listed using ({key})"""
+
+
 _SPEC_SQL = """
 select p_partkey, 0 as chunk_index, 'api_info' as type, null as path, null as method, null as operation_id, null as summary, null as tags,
        '# ' || p_name || chr(10) || 'Version: 1.0' || chr(10) || chr(10) || '## Servers' || chr(10) || '- https://' || p_brand as content from part
@@ -448,6 +492,16 @@ ORACLES = {
        heading, cast(coalesce(level, 0) as int) as level, content from held""",
         **_SECTION_CTES,
     ),
+    "document_chunks": _chunks_sql(
+        "doc_id", parts="select doc_id, 0 as sec, '' as path, cast(null as varchar) as heading, text as content from documents"
+    ),
+    "page_chunks": _chunks_sql(
+        "page_id",
+        **_SECTION_CTES,
+        parts="""select page_id, sec, concat_ws(' > ', h1, case when depth >= 2 then h2 end, case when depth >= 3 then h3 end,
+                 case when depth >= 4 then h4 end, case when depth >= 5 then h5 end, case when depth >= 6 then h6 end) as path,
+       case depth when 1 then h1 when 2 then h2 when 3 then h3 when 4 then h4 when 5 then h5 when 6 then h6 end as heading, content from held""",
+    ),
     "replace_chunks": with_views(
         "",
         """select source_id, count(*) as chunks, count(*) filter (content = upper(content)) as upper_chunks from (
@@ -463,7 +517,9 @@ select source_id, upper(content) from parts where source_id in (select own_id fr
         "",
         """select d.source_id, d.source_type, d.source_path, count(p.source_id) as chunk_count,
        cast(coalesce(sum(p.token_count), 0) as bigint) as token_total
-from docs d left join (select * from parts where token_count > 20) p on p.source_id = d.source_id group by 1, 2, 3""",
+from (select source_id, source_type, source_path from docs
+      union all select distinct 'new-' || lang, lang, lang from documents) d
+left join parts p on p.source_id = d.source_id group by 1, 2, 3""",
         docs=_DOCS,
         parts=_PARTS,
     ),

@@ -3,12 +3,13 @@
 import datetime as dt
 import hashlib
 import json
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfline.functions.chunking import ChunkRules, Words, pack
+from shelfline.functions.chunking import ChunkRules, Words, chunks, outline
 from shelfline.operators import documents as docs
 from shelfline.operators import retrieval, runs
 
@@ -63,63 +64,90 @@ def test_odd_headings(spark):
     assert [(p, h) for p, h, *_ in got] == [(["Tab"], "Tab"), (["Tab"], None), (["Last"], "Last")]
 
 
-RULES = ChunkRules(size=10, overlap=2, least=3, cap=12)
+RULES = ChunkRules(size=10, overlap=2, least=3)
 
 
 def words(n, start=0):
     return " ".join(f"w{i}" for i in range(start, start + n))
 
 
-def packed(*sections, rules=RULES):
-    return [(p, t) for p, t in pack(sections, rules, Words())]
+def cut(text, rules=RULES):
+    return [(list(path), part) for path, part, _ in chunks(text, rules, Words())]
 
 
 def test_small_sections_share_a_chunk():
-    assert packed((["A"], "# A\n" + words(3) + "\n"), (["A", "B"], "## B\n" + words(2) + "\n")) == [
-        (["A", "B"], f"# A\n{words(3)}\n## B\n{words(2)}")]
+    text = f"# A\n{words(3)}\n## B\n{words(2)}\n"
+    assert cut(text) == [(["A"], text.strip())]
 
 
-def test_overflow_carries_the_last_tokens_over():
-    a, b = words(8) + "\n", words(6, 8) + "\n"
-    assert packed((["A"], a), (["B"], b)) == [(["B"], words(8)), (["B"], f"w6 w7\n{words(6, 8)}")]
+def test_cuts_before_sections_and_repeats_the_overlap():
+    text = f"# A\n{words(4)}\n# B\n{words(6, 4)}"
+    assert cut(text) == [(["A"], f"# A\n{words(4)}"), (["B"], f"w2 w3\n# B\n{words(6, 4)}")]
 
 
-def test_small_rest_is_dropped_unless_alone():
-    assert packed((["A"], words(2))) == [(["A"], words(2))]
-    assert packed((["A"], words(11)), (["B"], words(2))) == [(["A"], words(11))]
-    assert packed((["A"], words(11)), (["B"], words(3))) == [(["A"], words(11)), (["B"], words(3))]
+def test_paragraphs_then_sentences_then_full():
+    none = ChunkRules(size=10, overlap=0, least=3)
+    paragraphs = f"{words(4)}\n\n{words(5, 4)}\n\n{words(4, 9)}"
+    assert [t for _, t in cut(paragraphs, none)] == [f"{words(4)}\n\n{words(5, 4)}", words(4, 9)]
+    sentences = "One two three four five six. Seven eight nine ten eleven! Twelve?"
+    assert [t for _, t in cut(sentences, none)] == ["One two three four five six.", "Seven eight nine ten eleven! Twelve?"]
+    assert [t for _, t in cut(words(25), none)] == [words(10), words(10, 10), words(5, 20)]
 
 
-def test_large_section_breaks_at_paragraphs_then_sentences():
-    text = f"{words(4)}\n\n{words(5, 4)}\n\n{words(4, 9)}\n\nOne two three four five six. Seven eight nine ten eleven! Twelve?"
-    assert [t for _, t in packed(([], text))] == [
-        f"{words(4)}\n\n{words(5, 4)}", words(4, 9), "One two three four five six.", "Seven eight nine ten eleven! Twelve?"]
+@pytest.mark.parametrize("overlap", [0, 4])
+def test_no_token_is_lost(overlap):
+    rng = np.random.default_rng(overlap)
+    rules = ChunkRules(size=20, overlap=overlap, least=5)
+    for _ in range(200):
+        text = "".join(rng.choice(["word ", "end. ", "x\n", "\n\n", "# Head\n", "### Sub\n", "  "], rng.integers(0, 200)))
+        made = list(chunks(text, rules, Words()))
+        new = [t for i, (_, part, _) in enumerate(made) for t in part.split()[(overlap if i else 0):]]
+        assert new == text.split() and all(len(part.split()) == n <= 20 and part in text for _, part, n in made)
 
 
-def test_endless_sentence_is_cut_at_the_cap():
-    assert [t for _, t in packed(([], words(40)))] == [words(12)]
+def test_long_sentences_and_short_rests_stay():
+    assert [t for _, t in cut(words(9000), ChunkRules(overlap=0))][-1].endswith("w8999")
+    text = f"# A\n{words(540)}\n# B\n{words(30)}"
+    assert sum(n for *_, n in chunks(text, ChunkRules(overlap=0), Words())) == 574
+
+
+def test_rules_are_checked():
+    for bad in (dict(size=10, overlap=10), dict(size=10, overlap=2, least=9), dict(overlap=-1)):
+        with pytest.raises(ValueError):
+            ChunkRules(**bad)
 
 
 def test_pack_chunks_job(spark):
     df = spark.createDataFrame([(1, "# T\n" + words(30)), (2, ""), (3, None), (4, "plain text")], "doc int, content string")
-    out = {(r.doc, r.chunk_index): r for r in docs.pack_chunks(df, "doc", rules=ChunkRules(size=10, overlap=2, least=3)).collect()}
-    assert set(out) == {(1, 0), (4, 0)} and out[1, 0].token_count == 32 and out[1, 0].heading == "T"
+    out = {(r.doc, r.chunk_index): r for r in docs.pack_chunks(df, "doc", rules=ChunkRules(size=20, overlap=2, least=3)).collect()}
+    assert set(out) == {(1, 0), (1, 1), (4, 0)} and out[1, 0].token_count == 20 and out[1, 1].heading == "T"
     assert out[4, 0].section_path == [] and out[4, 0].heading is None
     whole = docs.pack_chunks(df, "doc").collect()
     assert {r.doc for r in whole} == {1, 4}
 
 
+def test_sections_are_linear():
+    def seconds(n):
+        text = "".join(f"{'#' * (i % 6 + 1)} h{i}\ntext of it\n" for i in range(n))
+        began = time.perf_counter()
+        assert len(outline(text)) == n
+        return time.perf_counter() - began
+
+    seconds(4000)
+    assert seconds(16_000) < 12 * seconds(4000)
+
+
 def test_change_detection_and_replacement(spark, rows):
     stored = spark.createDataFrame(
         [("md", "a", "s1", hashlib.sha256(b"A").hexdigest()), ("md", "b", "s2", "old")], "source_type string, source_path string, source_id string, content_hash string")
     fresh = spark.createDataFrame([("md", "a", "A"), ("md", "b", "B"), ("md", "c", "C"), ("api", "a", "A")], "source_type string, source_path string, content string")
     assert rows(docs.detect_changes(fresh, stored), "source_type", "source_path", "status") == [
         ("api", "a", "indexed"), ("md", "a", "unchanged"), ("md", "b", "updated"), ("md", "c", "indexed")]
-    chunks = spark.createDataFrame([("s1", 0, "x"), ("s2", 0, "y"), ("s2", 1, "z")], "source_id string, chunk_index int, content string")
+    old = spark.createDataFrame([("s1", 0, "x"), ("s2", 0, "y"), ("s2", 1, "z")], "source_id string, chunk_index int, content string")
     new = spark.createDataFrame([("s2", 0, "n")], "source_id string, chunk_index int, content string")
-    assert rows(docs.replace_chunks(chunks, new, new.select("source_id"))) == [("s1", 0, "x"), ("s2", 0, "n")]
+    assert rows(docs.replace_chunks(old, new, new.select("source_id"))) == [("s1", 0, "x"), ("s2", 0, "n")]
     sources = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "source_id string")
-    counted = docs.source_overview(sources, chunks.withColumn("token_count", F.lit(5)))
+    counted = docs.source_overview(sources, old.withColumn("token_count", F.lit(5)))
     assert rows(counted) == [("s1", 1, 5), ("s2", 2, 10), ("s3", 0, 0)]
 
 
@@ -138,10 +166,10 @@ SPEC = {
 def test_spec_chunks(spark):
     df = spark.createDataFrame([(1, json.dumps(SPEC)), (2, json.dumps({"paths": {"/z": {"get": {}}}})), (3, "no json")], "id int, content string")
     got = {(r.id, r.chunk_index): r for r in docs.spec_chunks(df, "id").collect()}
-    assert set(got) == {(1, 0), (1, 1), (1, 2), (2, 0)}
+    assert set(got) == {(1, 0), (1, 1), (1, 2), (2, 0), (3, 0)} and (got[3, 0].type, got[3, 0].content) == ("text", "no json")
     assert got[1, 0].content == "# Shop\nVersion: 2\n\nAbout\n\n## Servers\n- http://x (main)\n- http://y"
     assert got[1, 1].content == "## GET /a\n**Read**\n\nTags: t1, t2\n\n### Responses\n- **200**: ok"
-    assert got[1, 2].content == "## POST /b/{id}\n\nMake\n\n### Parameters\n- `id` (path) (required): d\n- `n` (query): \n\n### Request Body\nContent-Type: application/json"
+    assert got[1, 2].content == "## POST /b/{id}\n\nMake\n\n### Parameters\n- `id` (path) (required): d\n- `n` (query): \n\n### Request Body\nContent-Type: application/json\n```json\n{\"type\":\"object\"}\n```"
     assert got[1, 2].operation_id == "post_/b/{id}" and got[1, 1].tags == ["t1", "t2"] and got[2, 0].tags == []
 
 
@@ -155,10 +183,11 @@ class Letters(docs.EmbeddingProvider):
         return [[float(len(t)), float(len(t.split()))] for t in texts]
 
 
-def test_embedding_hook_keeps_order_and_cuts(spark):
+def test_embedding_hook_keeps_order_and_pools_long_texts(spark):
     df = spark.createDataFrame([(i, words(i)) for i in range(1, 8)], "n int, content string").coalesce(1)
     got = {r.n: r.embedding for r in docs.embed(df, Letters()).collect()}
-    assert [got[i][1] for i in range(1, 8)] == [1, 2, 3, 3, 3, 3, 3]
+    # parts of 3, 3 and 1 words, averaged by their words
+    assert [got[i][1] for i in (1, 3, 6)] == [1, 3, 3] and got[4][1] == 2.5 and got[7][1] == pytest.approx(19 / 7)
 
 
 # -- retrieval ---------------------------------------------------------------------------------
