@@ -96,7 +96,12 @@ def entries(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
 
 # -- levels of sorted tables ---------------------------------------------------------------
 
-ENTRY = "key long, ctx long, id long, chk int, place int, l short, r short"
+ENTRY = "deal long, key long, ctx long, id long, chk int, place int, l short, r short, kind short, heavy boolean"
+NAMES = [f.split()[0] for f in ENTRY.split(", ")]
+#: Kinds of entries: nothing known, known to be repeated, and (not indexed) another place of such a one.
+OPEN, KNOWN, MORE = 0, 1, 2
+#: One document in so many is looked at to find prefixes that many entries share.
+HEAVY_SAMPLE = 16
 
 
 @contextlib.contextmanager
@@ -113,8 +118,15 @@ def settings(spark: SparkSession, **values: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def suffix_array(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The entries of ``id, chk, text`` rows."""
+def suffix_array(texts: DataFrame, length: int = LENGTH, heavy: np.ndarray | None = None) -> DataFrame:
+    """The entries of ``id, chk, text`` rows; ``deal`` is the value by which they are dealt to buckets.
+
+    Equal entries of one Arrow batch are combined before the shuffle: the first stays in the index as
+    ``KNOWN``, the others only carry their place (``MORE``) and are dealt by it, so a passage that a third of
+    all documents share puts one entry for each batch into its bucket.  Entries of ``heavy`` prefixes are
+    dealt by their whole string.  All others are dealt by their prefix.
+    """
+    heavy = np.zeros(0, np.int64) if heavy is None else heavy
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -126,19 +138,41 @@ def suffix_array(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 text, begin = data.tobytes(), at[row] + place
                 spans = zip((begin - left).tolist(), (begin + right).tolist())
                 ctx = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in spans), np.uint64, len(row))
+                order = np.lexsort((ctx, key))
+                again = np.zeros(len(row) + 1, bool)
+                again[1:-1] = (key[order][1:] == key[order][:-1]) & (ctx[order][1:] == ctx[order][:-1])
+                kind = np.empty(len(row), np.int16)
+                kind[order] = np.where(again[:-1], MORE, np.where(again[1:], KNOWN, OPEN))
                 ids, chk = batch.column("id").to_numpy()[row], batch.column("chk").to_numpy()[row]
-                columns = [key.view(np.int64), ctx.view(np.int64), ids, chk, place.astype(np.int32), left.astype(np.int16), right.astype(np.int16)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "ctx", "id", "chk", "place", "l", "r"])
+                many = np.isin(key.view(np.int64), heavy)
+                deal = np.where(many, key * _LEVEL[-1] + ctx, key)
+                more = kind == MORE
+                deal[more] = (ids[more].view(np.uint64) * _LEVEL[-2] + place[more].astype(np.uint64)) * _LEVEL[-3]
+                key[more], ctx[more] = 0, 0
+                columns = [deal.view(np.int64), key.view(np.int64), ctx.view(np.int64), ids, chk, place.astype(np.int32), left.astype(np.int16), right.astype(np.int16), kind, many]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], NAMES)
 
     return texts.select("id", "chk", "text").mapInArrow(work, ENTRY)
 
 
+def heavy_prefixes(texts: DataFrame, length: int, buckets: int) -> np.ndarray:
+    """Prefixes with more than a quarter of an average bucket's entries, by a sample of the documents.
+
+    At most four times as many as buckets.  It only decides how entries are dealt, not what is found.
+    """
+    some = suffix_array(texts.where(F.pmod(F.xxhash64("chk"), F.lit(HEAVY_SAMPLE)) == 0), length).where(F.col("kind") < MORE)
+    counts = stored(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "suffix-sample")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where((F.col("n") > 2) & (F.col("n") > total / (4.0 * buckets))).select("key").collect()
+    return np.array(sorted(r["key"] for r in found), np.int64)
+
+
 @dataclass
 class SuffixIndex:
     """The family: at most one table for each power of two of batches, but for the last one added.
 
-    ``repeated`` and ``mixed`` collect what the scans find: (key, ctx) of strings that occur again, and
-    keys whose strings differ.
+    ``repeated`` and ``mixed`` collect what the scans find: entries whose strings occur again, and prefixes
+    that go on in different ways.
     """
 
     spark: SparkSession
@@ -149,13 +183,15 @@ class SuffixIndex:
 
     def __post_init__(self) -> None:
         self.buckets = partitions(self.spark)
+        self.heavy: np.ndarray | None = None
 
     def _write(self, rows: DataFrame) -> str:
         """A sorted table below the shared folder, with one bucket for each partition."""
         name = f"suffixes_{uuid.uuid4().hex}"
         path = new_path(self.spark, "suffixes")
-        sorted_rows = rows.sortWithinPartitions("key", "ctx")
-        sorted_rows.write.bucketBy(self.buckets, "key").sortBy("key", "ctx").option("path", path).option("compression", "zstd").saveAsTable(name)
+        order = ("deal", "key", "ctx")
+        sorted_rows = rows.sortWithinPartitions(*order)
+        sorted_rows.write.bucketBy(self.buckets, "deal").sortBy(*order).option("path", path).option("compression", "zstd").saveAsTable(name)
         return name
 
     def _merge(self) -> None:
@@ -164,23 +200,29 @@ class SuffixIndex:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
             self.levels.append((2 * size, self._write(self.spark.table(a).unionByName(self.spark.table(b)))))
 
+    def _local(self):
+        """Buckets dealt by ``deal`` serve for ``deal, key, ctx`` as well: joins need no shuffle."""
+        return settings(self.spark, spark__sql__requireAllClusterKeysForCoPartition="false")
+
     def add(self, texts: DataFrame) -> None:
         """Index a batch of ``id, chk, text`` and scan it against itself and every level."""
         self._merge()
-        rows = suffix_array(texts, self.length).repartition(self.buckets, "key")
+        if self.heavy is None:
+            self.heavy = heavy_prefixes(texts, self.length, self.buckets)
+        rows = suffix_array(texts, self.length, self.heavy).repartition(self.buckets, "deal")
         name = self._write(rows)
-        mine = self.spark.table(name)
-        # the buckets are already dealt by key, which serves for (key, ctx) too
-        with settings(self.spark, **{"spark__sql__requireAllClusterKeysForCoPartition": "false"}):
-            own = mine.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"))
-            ends = mine.groupBy("key").agg(F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
-            again, other = own.where("n > 1").select("key", "ctx"), ends.where("lo < hi").select("key")
+        with self._local():
+            mine = self.spark.table(name).where(F.col("kind") < MORE)
+            own = mine.groupBy("deal", "key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
+            ends = mine.groupBy("deal").agg(F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
+            again = own.where((F.col("n") > 1) | (F.col("kind") == KNOWN)).select("deal", "key", "ctx")
+            other = ends.where("lo < hi").select("deal")
             for _, level in self.levels:
-                old = self.spark.table(level)
-                seen = old.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("m"))
-                borders = old.groupBy("key").agg(F.min("ctx").alias("lo2"), F.max("ctx").alias("hi2"))
-                again = again.unionByName(own.join(seen, ["key", "ctx"]).select("key", "ctx"))
-                other = other.unionByName(ends.join(borders, "key").where("least(lo, lo2) < greatest(hi, hi2)").select("key"))
+                old = self.spark.table(level).where(F.col("kind") < MORE)
+                seen = old.groupBy("deal", "key", "ctx").agg(F.count(F.lit(1)).alias("m"))
+                borders = old.groupBy("deal").agg(F.min("ctx").alias("lo2"), F.max("ctx").alias("hi2"))
+                again = again.unionByName(own.join(seen, ["deal", "key", "ctx"]).select("deal", "key", "ctx"))
+                other = other.unionByName(ends.join(borders, "deal").where("least(lo, lo2) < greatest(hi, hi2)").select("deal"))
             self.repeated.append(stored(again, "suffix-repeated"))
             self.mixed.append(stored(other, "suffix-mixed"))
         self.levels.append((1, name))
@@ -192,16 +234,21 @@ class SuffixIndex:
         known to be repeated and only stands there as a partner.
         """
         spans, open_ = [], []
-        with settings(self.spark, **{"spark__sql__requireAllClusterKeysForCoPartition": "false"}):
+        place = ("id", "chk", "place - l as a", "place + r as b")
+        with self._local():
             again = _union(self.repeated).distinct().withColumn("many", F.lit(True))
-            keys = _union(self.mixed).distinct().withColumn("mix", F.lit(True))
+            mixed = _union(self.mixed).distinct().withColumn("mix", F.lit(True))
             for _, level in self.levels:
-                rows = self.spark.table(level).join(again, ["key", "ctx"], "left")
-                spans.append(rows.where("many").selectExpr("id", "chk", "place - l as a", "place + r as b"))
-                partner = rows.join(keys, "key", "left_semi").groupBy("key", "ctx")
-                open_.append(partner.agg(F.max(F.coalesce("many", F.lit(False))).alias("many"), F.min(F.struct("id", "chk", "place", "l", "r")).alias("e")))
+                table = self.spark.table(level)
+                spans.append(table.where(F.col("kind") == MORE).selectExpr(*place))
+                rows = table.where(F.col("kind") < MORE).join(again, ["deal", "key", "ctx"], "left")
+                spans.append(rows.where("many").selectExpr(*place))
+                partner = rows.join(mixed, "deal", "left").where("mix or heavy").groupBy("deal", "key", "ctx")
+                one = F.min(F.struct("id", "chk", "place", "l", "r")).alias("e")
+                open_.append(partner.agg(F.max(F.coalesce("many", F.lit(False))).alias("many"), F.max("heavy").alias("heavy"), one))
             full = stored(_union(spans), "suffix-spans")
-            rest = stored(_union(open_).groupBy("key", "ctx").agg(F.max("many").alias("many"), F.min("e").alias("e")).select("key", "many", "e.*"), "suffix-open")
+            rest = _union(open_).groupBy("deal", "key", "ctx").agg(F.max("many").alias("many"), F.max("heavy").alias("heavy"), F.min("e").alias("e"))
+            rest = stored(rest.select("key", "many", "heavy", "e.*"), "suffix-open")
         return full, rest
 
 
@@ -296,7 +343,7 @@ def compare_apart(rows: DataFrame, length: int) -> DataFrame:
                 columns = [key[row], x.astype(np.int32), hashes[row, x].view(np.int64), ids[row], chk[row], (place[row] - x).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "x", "h", "id", "chk", "a"])
 
-    strings = stored(rows.mapInArrow(work, "key long, x int, h long, id long, chk int, a int"), "suffix-strings")
+    strings = rows.mapInArrow(work, "key long, x int, h long, id long, chk int, a int")
     twice = strings.groupBy("key", "x", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return strings.join(twice, ["key", "x", "h"], "left_semi").select("id", "chk", "a", (F.col("a") + length).alias("b"))
 
@@ -340,8 +387,8 @@ def repeated_spans(texts: DataFrame, dealt: DataFrame, length: int = LENGTH, bat
     for i in range(batches):
         index.add(texts.where(F.pmod(F.col("chk"), F.lit(batches)) == i))
     full, rest = index.found()
-    count = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = stored(count.where(F.col("n") > TOGETHER).select("key"), "suffix-hot")
+    count = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("heavy").alias("heavy"))
+    hot = stored(count.where((F.col("n") > TOGETHER) | F.col("heavy")).select("key"), "suffix-hot")
     out = full.unionByName(compare(contexts(dealt, rest.join(hot, "key", "left_anti")), length))
     if not hot.isEmpty():
         out = out.unionByName(compare_apart(contexts(dealt, rest.join(hot, "key", "left_semi")), length))
