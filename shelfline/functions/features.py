@@ -142,7 +142,8 @@ def rolling_columns(config: RollingConfig, w) -> dict[str, Column]:
     return out
 
 
-def calendar_columns(config: CalendarConfig, date: str = "date") -> dict[str, Column]:
+def calendar_columns(config: CalendarConfig, date: str = "date", available: Sequence[str] = ()) -> dict[str, Column]:
+    """Columns of the day; ``is_holiday`` where the rows bring the flag of the calendar table (NULL: no holiday)."""
     day = F.col(date)
     out: dict[str, Column] = {}
 
@@ -165,6 +166,8 @@ def calendar_columns(config: CalendarConfig, date: str = "date") -> dict[str, Co
         out["is_weekend"] = (F.weekday(day) >= 5).cast("int")
     if config.include_is_month_end:
         out["is_month_end"] = (day == F.last_day(day)).cast("int")
+    if config.include_is_holiday and "is_holiday" in available:
+        out["is_holiday"] = F.coalesce(F.col("is_holiday"), F.lit(False)).cast("int")
     return out
 
 
@@ -224,7 +227,7 @@ def compute_features(
     if config.rolling_config:
         columns |= rolling_columns(config.rolling_config, w)
     if config.calendar_config:
-        columns |= calendar_columns(config.calendar_config, date)
+        columns |= calendar_columns(config.calendar_config, date, rows.columns)
     if config.exogenous_config:
         columns |= exogenous_columns(config.exogenous_config, rows.columns, w)
     rows = rows.withColumns(columns) if columns else rows

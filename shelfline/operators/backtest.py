@@ -9,7 +9,8 @@ Series are daily (one row per entity and day), so a window partition is bounded
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -207,21 +208,38 @@ def leakage_check(boundaries: DataFrame, cfg: SplitConfig, entity: Sequence[str]
     )
 
 
+def model_names(models: Sequence[ModelConfig] | Mapping[str, ModelConfig]) -> dict[str, ModelConfig]:
+    """Models by the name that tells them apart: the caller's, else the type, with the config hash where a type occurs twice."""
+    if isinstance(models, Mapping):
+        return dict(models)
+    types = Counter(m.model_type for m in models)
+    named = [(m.model_type if types[m.model_type] == 1 else f"{m.model_type}-{m.config_hash()[:8]}", m) for m in models]
+    if len(dict(named)) < len(named):
+        raise ValueError("two models are equal")
+    return dict(named)
+
+
 def backtest(
     series: DataFrame,
-    models: Sequence[ModelConfig],
+    models: Sequence[ModelConfig] | Mapping[str, ModelConfig],
     cfg: SplitConfig,
     entity: Sequence[str],
     target: str = "quantity",
+    baselines: Sequence[str] = (),
 ) -> DataFrame:
-    """Actual and predicted value per series, fold, model and test day.
+    """Actual and predicted value per series, fold, model and test day; ``model`` is the name of ``model_names``.
 
-    A model sees nothing but the last ``tail`` training rows of its fold.  Models that need more
-    rows than the smallest training set has are left out, as a baseline that fails is skipped.
+    A model sees nothing but the last ``tail`` training rows of its fold.  One that needs more rows than
+    the smallest training set has is an error, unless it is among the ``baselines``: those are left out.
     """
-    usable = [m for m in models if m.tail <= cfg.min_train_size]
-    if not usable:
+    named = model_names(models)
+    short = [name for name, m in named.items() if m.tail > cfg.min_train_size]
+    if failing := [name for name in short if name not in baselines]:
+        raise ValueError(f"{', '.join(failing)} cannot be fitted on min_train_size rows")
+    names = [name for name in named if name not in short]
+    if not names:
         raise ValueError("no model can be fitted on min_train_size rows")
+    usable = [named[name] for name in names]
     tail = max(m.tail for m in usable)
     rows = fold_rows(series, cfg, entity, lambda: _folds_around(cfg, tail), target)
     i = F.col("i")
@@ -236,14 +254,11 @@ def backtest(
         "step", (F.col("_t.i") - F.col("test_start_idx")).cast("int")
     )
     columns = {
-        f"_p_{m.model_type}": predict_column(m, F.slice("_tail", F.lit(-m.tail), F.lit(m.tail)), F.col("step"))
-        for m in usable
+        f"_p_{i}": predict_column(m, F.slice("_tail", F.lit(-m.tail), F.lit(m.tail)), F.col("step"))
+        for i, m in enumerate(usable)
     }
     forecasts = F.array(
-        *[
-            F.struct(F.lit(m.model_type).alias("model"), F.col(f"_p_{m.model_type}").alias("value"))
-            for m in usable
-        ]
+        *[F.struct(F.lit(name).alias("model"), F.col(f"_p_{i}").alias("value")) for i, name in enumerate(names)]
     )
     return tests.withColumns(columns).withColumn("_p", F.explode(forecasts)).select(
         *entity,
@@ -293,7 +308,8 @@ def compare_baselines(
 ) -> DataFrame:
     """Main model next to the baselines with the improvement in percent.
 
-    Signed measures are compared by size.  No percentage for a baseline of 0 or NaN.
+    Signed measures are compared by size.  No percentage for a baseline of 0 or NaN; a baseline that was
+    left out has NULLs.
     """
     pick = lambda name: F.max(F.when(F.col("model") == name, F.col("value")))
     wide = aggregated.groupBy(*entity, "metric").agg(

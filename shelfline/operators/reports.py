@@ -157,7 +157,7 @@ def category_trend(
     if grain not in GRAINS:
         raise ValueError(f"grain must be one of {GRAINS}")
     period = F.date_trunc(grain, F.col("date")).cast("date")
-    recent = sales.where(F.col("date") >= as_of - dt.timedelta(weeks=weeks))
+    recent = sales.where(F.col("date").between(as_of - dt.timedelta(weeks=weeks), as_of))
     partial = recent.groupBy(period.alias("period_start"), "product_id").agg(
         F.sum("quantity").alias("units"),
         F.sum("total_amount").alias("revenue"),
@@ -181,7 +181,7 @@ def top_products(
 ) -> DataFrame:
     """The ``n`` products with most revenue; equal revenue shares a rank, sku breaks the cut."""
     partial = (
-        sales.where(F.col("date") >= as_of - dt.timedelta(days=days))
+        sales.where(F.col("date").between(as_of - dt.timedelta(days=days), as_of))
         .groupBy("product_id")
         .agg(F.sum("quantity").cast("long").alias("total_units"), F.sum("total_amount").alias("total_revenue"))
     )
@@ -206,7 +206,7 @@ def year_over_year(sales: DataFrame, store: DataFrame, as_of: dt.date) -> DataFr
     current = F.when(F.col("date") >= this_year, F.col("total_amount"))
     prior = F.when(F.col("date") < this_year, F.col("total_amount"))
     sums = (
-        sales.where(F.col("date") >= last_year)
+        sales.where(F.col("date").between(last_year, as_of))
         .groupBy("store_id")
         .agg(
             F.sum(current).alias("current_year_revenue"),
@@ -232,7 +232,7 @@ def year_over_year(sales: DataFrame, store: DataFrame, as_of: dt.date) -> DataFr
 def weekday_profile(sales: DataFrame, calendar: DataFrame, as_of: dt.date, days: int = 90) -> DataFrame:
     """Mean daily revenue and number of days per weekday."""
     daily = (
-        sales.where(F.col("date") >= as_of - dt.timedelta(days=days))
+        sales.where(F.col("date").between(as_of - dt.timedelta(days=days), as_of))
         .groupBy("date")
         .agg(F.sum("total_amount").alias("daily_revenue"))
     )
@@ -248,7 +248,7 @@ def weekday_profile(sales: DataFrame, calendar: DataFrame, as_of: dt.date, days:
 def holiday_comparison(sales: DataFrame, calendar: DataFrame, as_of: dt.date, days: int = 365) -> DataFrame:
     """Days, revenue, revenue per row and units on holidays and on other days."""
     daily = (
-        sales.where(F.col("date") >= as_of - dt.timedelta(days=days)).groupBy("date").agg(*_measures())
+        sales.where(F.col("date").between(as_of - dt.timedelta(days=days), as_of)).groupBy("date").agg(*_measures())
     )
     return (
         daily.join(calendar.select("date", "is_holiday"), "date")
@@ -266,7 +266,7 @@ def store_quartiles(
 ) -> DataFrame:
     """NTILE over ascending revenue, store id breaking ties, without a single-task window."""
     revenue = (
-        sales.where(F.col("date") >= as_of - dt.timedelta(days=days))
+        sales.where(F.col("date").between(as_of - dt.timedelta(days=days), as_of))
         .groupBy("store_id")
         .agg(F.sum("total_amount").alias("total_revenue"))
     )
@@ -299,14 +299,13 @@ def category_mix(
     sales: DataFrame, store: DataFrame, product: DataFrame, as_of: dt.date, days: int = 30
 ) -> DataFrame:
     """Revenue of each category and its share of the store's revenue."""
-    recent = sales.where(F.col("date") >= as_of - dt.timedelta(days=days)).select(
-        "date", "store_id", "product_id", "total_amount"
-    )
+    recent = sales.where(F.col("date").between(as_of - dt.timedelta(days=days), as_of))
+    partial = recent.groupBy("store_id", "product_id").agg(F.sum("total_amount").alias("revenue"))
     category = product.select(F.col("id").alias("product_id"), "category")
     mix = (
-        salted_join(recent, category, ["product_id"], spread=["date", "store_id"])
+        salted_join(partial, category, ["product_id"], spread=["store_id"])
         .groupBy("store_id", "category")
-        .agg(F.sum("total_amount").alias("category_revenue"))
+        .agg(F.sum("revenue").alias("category_revenue"))
     )
     # one row per category of a store: the window is bounded by the category list
     whole = F.sum("category_revenue").over(Window.partitionBy("store_id"))

@@ -1,9 +1,8 @@
 """Exact cosine retrieval.
 
-Each task scores its Arrow batches against the query matrix and keeps the best ``k`` per query, so
-what leaves a task is at most queries x k rows; the final ranking sees tasks x k rows per query and
-no pair of chunk and query is ever a row.  Queries are held in blocks of bounded size; more queries
-mean more passes over the chunks, not larger tasks.
+Chunks are dealt into parts; each part holds its vectors as one matrix and scores all queries against it,
+a block at a time.  What leaves a part is at most queries x k rows, and no pair of chunk and query is ever
+a row of Spark.
 """
 
 from __future__ import annotations
@@ -16,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfline.operators.scale import spread_small
-
 QUERY_BLOCK = 1024
+#: Scores that a task computes at once.
+PAIRS = 1 << 23
 SNIPPET_CHARS = 200
 
 
@@ -45,80 +44,97 @@ def top_k(
     """The ``k`` chunks nearest to each query with a similarity of at least ``threshold``.
 
     Equal scores are ordered by chunk id.  Rows without a vector, or with one of length zero, are skipped.
-    Filter ``chunks`` beforehand to search a part of the table.
+    Filter ``chunks`` beforehand to search a part of the table.  The chunks are read once and dealt into
+    parts, each of which meets all queries, ``block`` at a time; nothing passes through the driver, and
+    pairs are never rows: a part gives at most ``k`` of them for each query.
     """
-    chunks = spread_small(chunks.where(F.col(vector).isNotNull()).select(chunk_id, vector), chunk_id)
-    wanted = queries.where(F.col(vector).isNotNull()).select(query_id, vector)
-    blocks = max(1, -(-wanted.count() // block))
-    bucket = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    found = None
-    for n in range(blocks):
-        # about ``block`` queries: their matrix is what each task holds
-        rows = wanted.where(bucket == n).collect()
-        if not rows:
-            continue
-        part = _candidates(chunks, rows, k, threshold, chunk_id, query_id, vector, wanted.schema[query_id])
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        found = _candidates(chunks.limit(0), [], k, threshold, chunk_id, query_id, vector, wanted.schema[query_id])
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), chunk_id)
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = {"c": chunks.schema[chunk_id].dataType, "q": queries.schema[query_id].dataType}
+    arrow = {"q": _arrow(kind["q"]), "c": _arrow(kind["c"]), "score": pa.float64()}
+    nothing = {n: F.lit(None).cast(t) for n, t in kind.items()}
+    deal = F.pmod(F.xxhash64(chunk_id), F.lit(parts)).cast("int")
+    values = F.col(vector).cast("array<double>").alias("v")
+    stock = chunks.where(F.col(vector).isNotNull()).select(
+        deal.alias("part"), F.lit(0).alias("role"), nothing["q"].alias("q"), F.col(chunk_id).alias("c"), values
+    )
+    asked = queries.where(F.col(vector).isNotNull()).select(
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("role"),
+        F.col(query_id).alias("q"), nothing["c"].alias("c"), values,
+    )
+    dealt = stock.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            key = batch.column("part").to_numpy() * 2 + batch.column("role").to_numpy()
+            edges = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else []
+            for start, end in zip(edges, [*edges[1:], len(key)]):
+                piece = batch.slice(start, end - start)
+                if key[start] // 2 != part:
+                    part, held = key[start] // 2, []
+                if key[start] % 2 == 0:
+                    held.append(_unit(piece, "c"))
+                elif held:
+                    if len(held) > 1:
+                        held = [(np.concatenate([h[0] for h in held]), _stack([h[1] for h in held]))]
+                    ids, table = held[0]
+                    names, matrix = _unit(piece, "q")
+                    step = max(1, min(block, PAIRS // max(1, len(ids))))
+                    for at in range(0, len(names), step):
+                        yield _found(names[at : at + step], _scores(matrix[at : at + step], table), ids, k, threshold, arrow)
+
+    schema = T.StructType([T.StructField("q", kind["q"]), T.StructField("c", kind["c"]), T.StructField("score", T.DoubleType())])
+    found = dealt.mapInArrow(run, schema)
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     return (
         found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .select(query_id, "rank", chunk_id, F.round("score", 4).alias("relevance_score"))
+        .select(F.col("q").alias(query_id), "rank", F.col("c").alias(chunk_id), F.round("score", 4).alias("relevance_score"))
     )
 
 
-def _candidates(chunks, rows, k, threshold, chunk_id, query_id, vector, query_field) -> DataFrame:
-    """The best ``k`` of each task for the queries in ``rows``."""
-    kept = [(r[query_id], np.asarray(r[vector], dtype=np.float64)) for r in rows]
-    kept = [(q, v / np.linalg.norm(v)) for q, v in kept if np.linalg.norm(v) > 0]
-    names = [q for q, _ in kept]
-    shared = chunks.sparkSession.sparkContext.broadcast(np.array([v for _, v in kept]).T if kept else None)
-    schema = T.StructType([query_field, chunks.schema[chunk_id], T.StructField("score", T.DoubleType())])
-    arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in schema.fields])
+def _unit(rows: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows whose vector has a length."""
+    vectors = rows.column("v")
+    sizes = np.diff(vectors.offsets.to_numpy())
+    if len(set(sizes.tolist())) > 1:
+        raise ValueError("all vectors must have the same number of values")
+    table = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), -1)
+    norms = np.linalg.norm(table, axis=1)
+    some = norms > 0
+    return rows.column(name).to_numpy(zero_copy_only=False)[some], table[some] / norms[some, None]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = shared.value
-        if matrix is None:
-            return
-        best = [(np.empty(0), np.empty(0, dtype=object)) for _ in names]
-        for batch in batches:
-            vectors = batch.column(batch.schema.get_field_index(vector))
-            lengths = np.diff(vectors.offsets.to_numpy())
-            ids = np.array(batch.column(batch.schema.get_field_index(chunk_id)).to_pylist(), dtype=object)
-            if not len(ids):
-                continue
-            if (lengths != matrix.shape[0]).any():
-                raise ValueError(f"chunk vectors must have {matrix.shape[0]} values")
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            table = flat.reshape(len(ids), -1)
-            norms = np.linalg.norm(table, axis=1)
-            some = norms > 0
-            scores = (table[some] / norms[some, None]) @ matrix
-            for q in range(len(names)):
-                best[q] = _best(best[q], scores[:, q], ids[some], k, threshold)
-        found = [(names[q], i, float(s)) for q, (ss, ii) in enumerate(best) for s, i in zip(ss, ii)]
-        columns = list(zip(*found)) if found else [[], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)], schema=arrow
-        )
-
-    return chunks.mapInArrow(run, schema)
-
-
-def _best(held, scores, ids, k, threshold):
-    good = scores >= threshold
-    scores = np.concatenate([held[0], scores[good]])
-    ids = np.concatenate([held[1], ids[good]])
-    if len(scores) > k:
+
+def _stack(tables: list[np.ndarray]) -> np.ndarray:
+    tables = [t for t in tables if len(t)] or tables[:1]
+    if len({t.shape[1] for t in tables}) > 1:
+        raise ValueError("all vectors must have the same number of values")
+    return np.concatenate(tables)
+
+
+def _scores(matrix: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if len(table) and matrix.shape[1] != table.shape[1]:
+        raise ValueError(f"chunk vectors must have {matrix.shape[1]} values")
+    return matrix @ table.T if len(table) else np.zeros((len(matrix), 0))
+
+
+def _found(names, scores: np.ndarray, ids: np.ndarray, k: int, threshold: float, arrow: dict) -> pa.RecordBatch:
+    q, c, s = [], [], []
+    for name, row in zip(names, scores):
+        best, at = _best(row, ids, k, threshold)
+        q += [name] * len(at)
+        c += list(at)
+        s += list(best)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((q, c, s), arrow.values())], list(arrow))
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    good = np.flatnonzero(scores >= threshold)
+    if len(good) > k:
         # all scores that tie with the k-th stay until the ids decide
-        edge = np.partition(scores, -k)[-k]
-        near = scores >= edge
-        scores, ids = scores[near], ids[near]
-        order = sorted(range(len(scores)), key=lambda j: (-scores[j], ids[j]))[:k]
-        scores, ids = scores[order], ids[order]
-    return scores, ids
+        good = good[scores[good] >= np.partition(scores[good], -k)[-k]]
+        good = np.array(sorted(good, key=lambda j: (-scores[j], ids[j]))[:k])
+    return scores[good], ids[good]
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -139,28 +155,7 @@ def citations(hits: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id") ->
     about = chunks.select(chunk_id, "source_type", "source_path", "content")
     return hits.join(about, chunk_id).select(
         "query_id", "rank", chunk_id, "source_type", "source_path",
-        two_digits(F.col("relevance_score")).alias("relevance"), snippet.alias("snippet"),
-    )
-
-
-def two_digits(score: Column) -> Column:
-    """A score of size up to 1 as text with two digits, rounded by its exact binary value (ties to even).
-
-    The score times 2**62 is a whole number for every score that can lie near a half cent; it is
-    multiplied by 100 in two halves of 31 bits, so the remainder is exact as well.
-    """
-    half_bits = 31
-    low_mask = F.lit((1 << half_bits) - 1)
-    units = (F.abs(score) * F.lit(float(1 << 62))).cast("long")
-    low = units.bitwiseAND(low_mask) * 100
-    high = F.shiftright(units, half_bits) * 100 + F.shiftright(low, half_bits)
-    whole = F.shiftright(high, half_bits)
-    rest = F.shiftleft(high.bitwiseAND(low_mask), half_bits) + low.bitwiseAND(low_mask)
-    half = F.lit(1 << 61)
-    cents = whole + ((rest > half) | ((rest == half) & (whole % 2 == 1))).cast("long")
-    return F.concat(
-        F.when(score < 0, "-").otherwise(""),
-        F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"),
+        F.format_string("%.2f", F.floor(F.col("relevance_score") * 100 + 0.5) / 100).alias("relevance"), snippet.alias("snippet"),
     )
 
 

@@ -1,7 +1,6 @@
 """Building blocks that keep a plan whole when keys are hot or tables are large.
 
 * ``fits_broadcast``   - is a side provably small enough for a hash broadcast?
-* ``spread_small``     - all cores for heavy work on a table of few files
 * ``hot_keys``         - the few key values that hold a large share of the rows
 * ``salted_join``      - equi join that spreads hot keys over many tasks
 * ``global_row_number``- exact 1..n numbering without a single-task window
@@ -11,15 +10,21 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import re
+import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1 / 200
+#: A key is hot from this many average shuffle partitions on (but never below ``LEAST_HOT_SHARE`` of few partitions).
+HOT_PARTITIONS = 2
+LEAST_HOT_SHARE = 1 / 20
 DEEP_PAGE_ROWS = 10_000
 
 
@@ -27,18 +32,29 @@ DEEP_PAGE_ROWS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a scratch folder in local tests only."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``).
+
+    It has to be set, but for a session of one machine (``local``, ``local[n]``): that gets a scratch
+    folder of its own, which goes with the process.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="shelfline-")
+        configured = scratch_dir()
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured
 
 
+def scratch_dir() -> str:
+    """A folder of this machine that is removed when the process ends."""
+    path = tempfile.mkdtemp(prefix="shelfline-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh, not yet existing path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -54,36 +70,56 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """True when the optimizer's size estimate is below the session's broadcast threshold."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return limit > 0 and int(str(size)) <= limit
+    """True when the size of ``df`` is below the session's broadcast threshold.
 
+    The optimizer's estimate does not count the rows that an explode makes; where there is one, a side
+    that looks small is counted.
+    """
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if limit <= 0 or int(str(plan.stats().sizeInBytes())) > limit:
+        return False
+    if "Generate" not in plan.toString():
+        return True
+    return df.count() * (df._jdf.schema().defaultSize() + 8) <= limit
 
-def spread_small(df: DataFrame, key: str, below: int = 1 << 30) -> DataFrame:
-    """Spread a small table over all cores before heavy work per row.
 
-    A table of one or two files is one or two tasks.  Below one gigabyte a shuffle is cheap next to
-    the work it spreads; larger tables have enough splits of their own and are left alone.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > below:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+def hot_share(spark: SparkSession) -> float:
+    """The share of the rows from which a key is split: a multiple of an average shuffle partition."""
+    return min(LEAST_HOT_SHARE, HOT_PARTITIONS / int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float | None = None) -> DataFrame:
     """Key values that each hold more than ``share`` of the rows, with their part in ``_part``.
 
     Counting combines on the map side, and at most ``1 / share`` values can qualify, so the
     result is bounded whatever the table size.
     """
+    share = hot_share(df.sparkSession) if share is None else share
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     # summing the counts instead of counting again lets Spark reuse the shuffle of the counts
     total = counts.agg(F.sum("_n")).scalar()
     return counts.withColumn("_part", F.col("_n") / total).where(F.col("_part") > share).drop("_n")
 
 
+_MEASURED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_KEY_TYPES = ("int", "bigint", "smallint", "date", "string")
+
+
+def measured_keys(df: DataFrame) -> dict[str, list]:
+    """Hot values and their part for every key-like column of ``df``, by one pass that later joins share."""
+    share = hot_share(df.sparkSession)
+    if (found := _MEASURED.get(df)) is None or found[0] != share:
+        names = [c for c, kind in df.dtypes if kind in _KEY_TYPES]
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in names])
+        counts = df.select(F.explode(cells).alias("x")).groupBy("x.c", "x.v").agg(F.count(F.lit(1)).alias("n"))
+        total = counts.agg(F.sum("n") / len(names)).scalar()
+        rows = counts.withColumn("part", F.col("n") / total).where(F.col("part") > share).collect()
+        by = {c: [(r["v"], r["part"]) for r in rows if r["c"] == c] for c in names}
+        _MEASURED[df] = found = (share, by)
+    return found[1]
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -92,7 +128,7 @@ def salted_join(
     condition: Column | None = None,
     spread: Sequence[str] | None = None,
     measure: DataFrame | None = None,
-    share: float = HOT_SHARE,
+    share: float | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on the columns ``on`` (plus ``condition``), whatever the skew of ``left``.
 
@@ -101,8 +137,8 @@ def salted_join(
     the rows is cut into a third of the shuffle partitions, by a hash of ``spread``, and only its
     partner rows are repeated once per piece.  Every left row still meets every right row of its
     key exactly once; the piece is a pure function of the row, so a recomputed task gives the same
-    rows.  In a chain of joins ``measure`` names the table the chain started from: its key columns
-    are counted instead of those of ``left``, which would compute the earlier joins for it.
+    rows.  In a chain of joins ``measure`` names the table the chain started from: it is counted
+    once for all joins on single columns, instead of ``left``, which would compute the earlier joins.
 
     Right and left may share only the ``on`` columns.  ``how``: inner, left, left_semi or left_anti.
     """
@@ -121,30 +157,41 @@ def salted_join(
     if fits_broadcast(right):
         return left.join(renamed, match, how).drop(*drop)
 
-    # At most 1/share rows: literals keep both sides on the very same decision.
-    hot = hot_keys(left if measure is None else measure, on, share).collect()
-    if not hot:
+    hot = _hot_rows(left, on, measure, share)
+    if hot is None:
         return left.join(renamed, match, how).drop(*drop)
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted_left = left.withColumn(
-        "_salt", F.pmod(F.xxhash64(*(spread or left.columns)), _pieces(hot, on, "", tasks))
-    )
-    salted_right = renamed.withColumn(
-        "_r_salt", F.explode(F.sequence(F.lit(0).cast("long"), _pieces(hot, on, "_r_", tasks) - 1))
-    )
+    pieces = F.greatest(F.lit(2), F.ceil(F.col("_part") * tasks)).cast("long").alias("_pieces")
+
+    def with_pieces(side: DataFrame, prefix: str) -> DataFrame:
+        """The hot keys are few by arithmetic, and rows of this table: both sides get the very same decision."""
+        keys = hot.select(*[F.col(c).alias(f"_h_{c}") for c in on], pieces)
+        same = F.lit(True)
+        for c in on:
+            same = same & F.col(prefix + c).eqNullSafe(F.col(f"_h_{c}"))
+        return side.join(F.broadcast(keys), same, "left").drop(*[f"_h_{c}" for c in on]).withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
+
+    salted_left = with_pieces(left, "").withColumn(
+        "_salt", F.pmod(F.xxhash64(*(spread or left.columns)), F.col("_pieces"))
+    ).drop("_pieces")
+    salted_right = with_pieces(renamed, "_r_").withColumn(
+        "_r_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1))
+    ).drop("_pieces")
     joined = salted_left.join(salted_right, match & (F.col("_salt") == F.col("_r_salt")), how)
     return joined.drop("_salt", "_r_salt", *drop)
 
 
-def _pieces(hot, on: Sequence[str], prefix: str, tasks: int) -> Column:
-    """Into how many pieces the key of a row is cut: 1 unless it is hot."""
-    pieces = F.lit(1).cast("long")
-    for row in hot:
-        same = F.lit(True)
-        for c in on:
-            same = same & F.col(prefix + c).eqNullSafe(F.lit(row[c]))
-        pieces = F.when(same, F.lit(max(2, math.ceil(row["_part"] * tasks))).cast("long")).otherwise(pieces)
-    return pieces
+def _hot_rows(left: DataFrame, on: Sequence[str], measure: DataFrame | None, share: float | None) -> DataFrame | None:
+    """Hot keys of a join with ``_part`` as a local table of at most ``1 / share`` rows; ``None`` without any."""
+    base, spark = left if measure is None else measure, left.sparkSession
+    if len(on) == 1 and share is None and dict(base.dtypes).get(on[0]) in _KEY_TYPES:
+        found = measured_keys(base if measure is not None else base.select(*on))[on[0]]
+        kind = base.schema[on[0]].dataType.simpleString()
+        rows = spark.createDataFrame(found, "v string, _part double") if found else None
+        return rows and rows.select(F.col("v").cast(kind).alias(on[0]), "_part")
+    hot = hot_keys(base, on, share)
+    rows = hot.collect()
+    return spark.createDataFrame(rows, hot.schema) if rows else None
 
 
 # -- order over the whole table ----------------------------------------------

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 START, END = dt.date(1998, 1, 1), dt.date(1999, 12, 31)
 AS_OF = dt.date(2000, 6, 30)
-SINCE = dt.date(1996, 1, 1)  # a lower bound that leaves room for lags
 
 
 def num(column: str | Column, digits: int = 4) -> Column:

@@ -159,18 +159,22 @@ def embedded(spark, folder):
 # -- retrieval ----------------------------------------------------------------------
 
 
-def _chunks(spark, folder):
-    """Vectors with the document of the same number as text; the label is source type and category."""
-    vectors = read_table(spark, folder, "embeddings").select(
+def _described(spark, folder):
+    """Vectors; the label is source type and category."""
+    return read_table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("chunk_id"),
         "embedding",
         F.concat(F.lit("type"), F.col("label").cast("string")).alias("source_type"),
         F.concat(F.lit('{"category":"c'), (F.col("label") % 3).cast("string"), F.lit('"}')).alias("metadata"),
     )
+
+
+def _chunks(spark, folder):
+    """``_described`` with the document of the same number as text."""
     text = read_table(spark, folder, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_path"), F.col("text").alias("content")
     )
-    return vectors.join(text, "chunk_id", "left")
+    return _described(spark, folder).join(text, "chunk_id", "left")
 
 
 def _queries(spark, folder):
@@ -196,8 +200,13 @@ def nearest_many(spark, folder):
     return retrieval.top_k(_vectors(spark, folder), _queries(spark, folder), k=7, threshold=0.2)
 
 
+def nearest_blocks(spark, folder):
+    """The same with the queries in blocks of three."""
+    return retrieval.top_k(_vectors(spark, folder), _queries(spark, folder), k=7, threshold=0.2, block=3)
+
+
 def nearest_filtered(spark, folder):
-    chunks = _chunks(spark, folder)
+    chunks = _described(spark, folder)
     chunks = filters.member_of(chunks, "source_type", ["type1", "type3", "type4", "type7"])
     chunks = filters.json_equals(chunks, "metadata", "category", "c1")
     return retrieval.top_k(chunks, _queries(spark, folder), k=5, threshold=0.0)
@@ -336,6 +345,7 @@ QUERIES = {
     "embed_documents": embedded,
     "cosine_top_k": nearest,
     "cosine_top_k_many": nearest_many,
+    "cosine_top_k_blocks": nearest_blocks,
     "cosine_top_k_filtered": nearest_filtered,
     "cosine_scan": similarity_scan,
     "citations": citations,
@@ -534,6 +544,7 @@ left join parts p on p.source_id = d.source_id group by 1, 2, 3""",
        length(text) - length(replace(text, chr(10), '')) + 1 as lines from documents""",
     "cosine_top_k": _top_sql(10, 0.1, "query_id = 0"),
     "cosine_top_k_many": _top_sql(7, 0.2),
+    "cosine_top_k_blocks": _top_sql(7, 0.2),
     "cosine_top_k_filtered": _top_sql(5, 0.0, "source_type in ('type1', 'type3', 'type4', 'type7') and category = 1"),
     "cosine_scan": f"""select vec_id, {r("list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0))", 'similarity')}
 from embeddings""",
@@ -541,7 +552,7 @@ from embeddings""",
         5,
         0.2,
         select="""select query_id, cast(rank as int) as rank, vec_id as chunk_id, source_type, source as source_path,
-       printf('%.2f', round(s, 4)) as relevance,
+       printf('%.2f', floor(round(s, 4) * 100 + 0.5) / 100) as relevance,
        case when length(text) > 200 then substring(text, 1, 200) || '...' else text end as snippet
 from hits left join documents on doc_id = vec_id""",
     ),

@@ -17,7 +17,7 @@ from shelfline.functions.config import (
     LagConfig,
     RollingConfig,
 )
-from shelfline.operators.exog import stock_status
+from shelfline.operators.exog import stock_status, with_holidays
 from shelfline.operators.scale import salted_join
 from shelfline.plans.common import END, START, r, rounded
 from shelfline.plans.views import with_views
@@ -27,16 +27,6 @@ BRAND = ("region", "brand")
 CUTOFF = dt.date(2000, 12, 31)
 
 
-def region_daily(spark, folder):
-    star = load_star(spark, folder)
-    # stores first: the facts shrink to one row per store and day before they meet a dimension
-    per_store = star.sales_daily.groupBy("store_id", "date").agg(
-        F.sum("quantity").alias("quantity"), F.sum("total_amount").alias("total_amount")
-    )
-    stores = star.store.select(F.col("id").alias("store_id"), "region")
-    return daily_series(per_store.join(stores, "store_id"), ("region",))
-
-
 def brand_daily(spark, folder):
     star = load_star(spark, folder)
     stores = star.store.select(F.col("id").alias("store_id"), "region")
@@ -60,7 +50,7 @@ def brand_gaps(spark, folder):
 
 def _run(spark, folder, source=brand_daily, **parts):
     config = FeatureSetConfig(entity_columns=BRAND, **parts)
-    return features.compute_features(source(spark, folder), config, CUTOFF)
+    return features.compute_features(source(spark, folder), config)
 
 
 def _base(result, *columns):
@@ -122,10 +112,20 @@ def feature_stockout(spark, folder):
     config = FeatureSetConfig(
         entity_columns=("store_id",), exogenous_config=ExogenousConfig(include_inventory=True)
     )
-    result = features.compute_features(per_day, config, CUTOFF)
+    result = features.compute_features(per_day, config)
     return result.df.select("store_id", "date", *result.feature_columns)
 
 
+def feature_holiday(spark, folder):
+    """Calendar features with the holiday flag of the calendar table."""
+    star = load_star(spark, folder)
+
+    def source(*_):
+        return with_holidays(brand_daily(spark, folder), star.calendar)
+
+    return _base(_run(spark, folder, source, calendar_config=CalendarConfig()))
+
+
 def impute(strategy):
     def run(spark, folder):
         config = ImputationConfig(strategies={"quantity": strategy, "unit_price": strategy})
@@ -147,17 +147,17 @@ FULL = FeatureSetConfig(
 
 
 def feature_set(spark, folder):
-    return _base(features.compute_features(brand_gaps(spark, folder), FULL, CUTOFF), "quantity", "unit_price")
+    return _base(features.compute_features(brand_gaps(spark, folder), FULL), "quantity", "unit_price")
 
 
 def feature_set_blocked(spark, folder):
     """The same features with every series cut into blocks of 100 rows."""
-    result = features.compute_features(brand_gaps(spark, folder), FULL, CUTOFF, block_rows=100)
+    result = features.compute_features(brand_gaps(spark, folder), FULL, block_rows=100)
     return _base(result, "quantity", "unit_price")
 
 
 def feature_null_counts(spark, folder):
-    return features.compute_features(brand_gaps(spark, folder), FULL, CUTOFF).null_counts()
+    return features.compute_features(brand_gaps(spark, folder), FULL).null_counts()
 
 
 def feature_preview(spark, folder):
@@ -182,6 +182,7 @@ QUERIES = {
     "feature_rolling_gaps": feature_rolling_gaps,
     "feature_calendar": feature_calendar,
     "feature_calendar_raw": feature_calendar_raw,
+    "feature_holiday": feature_holiday,
     "feature_price": feature_price,
     "feature_stockout": feature_stockout,
     **{f"impute_{s}": impute(s) for s in ("zero", "ffill", "bfill", "mean", "expanding_mean", "drop")},
@@ -272,7 +273,7 @@ _FULL_SQL = with_views(
     "brand_gaps",
     f"select region, brand, date, {_FULL_PARTS} from filled {_W}",
     filled=f"""select region, brand, date, coalesce(quantity, 0) as quantity,
-       {_IMPUTE['ffill'].format(c='unit_price')} as unit_price from brand_gaps where {_UNTIL}""",
+       {_IMPUTE['ffill'].format(c='unit_price')} as unit_price from brand_gaps""",
 )
 _FULL_COLUMNS = (
     ["lag_1", "lag_7", "lag_14", "lag_28"]
@@ -288,34 +289,39 @@ ORACLES = {
 from brand_daily where {_UNTIL} and date >= date '{CUTOFF - dt.timedelta(days=365)}'""",
     ),
     "feature_lags": with_views(
-        "brand_daily", f"select region, brand, date, {_lags((1, 7, 14, 28))} from brand_daily where {_UNTIL} {_W}"
+        "brand_daily", f"select region, brand, date, {_lags((1, 7, 14, 28))} from brand_daily {_W}"
     ),
     "feature_lags_filled": with_views(
         "brand_daily",
         f"""select region, brand, date, {', '.join(r(f'coalesce(lag(quantity, {k}) over w, 0)', f'lag_{k}') for k in (1, 30))}
-from brand_daily where {_UNTIL} {_W}""",
+from brand_daily {_W}""",
     ),
     "feature_rolling": with_views(
         "brand_daily",
-        f"select region, brand, date, {_rolling((7, 14, 28), AGGREGATIONS, whole=True)} from brand_daily where {_UNTIL}",
+        f"select region, brand, date, {_rolling((7, 14, 28), AGGREGATIONS, whole=True)} from brand_daily",
     ),
     "feature_rolling_gaps": with_views(
-        "brand_gaps", f"select region, brand, date, {_rolling((7,), AGGREGATIONS, 3)} from brand_gaps where {_UNTIL}"
+        "brand_gaps", f"select region, brand, date, {_rolling((7,), AGGREGATIONS, 3)} from brand_gaps"
     ),
     "feature_calendar": with_views(
-        "brand_daily", f"select region, brand, date, {_calendar()} from brand_daily where {_UNTIL}"
+        "brand_daily", f"select region, brand, date, {_calendar()} from brand_daily"
     ),
     "feature_calendar_raw": with_views(
-        "brand_daily", f"select region, brand, date, {_calendar(False)} from brand_daily where {_UNTIL}"
+        "brand_daily", f"select region, brand, date, {_calendar(False)} from brand_daily"
+    ),
+    "feature_holiday": with_views(
+        "brand_daily calendar",
+        f"""select region, brand, date, {_calendar(year=False)}, cast(coalesce(is_holiday, false) as int) as is_holiday
+from brand_daily left join (select date, is_holiday from calendar) c using (date)""",
     ),
     "feature_price": with_views(
-        "brand_daily", f"select region, brand, date, {_PRICE} from brand_daily where {_UNTIL} {_W}"
+        "brand_daily", f"select region, brand, date, {_PRICE} from brand_daily {_W}"
     ),
     "feature_stockout": with_views(
         "inventory_snapshot_daily",
         f"""select store_id, date, lag(is_stockout, 1) over w as stockout_lag_1, cast(lag(on_hand, 1) over w as bigint) as on_hand_lag_1
 from (select store_id, date, bool_or(is_stockout) as is_stockout, sum(on_hand_qty) as on_hand
-      from inventory_snapshot_daily group by 1, 2) t where {_UNTIL} window w as (partition by store_id order by date)""",
+      from inventory_snapshot_daily group by 1, 2) t window w as (partition by store_id order by date)""",
     ),
     **{f"impute_{s}": _impute_sql(s) for s in _IMPUTE},
     "feature_set": _FULL_SQL,
@@ -328,7 +334,7 @@ from (select store_id, date, bool_or(is_stockout) as is_stockout, sum(on_hand_qt
             for c in _FULL_COLUMNS
         ),
         filled=f"""select region, brand, date, coalesce(quantity, 0) as quantity,
-       {_IMPUTE['ffill'].format(c='unit_price')} as unit_price from brand_gaps where {_UNTIL}""",
+       {_IMPUTE['ffill'].format(c='unit_price')} as unit_price from brand_gaps""",
         feats=f"select region, brand, date, {_FULL_PARTS} from filled {_W}",
     ),
     "feature_preview": with_views(

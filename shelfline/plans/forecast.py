@@ -113,6 +113,20 @@ def _folds(spark, folder, cfg=EXPANDING):
     return bt.fold_metrics(bt.backtest(brand_daily(spark, folder), MODELS, cfg, BRAND), BRAND)
 
 
+PAIRED = {
+    "mean_7": fc.ModelConfig(model_type="moving_average", window_size=7),
+    "mean_28": fc.ModelConfig(model_type="moving_average", window_size=28),
+    "season_7": fc.ModelConfig(model_type="seasonal_naive", season_length=7),
+    "season_14": fc.ModelConfig(model_type="seasonal_naive", season_length=14),
+}
+
+
+def paired_folds(spark, folder):
+    """Two windows and two seasons of the same model types, measured side by side."""
+    out = bt.fold_metrics(bt.backtest(brand_daily(spark, folder), PAIRED, EXPANDING, BRAND), BRAND)
+    return rounded(out.select(*BRAND, "model", "fold", "mae", "bias", "n_samples"), "mae", "bias")
+
+
 def metrics(cfg):
     def run(spark, folder):
         out = _folds(spark, folder, cfg).drop("systematic_bias")
@@ -174,6 +188,7 @@ QUERIES = {
     "backtest_expanding": predictions(EXPANDING),
     "backtest_sliding_gap": predictions(SLIDING),
     "backtest_reduced": predictions(CROWDED),
+    "backtest_two_configs": paired_folds,
     "fold_metrics": metrics(EXPANDING),
     "fold_metrics_sliding_gap": metrics(SLIDING),
     "metric_warnings": metric_warnings,
@@ -269,6 +284,27 @@ from preds""",
     )
 
 
+def _paired_sql():
+    cte = {k: v for k, v in _predictions_cte(EXPANDING).items() if k in ("idx", "counted", "stepped", "folds", "tests")}
+    means = [
+        f"""select t.region, t.brand, t.f, '{name}' as model, t.y as a,
+       (select avg(x.y) from idx x where x.region = t.region and x.brand = t.brand and x.i >= te - {w} and x.i < te) as p from tests t"""
+        for name, w in (("mean_7", 7), ("mean_28", 28))
+    ]
+    seasons = [
+        f"""select t.region, t.brand, t.f, '{name}', t.y, x.y from tests t
+join idx x on x.region = t.region and x.brand = t.brand and x.i = te - {w} + step % {w}"""
+        for name, w in (("season_7", 7), ("season_14", 14))
+    ]
+    return with_views(
+        "brand_daily",
+        f"""select region, brand, model, cast(f as int) as fold, {r('avg(abs(a - p))', 'mae')}, {r('avg(a - p)', 'bias')},
+       count(*) as n_samples from pairs group by 1, 2, 3, 4""",
+        **cte,
+        pairs=" union all ".join(means + seasons),
+    )
+
+
 def _metrics_cte(cfg):
     return _predictions_cte(cfg) | {
         "per_fold": """
@@ -362,6 +398,7 @@ from folds group by 1, 2""",
     "backtest_expanding": _predictions_sql(EXPANDING),
     "backtest_sliding_gap": _predictions_sql(SLIDING),
     "backtest_reduced": _predictions_sql(CROWDED),
+    "backtest_two_configs": _paired_sql(),
     "fold_metrics": _metrics_sql(EXPANDING),
     "fold_metrics_sliding_gap": _metrics_sql(SLIDING),
     "metric_warnings": with_views(

@@ -64,8 +64,11 @@ def order_lookup(spark, folder):
     star = load_star(spark, folder)
     stores = filters.member_of(filters.not_null(star.store, "region"), "store_type", ["express", "warehouse"])
     one = filters.lookup(stores, code="S0007")
-    sales = star.sales_daily.withColumnRenamed("store_id", "id")
-    return one.join(sales.select("id", "date", "product_id", "quantity"), "id")
+    # the id goes into the scan of the facts: the sales of one store stay spread over all tasks
+    row = one.first()
+    sales = star.sales_daily.where(F.col("store_id") == F.lit(row["id"] if row else None))
+    sales = sales.select(F.col("store_id").alias("id"), "date", "product_id", "quantity")
+    return sales.join(F.broadcast(one), "id")  # the key is unique, so this is one row
 
 
 def json_event_filter(spark, folder):
@@ -118,7 +121,7 @@ def category_trend(grain):
     def run(spark, folder):
         star = load_star(spark, folder)
         since = AS_OF - dt.timedelta(weeks=12)
-        out = reports.category_trend(star.sales(since), star.product, AS_OF, grain=grain)
+        out = reports.category_trend(star.sales(since, AS_OF), star.product, AS_OF, grain=grain)
         return rounded(rounded(out, "total_revenue"), "avg_price", digits=6)
 
     return run
@@ -126,37 +129,37 @@ def category_trend(grain):
 
 def top_products(spark, folder):
     star = load_star(spark, folder)
-    out = reports.top_products(star.sales(AS_OF - dt.timedelta(days=30)), star.product, AS_OF)
+    out = reports.top_products(star.sales(AS_OF - dt.timedelta(days=30), AS_OF), star.product, AS_OF)
     return rounded(out, "total_revenue")
 
 
 def year_over_year(spark, folder):
     star = load_star(spark, folder)
-    out = reports.year_over_year(star.sales(dt.date(AS_OF.year - 1, 1, 1)), star.store, AS_OF)
+    out = reports.year_over_year(star.sales(dt.date(AS_OF.year - 1, 1, 1), AS_OF), star.store, AS_OF)
     return rounded(out, "current_year_revenue", "prior_year_revenue", "yoy_growth_pct")
 
 
 def weekday_profile(spark, folder):
     star = load_star(spark, folder)
-    out = reports.weekday_profile(star.sales(AS_OF - dt.timedelta(days=90)), star.calendar, AS_OF)
+    out = reports.weekday_profile(star.sales(AS_OF - dt.timedelta(days=90), AS_OF), star.calendar, AS_OF)
     return rounded(out, "avg_daily_revenue")
 
 
 def holiday_comparison(spark, folder):
     star = load_star(spark, folder)
-    out = reports.holiday_comparison(star.sales(AS_OF - dt.timedelta(days=365)), star.calendar, AS_OF)
+    out = reports.holiday_comparison(star.sales(AS_OF - dt.timedelta(days=365), AS_OF), star.calendar, AS_OF)
     return rounded(out, "total_revenue", "avg_revenue_per_record")
 
 
 def store_quartiles(spark, folder):
     star = load_star(spark, folder)
-    out = reports.store_quartiles(star.sales(AS_OF - dt.timedelta(days=30)), star.store, AS_OF)
+    out = reports.store_quartiles(star.sales(AS_OF - dt.timedelta(days=30), AS_OF), star.store, AS_OF)
     return rounded(out, "total_revenue")
 
 
 def category_mix(spark, folder):
     star = load_star(spark, folder)
-    out = reports.category_mix(star.sales(AS_OF - dt.timedelta(days=30)), star.store, star.product, AS_OF)
+    out = reports.category_mix(star.sales(AS_OF - dt.timedelta(days=30), AS_OF), star.store, star.product, AS_OF)
     return rounded(out, "category_revenue", "revenue_share_pct")
 
 
@@ -316,7 +319,7 @@ _DISCOUNT = """case when price is null then null when price = 0 then 0 else
 
 
 def _since(days: int) -> str:
-    return f"date >= date '{AS_OF - dt.timedelta(days=days)}'"
+    return f"date between date '{AS_OF - dt.timedelta(days=days)}' and date '{AS_OF}'"
 
 
 ORACLES = {
@@ -385,7 +388,8 @@ order by revenue desc, sku limit 10) t""",
         f"""select code as store_code, name as store_name, {r('c.revenue', 'current_year_revenue')},
        {r('p.revenue', 'prior_year_revenue')},
        {r('round(cast((c.revenue - p.revenue) * 100 as double) / nullif(cast(p.revenue as double), 0), 2)', 'yoy_growth_pct')}
-from (select store_id, sum(total_amount) as revenue from sales_daily where date >= date '{AS_OF.year}-01-01' group by 1) c
+from (select store_id, sum(total_amount) as revenue from sales_daily
+      where date between date '{AS_OF.year}-01-01' and date '{AS_OF}' group by 1) c
 join (select store_id, sum(total_amount) as revenue from sales_daily
       where date >= date '{AS_OF.year - 1}-01-01' and date < date '{AS_OF.year}-01-01' group by 1) p using (store_id)
 join store on store_id = store.id""",

@@ -56,12 +56,7 @@ from orders""",
 select cast(d as date) as date, isodow(d)-1 as day_of_week, month(d) as month, quarter(d) as quarter, year(d) as year,
        (month(d)*100+day(d)) in (101,704,1225) as is_holiday
 from range(date '1995-01-01', date '2002-01-01', interval 1 day) t(d)""",
-    # sales by region and day, and by region, brand and day
-    "region_daily": """
-select region, date, cast(sum(quantity) as bigint) as quantity,
-       cast(sum(total_amount) as double) / sum(quantity) as unit_price,
-       sum(total_amount) as total_amount
-from sales_daily join store on store_id = store.id group by region, date""",
+    # sales by region, brand and day
     "brand_daily": """
 select region, brand, date, cast(sum(quantity) as bigint) as quantity,
        cast(sum(total_amount) as double) / sum(quantity) as unit_price,
@@ -77,7 +72,6 @@ from brand_daily""",
 }
 NEEDS = {
     "inventory_snapshot_daily": ("sales_daily",),
-    "region_daily": ("sales_daily", "store"),
     "brand_daily": ("sales_daily", "store", "product"),
     "brand_gaps": ("brand_daily",),
 }

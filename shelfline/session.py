@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
+from shelfline.operators.scale import scratch_dir
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -16,12 +20,17 @@ SETTINGS = {
 
 
 def local_session(cores: int | str = 8, app: str = "shelfline", memory: str = "12g") -> SparkSession:
-    """A single-machine session; on a cluster use the session the cluster gives you."""
+    """A single-machine session; on a cluster use the session the cluster gives you.
+
+    Intermediate tables go to the folder that the variable SHELFLINE_SHARED_DIR names, else to a scratch
+    folder that is removed at the end.
+    """
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = (
         builder.config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", os.environ.get("SHELFLINE_SHARED_DIR") or scratch_dir())
         .config("spark.sql.shuffle.partitions", str(cores))
         .getOrCreate()
     )

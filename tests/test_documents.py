@@ -221,13 +221,6 @@ def test_no_queries_no_hits(spark):
     assert retrieval.top_k(chunks, queries).count() == 0
 
 
-def test_two_digits_rounds_like_exact_binary(spark):
-    values = [round(i / 10000, 4) for i in range(0, 10001, 5)]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = [r[0] for r in df.select(retrieval.two_digits(F.col("v"))).collect()]
-    assert got == [f"{v:.2f}" for v in values]
-
-
 def test_citations_and_evidence(spark):
     hits = spark.createDataFrame([("q1", 1, 5, 0.9), ("q1", 2, 6, 0.6), ("q2", 1, 6, 0.4)], "query_id string, rank int, chunk_id int, relevance_score double")
     chunks = spark.createDataFrame([(5, "md", "a", "x" * 201), (6, "md", "b", "y" * 200)], "chunk_id int, source_type string, source_path string, content string")

@@ -174,12 +174,25 @@ def test_no_leakage_into_predictions(spark):
     assert pick(y) == pick(changed)
 
 
-def test_baseline_that_cannot_fit_is_skipped(spark):
+def test_only_baselines_may_be_skipped(spark):
     long = fc.ModelConfig(model_type="seasonal_naive", season_length=50)
-    out = bt.backtest(series(spark, range(120)), (fc.NAIVE, long), bt.SplitConfig(), KEY)
+    with pytest.raises(ValueError, match="seasonal_naive"):
+        bt.backtest(series(spark, range(120)), (fc.NAIVE, long), bt.SplitConfig(), KEY)
+    out = bt.backtest(series(spark, range(120)), (fc.NAIVE, long), bt.SplitConfig(), KEY, baselines=("seasonal_naive",))
     assert {r.model for r in out.select("model").distinct().collect()} == {"naive"}
 
 
+def test_configs_of_one_type_are_told_apart(spark):
+    seven, ten = (fc.ModelConfig(model_type="moving_average", window_size=n) for n in (7, 10))
+    out = bt.backtest(series(spark, range(120)), (seven, ten, fc.NAIVE), bt.SplitConfig(), KEY)
+    names = {f"moving_average-{m.config_hash()[:8]}": m.window_size for m in (seven, ten)}
+    got = {r.model: r.p for r in out.where("fold = 0 and step = 0").select("model", F.col("prediction").alias("p")).collect()}
+    last = got.pop("naive")
+    assert got == {name: last - (n - 1) / 2 for name, n in names.items()}
+    with pytest.raises(ValueError):
+        bt.backtest(series(spark, range(120)), (seven, seven), bt.SplitConfig(), KEY)
+
+
 # -- measures -----------------------------------------------------------------------
 
 
