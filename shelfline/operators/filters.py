@@ -70,7 +70,7 @@ def member_of(df: DataFrame, column: str, values: Any) -> DataFrame:
 
 def json_equals(df: DataFrame, column: str, key: str, value: str) -> DataFrame:
     """Field ``key`` of a JSON text column equals ``value``."""
-    return df.where(F.get_json_object(F.col(column), f"$.{key}") == F.lit(value))
+    return df.where(F.get_json_object(F.col(column), f"$['{key}']") == F.lit(value))
 
 
 def not_null(df: DataFrame, *columns: str) -> DataFrame:

@@ -317,22 +317,24 @@ def category_mix(
     )
 
 
-def promotion_lift(sales: DataFrame, product: DataFrame, promoted: DataFrame, unpromoted: DataFrame) -> DataFrame:
+def promotion_lift(joined: DataFrame, product: DataFrame) -> DataFrame:
     """Units per promotion day against the mean of rows outside promotions.
 
-    ``promoted`` holds sales joined to their promotions (one row per match), ``unpromoted`` the
-    sales without any.
+    ``joined`` holds sales left joined to their promotions (``exog.active_promotions``): one row per match,
+    and one for a sale without any.  Both measures come of one aggregation.
     """
-    promo = (
-        promoted.groupBy("product_id", "promo_name", "start_date", "end_date")
-        .agg(F.sum("quantity").cast("long").alias("promo_units"), F.count_distinct("date").alias("promo_days"))
+    per = joined.groupBy("product_id", "on_promotion", "promo_name", "start_date", "end_date").agg(
+        F.sum("quantity").cast("long").alias("promo_units"),
+        F.count_distinct("date").alias("promo_days"),
+        F.avg("quantity").alias("mean"),
     )
-    base = unpromoted.groupBy("product_id").agg(F.avg("quantity").alias("baseline"))
+    # one row per promotion of a product
+    baseline = F.max(F.when(~F.col("on_promotion"), F.col("mean"))).over(Window.partitionBy("product_id"))
+    promo = per.withColumn("baseline", baseline).where(F.col("on_promotion") & F.col("baseline").isNotNull())
     named = product.select(F.col("id").alias("product_id"), "sku", F.col("name").alias("product_name"))
     daily = F.col("promo_units") / F.col("promo_days")
     return (
-        promo.join(base, "product_id")
-        .join(named, "product_id")
+        promo.join(named, "product_id")
         .select(
             "sku",
             "product_name",

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfline.functions import blocks
@@ -24,7 +26,6 @@ TRANSITIONS = {
 }
 RUN_KEY = ("config_hash", "store_id", "product_id", "data_window_start", "data_window_end")
 # events of one run that one task handles at a time
-EVENT_BLOCK = 100_000
 
 
 def list_runs(
@@ -54,7 +55,7 @@ def config_hash_column(config: Column) -> Column:
     fields = F.transform(
         entries,
         lambda e: F.concat(
-            quoted(e["key"]).substr(F.lit(2), F.length(quoted(e["key"])) - 2), F.lit(": "), e["value"]
+            quoted(e["key"]).substr(F.lit(2), F.length(quoted(e["key"])) - 2), F.lit(": "), F.coalesce(e["value"], F.lit("null"))
         ),
     )
     text = F.concat(F.lit("{"), F.array_join(fields, ", "), F.lit("}"))
@@ -94,16 +95,19 @@ def apply_duplicate_policy(runs: DataFrame, policy: str, key: Sequence[str] = RU
     return marked.withColumn("duplicate_of", F.when(repeats, F.col("first_run_id"))).drop("first_run_id")
 
 
-def transition_audit(events: DataFrame) -> DataFrame:
+def transition_audit(events: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Each status change (run_id, status, at) with the status before it and whether it is allowed.
 
-    The first status of a run has to be pending.  A run with very many events is cut into blocks,
-    so a broken writer that floods one run does not overload a task.
+    The first status of a run has to be pending.  A run has a handful of events, so one window by run
+    does; for a log in which a broken writer floods a run, ``block_rows`` cuts it into blocks.
     """
     entity = ["run_id"]
-    rows = blocks.with_halo(blocks.with_row_index(events, entity, "at"), 1, EVENT_BLOCK)
-    before = F.lag("status").over(blocks.block_window(entity, "at"))
-    rows = blocks.drop_halo(rows.withColumn("from_status", before))
+    if block_rows is None:
+        rows = events.withColumn("from_status", F.lag("status").over(Window.partitionBy(*entity).orderBy("at")))
+    else:
+        rows = blocks.with_halo(blocks.with_row_index(events, entity, "at"), 1, block_rows)
+        before = F.lag("status").over(blocks.block_window(entity, "at"))
+        rows = blocks.drop_halo(rows.withColumn("from_status", before))
     allowed = F.col("from_status").isNull() & (F.col("status") == "pending")
     for start, ends in TRANSITIONS.items():
         if ends:
@@ -160,12 +164,16 @@ def verify_artifacts(spark: SparkSession, runs: DataFrame, folder: str) -> DataF
 
     ``artifact_uri`` is the path below ``folder``.  Files are hashed where they are read.
     """
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    root = re.sub(scheme, "", folder) if re.match(scheme, folder) else os.path.abspath(folder)
+    root = root.rstrip("/") + "/"
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(folder)
-        .select(F.col("path"), F.sha2("content", 256).alias("file_hash"))
-        .withColumn("artifact_uri", F.substring_index("path", folder.rstrip("/") + "/", -1))
+        .select(F.regexp_replace("path", scheme, "").alias("path"), F.sha2("content", 256).alias("file_hash"))
+        .where(F.col("path").startswith(root))
+        .withColumn("artifact_uri", F.expr(f"substring(path, {len(root) + 1})"))
         .drop("path")
     )
     status = (

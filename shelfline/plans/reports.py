@@ -165,12 +165,7 @@ def category_mix(spark, folder):
 
 def promotion_lift(spark, folder):
     star = load_star(spark, folder)
-    out = reports.promotion_lift(
-        star.sales_daily,
-        star.product,
-        exog.active_promotions(star.sales_daily, star.promotion, "inner"),
-        exog.without_promotion(star.sales_daily, star.promotion),
-    )
+    out = reports.promotion_lift(exog.active_promotions(star.sales_daily, star.promotion), star.product)
     return rounded(out, "promo_daily_avg", "baseline_daily_avg", "lift_pct", digits=2)
 
 

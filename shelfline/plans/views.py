@@ -55,7 +55,8 @@ from orders""",
     "calendar": """
 select cast(d as date) as date, isodow(d)-1 as day_of_week, month(d) as month, quarter(d) as quarter, year(d) as year,
        (month(d)*100+day(d)) in (101,704,1225) as is_holiday
-from range(date '1995-01-01', date '2002-01-01', interval 1 day) t(d)""",
+from (select unnest(generate_series(date_trunc('year', min(l_shipdate)), date_trunc('year', max(l_shipdate)) + interval 1 year - interval 1 day,
+             interval 1 day)) as d from lineitem) t""",
     # sales by region, brand and day
     "brand_daily": """
 select region, brand, date, cast(sum(quantity) as bigint) as quantity,

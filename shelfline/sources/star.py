@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfline.operators.scale import salted_join
+
 TABLES = (
     "store",
     "product",
@@ -21,7 +23,7 @@ TABLES = (
     "promotion",
     "inventory_snapshot_daily",
 )
-FIRST_DAY, LAST_DAY = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
+FIRST_DAY = dt.date(1995, 1, 1)  # of the derived prices and promotions
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,12 +81,19 @@ class Star:
             (price * F.lit(0.6)).cast("decimal(10,2)").alias("base_cost"),
         )
 
+    @cached_property
+    def span(self) -> tuple[dt.date, dt.date]:
+        """First and last day of the years in which there are sales."""
+        day = F.col("l_shipdate")
+        first, last = self.raw("lineitem").agg(F.year(F.min(day)), F.year(F.max(day))).first()
+        return (dt.date(first, 1, 1), dt.date(last, 12, 31)) if first else (FIRST_DAY, FIRST_DAY)
+
     @cached_property
     def calendar(self) -> DataFrame:
         day = F.col("date")
         return (
             self.spark.range(1)
-            .select(F.explode(F.sequence(F.lit(FIRST_DAY), F.lit(LAST_DAY))).alias("date"))
+            .select(F.explode(F.sequence(*map(F.lit, self.span))).alias("date"))
             .select(
                 day,
                 F.weekday(day).alias("day_of_week"),
@@ -225,7 +234,7 @@ def load_series(
     wanted = sales.where(F.col("date").between(start, end)).select(*entity_columns, "date", *columns)
     if entities is not None:
         keys = entities.select(*entity_columns).distinct()
-        wanted = wanted.join(keys, list(entity_columns), "left_semi")
+        wanted = salted_join(wanted, keys, list(entity_columns), "left_semi", spread=["date"])
     return wanted
 
 

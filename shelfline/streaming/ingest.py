@@ -1,15 +1,17 @@
 """Streaming ingest of sales batches.
 
-Each micro-batch is validated and written once, to a folder named after its batch id; a batch that
-is repeated after a failure overwrites its own folder, so nothing is counted twice.  Accepted rows
+Each micro-batch is validated and written once, to a folder named after its stream and batch id; a batch
+that is repeated after a failure overwrites its own folder, so nothing is counted twice.  Accepted rows
 form a log and the current table is the last row per grain.  A batch costs its own size, never the
 size of the table; ``compact`` folds the log into a new table version when that pays.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -44,16 +46,20 @@ def start_ingest(
 ) -> StreamingQuery:
     """Validate each micro-batch and append it to ``log``; returns the running query.
 
+    A batch has a folder of its own, by the stream's checkpoint and the batch id: a repeated batch
+    overwrites itself, and a stream with a new checkpoint never touches the batches of another.
     Rows need row_index, date, store_code, sku, quantity, unit_price and total_amount, or are
     brought there by ``prepare``.
     """
 
+    name = _stream_name(store.sparkSession, log, checkpoint)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch) if prepare else batch
         judged = judge(rows, store, product, calendar).withColumn(
             "status", F.when(F.col("error_code").isNull(), "accepted").otherwise("rejected")
         )
-        judged.write.mode("overwrite").partitionBy("status").parquet(f"{log}/batch_id={batch_id}")
+        judged.write.mode("overwrite").partitionBy("status").parquet(f"{log}/stream={name}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
@@ -61,31 +67,62 @@ def start_ingest(
     return writer.start()
 
 
-def accepted_rows(spark: SparkSession, log: str) -> DataFrame:
-    return (
-        spark.read.option("basePath", log)
-        .parquet(log)
-        .where(F.col("status") == "accepted")
-        .select("batch_id", "row_index", *GRAIN, *MEASURES)
-    )
+def _streams(spark: SparkSession, log: str) -> list[str]:
+    try:
+        return sorted(r["stream"] for r in spark.read.option("basePath", log).parquet(log).select("stream").distinct().collect())
+    except AnalysisException:  # nothing there yet
+        return []
+
+
+def _stream_name(spark: SparkSession, log: str, checkpoint: str) -> str:
+    """A name for each checkpoint folder that writes to the log; later ones sort later."""
+    digest = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+    known = _streams(spark, log)
+    return next((n for n in known if n.endswith(digest)), f"{len(known):06d}-{digest}")
+
+
+def _rows(spark: SparkSession, log: str, status: str, after: tuple[str, int] | None) -> DataFrame:
+    rows = spark.read.option("basePath", log).parquet(log).where(F.col("status") == status)
+    rows = rows.withColumn("stream", F.col("stream").cast("string"))
+    if after is not None:
+        # only partition columns: older folders are not read
+        rows = rows.where((F.col("stream") > after[0]) | (F.col("stream") == after[0]) & (F.col("batch_id") > after[1]))
+    return rows
+
+
+def accepted_rows(spark: SparkSession, log: str, after: tuple[str, int] | None = None) -> DataFrame:
+    """Accepted rows; ``after`` (stream, batch id) leaves out what came up to that batch."""
+    return _rows(spark, log, "accepted", after).select("stream", "batch_id", "row_index", *GRAIN, *MEASURES)
 
 
 def rejected_rows(spark: SparkSession, log: str) -> DataFrame:
-    return (
-        spark.read.option("basePath", log)
-        .parquet(log)
-        .where(F.col("status") == "rejected")
-        .select("batch_id", "row_index", "store_code", "sku", "date", "error_code", "error_message")
+    return _rows(spark, log, "rejected", None).select(
+        "batch_id", "row_index", "store_code", "sku", "date", "error_code", "error_message"
     )
 
 
+def _ordered(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_at", F.struct("stream", "batch_id", "row_index"))
+
+
 def current_sales(spark: SparkSession, log: str) -> DataFrame:
-    """The last accepted row per grain: later batches win, then later rows of a batch."""
-    rows = accepted_rows(spark, log).withColumn("_at", F.struct("batch_id", "row_index"))
+    """The last accepted row per grain: later streams and batches win, then later rows of a batch."""
+    rows = _ordered(accepted_rows(spark, log))
     return last_per_key(rows.select(*GRAIN, *MEASURES, "_at"), GRAIN, "_at").drop("_at")
 
 
-def compact(spark: SparkSession, table: DataFrame, log: str, folder: str) -> str:
-    """Merge the log into ``table`` and write the result as a new version; returns its path."""
-    rows = accepted_rows(spark, log).withColumn("_at", F.struct("batch_id", "row_index"))
+def high_water(spark: SparkSession, log: str) -> tuple[str, int] | None:
+    """The last batch of the log as (stream, batch id)."""
+    last = spark.read.option("basePath", log).parquet(log).agg(F.max(F.struct("stream", "batch_id")).alias("m")).first()["m"]
+    return last and (str(last["stream"]), last["batch_id"])
+
+
+def compact(
+    spark: SparkSession, table: DataFrame, log: str, folder: str, after: tuple[str, int] | None = None
+) -> str:
+    """Merge the log into ``table`` and write the result as a new version; returns its path.
+
+    Take ``high_water`` before and pass it as ``after`` the next time: a version then costs its new batches.
+    """
+    rows = _ordered(accepted_rows(spark, log, after)).drop("stream")
     return write_version(upsert(table, rows, GRAIN, MEASURES, "_at"), folder, "sales_daily")

@@ -250,12 +250,12 @@ def test_config_hash_column_equals_the_plain_hash(spark):
     assert runs.config_hash({"b": 1, "a": 2}) == runs.config_hash({"a": 2, "b": 1})
 
 
-def test_transitions(spark, monkeypatch):
-    monkeypatch.setattr(runs, "EVENT_BLOCK", 2)  # blocks of two events
+@pytest.mark.parametrize("block_rows", [None, 2])
+def test_transitions(spark, block_rows):
     events = [("r1", s, at(i)) for i, s in enumerate(["pending", "running", "success", "archived"])]
     events += [("r2", s, at(i)) for i, s in enumerate(["pending", "success", "running", "failed", "running"])]
     events += [("r3", "running", at(0)), ("r4", "pending", at(0)), ("r4", "archived", at(1)), ("r4", "pending", at(2))]
-    out = runs.transition_audit(spark.createDataFrame(events, "run_id string, status string, at timestamp"))
+    out = runs.transition_audit(spark.createDataFrame(events, "run_id string, status string, at timestamp"), block_rows)
     bad = {(r.run_id, r.from_status, r.status) for r in out.where("not allowed").collect()}
     assert bad == {("r2", "pending", "success"), ("r2", "success", "running"), ("r2", "failed", "running"),
                    ("r3", None, "running"), ("r4", "archived", "pending")}
@@ -302,8 +302,15 @@ def test_aliases_point_to_successful_runs(spark, rows):
     assert runs.resolve_aliases(table, log, "none").count() == 0
 
 
+def test_config_hash_column_keeps_nulls(spark):
+    df = spark.createDataFrame([({"a": "1", "b": None},), ({"a": "1"},)], "config map<string,string>")
+    got = [r[0] for r in df.select(runs.config_hash_column(F.col("config"))).collect()]
+    assert got == [runs.config_hash({"a": 1, "b": None}), runs.config_hash({"a": 1})] and got[0] != got[1]
+
+
 def test_artifact_verification(spark, tmp_path, rows):
-    (tmp_path / "m").mkdir()
+    tmp_path = tmp_path / "m %41 x"  # a folder of the same name below itself, and characters of URLs
+    (tmp_path / "m").mkdir(parents=True)
     (tmp_path / "m" / "a.bin").write_bytes(b"model a")
     (tmp_path / "m" / "b.bin").write_bytes(b"changed")
     good = hashlib.sha256(b"model a").hexdigest()

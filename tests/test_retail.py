@@ -236,9 +236,17 @@ def test_stream_batches_and_restart(spark, store, product, calendar, tmp_path, r
     run()  # nothing new
     assert rows(ingest.current_sales(spark, log), "store_id", "quantity") == [(1, 7), (2, 3)]
     assert rows(ingest.rejected_rows(spark, log), "batch_id", "row_index", "error_code") == [(0, 2, "UNKNOWN_STORE")]
+    mark = ingest.high_water(spark, log)
+    assert ingest.accepted_rows(spark, log, mark).count() == 0
+    # a stream that starts anew keeps the batches of the old one and wins over them
+    drop("c.json", line(0, "2024-01-06", "S002", 5))
+    stream = ingest.read_files(spark, str(source), schema, files_per_batch=1, glob="c.json")
+    ingest.start_ingest(stream, store, product, calendar, log, str(tmp_path / "anew")).awaitTermination()
+    assert rows(ingest.current_sales(spark, log), "store_id", "quantity") == [(1, 7), (2, 5)]
+    assert [r.quantity for r in ingest.accepted_rows(spark, log, mark).collect()] == [5]
     table = spark.createDataFrame([sale(D(2024, 1, 5), 1, 101, 50, 1), sale(D(2024, 1, 9), 1, 101, 4, 1)], SALES)
     path = ingest.compact(spark, table, log, str(tmp_path / "tables"))
-    assert rows(spark.read.parquet(path), "date", "quantity") == [(D(2024, 1, 5), 7), (D(2024, 1, 6), 3), (D(2024, 1, 9), 4)]
+    assert rows(spark.read.parquet(path), "date", "quantity") == [(D(2024, 1, 5), 7), (D(2024, 1, 6), 5), (D(2024, 1, 9), 4)]
 
 
 # -- quality, calendar, demand ----------------------------------------------------------------
@@ -314,3 +322,25 @@ def test_gaps(spark):
     days = [1, 2, 5, 6, 10]
     df = spark.createDataFrame([(1, D(2024, 1, d)) for d in days], "store_id int, date date")
     assert [(r.gap_start.day, r.gap_days) for r in demand.gaps(df, ["store_id"]).orderBy("gap_start").collect()] == [(3, 2), (7, 3)]
+
+
+def test_windows_end_at_as_of(spark):
+    """Sales after the day of the report change nothing."""
+    day, rows = D(2024, 3, 1), [sale(D(2024, 2, 28), 1, 101, 5, 2), sale(D(2024, 3, 1), 1, 101, 3, 2), sale(D(2023, 3, 1), 1, 101, 1, 2)]
+    before = spark.createDataFrame(rows, SALES)
+    after = spark.createDataFrame(rows + [sale(D(2024, 3, 2), 1, 101, 1000, 9), sale(D(2025, 1, 1), 1, 101, 1000, 9)], SALES)
+    product = spark.createDataFrame([(101, "SKU-101", "n", "c")], "id int, sku string, name string, category string")
+    store = spark.createDataFrame([(1, "S001", "one", "r")], "id int, code string, name string, region string")
+    days = before.select("date").union(after.select("date")).distinct()
+    calendar = days.withColumn("day_of_week", F.weekday("date")).withColumn("is_holiday", F.lit(False))
+    for report in (
+        lambda s: reports.category_trend(s, product, day),
+        lambda s: reports.top_products(s, product, day),
+        lambda s: reports.year_over_year(s, store, day),
+        lambda s: reports.weekday_profile(s, calendar, day),
+        lambda s: reports.holiday_comparison(s, calendar, day),
+        lambda s: reports.store_quartiles(s, store, day),
+        lambda s: reports.category_mix(s, store, product, day),
+    ):
+        got = [[r.asDict() for r in report(s).collect()] for s in (before, after)]
+        assert got[0] and sorted(map(str, got[0])) == sorted(map(str, got[1]))

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelfline.operators import exog
+from shelfline.operators import exog, scale
 from shelfline.operators.scale import (
     fits_broadcast,
     global_row_number,
@@ -154,3 +154,30 @@ def test_shared_dir_comes_from_the_session():
 def test_no_machine_local_folder_on_a_cluster():
     with pytest.raises(RuntimeError):
         shared_dir(_Session("yarn", None))
+
+
+def test_hot_keys_are_measured_once_for_all_joins(spark, no_broadcast, skewed, monkeypatch):
+    runs = []
+    once = scale.measured_keys
+    monkeypatch.setattr(scale, "measured_keys", lambda df: runs.append(df) or once(df))
+    cached = len(scale._MEASURED)
+    other = skewed.select("key").distinct().withColumn("x", F.lit(1))
+    joined = salted_join(skewed, other, ["key"], "left", measure=skewed)
+    salted_join(joined, other.withColumnRenamed("x", "y"), ["key"], "left", measure=skewed)
+    assert len(runs) == 2 and all(r is skewed for r in runs) and len(scale._MEASURED) == cached + 1
+
+
+def test_limit_follows_the_partitions(spark, no_broadcast):
+    """A key between 1 / partitions and 1 / 200 of the rows is split where partitions are many."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        rows = spark.range(10_000).select(F.when(F.col("id") < 40, F.lit(-1)).otherwise(F.col("id")).alias("key"))
+        assert [r.key for r in hot_keys(rows, ["key"]).collect()] == [-1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_exploded_sides_are_counted(spark):
+    small = spark.range(100).select(F.explode(F.sequence(F.lit(0), F.lit(200_000))).alias("key"))
+    assert not fits_broadcast(small)
