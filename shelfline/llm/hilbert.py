@@ -27,6 +27,8 @@ DIMENSIONS, BITS = 8, 6
 WINDOW, LEAST_WINDOW = 0.11, 512
 #: Rows of an ordering that one task compares at once.
 BLOCK = 4096
+#: Finds that a task holds before it merges and passes them on.
+HELD = 1 << 20
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -127,17 +129,23 @@ def windows(reps: DataFrame, ranked: DataFrame, window: int, count: int) -> Data
     asked = F.transform(F.sequence(block(-window), block(window)), lambda b: F.struct(b.alias("block"), F.lit(1).alias("role")))
     rows = rows.withColumn("p", F.explode(F.when(F.col("asks"), F.concat(places, asked)).otherwise(places)))
     rows = rows.select("curve", F.col("p.block").alias("block"), F.col("p.role").alias("role"), "node", "least", "rank", "vector")
-    return rows.repartition("curve", "block").sortWithinPartitions("curve", "block", "role")
+    # blocks in a row go to one task as a rule, where the finds of a query's window are merged
+    return rows.repartitionByRange("curve", "block").sortWithinPartitions("curve", "block", "role")
 
 
 def merged(dealt: DataFrame, size: int, window: int, k: int) -> DataFrame:
     """``query, node, least, score``: the best ``k`` of each query in each block, then over all blocks and curves."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, curve = [], None
         for columns in sorted_groups(_flat(batches), 2):
             starts = np.append(group_starts(columns[:2]), len(columns[0]))
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                yield from _best([c[s:e] for c in columns], size, window, k)
+                if curve != columns[0][s] or sum(len(h[0]) for h in held) > HELD:
+                    yield from _batches(_top(held, k))
+                    held, curve = [], columns[0][s]
+                held += _best([c[s:e] for c in columns], size, window, k)
+        yield from _batches(_top(held, k))
 
     found = dealt.mapInArrow(work, "query long, node long, least long, score double")
     found = found.groupBy("query", "node", "least").agg(F.max("score").alias("score"))
@@ -154,7 +162,8 @@ def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed(matrix(vector, width))], batch.schema.names)
 
 
-def _best(columns: list[np.ndarray], size: int, window: int, k: int) -> Iterator[pa.RecordBatch]:
+def _best(columns: list[np.ndarray], size: int, window: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Query, node, least id and score of the best of a block, for some hundred queries at a time."""
     _, _, role, node, least, rank, vector = columns
     n = int((role == 0).sum())
     if not n or n == len(role):
@@ -166,16 +175,26 @@ def _best(columns: list[np.ndarray], size: int, window: int, k: int) -> Iterator
         score = rows[at:to] @ rows[:n].T
         score[np.abs(rank[at:to, None] - rank[:n]) > window] = -np.inf
         best = np.argpartition(-score, take - 1, axis=1)[:, :take]
-        ok = np.isfinite(np.take_along_axis(score, best, 1))
-        q, i = np.nonzero(ok)
+        q, i = np.nonzero(np.isfinite(np.take_along_axis(score, best, 1)))
         c = best[q, i]
         exact = np.einsum("ij,ij->i", rows[at + q], rows[c])
-        order = np.lexsort((node[c], least[c], -exact, q))
-        q, c, exact = q[order], c[order], exact[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        keep = place < k
-        q, c, exact = q[keep], c[keep], exact[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(node[at + q]), pa.array(node[c]), pa.array(least[c]), pa.array(exact)], ["query", "node", "least", "score"])
+        yield from _top([(node[at + q], node[c], least[c], exact)], k)
+
+
+def _top(found: list[tuple[np.ndarray, ...]], k: int) -> list[tuple[np.ndarray, ...]]:
+    """The best ``k`` of each query; on one curve, no block holds a candidate of another."""
+    if not found:
+        return []
+    query, node, least, score = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((node, least, -score, query))
+    query, node, least, score = query[order], node[order], least[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return [(query[keep], node[keep], least[keep], score[keep])]
+
+
+def _batches(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    for columns in found:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "node", "least", "score"])
 
 
 def search(embeddings: DataFrame, every: int = 20, k: int = K, curves: int = CURVES, window: float = WINDOW) -> DataFrame:
