@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -52,6 +53,48 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def hash_sample(df: DataFrame, keys: Sequence[str], rows: int, count: int | None = None) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest hashes of ``keys``.
+
+    Rows that are clearly beyond are left out before the sort, so the one task that ends it gets little
+    more than ``rows``, whatever the size of the table.
+    """
+    count = df.count() if count is None else count
+    key = F.xxhash64(F.lit("sample"), *keys)
+    if count > rows:
+        share = min(1.0, (rows + 10 * rows**0.5 + 100) / count)
+        df = df.where(F.pmod(key, F.lit(1 << 40)) < int(share * (1 << 40)))
+    return df.orderBy(F.pmod(key, F.lit(1 << 40)), *keys).limit(rows)
+
+
+def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
+    """The exact k-th largest value: histograms of narrowing ranges, of which only bin counts are collected.
+
+    With fewer than ``k`` values the least one; infinity without any.
+    """
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    if low is None or k <= 0:
+        return math.inf
+    above = 0  # values beyond the range
+    while low < high:
+        width = (high - low) / bins
+        if width <= 0 or not math.isfinite(width):
+            break
+        at = F.least(F.lit(bins - 1), F.floor((F.col(column) - low) / width).cast("int"))
+        found = df.where(F.col(column).between(low, high)).groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
+        before = (low, high)
+        for b in sorted(found.collect(), key=lambda r: -r["b"]):
+            if above + b["n"] >= k:
+                low, high = b["lo"], b["hi"]
+                break
+            above += b["n"]
+        else:
+            return float(low)
+        if (low, high) == before:
+            break
+    return float(low)
+
+
 def running_sum(df: DataFrame, group: str, hex_key: str, ties: Sequence[str], value: str, per_group: DataFrame | None = None) -> DataFrame:
     """Add ``before``: the sum of ``value`` over the rows of the same ``group`` that stand earlier.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import stored
+from shelfline.llm.common import hash_sample, stored
 from shelfline.llm.graph import components, group_starts, sorted_groups
 from shelfline.llm.vectors import matrix, packed, prepared, unit, unpacked
 from shelfline.operators.scale import salted_join
@@ -96,7 +96,7 @@ def fit(reps: DataFrame, size: int, count: int) -> Quantiser:
     """Fitted on a bounded sample, picked by hash."""
     lists = list_count(count)
     rows = min(SAMPLE, max(PER_LIST * lists, CODES * PER_LIST))
-    sample = reps.orderBy("h1", "h2").select("vector").limit(rows).toArrow()
+    sample = hash_sample(reps, ["h1", "h2"], rows, count).select("vector").toArrow()
     return Quantiser(unit(matrix(sample.column("vector"), size)), min(lists, sample.num_rows))
 
 

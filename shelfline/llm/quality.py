@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import bytes_of, cut, free_names, stored, text_of, uniform
+from shelfline.llm.common import bytes_of, cut, free_names, hash_sample, kth_largest, stored, text_of, uniform
 
 BUCKETS = 1 << 14
 #: Labelled documents that are used at most, half for the target model and half for the cut.
@@ -87,8 +87,7 @@ def labelled_sample(labels: DataFrame, rows: int = LABELLED) -> DataFrame:
     """``id, good, fit``: at most ``rows`` documents whose labels agree, picked by a hash of the id."""
     labels = labels.select(labels["doc_id"].alias("id"), labels["quality"].cast("int").alias("q")).where("id is not null and q is not null")
     agreed = labels.groupBy("id").agg(F.min("q").alias("q"), F.max("q").alias("_most")).where("q = _most")
-    key = F.xxhash64("id")
-    picked = agreed.orderBy(key, "id").limit(rows)
+    picked = hash_sample(agreed, ["id"], rows)
     return picked.select("id", (F.col("q") > 0).alias("good"), (F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)) == 0).alias("fit"))
 
 
@@ -158,31 +157,6 @@ def best_cut(keys: np.ndarray, good: np.ndarray) -> float:
     return float((low + high) / 2) if math.isfinite(low) and math.isfinite(high) else float(high if at == 0 else low)
 
 
-def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096) -> float:
-    """The exact k-th largest value: histograms of narrowing ranges, of which only bin counts are collected."""
-    low, high = keys.agg(F.min(column), F.max(column)).first()
-    if low is None or k <= 0:
-        return math.inf
-    above = 0  # values beyond the range
-    while low < high:
-        width = (high - low) / bins
-        if width <= 0 or not math.isfinite(width):
-            break
-        at = F.least(F.lit(bins - 1), F.floor((F.col(column) - low) / width).cast("int"))
-        found = keys.where(F.col(column).between(low, high)).groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
-        before = (low, high)
-        for b in sorted(found.collect(), key=lambda r: -r["b"]):
-            if above + b["n"] >= k:
-                low, high = b["lo"], b["hi"]
-                break
-            above += b["n"]
-        else:
-            return float(low)  # fewer than k values: all are in
-        if (low, high) == before:
-            break
-    return float(low)
-
-
 def fit(documents: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0, rows: int = LABELLED) -> Model:
     """Count the models and find the cut."""
     sample = labelled_sample(labels, rows)

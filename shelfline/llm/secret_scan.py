@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import cut, stored, text_of
+from shelfline.llm.common import cut, hash_sample, kth_largest, stored, text_of
 
 LEAST = 16
 LEAST_ASSIGNED = 8
@@ -125,10 +125,13 @@ def clear_label(features: list[float]) -> int | None:
 
 
 def dictionary(documents: DataFrame, size: int = DICTIONARY) -> frozenset[str]:
-    """The words that occur most often, counted over all texts; ties by the word."""
+    """The words that occur most often, counted over all texts: at most ``size``, those above the first one left out."""
     words = F.explode(F.split(F.lower(text_of(documents)), "[^a-z]+"))
     counted = documents.select(words.alias("w")).where(F.length("w").between(3, 24)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return frozenset(r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(size).collect())  # bounded
+    # a word that occurs once in a large corpus is none of them, and most are like that
+    counted = stored(counted.where("n > 1"), "secret-words")
+    least = kth_largest(counted, "n", size + 1)
+    return frozenset(r["w"] for r in counted.where(F.col("n") > least).select("w").collect())
 
 
 def findings(documents: DataFrame, path: str = "source", words: frozenset[str] | None = None) -> DataFrame:
@@ -159,8 +162,7 @@ def train(labelled: DataFrame, rows: int = LABELLED, seed: int = 7):
     ``None`` if not both labels occur.
     """
     known = labelled.where("label is not null").select("features", F.col("label").cast("double").alias("label"))
-    key = F.xxhash64("features", "label")
-    sample = known.where("label = 1").orderBy(key).limit(rows // 2).unionByName(known.where("label = 0").orderBy(key).limit(rows // 2))
+    sample = hash_sample(known.where("label = 1"), ["features"], rows // 2).unionByName(hash_sample(known.where("label = 0"), ["features"], rows // 2))
     # one task's worth of rows by the limit; written, as the forest reads it once for each level of depth
     sample = stored(sample.select(array_to_vector("features").alias("x"), "label"), "secret-sample")
     if sample.select("label").distinct().count() < 2:
