@@ -36,6 +36,8 @@ BATCHES = 4
 #: Contexts of one prefix that are compared in one task; beyond, their strings are dealt out by hash.
 TOGETHER = 4096
 BATCH = 4 << 20
+#: Strings that are hashed at once start in so many bytes; places within have that many bits.
+SLICE, PLACE_BITS = 1 << 23, 24
 
 _RANDOM = np.random.default_rng(20240602)
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -73,25 +75,37 @@ def entries(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     """``row, place, left, right, key`` of the indexed suffixes of the rows of ``data``.
 
     The strings that start in ``[place - left, place + right - length]`` are those the entry stands for.
+    A very long text is taken in slices by where the strings start.
     """
+    parts = []
+    for begin in range(0, max(1, len(data)), SLICE):
+        end = min(len(data), begin + SLICE + length - 1)
+        edges = np.clip(at, begin, end)
+        row, place, left, right, key = _slice_entries(data[begin:end], edges - begin, length, gram)
+        parts.append((row, place + begin - at[row], left, right, key))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def _slice_entries(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The same for at most ``SLICE`` starts; ``place`` counts from the start of ``data``."""
     none = np.zeros(0, np.int64)
     size = np.diff(at)
     if not len(size) or size.max() < length:
         return none, none, none, none, none.view(np.uint64)
     hashes = gram_hashes(data, gram)
-    bits = max(1, int(len(hashes)).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    # smallest hash, then leftmost: both depend on the string alone
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    # smallest 40 bits of the hash, then leftmost: both depend on the string alone
     least = sliding_min((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
-    row = np.repeat(np.arange(len(size)), np.maximum(size - length + 1, 0))
-    start = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(size - length + 1, 0)) - np.maximum(size - length + 1, 0), np.maximum(size - length + 1, 0))
+    count = np.maximum(size - length + 1, 0)  # strings by row
+    row = np.repeat(np.arange(len(size)), count)
+    start = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     place = (least[start] & low).astype(np.int64)
     new = np.ones(len(row), bool)
     new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(row)) - 1
-    p, r = place[first], row[first]
-    return r, p - at[r], p - start[first], start[last] + length - p, hashes[p]
+    p = place[first]
+    return row[first], p, p - start[first], start[last] + length - p, hashes[p]
 
 
 # -- levels of sorted tables ---------------------------------------------------------------
@@ -199,6 +213,13 @@ class SuffixIndex:
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
             self.levels.append((2 * size, self._write(self.spark.table(a).unionByName(self.spark.table(b)))))
+            for name in (a, b):
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def close(self) -> None:
+        """Forget the tables of the levels; their files stay in the shared folder."""
+        for _, name in self.levels:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def _local(self):
         """Buckets dealt by ``deal`` serve for ``deal, key, ctx`` as well: joins need no shuffle."""
@@ -387,6 +408,7 @@ def repeated_spans(texts: DataFrame, dealt: DataFrame, length: int = LENGTH, bat
     for i in range(batches):
         index.add(texts.where(F.pmod(F.col("chk"), F.lit(batches)) == i))
     full, rest = index.found()
+    index.close()
     count = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("heavy").alias("heavy"))
     hot = stored(count.where((F.col("n") > TOGETHER) | F.col("heavy")).select("key"), "suffix-hot")
     out = full.unionByName(compare(contexts(dealt, rest.join(hot, "key", "left_anti")), length))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from shelfline.llm import licences, mixing, packing, pii, plans, quality, secret_scan, simhash, suffixes
+from shelfline.llm import common, licences, mixing, packing, pii, plans, quality, secret_scan, simhash, suffixes
 from tests.oracle_check import compare, connect
 
 WORD = "[^\x20\x09-\x0d]+"
@@ -66,6 +66,20 @@ def test_repeats_in_messy_rows(messy, no_documents):
     assert suffixes.remove_repeats(no_documents).count() == 0
 
 
+def test_slices_find_the_same_repeats(documents, monkeypatch):
+    rng = np.random.default_rng(7)
+    texts_ = ["".join(rng.choice(list("abc "), n)) for n in (900, 700, 50)]
+    rows = [(1, texts_[0] + texts_[1], "s"), (2, texts_[1] + texts_[2] + texts_[0], "s"), (3, texts_[2], "s")]
+    for size in (64, 200, 1 << 23):
+        monkeypatch.setattr(suffixes, "SLICE", size)
+        data = np.frombuffer("".join(t for _, t, _ in rows).encode(), np.uint8)
+        at = np.cumsum([0] + [len(t) for _, t, _ in rows])
+        row, place, left, right, _ = suffixes.entries(data, at, 80)
+        strings = sum(right + left - 80 + 1)
+        assert strings == sum(max(0, len(t) - 79) for _, t, _ in rows) and (place - left >= 0).all()
+        assert (place + right <= np.diff(at)[row]).all()
+
+
 def test_levels_merge_geometrically(spark, documents):
     index = suffixes.SuffixIndex(spark)
     for i in range(7):
@@ -386,7 +400,7 @@ def test_kth_largest(spark):
     values = [1.5, 1.5, -3.0, 1e300, 0.0, 2.0, 2.0, 2.0, -1e300] + [i / 7 for i in range(500)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for k in (1, 2, 5, 250, len(values)):
-        assert quality.kth_largest(df, "v", k, bins=16) == sorted(values)[-k]
+        assert common.kth_largest(df, "v", k, bins=16) == sorted(values)[-k]
 
 
 # -- secrets -------------------------------------------------------------------------------
@@ -414,3 +428,10 @@ def test_candidates_are_whole_runs():
     assert secret_scan.candidates(f"x {long} y") == [(2, 10_002)]
     assert secret_scan.candidates('password: "hunterhunter"') == [(11, 23)]
     assert secret_scan.candidates("nothing in plain words, 12 of them") == []
+
+
+def test_hash_sample_is_bounded_and_repeats(spark):
+    df = spark.range(20_000)
+    some = {r.id for r in common.hash_sample(df, ["id"], 500).collect()}
+    assert len(some) == 500 and some == {r.id for r in common.hash_sample(df.repartition(7), ["id"], 500).collect()}
+    assert common.hash_sample(df.limit(30), ["id"], 500).count() == 30
