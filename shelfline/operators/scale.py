@@ -129,6 +129,7 @@ def salted_join(
     spread: Sequence[str] | None = None,
     measure: DataFrame | None = None,
     share: float | None = None,
+    skew: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on the columns ``on`` (plus ``condition``), whatever the skew of ``left``.
 
@@ -139,6 +140,7 @@ def salted_join(
     key exactly once; the piece is a pure function of the row, so a recomputed task gives the same
     rows.  In a chain of joins ``measure`` names the table the chain started from: it is counted
     once for all joins on single columns, instead of ``left``, which would compute the earlier joins.
+    ``skew`` names those of the columns ``on`` by which hotness is judged (all of them by default).
 
     Right and left may share only the ``on`` columns.  ``how``: inner, left, left_semi or left_anti.
     """
@@ -157,7 +159,8 @@ def salted_join(
     if fits_broadcast(right):
         return left.join(renamed, match, how).drop(*drop)
 
-    hot = _hot_rows(left, on, measure, share)
+    by = list(skew or on)
+    hot = _hot_rows(left, by, measure, share)
     if hot is None:
         return left.join(renamed, match, how).drop(*drop)
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -165,11 +168,11 @@ def salted_join(
 
     def with_pieces(side: DataFrame, prefix: str) -> DataFrame:
         """The hot keys are few by arithmetic, and rows of this table: both sides get the very same decision."""
-        keys = hot.select(*[F.col(c).alias(f"_h_{c}") for c in on], pieces)
+        keys = hot.select(*[F.col(c).alias(f"_h_{c}") for c in by], pieces)
         same = F.lit(True)
-        for c in on:
+        for c in by:
             same = same & F.col(prefix + c).eqNullSafe(F.col(f"_h_{c}"))
-        return side.join(F.broadcast(keys), same, "left").drop(*[f"_h_{c}" for c in on]).withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
+        return side.join(F.broadcast(keys), same, "left").drop(*[f"_h_{c}" for c in by]).withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
 
     salted_left = with_pieces(left, "").withColumn(
         "_salt", F.pmod(F.xxhash64(*(spread or left.columns)), F.col("_pieces"))

@@ -181,3 +181,16 @@ def test_limit_follows_the_partitions(spark, no_broadcast):
 def test_exploded_sides_are_counted(spark):
     small = spark.range(100).select(F.explode(F.sequence(F.lit(0), F.lit(200_000))).alias("key"))
     assert not fits_broadcast(small)
+
+
+def test_a_chain_of_joins_measures_its_facts_once(spark, no_broadcast, monkeypatch):
+    from shelfline.sources.star import load_star
+
+    star = load_star(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(scale, "hot_keys", lambda *a: pytest.fail("measured on its own"))
+    before = len(scale._MEASURED)
+    exog.exogenous_set(
+        star.sales_daily, star.store, star.product, star.calendar, star.price_history, star.promotion,
+        star.inventory_snapshot_daily,
+    )
+    assert len(scale._MEASURED) == before + 1
