@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfline.operators import documents as docs
 from shelfline.operators import filters, retrieval, runs
+from shelfline.operators.scale import new_path
 from shelfline.plans.common import num, r, rounded
 from shelfline.plans.views import with_views
 from shelfline.sources.star import load_star, read_table
@@ -332,6 +333,24 @@ def resolved_aliases(spark, folder):
     return runs.resolve_aliases(runs.alias_table(_assignments(spark, folder), log), log).drop("updated_at")
 
 
+def artifacts(spark, folder):
+    """A file for each nation, of which every third was changed and every fifth never written."""
+    nation = read_table(spark, folder, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("run_id"))
+    path = new_path(spark, "artifacts")
+    content = F.when(F.col("k") % 3 == 0, F.concat("run_id", F.lit(" changed"))).otherwise(F.col("run_id"))
+    kept = nation.where("k % 5 <> 0").select(content.alias("value"), F.col("run_id").alias("run"))
+    kept.repartition("run").write.partitionBy("run").text(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    uri = F.regexp_extract("path", "(run=[^/]*/[^/]*)$", 1)
+    files = files.select(uri.alias("uri"), F.regexp_extract(uri, "^run=([^/]*)/", 1).alias("run_id"))
+    log = nation.join(files, "run_id", "left").select(
+        "run_id",
+        F.coalesce("uri", F.concat(F.lit("run="), "run_id", F.lit("/none"))).alias("artifact_uri"),
+        F.sha2(F.concat("run_id", F.lit("\n")), 256).alias("artifact_hash"),
+    )
+    return runs.verify_artifacts(spark, log, path).select("run_id", "verification")
+
+
 QUERIES = {
     "content_hash": content_hashes,
     "document_changes": changes,
@@ -360,6 +379,7 @@ QUERIES = {
     "metric_diff": metric_diffs,
     "alias_table": alias_table,
     "alias_resolution": resolved_aliases,
+    "artifact_verification": artifacts,
 }
 
 # -- SQL twins ---------------------------------------------------------------------------
@@ -490,6 +510,8 @@ _ALIAS = """select 'alias-' || (o_custkey % 100) as alias_name, arg_max(m.run_id
 from orders join model_run m on m.run_id = md5(cast(o_orderkey as varchar)) where m.status = 'success' group by 1"""
 
 ORACLES = {
+    "artifact_verification": """select n_name as run_id, case when n_nationkey % 5 = 0 then 'missing'
+       when n_nationkey % 3 = 0 then 'mismatch' else 'ok' end as verification from nation""",
     "content_hash": "select doc_id, sha256(text) as content_hash from documents",
     "document_changes": with_views(
         "", "select doc_id, source_type, source_path, source_id, status from status", docs=_DOCS, stored=_STORED, status=_STATUS
