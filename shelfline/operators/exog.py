@@ -198,8 +198,8 @@ def exogenous_set(
     )
 
 
-def orphans(sales: DataFrame, store: DataFrame, product: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Sales rows whose store, product or day is unknown, with the missing references named."""
+def marked_orphans(sales: DataFrame, store: DataFrame, product: DataFrame, calendar: DataFrame) -> DataFrame:
+    """All sales rows with ``no_store``, ``no_product`` and ``no_date``: which references are unknown."""
     marks = [
         ("store_id", store.select(F.col("id").alias("store_id")), "no_store"),
         ("product_id", product.select(F.col("id").alias("product_id")), "no_product"),
@@ -210,7 +210,16 @@ def orphans(sales: DataFrame, store: DataFrame, product: DataFrame, calendar: Da
         known = dim.distinct().withColumn(f"_{flag}", F.lit(True))
         checked = salted_join(checked, known, [key], "left", spread=GRAIN, measure=sales)
         checked = checked.withColumn(flag, F.col(f"_{flag}").isNull()).drop(f"_{flag}")
-    return checked.where(F.col("no_store") | F.col("no_product") | F.col("no_date"))
+    return checked
+
+
+def is_orphan() -> Column:
+    return F.col("no_store") | F.col("no_product") | F.col("no_date")
+
+
+def orphans(sales: DataFrame, store: DataFrame, product: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Sales rows whose store, product or day is unknown, with the missing references named."""
+    return marked_orphans(sales, store, product, calendar).where(is_orphan())
 
 
 def with_holidays(df: DataFrame, calendar: DataFrame) -> DataFrame:

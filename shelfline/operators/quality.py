@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfline.operators.exog import orphans, resolve_keys
+from shelfline.operators.exog import is_orphan, marked_orphans, resolve_keys
 
 CODE_CHARS, SKU_CHARS = 20, 50
 
@@ -164,38 +164,29 @@ def constraint_violations(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def integrity_report(sales: DataFrame, store: DataFrame, product: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Five checks with status passed, warning or failed."""
+    """Five checks with status passed, warning or failed; the three on the sales share one pass over them."""
     rows = F.count(F.lit(1))
-
-    def check(name: str, source: DataFrame, count: Column, bad: str, good_if) -> DataFrame:
-        found = F.col("found")
-        return source.agg(count.cast("long").alias("found")).select(
-            F.lit(name).alias("check"),
-            F.when(good_if(found), "passed").otherwise(bad).alias("status"),
-            "found",
-        )
-
-    def zero(c: Column) -> Column:
-        return c == 0
-
-    def some(c: Column) -> Column:
-        return c > 0
-
-    span = F.datediff(F.max("date"), F.min("date")) + 1
-    dims = (
-        store.agg(rows.alias("n"))
-        .unionAll(product.agg(rows.alias("n")))
-        .unionAll(calendar.agg(rows.alias("n")))
+    facts = marked_orphans(sales, store, product, calendar).agg(
+        F.count_if(is_orphan()).alias("foreign_keys"),
+        F.count_if(F.col("quantity") < 0).alias("non_negative"),
+        rows.alias("data_presence"),
     )
-    parts = [
-        check("foreign_keys", orphans(sales, store, product, calendar), rows, "failed", zero),
-        check("non_negative", sales.where("quantity < 0"), rows, "failed", zero),
-        check("calendar_coverage", calendar, F.coalesce(span - rows, F.lit(0)), "warning", zero),
-        check("data_presence", sales, rows, "warning", some),
-        # smallest of the three dimension sizes
-        check("dimension_completeness", dims, F.min("n"), "warning", some),
-    ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    span = F.datediff(F.max("date"), F.min("date")) + 1
+    days = calendar.agg(F.coalesce(span - rows, F.lit(0)).alias("calendar_coverage"))
+    sizes = store.agg(rows.alias("n")).unionAll(product.agg(rows.alias("n"))).unionAll(calendar.agg(rows.alias("n")))
+    smallest = sizes.agg(F.min("n").alias("dimension_completeness"))
+
+    def checks(source: DataFrame, wanted: dict[str, tuple[str, bool]]) -> DataFrame:
+        cells = [
+            F.struct(
+                F.lit(name).alias("check"),
+                F.when(F.col(name) == 0 if zero else F.col(name) > 0, "passed").otherwise(bad).alias("status"),
+                F.col(name).cast("long").alias("found"),
+            )
+            for name, (bad, zero) in wanted.items()
+        ]
+        return source.select(F.inline(F.array(*cells)))
+
+    report = checks(facts, {"foreign_keys": ("failed", True), "non_negative": ("failed", True), "data_presence": ("warning", False)})
+    report = report.unionByName(checks(days, {"calendar_coverage": ("warning", True)}))
+    return report.unionByName(checks(smallest, {"dimension_completeness": ("warning", False)}))

@@ -353,17 +353,22 @@ def promotion_lift(joined: DataFrame, product: DataFrame) -> DataFrame:
 def stockout_impact(
     inventory: DataFrame, sales: DataFrame, store: DataFrame, product: DataFrame, n: int = 100
 ) -> DataFrame:
-    """Lost sales on stockout days: mean daily units of the series less the units sold, top ``n``."""
-    means = sales.groupBy("store_id", "product_id").agg(F.avg("quantity").alias("expected_sales"))
+    """Lost sales on stockout days: mean daily units of the series less the units sold, top ``n``.
+
+    Sales and stockouts are put below each other and dealt once by series: that serves both the match by
+    day and the mean of the series.
+    """
     grain = ["date", "store_id", "product_id"]
-    out = inventory.where(F.col("is_stockout")).select(*grain, "is_stockout")
-    sold = sales.select(*grain, "quantity")
-    lost = F.round(F.col("expected_sales") - F.col("actual_sales"), 0)
+    sold = sales.select(*grain, "quantity", F.lit(False).alias("is_stockout"))
+    out = inventory.where(F.col("is_stockout")).select(*grain, F.lit(None).cast("int").alias("quantity"), "is_stockout")
+    rows = sold.unionByName(out).repartition("store_id", "product_id")
+    per_day = rows.groupBy(*grain).agg(F.max("quantity").alias("quantity"), F.bool_or("is_stockout").alias("is_stockout"))
+    mean = F.avg("quantity").over(Window.partitionBy("store_id", "product_id"))
     ranked = (
-        out.join(sold, grain, "left")
+        per_day.withColumn("expected_sales", mean)
+        .where(F.col("is_stockout") & F.col("expected_sales").isNotNull())
         .withColumn("actual_sales", F.coalesce("quantity", F.lit(0)))
-        .join(means, ["store_id", "product_id"])
-        .withColumn("estimated_lost_sales", lost)
+        .withColumn("estimated_lost_sales", F.round(F.col("expected_sales") - F.col("actual_sales"), 0))
         .drop("quantity")
     )
     names = store.select(F.col("id").alias("store_id"), F.col("code").alias("store_code"))
