@@ -11,7 +11,6 @@
 from __future__ import annotations
 
 import atexit
-import math
 import re
 import shutil
 import tempfile

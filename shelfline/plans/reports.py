@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from shelfline.operators import exog, filters, reports
-from shelfline.plans.common import AS_OF, END, START, num, r, rounded
+from shelfline.plans.common import AS_OF, END, START, r, rounded
 from shelfline.plans.views import with_views
 from shelfline.sources.star import load_calendar, load_series, load_star
 
