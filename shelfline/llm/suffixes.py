@@ -116,6 +116,8 @@ NAMES = [f.split()[0] for f in ENTRY.split(", ")]
 OPEN, KNOWN, MORE = 0, 1, 2
 #: One document in so many is looked at to find prefixes that many entries share.
 HEAVY_SAMPLE = 16
+#: A batch is dealt to as many buckets as there are shuffle partitions, or fewer of at least so many entries.
+PER_BUCKET = 5000
 
 
 @contextlib.contextmanager
@@ -169,14 +171,18 @@ def suffix_array(texts: DataFrame, length: int = LENGTH, heavy: np.ndarray | Non
     return texts.select("id", "chk", "text").mapInArrow(work, ENTRY)
 
 
-def heavy_prefixes(texts: DataFrame, length: int, buckets: int) -> np.ndarray:
-    """Prefixes with more than a quarter of an average bucket's entries, by a sample of the documents.
+def sampled(texts: DataFrame, length: int) -> tuple[int, DataFrame]:
+    """About how many entries the texts have, and the sampled entries by prefix."""
+    some = suffix_array(texts.where(F.pmod(F.xxhash64("chk"), F.lit(HEAVY_SAMPLE)) == 0), length).where(F.col("kind") < MORE)
+    counts = stored(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "suffix-sample")
+    return counts.agg(F.sum("n")).first()[0] or 0, counts
+
+
+def heavy_prefixes(total: int, counts: DataFrame, buckets: int) -> np.ndarray:
+    """Prefixes with more than a quarter of an average bucket's entries in the sample.
 
     At most four times as many as buckets.  It only decides how entries are dealt, not what is found.
     """
-    some = suffix_array(texts.where(F.pmod(F.xxhash64("chk"), F.lit(HEAVY_SAMPLE)) == 0), length).where(F.col("kind") < MORE)
-    counts = stored(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "suffix-sample")
-    total = counts.agg(F.sum("n")).first()[0] or 0
     found = counts.where((F.col("n") > 2) & (F.col("n") > total / (4.0 * buckets))).select("key").collect()
     return np.array(sorted(r["key"] for r in found), np.int64)
 
@@ -196,11 +202,11 @@ class SuffixIndex:
     mixed: list[DataFrame] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.buckets = partitions(self.spark)
+        self.buckets = 0  # set by the first batch, as are the heavy prefixes
         self.heavy: np.ndarray | None = None
 
     def _write(self, rows: DataFrame) -> str:
-        """A sorted table below the shared folder, with one bucket for each partition."""
+        """A sorted table below the shared folder, as many buckets as the first batch asked for."""
         name = f"suffixes_{uuid.uuid4().hex}"
         path = new_path(self.spark, "suffixes")
         order = ("deal", "key", "ctx")
@@ -229,7 +235,12 @@ class SuffixIndex:
         """Index a batch of ``id, chk, text`` and scan it against itself and every level."""
         self._merge()
         if self.heavy is None:
-            self.heavy = heavy_prefixes(texts, self.length, self.buckets)
+            total, counts = sampled(texts, self.length)
+            wanted = max(1, min(partitions(self.spark), total * HEAVY_SAMPLE // PER_BUCKET))
+            # asked for through the session, as one that pins its partitions would deal rows to more tasks than buckets
+            with settings(self.spark, spark__sql__shuffle__partitions=str(wanted)):
+                self.buckets = partitions(self.spark)
+            self.heavy = heavy_prefixes(total, counts, self.buckets)
         rows = suffix_array(texts, self.length, self.heavy).repartition(self.buckets, "deal")
         name = self._write(rows)
         with self._local():
@@ -437,7 +448,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, batches: int = BA
     columns are ignored.
     """
     texts = keyed_texts(documents)
-    dealt = texts.repartition(partitions(documents.sparkSession), "id", "chk")
+    dealt = texts.repartition("id", "chk")
     spans = repeated_spans(texts, dealt, length, batches)
     per = spans.groupBy("id", "chk").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     rows = dealt.join(per, ["id", "chk"], "left").select("doc_id", "text", "a", "b")
