@@ -35,7 +35,7 @@ GRAM = 32  # a power of two
 BATCHES = 4
 #: Contexts of one prefix that are compared in one task; beyond, their strings are dealt out by hash.
 TOGETHER = 4096
-BATCH = 4 << 20
+BATCH = 2 << 20
 #: Strings that are hashed at once start in so many bytes; places within have that many bits.
 SLICE, PLACE_BITS = 1 << 23, 24
 
