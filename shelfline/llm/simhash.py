@@ -30,18 +30,24 @@ BLOCK = 4096
 BATCH = 4 << 20
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
-    """The unsigned 64-bit SimHash of a text."""
+def shingles(text: str, size: int) -> np.ndarray:
+    """The hash of every run of ``size`` words, in order; a shorter text is one run, a text without words none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - size + 1)
     length = np.fromiter(map(len, words), np.int64, len(words))
     start = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
     end = (start + length)[min(size, len(words)) - 1 :]
     digest, seed = xxhash.xxh64_intdigest, SEED
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(start[:n].tolist(), end.tolist())), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(start[:n].tolist(), end.tolist())), np.uint64, n)
+
+
+def fingerprint(text: str, size: int = SHINGLE) -> int:
+    """The unsigned 64-bit SimHash of a text."""
+    hashes = shingles(text, size)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # a very long text needs no large matrix
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
