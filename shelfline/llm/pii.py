@@ -133,13 +133,22 @@ _WORDS = re.compile("[A-Za-z]+|[0-9]+")
 _BRACKET = re.compile(r"(?i)[\[({<]\s{0,2}(?:at|dot|@|\.)\s{0,2}[\])}>]")
 _BRACKET_AT = re.compile(r"(?i)\s{0,2}[\[({<]\s{0,2}(?:at|@)\s{0,2}[\])}>]\s{0,2}")
 _BRACKET_DOT = re.compile(r"(?i)\s{0,2}[\[({<]\s{0,2}(?:dot|\.)\s{0,2}[\])}>]\s{0,2}")
-# Common top-level domains; without brackets, "at" and "dot" count only before one of them.
-_TOP = "com|org|net|edu|gov|mil|info|biz|io|ai|app|dev|me|co|uk|us|eu|de|fr|es|it|nl|ch|at|be|ca|au|jp|cn|in|br|ru"
+# Top-level domains, the common general ones and those of all countries; a spoken address ends in one of them.
+_TOP = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|pro|mobi|app|dev|xyz|online|site|store|shop|tech|cloud|blog|email|live|news|agency|"
+    "design|digital|studio|solutions|services|systems|network|software|company|group|team|world|global|space|website|academy|club|"
+    "[a-z]{2}"
+)
+_AT = r"(?:\s{0,2}[\[({<]\s{0,2}(?:at|@)\s{0,2}[\])}>]\s{0,2}|\sat\s)"
+_DOT = r"(?:\s{0,2}[\[({<]\s{0,2}(?:dot|\.)\s{0,2}[\])}>]\s{0,2}|\sdot\s)"
+_PART = "[A-Za-z0-9-]+"
+# Each place may be disguised in its own way, one dot at least: "at" before a plain domain is common prose.
 _SPOKEN_MAIL = re.compile(
-    rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\sat\s[A-Za-z0-9-]+(?:(?:\sdot\s|\.)[A-Za-z0-9-]+)*\sdot\s(?:{_TOP})(?![A-Za-z0-9-])"
+    rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:{_AT}|@)(?={_PART}(?:\.{_PART})*{_DOT}){_PART}(?:(?:{_DOT}|\.){_PART})*(?:{_DOT}|\.)(?:{_TOP})(?![A-Za-z0-9-])"
 )
-_SPOKEN_NUMBERS = re.compile(r"(?i)[0-9]{1,3}(?:\sdot\s[0-9]{1,3}){3}")
-_AT_WORD, _DOT_WORD = re.compile(r"(?i)\sat\s"), re.compile(r"(?i)\sdot\s")
+_SPOKEN_NUMBERS = re.compile(r"(?i)[0-9]{1,3}(?:(?:\sdot\s|\.)[0-9]{1,3}){3}")
+_SPOKEN = re.compile(rf"(?i)(?P<at>{_AT})|(?P<dot>{_DOT})")
+_DOT_WORD = re.compile(r"(?i)\sdot\s")
 _PLUS_WORD = re.compile(r"(?i)(?<![A-Za-z])plus\s(?=[0-9])")
 
 
@@ -172,15 +181,14 @@ class Trace:
     def sub(self, pattern: re.Pattern, new: str) -> None:
         self.replace([(*m.span(), new) for m in pattern.finditer(self.text)])
 
-    def inside(self, outer: re.Pattern, inner: list[tuple[re.Pattern, str]]) -> None:
-        """Apply the patterns of ``inner`` only within matches of ``outer``."""
+    def inside(self, outer: re.Pattern) -> None:
+        """Signs that are spoken or in brackets become plain within matches of ``outer``."""
         edits = [
-            (*x.span(), new)
+            (*x.span(), "@" if x.lastgroup == "at" else ".")
             for m in outer.finditer(self.text)
-            for pattern, new in inner
-            for x in pattern.finditer(self.text, m.start(), m.end())
+            for x in _SPOKEN.finditer(self.text, m.start(), m.end())
         ]
-        self.replace(sorted(edits))
+        self.replace(edits)
 
     def digits(self) -> None:
         """Runs of spelled digits become digits without gaps; a spoken dot among them stays for later."""
@@ -201,11 +209,10 @@ def disguised(text: str) -> bool:
     """Cheap signs that a transducer could change something that matters."""
     if not text.isascii() and not _STRANGE.isdisjoint(set(text)):
         return True
-    low = text.lower()
-    if "dot" in low and _DOT_WORD.search(text) or _BRACKET.search(text):
+    low = text.casefold()  # as the patterns ignore case
+    if "dot" in low and _DOT_WORD.search(text) or _BRACKET.search(text) or "plus" in low and _PLUS_WORD.search(text):
         return True
-    # a run of spelled digits has a digit word that is not its first, so white space, a comma or a dash before it
-    return any(f"{gap}{w}" in low for w in DIGIT_WORDS for gap in " -,\n\t") and _SPELLED.search(text) is not None
+    return any(w in low for w in DIGIT_WORDS) and _SPELLED.search(text) is not None
 
 
 def normalise(text: str) -> Trace:
@@ -213,10 +220,10 @@ def normalise(text: str) -> Trace:
     trace.sub(_HIDDEN_RUN, "")
     trace.plain()
     trace.digits()
+    trace.inside(_SPOKEN_MAIL)
     trace.sub(_BRACKET_AT, "@")
     trace.sub(_BRACKET_DOT, ".")
-    trace.inside(_SPOKEN_MAIL, [(_AT_WORD, "@"), (_DOT_WORD, ".")])
-    trace.inside(_SPOKEN_NUMBERS, [(_DOT_WORD, ".")])
+    trace.inside(_SPOKEN_NUMBERS)
     trace.sub(_PLUS_WORD, "+")
     return trace
 
