@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import bytes_of, cut, partitions, stored, text_of
+from shelfline.llm.common import bytes_of, cut, partitions, stored, text_key, text_of
 from shelfline.llm.graph import sorted_groups
 from shelfline.operators.scale import new_path
 
@@ -110,7 +110,7 @@ def _slice_entries(data: np.ndarray, at: np.ndarray, length: int, gram: int) ->
 
 # -- levels of sorted tables ---------------------------------------------------------------
 
-ENTRY = "deal long, key long, ctx long, id long, chk int, place int, l short, r short, kind short, heavy boolean"
+ENTRY = "deal long, key long, ctx long, id long, chk long, place int, l short, r short, kind short, heavy boolean"
 NAMES = [f.split()[0] for f in ENTRY.split(", ")]
 #: Kinds of entries: nothing known, known to be repeated, and (not indexed) another place of such a one.
 OPEN, KNOWN, MORE = 0, 1, 2
@@ -335,7 +335,7 @@ def compare(rows: DataFrame, length: int) -> DataFrame:
                 yield _compared([c[part] for c in columns], length, tables)
 
     dealt = rows.select("key", "id", "chk", "place", "l", "r", "many", "text").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(work, "id long, chk int, a int, b int")
+    return dealt.mapInArrow(work, "id long, chk long, a int, b int")
 
 
 def _compared(columns: list[np.ndarray], length: int, tables) -> pa.RecordBatch:
@@ -375,7 +375,7 @@ def compare_apart(rows: DataFrame, length: int) -> DataFrame:
                 columns = [key[row], x.astype(np.int32), hashes[row, x].view(np.int64), ids[row], chk[row], (place[row] - x).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "x", "h", "id", "chk", "a"])
 
-    strings = rows.mapInArrow(work, "key long, x int, h long, id long, chk int, a int")
+    strings = rows.mapInArrow(work, "key long, x int, h long, id long, chk long, a int")
     twice = strings.groupBy("key", "x", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return strings.join(twice, ["key", "x", "h"], "left_semi").select("id", "chk", "a", (F.col("a") + length).alias("b"))
 
@@ -401,7 +401,7 @@ def contexts(texts: DataFrame, rest: DataFrame) -> DataFrame:
                 ids = [pa.array(batch.column(n).to_numpy()[row]) for n in ("id", "chk")]
                 yield pa.RecordBatch.from_arrays([values[0], *ids, *values[2:], values[1], parts], ["key", "id", "chk", "place", "l", "r", "many", "text"])
 
-    return rows.mapInArrow(work, "key long, id long, chk int, place int, l short, r short, many boolean, text binary")
+    return rows.mapInArrow(work, "key long, id long, chk long, place int, l short, r short, many boolean, text binary")
 
 
 # -- the operator -----------------------------------------------------------------------------
@@ -429,11 +429,11 @@ def repeated_spans(texts: DataFrame, dealt: DataFrame, length: int = LENGTH, bat
 
 
 def keyed_texts(documents: DataFrame) -> DataFrame:
-    """``doc_id, id, chk, text``: ``id`` without nulls, and 32 bits that tell apart rows of one id."""
+    """``doc_id, id, chk, text``: ``id`` without nulls, and 64 bits that tell apart rows of one id."""
     return documents.select(
         documents["doc_id"].cast("long").alias("doc_id"),
         F.coalesce(documents["doc_id"].cast("long"), F.lit(-1).cast("long")).alias("id"),
-        F.hash(documents["doc_id"], documents["text"]).alias("chk"),
+        text_key(documents, "doc_id").alias("chk"),
         text_of(documents).alias("text"),
     )
 
