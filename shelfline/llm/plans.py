@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfline.llm import hilbert, licences, mixing, packing, pii, pq_dedup, quality, secret_scan, simhash, suffixes
+from shelfline.llm import fingerprints, hilbert, licences, mixing, packing, pii, pq_dedup, quality, repair, secret_scan, simhash, suffixes, trie
 from shelfline.sources.star import read_table
 
 
@@ -47,6 +47,18 @@ def op10_hilbert(spark, folder):
     return hilbert.search(read_table(spark, folder, "embeddings"))
 
 
+def op11_trie(spark, folder):
+    return trie.prefix_trie(trie.rebuilt(read_table(spark, folder, "conversations")))
+
+
+def op12_repair(spark, folder):
+    return repair.repair(repair.damaged(read_table(spark, folder, "conversations")))
+
+
+def op13_fingerprints(spark, folder):
+    return fingerprints.fingerprint_edits(read_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_suffixes": op2_suffixes,
@@ -58,6 +70,9 @@ QUERIES = {
     "op8_pq": op8_pq,
     "op9_quality": op9_quality,
     "op10_hilbert": op10_hilbert,
+    "op11_trie": op11_trie,
+    "op12_repair": op12_repair,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLES = {
