@@ -165,3 +165,12 @@ def uniform(keys: np.ndarray) -> np.ndarray:
             x *= np.uint64(factor)
         x ^= x >> np.uint64(29)
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def crc32_sql(text: str) -> str:
+    """A DuckDB expression for the CRC-32 of an ASCII string expression, bit by bit."""
+    start, polynomial = (1 << 32) - 1, 0xEDB88320
+    letters = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::bigint)"
+    bits = "lambda v, bit: xor(v >> 1, {0}::bigint * (v & 1))".format(polynomial)
+    letter = f"lambda c, l: list_reduce(list_prepend(xor(c, l), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), {bits})"
+    return f"xor(list_reduce(list_prepend({start}::bigint, {letters}), {letter}), {start}::bigint)"

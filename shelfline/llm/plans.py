@@ -78,4 +78,6 @@ QUERIES = {
 ORACLES = {
     "op5_licences": licences.oracle(),
     "op6_mixing": mixing.oracle(),
+    "op11_trie": trie.oracle(),
+    "op12_repair": repair.oracle(),
 }

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import cut
+from shelfline.llm.common import crc32_sql, cut
 
 BLANKS = " \t\n\x0b\x0c\r"
 #: Rows, and bytes of text, that a task repairs at once; a conversation is never divided.
@@ -269,3 +269,74 @@ def repair(rows: DataFrame) -> DataFrame:
     """
     order = ["conv_id", "turn", "role", "text"]
     return rows.repartition("conv_id").sortWithinPartitions(*order).select(*order, "gone").mapInArrow(_repaired, _RESULT)
+
+
+def oracle() -> str:
+    """The SQL twin: from the last row to the first, the cheapest rest for each state with its audit and its rows."""
+
+    def entry(cost: str, letter: str, line: str, rest: str) -> str:
+        said = f"list_prepend({line}, {rest}.lines)" if line else f"{rest}.lines"
+        return f"{{'cost': {rest}.cost + {cost}, 'audit': '{letter}' || {rest}.audit, 'lines': {said}}}"
+
+    def least(*options: str) -> str:
+        return f"list_sort(list_filter([{', '.join(options)}], lambda o: o is not null))[1]"
+
+    def keep(initial: str, rest: str) -> str:
+        return f"case when first = '{initial}' and not gone then {entry('cut', 'K', chr(39) + chr(39) + ' || role || chr(58) || text', rest)} end"
+
+    def rerole(role: str, rest: str) -> str:
+        return f"case when not gone then {entry('2 + cut', 'R', f'{chr(39)}{role}:{chr(39)} || text', rest)} end"
+
+    def insert(role: str, rest: str) -> str:
+        return entry("2", "I", f"'{role}:'", rest)
+
+    def delete(rest: str) -> str:
+        return entry("3", "D", "", rest)
+
+    over = "{'cost': 0::bigint, 'audit': '', 'lines': []::varchar[]}"
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    key = "coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')"
+    return rf"""
+with recursive damaged as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc32_sql("key")} % 20 as case_
+  from (select *, {key} as key from conversations)
+), rows_ as (
+  select conv_id, turn, case when case_ = 4 then 'user' else role end as role,
+         case case_ when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+         unnest(case when case_ = 3 then [1, 2] else [1] end) as time
+  from damaged where case_ <> 0
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as p,
+         rtrim(text, {blanks}) as core, row_number() over (partition by conv_id, role, text order by turn nulls first) as copy from rows_
+), judged as (
+  select *, core = '' as blank, core <> '' and copy > 1 as duplicate, core <> '' and copy = 1 and right(core, 1) not in ('.', '!', '?') as truncated,
+         left(role, 1) as first, lag(left(role, 1)) over (partition by conv_id order by p) as before from placed
+), counted as (
+  select conv_id, count(*) as n, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (where blank) as blank,
+         count(*) filter (where duplicate) as duplicate, count(*) filter (where truncated) as truncated,
+         count(*) filter (where before is not null and before || first not in ('su', 'ua', 'au')) as illegal
+  from judged group by conv_id
+), ids as (select distinct conv_id from conversations),
+path as (
+  select ids.conv_id, coalesce(n, 0) as p, {over} as none, {entry("4", "II", "'user:'", f"({entry('0', '', chr(39) + 'assistant:' + chr(39), over)})")} as system,
+         {entry("2", "I", "'assistant:'", f"({over})")} as user_, {over} as assistant
+  from ids left join counted on counted.conv_id is not distinct from ids.conv_id
+  union all
+  select conv_id, p - 1, {least("none", insert("user", "least_user"))}, {least("system", insert("user", "least_user"))}, least_user, {least("assistant", insert("user", "user_"))}
+  from (
+    select *, {least("user_", insert("assistant", "assistant"))} as least_user
+    from (
+      select path.conv_id, path.p,
+             {least(keep("s", "path.system"), keep("u", "path.user_"), rerole("user", "path.user_"), delete("path.none"))} as none,
+             {least(keep("u", "path.user_"), rerole("user", "path.user_"), delete("path.system"))} as system,
+             {least(keep("a", "path.assistant"), rerole("assistant", "path.assistant"), delete("path.user_"))} as user_,
+             {least(keep("u", "path.user_"), rerole("user", "path.user_"), delete("path.assistant"))} as assistant
+      from path join (select conv_id, p, role, text, first, blank or duplicate as gone, truncated::bigint as cut from judged) as j
+        on j.conv_id is not distinct from path.conv_id and j.p = path.p
+    )
+  )
+)
+select path.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, none.cost as cost, none.audit as audit, sha256(array_to_string(none.lines, chr(10))) as repaired_sha256
+from path left join counted on counted.conv_id is not distinct from path.conv_id where path.p = 0
+"""

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import WORD, partitions, stored
+from shelfline.llm.common import WORD, crc32_sql, partitions, stored
 from shelfline.llm.graph import group_starts
 
 #: Turns a range aims at, and the columns of one padded matrix.
@@ -315,3 +315,41 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 said.update(b"," + ids)
     if key is not None:
         yield done()
+
+
+def oracle() -> str:
+    """The SQL twin: a node is a beginning of some conversation, and counts for all beginnings of its own."""
+    return rf"""
+with t as (
+  select conv_id, coalesce(role, '') as r, coalesce(text, '') as x,
+         row_number() over (partition by conv_id order by turn nulls first) - 1 as p
+  from conversations where conv_id is not null
+), c as (select conv_id, {crc32_sql("conv_id::varchar")} % 4 as h from (select distinct conv_id from t)),
+b as (
+  select c.conv_id, 0 as own, t.p, t.r, t.x from c join t on t.conv_id = c.conv_id - c.conv_id % 20 and t.p < c.h
+  union all select c.conv_id, 1, t.p, t.r, t.x from c join t on t.conv_id = c.conv_id and t.p >= c.h
+), n as (select *, row_number() over (partition by conv_id order by own, p) as d from b),
+prefix as (
+  select conv_id, d, string_agg(md5(r) || md5(x), '') over (partition by conv_id order by d rows unbounded preceding) as k,
+         len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))::bigint as words from n
+  union all select conv_id, 0, '', 0 from c
+), whole as (select *, max(d) over (partition by conv_id) as size from prefix),
+node as (
+  select d, k, min(conv_id) as conv_id, count(*) as n, any_value(words) as words,
+         coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where d = size), '') as ends
+  from whole group by d, k
+), up as (
+  select node.*, parent.conv_id as parent from node
+  left join prefix on prefix.conv_id = node.conv_id and prefix.d = node.d - 1
+  left join node as parent on parent.d = prefix.d and parent.k = prefix.k
+), kids as (select u.d, u.k, count(v.k) as children from up as u left join up as v on v.d = u.d + 1 and v.parent = u.conv_id
+            and starts_with(v.k, u.k) group by u.d, u.k),
+own as (select up.*, children, (children = 0)::bigint as leaf, (n - 1) * words as saved from up join kids using (d, k)),
+subtree as (
+  select prefix.d, prefix.k, sum(leaf)::bigint as leaves, sum(saved)::bigint as saved
+  from own join prefix on prefix.conv_id = own.conv_id and prefix.d <= own.d group by prefix.d, prefix.k
+)
+select own.conv_id, own.d::bigint as depth, own.parent as parent_conv_id, own.n as n_convs, own.children as n_children,
+       subtree.leaves as n_leaves, subtree.saved as saved_tokens, sha256(own.ends) as ends_sha256
+from own join subtree using (d, k)
+"""
