@@ -306,8 +306,8 @@ with recursive damaged as (
          unnest(case when case_ = 3 then [1, 2] else [1] end) as time
   from damaged where case_ <> 0
 ), placed as (
-  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as p,
-         rtrim(text, {blanks}) as core, row_number() over (partition by conv_id, role, text order by turn nulls first) as copy from rows_
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, time) as p,
+         rtrim(text, {blanks}) as core, row_number() over (partition by conv_id, role, text order by turn nulls first, time) as copy from rows_
 ), judged as (
   select *, core = '' as blank, core <> '' and copy > 1 as duplicate, core <> '' and copy = 1 and right(core, 1) not in ('.', '!', '?') as truncated,
          left(role, 1) as first, lag(left(role, 1)) over (partition by conv_id order by p) as before from placed
