@@ -3,6 +3,8 @@
 Vectors are projected to a few dimensions, several times in other directions and with other shifts, and
 ordered along a Hilbert curve each time.  Spark range-partitions the orderings and numbers the rows; a
 query is compared exactly with the rows within a window of its place on every curve, and the windows merge.
+The cells of a direction are cut at quantiles, and the few longest vectors meet every query beside the curves,
+so vectors of very uneven lengths do not fall into few cells.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import stored
+from shelfline.llm.common import hash_sample, stored
 from shelfline.llm.graph import group_starts, sorted_groups
 from shelfline.llm.vectors import matrix, packed, prepared, unpacked
 from shelfline.operators.scale import global_row_number, salted_join
@@ -25,6 +27,10 @@ CURVES = 8
 DIMENSIONS, BITS = 8, 6
 #: Rows on either side of a query, as a share of all distinct vectors, and at least so many.
 WINDOW, LEAST_WINDOW = 0.11, 512
+#: So many longest vectors are held against every query, beside the curves.
+LONGEST = 256
+#: Distinct vectors on which the borders of the cells are fitted; every vector is indexed.
+SAMPLE, BORDERS = 16_384, 256
 #: Rows of an ordering that one task compares at once.
 BLOCK = 4096
 #: Finds that a task holds before it merges and passes them on.
@@ -69,52 +75,75 @@ class Projections:
         self.directions = np.array(directions[: curves * self.dimensions]).T
         self.shifts = rng.random(curves * self.dimensions)
 
-    def points(self, rows: np.ndarray, longest: float) -> np.ndarray:
+    def points(self, rows: np.ndarray, length: float) -> np.ndarray:
         """Projections of vectors on a unit half sphere: there, near points have large inner products with a query.
 
-        A component is added that fills every vector up to the longest one.
+        A component is added that fills every vector up to ``length``; longer ones get none.  It is counted
+        from the pole, which moves all points alike, so that short vectors keep their digits.
         """
-        rows = rows / longest
-        fill = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", rows, rows)))
-        return np.concatenate([rows, fill[:, None]], axis=1) @ self.directions
-
-    def keys(self, points: np.ndarray, low: np.ndarray, high: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
-        """A key for each curve; the shifted box is twice as wide as the data."""
-        place = (points - low) / np.maximum(high - low, 1e-300)
+        rows = rows / length
+        square = np.minimum(1.0, np.einsum("ij,ij->i", rows, rows))
+        missing = -square / (1 + np.sqrt(1 - square))
+        return np.concatenate([rows, missing[:, None]], axis=1) @ self.directions
+
+    def keys(self, points: np.ndarray, borders: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
+        """A key for each curve: cells hold equal shares of the vectors; the shifted box is twice as wide."""
+        share = np.linspace(0, 1, len(borders))
+        place = np.stack([np.interp(points[:, i], borders[:, i], share) for i in range(points.shape[1])], axis=1)
         cells = np.clip((place + self.shifts) / 2 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
         d = self.dimensions
         return [hilbert_keys(cells[:, i : i + d], bits) for i in range(0, cells.shape[1], d)]
 
 
-def _bounds(reps: DataFrame, projections: Projections, size: int, longest: float) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest projection in each direction, over all vectors."""
+def _norm() -> Column:
+    """The length of a vector; the components are scaled first, so that no square overflows."""
+    most = F.array_max(F.transform("vector", F.abs))
+    return most * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / most) * (x / most)))
+
+
+def longest_vectors(reps: DataFrame, size: int, n: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """``node, least, vector`` of the ``n`` longest vectors, and the length of the longest of all others."""
+    first = reps.select("node", "least", "vector", _norm().alias("norm")).orderBy(F.desc("norm"), "least", "node").limit(n + 1).toArrow()
+    rows = matrix(first.column("vector"), size)
+    node, least = (first.column(c).to_numpy()[:n] for c in ("node", "least"))
+    return node, least, rows[:n], float(first.column("norm")[-1].as_py())
+
+
+def beside_curves(reps: DataFrame, longest: tuple[np.ndarray, np.ndarray, np.ndarray, float], size: int, k: int) -> DataFrame:
+    """``query, node, least, score``: the best ``k`` of the longest vectors for every query."""
+    node, least, rows, _ = longest
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                points = projections.points(matrix(batch.column("vector"), size), longest)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(points.shape[1])), pa.array(points.min(0)), pa.array(points.max(0))], ["i", "low", "high"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield from _batches(_top([_nearest(part.column("node").to_numpy(), matrix(part.column("vector"), size), node, least, rows, k)], k))
 
-    per = reps.select("vector").mapInArrow(work, "i long, low double, high double").groupBy("i").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    rows = sorted(per.collect())  # one row for each direction
-    return np.array([r["low"] for r in rows]), np.array([r["high"] for r in rows])
+    return reps.where("asks").select("node", "vector").mapInArrow(work, "query long, node long, least long, score double")
 
 
-def orderings(reps: DataFrame, projections: Projections, size: int, count: int) -> DataFrame:
-    """``curve, node, rank``: all ``count`` vectors on all curves, numbered from 0 along each."""
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    longest = float(reps.agg(F.max(norm)).first()[0])
-    low, high = _bounds(reps, projections, size, longest)
+def cell_borders(reps: DataFrame, projections: Projections, size: int, length: float, count: int) -> np.ndarray:
+    """Quantiles of the projections in each direction, from a sample picked by hash."""
+    sample = hash_sample(reps, ["h1", "h2"], SAMPLE, count).select("vector").toArrow()
+    return np.quantile(projections.points(matrix(sample.column("vector"), size), length), np.linspace(0, 1, BORDERS + 1), axis=0)
+
+
+def orderings(reps: DataFrame, projections: Projections, size: int, count: int, length: float) -> DataFrame:
+    """``curve, node, rank``: all ``count`` vectors on all curves, numbered from 0 along each.
+
+    Equal keys are in another order on every curve.
+    """
+    borders = cell_borders(reps, projections, size, length, count)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                points = projections.points(matrix(batch.column("vector"), size), longest)
-                for curve, key in enumerate(projections.keys(points, low, high)):
+                points = projections.points(matrix(batch.column("vector"), size), length)
+                for curve, key in enumerate(projections.keys(points, borders)):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), curve, np.int32)), pa.array(key), batch.column("node")], ["curve", "key", "node"])
 
     keyed = reps.select("node", "vector").mapInArrow(work, "curve int, key long, node long")
-    numbered = global_row_number(keyed, [F.col("curve"), F.col("key"), F.col("node")], "all")
+    numbered = global_row_number(keyed, [F.col("curve"), F.col("key"), F.xxhash64("curve", "node"), F.col("node")], "all")
     return numbered.select("curve", "node", (F.col("all") - 1 - F.col("curve") * F.lit(count)).alias("rank"))
 
 
@@ -133,8 +162,8 @@ def windows(reps: DataFrame, ranked: DataFrame, window: int, count: int) -> Data
     return rows.repartitionByRange("curve", "block").sortWithinPartitions("curve", "block", "role")
 
 
-def merged(dealt: DataFrame, size: int, window: int, k: int) -> DataFrame:
-    """``query, node, least, score``: the best ``k`` of each query in each block, then over all blocks and curves."""
+def merged(dealt: DataFrame, beside: DataFrame, size: int, window: int, k: int) -> DataFrame:
+    """``query, node, least, score``: the best ``k`` of each query in each block, then over all blocks, curves and ``beside``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, curve = [], None
@@ -148,7 +177,7 @@ def merged(dealt: DataFrame, size: int, window: int, k: int) -> DataFrame:
         yield from _batches(_top(held, k))
 
     found = dealt.mapInArrow(work, "query long, node long, least long, score double")
-    found = found.groupBy("query", "node", "least").agg(F.max("score").alias("score"))
+    found = found.unionByName(beside).groupBy("query", "node", "least").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "least", "node")
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
@@ -169,16 +198,23 @@ def _best(columns: list[np.ndarray], size: int, window: int, k: int) -> Iterator
     if not n or n == len(role):
         return
     rows = unpacked(vector, np.float64, size)
-    take = min(n, k + 4)  # a few more than needed: the product of matrices may round otherwise
     for at in range(n, len(role), 512):
         to = min(at + 512, len(role))
-        score = rows[at:to] @ rows[:n].T
-        score[np.abs(rank[at:to, None] - rank[:n]) > window] = -np.inf
-        best = np.argpartition(-score, take - 1, axis=1)[:, :take]
-        q, i = np.nonzero(np.isfinite(np.take_along_axis(score, best, 1)))
-        c = best[q, i]
-        exact = np.einsum("ij,ij->i", rows[at + q], rows[c])
-        yield from _top([(node[at + q], node[c], least[c], exact)], k)
+        far = np.abs(rank[at:to, None] - rank[:n]) > window
+        yield from _top([_nearest(node[at:to], rows[at:to], node[:n], least[:n], rows[:n], k, far)], k)
+
+
+def _nearest(query: np.ndarray, asked: np.ndarray, node: np.ndarray, least: np.ndarray, rows: np.ndarray, k: int, far: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Query, node, least id and exact score of all candidates that may be among the best ``k`` of a query, ties included."""
+    score = asked @ rows.T
+    # the product of matrices may round otherwise than the exact score
+    length = np.sqrt(np.einsum("ij,ij->i", asked, asked))[:, None] * np.sqrt(np.einsum("ij,ij->i", rows, rows).max())
+    if far is not None:
+        score[far] = -np.inf
+    kth = np.partition(score, score.shape[1] - k, axis=1)[:, [score.shape[1] - k]] if score.shape[1] > k else np.full((len(score), 1), -np.inf)
+    slack = 1e-15 * rows.shape[1] * length
+    q, c = np.nonzero((score >= kth - np.where(np.isfinite(slack), slack, 0)) & (score > -np.inf))
+    return query[q], node[c], least[c], np.einsum("ij,ij->i", asked[q], rows[c])
 
 
 def _top(found: list[tuple[np.ndarray, ...]], k: int) -> list[tuple[np.ndarray, ...]]:
@@ -220,8 +256,9 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K, curves: int = CUR
     if not count:
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     reach = max(LEAST_WINDOW, math.ceil(window * count))
-    ranked = orderings(reps, Projections(size, curves), size, count)
-    best = merged(windows(reps, ranked, reach, count), size, reach, k + 1)
+    longest = longest_vectors(reps, size)
+    ranked = orderings(reps, Projections(size, curves), size, count, longest[-1])
+    best = merged(windows(reps, ranked, reach, count), beside_curves(reps, longest, size, k + 1), size, reach, k + 1)
     entries = best.join(reps.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     entries = entries.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
