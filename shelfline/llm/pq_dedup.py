@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from shelfline.llm.common import hash_sample, stored
 from shelfline.llm.graph import components, group_starts, sorted_groups
@@ -22,13 +23,17 @@ from shelfline.llm.vectors import matrix, packed, prepared, unit, unpacked
 from shelfline.operators.scale import salted_join
 
 COSINE = 0.9
-PROBES = 6
+#: Lists are probed until so many of the pairs at the least cosine are met, from either side, in a trial on held-out vectors.
+FOUND = 0.97
+LEAST_PROBES = 6
 SUBSPACES = 8
 CODES = 64
 MOST_LISTS = 4096
 #: Vectors per list on which the centroids are fitted, at most ``SAMPLE`` in all; every vector is indexed.
 PER_LIST = 32
 SAMPLE = 65_536
+#: Vectors of the trial, which the centroids have not seen.
+TRIAL = 4096
 #: Members and queries of a list that one task compares; longer lists are cut into pairs of blocks.
 MEMBERS, QUERIES = 2048, 8192
 PAIRS = 1 << 21
@@ -61,7 +66,9 @@ def nearest(rows: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
 
 
 class Quantiser:
-    """Coarse centroids and a codebook for each subspace of the residuals."""
+    """Coarse centroids and a codebook for each subspace of the residuals; ``probes`` lists are enough for a question."""
+
+    probes = LEAST_PROBES
 
     def __init__(self, sample: np.ndarray, lists: int):
         self.coarse = kmeans(sample, lists)
@@ -92,28 +99,58 @@ def list_count(n: int) -> int:
     return max(1, min(MOST_LISTS, 1 << round(math.log2(max(1.0, math.sqrt(n))))))
 
 
-def fit(reps: DataFrame, size: int, count: int) -> Quantiser:
-    """Fitted on a bounded sample, picked by hash."""
+def enough_probes(held: np.ndarray, coarse: np.ndarray, cosine: float, found: float = FOUND, seed: int = 3) -> int:
+    """How many of the nearest lists a vector has to ask for ``found`` of its pairs at ``cosine``.
+
+    Every held-out vector gets a partner at that cosine in a random direction.  A pair is met if one of
+    the two asks the other's list; how near that list is among all decides.
+    """
+    rng = np.random.default_rng(seed)
+    aside = rng.normal(size=held.shape)
+    aside -= np.einsum("ij,ij->i", aside, held)[:, None] * held
+    partners = cosine * held + math.sqrt(1 - min(1.0, cosine) ** 2) * aside / np.maximum(np.sqrt(np.einsum("ij,ij->i", aside, aside)), 1e-300)[:, None]
+    norms = np.einsum("ij,ij->i", coarse, coarse)
+    homes = [nearest(side, coarse, 1)[:, 0] for side in (held, partners)]
+    places = []
+    for side, home in zip((held, partners), reversed(homes)):
+        for at in range(0, len(side), 512):
+            d = norms - 2 * side[at : at + 512] @ coarse.T
+            places.append((d < np.take_along_axis(d, home[at : at + 512, None], 1)).sum(1))
+    nearer = np.minimum(*np.split(np.concatenate(places), 2))
+    return max(LEAST_PROBES, int(np.quantile(nearer, found, method="higher")) + 1)
+
+
+def fit(reps: DataFrame, size: int, count: int, cosine: float = COSINE) -> Quantiser:
+    """Fitted on a bounded sample, picked by hash; a further part of it tells how many probes are enough."""
     lists = list_count(count)
     rows = min(SAMPLE, max(PER_LIST * lists, CODES * PER_LIST))
-    sample = hash_sample(reps, ["h1", "h2"], rows, count).select("vector").toArrow()
-    return Quantiser(unit(matrix(sample.column("vector"), size)), min(lists, sample.num_rows))
+    sample = hash_sample(reps, ["h1", "h2"], rows + TRIAL, count).select("vector").toArrow()
+    vectors = unit(matrix(sample.column("vector"), size))
+    held = min(TRIAL, len(vectors) // 4)
+    quantiser = Quantiser(vectors[: len(vectors) - held], min(lists, len(vectors) - held))
+    if held:
+        quantiser.probes = enough_probes(vectors[-held:], quantiser.coarse, cosine)
+    return quantiser
 
 
-def deal(reps: DataFrame, quantiser: Quantiser, size: int, probes: int) -> DataFrame:
-    """A member row in the home list and a query row in each probed list of every vector, cut into blocks."""
+def deal(reps: DataFrame, quantiser: Quantiser, size: int, probes: int, kind: type) -> DataFrame:
+    """A member row in the home list and a query row in each probed list of every vector, cut into blocks.
+
+    Vectors travel as they are, in numbers of ``kind``.
+    """
     probes = min(probes, len(quantiser.coarse))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                rows = unit(matrix(batch.column("vector"), size))
+                plain = matrix(batch.column("vector"), size)
+                rows = unit(plain)
                 lists = nearest(rows, quantiser.coarse, probes)
                 codes, error = quantiser.encode(rows, lists[:, 0])
                 node, times = batch.column("node"), batch.column("times")
-                asked = packed(lists.astype(np.int32))
-                vector = packed(rows)
+                asked = packed(lists.astype(np.int16))
+                vector = packed(plain.astype(kind))
                 member = [pa.array(lists[:, 0].astype(np.int32)), pa.array(np.zeros(len(rows), np.int32)), node, times, pa.array(error), packed(codes), asked, vector]
                 yield pa.RecordBatch.from_arrays(member, NAMES)
                 none, zero = pa.array([b""] * len(rows), pa.binary()), pa.array(np.zeros(len(rows)))
@@ -139,7 +176,7 @@ NAMES = ["list", "role", "node", "times", "error", "codes", "asked", "vector"]
 SCHEMA = "list int, role int, node long, times long, error double, codes binary, asked binary, vector binary"
 
 
-def links(dealt: DataFrame, quantiser: Quantiser, size: int, cosine: float) -> DataFrame:
+def links(dealt: DataFrame, quantiser: Quantiser, size: int, cosine: float, kind: type) -> DataFrame:
     """``node, links, other`` rows: links of a node by multiplicity, and an edge to a node it is connected with.
 
     Every pair is counted once, in one of the lists where it can be found; pairs are never listed.  A group
@@ -150,20 +187,20 @@ def links(dealt: DataFrame, quantiser: Quantiser, size: int, cosine: float) -> D
         for columns in sorted_groups(batches, 3):
             starts = np.append(group_starts(columns[:3]), len(columns[0]))
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                node, found, other = _group([c[s:e] for c in columns], quantiser, size, cosine)
+                node, found, other = _group([c[s:e] for c in columns], quantiser, size, cosine, kind)
                 if len(node):
                     yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(found), pa.array(other)], ["node", "links", "other"])
 
     return dealt.mapInArrow(work, "node long, links long, other long")
 
 
-def _group(columns: list[np.ndarray], quantiser: Quantiser, size: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _group(columns: list[np.ndarray], quantiser: Quantiser, size: int, cosine: float, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     which, _, _, role, node, times, error, codes, asked, vector = columns
     n = int((role == 0).sum())  # members stand first
     if not n or n == len(role):
         return node[:0], node[:0], node[:0]
-    lists = unpacked(asked, np.int32, len(asked[0]) // 4)
-    rows = unpacked(vector, np.float64, size)
+    lists = unpacked(asked, np.int16, len(asked[0]) // 2)
+    rows = unit(unpacked(vector, kind, size).astype(np.float64))
     codes = unpacked(codes[:n], np.uint8, len(quantiser.parts))
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
     count = np.zeros(len(node), np.int64)
@@ -209,9 +246,11 @@ def _connect(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         label[:] = root
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, probes: int | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept``: one row per row of ``embeddings``, whatever its other columns.
 
+    ``probes`` is how many lists a vector asks; without it, as many as a trial on held-out vectors needs.
+
     Vectors are linked from ``cosine`` on, in double precision.  Equal vectors are one entry of the index
     with its multiplicity.  Vectors that are null, empty or zero, hold null or non-finite components or have
     another size than most, link with nothing and are their own component.  Null ids keep their row, never
@@ -226,8 +265,10 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, probes: int =
     reps = stored(first.withColumn("node", F.monotonically_increasing_id()), "pq-vectors")
     count = reps.count()
     if count:
-        quantiser = fit(reps, size, count)
-        found = stored(links(deal(reps, quantiser, size, probes), quantiser, size, cosine), "pq-links")
+        quantiser = fit(reps, size, count, cosine)
+        kind = np.float32 if embeddings.schema["embedding"].dataType.elementType == FloatType() else np.float64
+        dealt = deal(reps, quantiser, size, probes or quantiser.probes, kind)
+        found = stored(links(dealt, quantiser, size, cosine, kind), "pq-links")
     else:
         found = spark.createDataFrame([], "node long, links long, other long")
     per = found.groupBy("node").agg(F.sum("links").alias("links"))

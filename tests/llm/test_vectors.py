@@ -81,6 +81,20 @@ def test_all_probes_find_all_links(vectors):
         assert (r.n_links, r.component_id) == (near[r.vec_id].sum(), label[r.vec_id])
 
 
+@pytest.mark.parametrize("lists", [128, 1024, 4096])
+def test_probes_grow_with_the_lists(lists):
+    """Pairs at the least cosine, in any direction, are met whatever the number of lists."""
+    rng = np.random.default_rng(lists)
+    rows, fresh, aside = (pq_dedup.unit(rng.normal(size=(n, 64))) for n in (16 * lists, 4000, 4000))
+    coarse = pq_dedup.kmeans(rows, lists, rounds=4)
+    probes = pq_dedup.enough_probes(pq_dedup.unit(rng.normal(size=(pq_dedup.TRIAL, 64))), coarse, 0.9)
+    aside = pq_dedup.unit(aside - np.einsum("ij,ij->i", aside, fresh)[:, None] * fresh)
+    sides = fresh, 0.9 * fresh + np.sqrt(0.19) * aside
+    asked = [pq_dedup.nearest(side, coarse, probes) for side in sides]
+    met = (asked[0] == asked[1][:, :1]).any(1) | (asked[1] == asked[0][:, :1]).any(1)
+    assert met.mean() >= 0.95
+
+
 def test_odd_vectors_link_with_nothing(odd_vectors):
     out = defaultdict(list)
     for r in pq_dedup.near_duplicates(odd_vectors).collect():
@@ -116,11 +130,22 @@ def test_small_tables_are_searched_exactly(vectors):
     assert got[0] == want[0] == list(range(1, 21))
 
 
-def test_windows_reach_the_recall(vectors, monkeypatch):
+def test_ties_go_to_the_smaller_id(vectors):
+    rng = np.random.default_rng(6)
+    rows = [(i, [1.0, *rng.integers(0, 2, 12).tolist(), float(i)]) for i in range(1, 300)]
+    query = (0, [1.0] + [0.0] * 13)
+    got = [r for r in hilbert.search(vectors([query, *[(i, [float(x) for x in v]) for i, v in rows]])).collect() if r.query_id == 0]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == list(range(1, 21)) and {r.score for r in got} == {1.0}
+
+
+@pytest.mark.parametrize("longer, n_long", [(1, 0), (1e3, 1), (1e9, 1), (1e18, 20)])
+def test_windows_reach_the_recall(vectors, monkeypatch, longer, n_long):
     monkeypatch.setattr(hilbert, "LEAST_WINDOW", 10)
     monkeypatch.setattr(hilbert, "BLOCK", 100)
+    monkeypatch.setattr(hilbert, "LONGEST", 32)
     rng = np.random.default_rng(4)
     rows = rng.normal(size=(2000, 32)).astype(np.float32) * rng.uniform(0.5, 2, (2000, 1)).astype(np.float32)
+    rows[7 : 7 + n_long] *= np.float32(longer)
     want, _ = brute_nearest(list(range(2000)), rows, 20)
     got = defaultdict(set)
     for r in hilbert.search(vectors([(i, r.tolist()) for i, r in enumerate(rows)])).collect():
@@ -128,6 +153,16 @@ def test_windows_reach_the_recall(vectors, monkeypatch):
     assert np.mean([len(got[q] & set(w)) / 20 for q, w in want.items()]) >= 0.9
 
 
+def test_more_long_vectors_than_stand_beside_the_curves():
+    """Equal shares of the vectors in the cells, whatever their lengths."""
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(4000, 24)) * 10.0 ** rng.uniform(-9, 9, (4000, 1))
+    projections = hilbert.Projections(24, 4)
+    points = projections.points(rows, float(np.sqrt((rows**2).sum(1)).max()))
+    borders = np.quantile(points, np.linspace(0, 1, hilbert.BORDERS + 1), axis=0)
+    assert all(len(np.unique(key)) > 3000 for key in projections.keys(points, borders))
+
+
 def test_odd_vectors_take_no_part(odd_vectors):
     out = hilbert.search(odd_vectors).collect()
     assert {r.query_id for r in out} == {40, 60}
