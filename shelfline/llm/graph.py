@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.llm.common import stored
+from shelfline.operators.scale import salted_join
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a, b``, longs): the smallest node of its component.
 
     Alternating large and small stars: every round hangs neighbours below smaller ones, in a number of
-    rounds that grows with the logarithm of the nodes.  Minima combine before the shuffle, and the joins
-    are plain equi joins, whose hot keys adaptive execution splits.  Each round is written to the shared
-    folder.
+    rounds that grows with the logarithm of the nodes.  Minima combine before the shuffle, and the edges of
+    a hub are dealt to several tasks.  Each round is written to the shared folder.
     """
     low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
     now = stored(edges.select(low, high).where("low < high").distinct(), "edges")
@@ -39,8 +39,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 
 def _mark(edges: DataFrame) -> tuple:
     """Equal for equal sets of edges."""
-    part = F.pmod(F.xxhash64("low", "high"), F.lit(1 << 40))
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(part.cast("decimal(38,0)")).alias("s")).first()
+    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("low", "high").cast("decimal(20,0)")).alias("s")).first()
     return r["n"], r["s"]
 
 
@@ -48,13 +47,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is hung below the smallest of the node and its neighbours."""
     both = edges.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(edges.select(F.col("high").alias("u"), F.col("low").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("m").alias("low"), F.col("v").alias("high")).distinct()
+    down = edges.select(F.col("low").alias("u"), F.col("high").alias("v"))
+    return salted_join(down, least, ["u"], spread=["v"]).select(F.col("m").alias("low"), F.col("v").alias("high")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are hung below the smallest of them."""
     least = edges.groupBy("high").agg(F.min("low").alias("m"))
-    hung = edges.join(least, "high").where("low > m").select(F.col("m").alias("low"), F.col("low").alias("high"))
+    hung = salted_join(edges, least, ["high"], spread=["low"]).where("low > m").select(F.col("m").alias("low"), F.col("low").alias("high"))
     return hung.unionByName(least.select(F.col("m").alias("low"), "high")).distinct()
 
 

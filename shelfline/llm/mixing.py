@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.llm.common import WORD, free_names, running_sum, stored, text_of
@@ -58,7 +58,7 @@ def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = MO
         documents["source"].cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(documents["doc_id"].cast("string"), F.lit("")), text)).alias("_key"),
-        F.xxhash64(documents["doc_id"], documents["text"]).alias("text_key"),
+        _text_key(documents).alias("text_key"),
         F.when(documents["source"].isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), documents["source"])).alias("_group"),
     )
     slim = stored(slim, "mix-sizes")
@@ -74,21 +74,33 @@ def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = MO
     )
 
 
+def _text_key(documents: DataFrame) -> Column:
+    """64 bits of id, text and source: rows of one id are told apart by text, and by source."""
+    return F.xxhash64(documents["doc_id"], documents["text"], documents["source"].isNull(), documents["source"])
+
+
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The documents of the mix with all their columns, a row for each copy.
 
-    Repeated rows are counted together; ``copies`` bounds the rows that come of a document.
+    Rows of one id and text under several sources are documents of their own.  Rows that agree in id,
+    text and source are counted together and stand for each other, the one whose further columns hash
+    least; ``copies`` bounds the rows that come of a document.  Null ids, texts and sources are values like
+    others, texts are joined whole, and an empty table gives no rows.
     """
-    key, copies, one = free_names(documents, "text_key", "copies", "copy")
+    key, copies, one, pick = free_names(documents, "text_key", "copies", "copy", "pick")
     ident = free_names(documents, "mix_id")[0]
     counts = mix(documents, **options).groupBy("doc_id", "text_key").agg(F.sum("copies").alias("copies"))
     counts = counts.where("copies > 0").select(
         F.coalesce(F.col("doc_id"), F.lit(-1)).alias(ident), F.col("text_key").alias(key), F.col("copies").alias(copies)
     )
     named = documents.withColumn(ident, F.coalesce(documents["doc_id"].cast("long"), F.lit(-1)))
-    named = named.withColumn(key, F.xxhash64(documents["doc_id"], documents["text"]))
-    joined = named.join(counts, [ident, key]).dropDuplicates([ident, key])
-    return joined.withColumn(one, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*documents.columns)
+    named = named.withColumn(key, _text_key(documents))
+    rest = [documents[c] for c in documents.columns if c not in ("doc_id", "text", "source")]
+    named = named.withColumn(pick, F.xxhash64(*rest) if rest else F.lit(0))
+    # rows that repeat combine before the shuffle, which the join shares
+    chosen = named.groupBy(ident, key).agg(F.min_by(F.struct(*documents.columns), pick).alias(pick))
+    chosen = chosen.join(counts, [ident, key]).select(f"{pick}.*", copies)
+    return chosen.withColumn(one, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*documents.columns)
 
 
 def oracle(weights: Sequence[int] = WEIGHTS, epochs: int = MOST_EPOCHS, seed: str = "mix") -> str:

@@ -292,6 +292,14 @@ def test_mixing_messy_rows(messy, no_documents):
     assert mixed.columns == messy.columns and mixed.count() == mixing.mix(messy).agg(F.sum("copies")).first()[0]
 
 
+def test_one_id_and_text_under_two_sources(documents):
+    df = documents([(1, "some text here", s) for s in ("a", "b", None, "")])
+    assert {r.copies for r in mixing.mix(df, weights=(1,)).collect()} == {1}
+    assert {r.source for r in mixing.mixed_documents(df, weights=(1,)).collect()} == {"a", "b", None, ""}
+    twice = documents([(1, "some text here", s) for s in ("a", "a", "b", "b")])
+    assert Counter(r.source for r in mixing.mixed_documents(twice, weights=(1,)).collect()) == {"a": 2, "b": 2}
+
+
 # -- SimHash -------------------------------------------------------------------------------
 
 
