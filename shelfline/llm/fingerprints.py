@@ -26,8 +26,12 @@ from shelfline.llm.common import by_batch, cut, partitions, stored, text_of
 SAMPLES = 128
 #: Bytes of text that a task weighs at once.
 TOGETHER = 16 << 20
+#: Terms whose variates are drawn at once: they fit the processor's cache.
+CHUNK = 1 << 14
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
-_ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_ROW = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_TYPES = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string(), "int": pa.int32()}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -40,10 +44,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers in (0, 1) from each of 64 bits."""
-    low = (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
-    return ((x >> np.uint64(32)).astype(np.float64) + 0.5) / (1 << 32), (low + 0.5) / (1 << 32)
+def _variates(hashes: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``r``, ``log c`` and ``beta`` of a sample for each term: two gamma variates of shape 2 and a uniform one.
+
+    Five numbers of 24 bits come from two hashes.
+    """
+    first, second = (_mixed(hashes + _STEP * np.uint64(2 * sample + i + 1)) for i in (0, 1))
+    low = np.uint64((1 << 24) - 1)
+
+    def part(x: np.ndarray) -> np.ndarray:
+        return (x.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+
+    r = -np.log(part(first & low) * part((first >> np.uint64(24)) & low))
+    c = -np.log(part(second & low) * part((second >> np.uint64(24)) & low))
+    beta = part(((first >> np.uint64(48)) << np.uint64(8)) | (second >> np.uint64(56)))
+    return r, np.log(c), beta
 
 
 def weighted_samples(hashes: np.ndarray, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_rows: int, samples: int = SAMPLES) -> np.ndarray:
@@ -60,23 +75,27 @@ def weighted_samples(hashes: np.ndarray, rows: np.ndarray, terms: np.ndarray, we
     keys, back = np.unique((terms[other] << 32) | weights[other], return_inverse=True)
     pair = terms.copy()
     pair[other] = len(hashes) + back
-    term_of = np.concatenate([np.arange(len(hashes)), keys >> 32])
-    log_weight = np.concatenate([np.zeros(len(hashes)), np.log((keys & 0xFFFFFFFF).astype(np.float64))])
+    heavy = keys >> 32
+    term_of = np.concatenate([np.arange(len(hashes)), heavy])
+    log_weight = np.log((keys & 0xFFFFFFFF).astype(np.float32))
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     number = np.arange(len(term_of), dtype=np.uint64)
-    step = np.uint64(0x9E3779B97F4A7C15)
+    value = np.empty(len(term_of), np.float32)
+    level = np.zeros(len(term_of), np.int64)
+    r, log_c, beta = (np.empty(len(hashes), np.float32) for _ in range(3))
     with np.errstate(over="ignore"):
         for j in range(samples):
-            at = [hashes + step * np.uint64(3 * j + i + 1) for i in range(3)]
-            (u1, u2), (u3, u4), (beta, _) = (_halves(_mixed(x)) for x in at)
-            r, log_c = -np.log(u1 * u2), np.log(-np.log(u3 * u4))
-            r, log_c, beta = r[term_of], log_c[term_of], beta[term_of]
-            level = np.floor(log_weight / r + beta)
-            value = np.exp(log_c - r * (level - beta + 1)).astype(np.float32)
+            for at in range(0, len(hashes), CHUNK):
+                part = slice(at, min(at + CHUNK, len(hashes)))
+                r[part], log_c[part], beta[part] = _variates(hashes[part], j)
+                value[part] = log_c[part] - r[part] * (1 - beta[part])  # the level of weight one is 0
+            rise = np.floor(log_weight / r[heavy] + beta[heavy])
+            value[len(hashes) :] = log_c[heavy] - r[heavy] * (rise - beta[heavy] + 1)
+            level[len(hashes) :] = rise
             # the bits of a positive float order like it; the pair goes along in the lower half
-            least = np.minimum.reduceat((value.view(np.uint32).astype(np.uint64)[pair] << np.uint64(32)) | number[pair], first)
-            won = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            code = _mixed(hashes[term_of[won]] + step * (level[won].astype(np.int64).view(np.uint64) + np.uint64(j)))
+            keyed = (np.exp(value).view(np.uint32).astype(np.uint64) << np.uint64(32)) | number
+            won = (np.minimum.reduceat(keyed[pair], first) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            code = _mixed(hashes[term_of[won]] + _STEP * (level[won].view(np.uint64) + np.uint64(j)))
             out[rows[first], j] = (code >> np.uint64(48)).astype(np.uint16)
     return out
 
@@ -104,9 +123,14 @@ def likeness(a: np.ndarray, some_a: np.ndarray, b: np.ndarray, some_b: np.ndarra
     return np.where(some_a & some_b, (a == b).mean(axis=1), (some_a == some_b).astype(np.float64))
 
 
+def raw(codes: np.ndarray, some: np.ndarray) -> list[bytes]:
+    """Two bytes a sample; empty without words."""
+    return [row.tobytes() if s else b"" for row, s in zip(codes.astype(">u2"), some)]
+
+
 def shown(codes: np.ndarray, some: np.ndarray) -> list[str]:
     """Four hex digits a sample; empty without words."""
-    return [c.astype(">u2").tobytes().hex() if s else "" for c, s in zip(codes, some)]
+    return [row.hex() for row in raw(codes, some)]
 
 
 def fingerprints(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -137,9 +161,9 @@ def _finished(ids: list, texts: list[str], codes: np.ndarray, some: np.ndarray,
     return {
         "doc_id": pa.array(ids, pa.int64()),
         "n_chars": pa.array([len(t) for t in texts], pa.int64()),
-        "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in changed],
-        "fingerprint": shown(codes, some),
-        "edited_fingerprint": shown(new, new_some),
+        "edited_sha256": pa.array([hashlib.sha256(t.encode()).digest() for t in changed], pa.binary()),
+        "fingerprint": pa.array(raw(codes, some), pa.binary()),
+        "edited_fingerprint": pa.array(raw(new, new_some), pa.binary()),
         "near_edited": likeness(codes, some, new, new_some),
         "near_next": likeness(codes, some, next_codes, next_some),
     }
@@ -164,9 +188,9 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
     schema = f"{_ROW}, part int, edge string, text string"
 
     def batch_of(columns: dict, n: int, part: int) -> pa.RecordBatch:
-        full = {**{c: pa.nulls(n, pa.float64() if c.startswith("near") else pa.int64() if c in ("doc_id", "n_chars") else pa.string()) for c in names}}
-        full |= {"part": pa.array([part] * n, pa.int32()), "edge": pa.nulls(n, pa.string()), "text": pa.nulls(n, pa.string())}
-        return pa.RecordBatch.from_pydict({**full, **columns})
+        columns = {"part": pa.array([part] * n, pa.int32()), **columns}
+        fields = [c.split() for c in schema.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], _TYPES[kind]) if c in columns else pa.nulls(n, _TYPES[kind]) for c, kind in fields], [c for c, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -178,7 +202,7 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
                     continue
                 codes, some = signatures(texts)
                 if held is None:
-                    yield batch_of({"edge": ["first"], "doc_id": pa.array(ids[:1], pa.int64()), "text": texts[:1]}, 1, part)
+                    yield batch_of({"edge": ["first"], "doc_id": ids[:1], "text": texts[:1]}, 1, part)
                 else:
                     ids, texts = [held[0], *ids], [held[1], *texts]
                     codes, some = np.concatenate([held[2], codes]), np.concatenate([held[3], some])
@@ -187,7 +211,7 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
                     done = _finished(ids[:-1], texts[:-1], codes[:-1], some[:-1], texts[1:], codes[1:], some[1:])
                     yield batch_of(done, len(texts) - 1, part)
         if held is not None:
-            yield batch_of({"edge": ["last"], "doc_id": pa.array([held[0]], pa.int64()), "text": [held[1]]}, 1, part)
+            yield batch_of({"edge": ["last"], "doc_id": [held[0]], "text": [held[1]]}, 1, part)
 
     out = stored(ranged.mapInArrow(run, schema), "fingerprints")
     lasts = out.where("edge = 'last'").select("part", "doc_id", "text")
@@ -201,4 +225,6 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
         ids, texts, after = (c.to_pylist() for c in batch.columns)
         return pa.RecordBatch.from_pydict(_finished(ids, texts, *signatures(texts), after, *signatures(after)))
 
-    return out.where("edge is null").select(*names).unionByName(by_batch(met, work, _ROW, TOGETHER))
+    done = out.where("edge is null").select(*names).unionByName(by_batch(met, work, _ROW, TOGETHER))
+    # the digits are written out last: they take twice the room
+    return done.select(*[F.lower(F.hex(c)).alias(c) if kind == "binary" else F.col(c) for c, kind in (f.split() for f in _ROW.split(", "))])
