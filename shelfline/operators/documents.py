@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from shelfline.functions.chunking import ChunkRules, Words, chunks, outline
 from shelfline.operators.scale import salted_join
+from shelfline.sources import versions
 
 SOURCE_KEY = ("source_type", "source_path")
 
@@ -46,6 +47,15 @@ def replace_chunks(chunks: DataFrame, fresh: DataFrame, gone: DataFrame) -> Data
     return kept.unionByName(fresh.select(*chunks.columns))
 
 
+def replace_chunks_in(path: str, fresh: DataFrame, gone: DataFrame, layout: versions.Layout) -> versions.Version:
+    """``replace_chunks`` in a stored table that is laid out by ``source_id``: only the touched buckets are rewritten."""
+    spark = fresh.sparkSession
+    before = versions.current(spark, path)
+    values = versions.touched(fresh.select("source_id").unionByName(gone.select("source_id")), layout)
+    chunks = versions.read(spark, path, layout, values, before)
+    return versions.replace(replace_chunks(chunks, fresh, gone), path, layout, values, before)
+
+
 def source_overview(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     """Sources with their number of chunks and tokens; sources without chunks have 0."""
     sizes = chunks.groupBy("source_id").agg(

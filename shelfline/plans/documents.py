@@ -9,7 +9,9 @@ from shelfline.operators import filters, retrieval, runs
 from shelfline.operators.scale import new_path
 from shelfline.plans.common import num, r, rounded
 from shelfline.plans.views import with_views
+from shelfline.sources import versions
 from shelfline.sources.star import load_star, read_table
+from shelfline.streaming import changes as stream_changes
 
 # -- documents ------------------------------------------------------------------
 
@@ -45,6 +47,22 @@ def changes(spark, folder):
     return out.select("doc_id", "source_type", "source_path", "source_id", "status")
 
 
+def change_stream(spark, folder):
+    """Three runs of a stream over all documents: the stored ones, all as they are now, German ones changed again."""
+    current = _documents(spark, folder)
+    french = F.when(F.col("source_path").startswith("fr/"), F.concat("content", F.lit(" "))).otherwise(F.col("content"))
+    german = F.when(F.col("source_path").startswith("de/"), F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    rounds = (current.where(F.col("n_chars") > 500).withColumn("content", french), current, current.withColumn("content", german))
+    incoming, state, log, marks = (new_path(spark, f"changes-{name}") for name in ("in", "state", "log", "marks"))
+    stream_changes.create_state(spark, state, buckets=8)
+    for rows in rounds:
+        rows = rows.select("source_type", "source_path", "content", F.col("doc_id").alias("row_index"))
+        rows.write.mode("append").parquet(incoming)
+        stream = spark.readStream.schema(rows.schema).parquet(incoming)
+        stream_changes.start_change_detection(stream, state, log, marks, buckets=8).awaitTermination()
+    return stream_changes.judged_documents(spark, log, state, ["source_type", "source_path", "status"]).drop("stream")
+
+
 def _outlines(spark, folder):
     """Pages as markdown: title, headline and list items become headings of level 1 to 3."""
     html = F.col("html")
@@ -85,8 +103,7 @@ def _chunk_rows(spark, folder):
     )
 
 
-def replaced_chunks(spark, folder):
-    """Chunks per source after a run: changed sources re-chunked, their old chunks gone."""
+def _replaced_chunks(spark, folder, replace):
     columns = ["source_id", "chunk_index", "content"]
     every = _chunk_rows(spark, folder)
     stored = _stored(spark, folder).select("source_id")
@@ -98,12 +115,27 @@ def replaced_chunks(spark, folder):
     fresh = every.join(changed, "source_id", "left_semi").select(
         "source_id", "chunk_index", F.upper("content").alias("content")
     )
-    after = docs.replace_chunks(old, fresh, changed)
-    return after.groupBy("source_id").agg(
+    return replace(old, fresh, changed).groupBy("source_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("content") == F.upper("content")).alias("upper_chunks")
     )
 
 
+def replaced_chunks(spark, folder):
+    """Chunks per source after a run: changed sources re-chunked, their old chunks gone."""
+    return _replaced_chunks(spark, folder, docs.replace_chunks)
+
+
+def replaced_chunks_in_buckets(spark, folder):
+    """The same in a stored table, bucket by bucket."""
+
+    def replace(old, fresh, changed):
+        layout, path = versions.by_bucket(["source_id"], 16), new_path(spark, "chunks")
+        versions.create(old, path, layout)
+        return versions.read(spark, path, layout, version=docs.replace_chunks_in(path, fresh, changed, layout))
+
+    return _replaced_chunks(spark, folder, replace)
+
+
 def source_overview(spark, folder):
     """Every document, and for each language a source that was registered but never indexed."""
     d = _documents(spark, folder)
@@ -354,10 +386,12 @@ def artifacts(spark, folder):
 QUERIES = {
     "content_hash": content_hashes,
     "document_changes": changes,
+    "document_change_stream": change_stream,
     "page_sections": page_sections,
     "document_chunks": document_chunks,
     "page_chunks": page_chunks,
     "replace_chunks": replaced_chunks,
+    "replace_chunks_in_buckets": replaced_chunks_in_buckets,
     "source_overview": source_overview,
     "token_totals": token_totals,
     "spec_chunks": spec_chunks,
@@ -516,6 +550,15 @@ ORACLES = {
     "document_changes": with_views(
         "", "select doc_id, source_type, source_path, source_id, status from status", docs=_DOCS, stored=_STORED, status=_STATUS
     ),
+    "document_change_stream": with_views(
+        "",
+        """select cast(0 as bigint) as batch_id, source_type, source_path, 'indexed' as status from docs where n_chars > 500
+union all select 1, source_type, source_path, status from status
+union all select 2, source_type, source_path, case when source_path like 'de/%' then 'updated' else 'unchanged' end from docs""",
+        docs=_DOCS,
+        stored=_STORED,
+        status=_STATUS,
+    ),
     "page_sections": with_views(
         "",
         """select page_id, cast(row_number() over (partition by page_id order by sec) - 1 as int) as section_index,
@@ -622,3 +665,4 @@ from (select *, lag(status) over (partition by run_id order by "at") as from_sta
         al=_ALIAS,
     ),
 }
+ORACLES["replace_chunks_in_buckets"] = ORACLES["replace_chunks"]

@@ -11,7 +11,7 @@ from shelfline.operators.scale import new_path, salted_join
 from shelfline.plans.common import r, rounded
 from shelfline.plans.features import BRAND, brand_daily
 from shelfline.plans.views import with_views
-from shelfline.sources import sinks
+from shelfline.sources import sinks, versions
 from shelfline.sources.star import load_star
 from shelfline.streaming import ingest
 
@@ -82,48 +82,90 @@ def _sales_batch(star):
     )
 
 
+def _old_sales_and_batch(spark, folder):
+    star = load_star(spark, folder)
+    return star.sales(None, dt.date(1999, 12, 31)), _sales_batch(star).where(F.col("date") >= dt.date(1999, 1, 1))
+
+
 def upserted(spark, folder):
     """Sales up to 1999 merged with all lines since 1999: both new and known grains."""
+    return rounded(sinks.upsert(*_old_sales_and_batch(spark, folder)), "unit_price", "total_amount")
+
+
+def upserted_months(spark, folder):
+    """The same in a stored table, whose months before 1999 are not touched."""
+    target, batch = _old_sales_and_batch(spark, folder)
+    path, months = new_path(spark, "sales"), versions.by_month()
+    versions.create(target, path, months)
+    return rounded(versions.read(spark, path, months, version=versions.upsert_into(path, batch, months)), "unit_price", "total_amount")
+
+
+def _old_and_raised_sales(spark, folder):
     star = load_star(spark, folder)
-    target = star.sales(None, dt.date(1999, 12, 31))
-    batch = _sales_batch(star).where(F.col("date") >= dt.date(1999, 1, 1))
-    return rounded(sinks.upsert(target, batch), "unit_price", "total_amount")
+    raised = star.sales(dt.date(1999, 1, 1)).withColumn("quantity", F.col("quantity") + 1)
+    return star.sales(None, dt.date(1999, 12, 31)), raised
 
 
 def inserted(spark, folder):
     """The same batch, known grains left alone."""
-    star = load_star(spark, folder)
-    target = star.sales(None, dt.date(1999, 12, 31))
-    batch = star.sales(dt.date(1999, 1, 1)).withColumn("quantity", F.col("quantity") + 1)
-    return rounded(sinks.insert_new(target, batch), "unit_price", "total_amount")
+    return rounded(sinks.insert_new(*_old_and_raised_sales(spark, folder)), "unit_price", "total_amount")
+
+
+def inserted_months(spark, folder):
+    """The same in a stored table: only the new rows are written."""
+    target, batch = _old_and_raised_sales(spark, folder)
+    path, months = new_path(spark, "sales"), versions.by_month()
+    versions.create(target, path, months)
+    return rounded(versions.read(spark, path, months, version=versions.insert_new_into(path, batch, months)), "unit_price", "total_amount")
+
+
+def _natural_keys(batch):
+    """Order lines as sales rows with store codes and SKUs."""
+    return batch.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_index"),
+        F.col("l_shipdate").cast("date").alias("date"),
+        F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 4, "0")).alias("store_code"),
+        F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string")).alias("sku"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        F.lit(1).cast("decimal(10,2)").alias("unit_price"),
+        F.col("l_quantity").cast("decimal(12,2)").alias("total_amount"),
+    )
 
 
 def stream_ingest(spark, folder):
     """The order lines read as a stream, validated, logged and folded into the current table."""
     star = load_star(spark, folder)
-    schema = star.raw("lineitem").schema
-    stream = ingest.read_files(spark, folder, schema, "parquet", 1, "lineitem*.parquet")
-
-    def prepare(batch):
-        return batch.select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_index"),
-            F.col("l_shipdate").cast("date").alias("date"),
-            F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 4, "0")).alias("store_code"),
-            F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string")).alias("sku"),
-            F.col("l_quantity").cast("int").alias("quantity"),
-            F.lit(1).cast("decimal(10,2)").alias("unit_price"),
-            F.col("l_quantity").cast("decimal(12,2)").alias("total_amount"),
-        )
-
+    stream = ingest.read_files(spark, folder, star.raw("lineitem").schema, "parquet", 1, "lineitem*.parquet")
     log = new_path(spark, "ingest-log")
     days = star.calendar.where(F.col("year") >= KNOWN_SINCE)
     query = ingest.start_ingest(
-        stream, star.store, star.product, days, log, new_path(spark, "ingest-checkpoint"), prepare
+        stream, star.store, star.product, days, log, new_path(spark, "ingest-checkpoint"), _natural_keys
     )
     query.awaitTermination()
     return rounded(ingest.current_sales(spark, log), "unit_price", "total_amount")
 
 
+def stream_compacted(spark, folder):
+    """Two streams into one table: all lines, then first lines by the other stream, then second lines by the first again.
+
+    The table is compacted after each; the last batch is one that an older stream wrote after the mark of a newer one.
+    """
+    star = load_star(spark, folder)
+    lines = star.raw("lineitem")
+    log, table = new_path(spark, "ingest-log"), new_path(spark, "sales")
+    ingest.create_table(star.sales_daily.where("false"), table)
+    places = {name: (new_path(spark, f"ingest-{name}"), new_path(spark, "ingest-checkpoint")) for name in ("a", "b")}
+    batches = (("a", lines), ("b", lines.where("l_linenumber = 1")), ("a", lines.where("l_linenumber = 2")))
+    for more, (name, rows) in enumerate(batches):
+        incoming, marks = places[name]
+        rows.withColumn("l_quantity", F.col("l_quantity") + 100 * more).write.mode("append").parquet(incoming)
+        stream = spark.readStream.schema(lines.schema).parquet(incoming)
+        days = star.calendar.where(F.col("year") >= KNOWN_SINCE)
+        ingest.start_ingest(stream, star.store, star.product, days, log, marks, _natural_keys).awaitTermination()
+        ingest.compact(spark, log, table)
+    return rounded(ingest.read_table(spark, table), "unit_price", "total_amount")
+
+
 def duplicate_grains(spark, folder):
     star = load_star(spark, folder)
     lines = star.raw("lineitem").withColumn("day", F.col("l_shipdate").cast("date"))
@@ -261,8 +303,11 @@ QUERIES = {
     "ingest_accepted": accepted,
     "ingest_summary": summary,
     "upsert_sales": upserted,
+    "upsert_sales_months": upserted_months,
     "insert_new_sales": inserted,
+    "insert_new_sales_months": inserted_months,
     "stream_ingest": stream_ingest,
+    "stream_compact": stream_compacted,
     "duplicate_grains": duplicate_grains,
     "constraint_violations": violations,
     "constraint_violations_shifted": violations_shifted,
@@ -439,6 +484,14 @@ from (select * from sales_daily where date < date '2000-01-01') s full join newe
         lines=_LINES,
         newest=_LAST.format(where=f"year(date) >= {KNOWN_SINCE}"),
     ),
+    "stream_compact": with_views(
+        "",
+        f"select date, store_id, product_id, quantity, {_NEW_ROWS} from newest",
+        lines=f"""select 0 as batch, * from ({_LINES}) t union all
+select batch, row_index, date, store_id, product_id, quantity + 100 * batch, unit_price, total_amount + 100 * batch
+from ({_LINES}) t join (select unnest([1, 2]) as batch) b on batch = row_index % 10""",
+        newest=_LAST.format(where=f"year(date) >= {KNOWN_SINCE}").replace("order by row_index", "order by batch desc, row_index"),
+    ),
     "duplicate_grains": with_views(
         "sales_daily inventory_snapshot_daily store product",
         " union all ".join(
@@ -511,3 +564,4 @@ from (select (select count(*) from (select distinct store_id, product_id from sa
 from (select *, lag(date) over (partition by region, brand order by date) as before from brand_daily) t where date - before > 1""",
     ),
 }
+ORACLES |= {f"{name}_months": ORACLES[name] for name in ("upsert_sales", "insert_new_sales")}

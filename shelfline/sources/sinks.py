@@ -1,7 +1,7 @@
 """Writers: merged tables, results and fitted models.
 
-A table is never changed in place.  ``upsert`` and ``insert_new`` return the new state of a table;
-``write_version`` stores it below a new path, so a job that dies leaves the old version untouched.
+A table is never changed in place.  ``upsert`` and ``insert_new`` return the new state of a table, which
+``write_version`` stores below a new path; ``versions`` applies them to the touched partitions of a large table.
 """
 
 from __future__ import annotations
@@ -59,13 +59,18 @@ def upsert(
     return merged.select(*out)
 
 
-def insert_new(target: DataFrame, batch: DataFrame, keys: Sequence[str] = GRAIN) -> DataFrame:
-    """``target`` plus the rows of ``batch`` whose key is new; the first of equal new keys is kept."""
+def new_rows(target: DataFrame, batch: DataFrame, keys: Sequence[str] = GRAIN) -> DataFrame:
+    """The rows of ``batch`` whose key ``target`` lacks, in its columns; the least of equal new keys."""
     keys = list(keys)
     rest = [c for c in target.columns if c not in keys]
     first = F.min(F.struct(*rest)).alias("_row")
     single = batch.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
-    return target.unionByName(single.join(target.select(*keys), keys, "left_anti").select(*target.columns))
+    return single.join(target.select(*keys), keys, "left_anti").select(*target.columns)
+
+
+def insert_new(target: DataFrame, batch: DataFrame, keys: Sequence[str] = GRAIN) -> DataFrame:
+    """``target`` plus the rows of ``batch`` whose key is new; the least of equal new keys is kept."""
+    return target.unionByName(new_rows(target, batch, keys))
 
 
 def write_version(df: DataFrame, folder: str, name: str, partition_by: Sequence[str] = ()) -> str:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfline.operators import demand, exog, filters, quality, reports
-from shelfline.sources import sinks
+from shelfline.sources import sinks, versions
 from shelfline.streaming import ingest
 
 D = dt.date
@@ -238,15 +238,55 @@ def test_stream_batches_and_restart(spark, store, product, calendar, tmp_path, r
     assert rows(ingest.rejected_rows(spark, log), "batch_id", "row_index", "error_code") == [(0, 2, "UNKNOWN_STORE")]
     mark = ingest.high_water(spark, log)
     assert ingest.accepted_rows(spark, log, mark).count() == 0
-    # a stream that starts anew keeps the batches of the old one and wins over them
+    # a stream that starts anew keeps the batches of the old one; its rows arrive later
     drop("c.json", line(0, "2024-01-06", "S002", 5))
     stream = ingest.read_files(spark, str(source), schema, files_per_batch=1, glob="c.json")
     ingest.start_ingest(stream, store, product, calendar, log, str(tmp_path / "anew")).awaitTermination()
     assert rows(ingest.current_sales(spark, log), "store_id", "quantity") == [(1, 7), (2, 5)]
     assert [r.quantity for r in ingest.accepted_rows(spark, log, mark).collect()] == [5]
-    table = spark.createDataFrame([sale(D(2024, 1, 5), 1, 101, 50, 1), sale(D(2024, 1, 9), 1, 101, 4, 1)], SALES)
-    path = ingest.compact(spark, table, log, str(tmp_path / "tables"))
-    assert rows(spark.read.parquet(path), "date", "quantity") == [(D(2024, 1, 5), 7), (D(2024, 1, 6), 5), (D(2024, 1, 9), 4)]
+    table = str(tmp_path / "sales")
+    ingest.create_table(spark.createDataFrame([sale(D(2024, 1, 5), 1, 101, 50, 1), sale(D(2024, 1, 9), 1, 101, 4, 1)], SALES), table)
+    ingest.compact(spark, log, table)
+    assert rows(ingest.read_table(spark, table), "date", "quantity") == [(D(2024, 1, 5), 7), (D(2024, 1, 6), 5), (D(2024, 1, 9), 4)]
+
+
+def test_streams_that_interleave_are_compacted_whole(spark, store, product, calendar, tmp_path, rows):
+    log, table = str(tmp_path / "log"), str(tmp_path / "sales")
+    schema = spark.createDataFrame([], ROW).schema
+    ingest.create_table(spark.createDataFrame([], SALES), table)
+    written = 0
+
+    def write(stream, *lines):
+        nonlocal written
+        (tmp_path / stream).mkdir(exist_ok=True)
+        made = [{"row_index": i, "date": day, "store_code": code, "sku": "SKU-001", "quantity": q, "unit_price": 1.0, "total_amount": 1.0} for i, (day, code, q) in enumerate(lines)]
+        (tmp_path / stream / f"{written}.json").write_text("\n".join(json.dumps(x) for x in made))
+        written += 1
+        files = ingest.read_files(spark, str(tmp_path / stream), schema, files_per_batch=1, glob="*.json")
+        ingest.start_ingest(files, store, product, calendar, log, str(tmp_path / f"marks-{stream}")).awaitTermination()
+
+    def check(*expected):
+        ingest.compact(spark, log, table)
+        now = rows(ingest.read_table(spark, table), "date", "store_id", "quantity")
+        assert now == rows(ingest.current_sales(spark, log), "date", "store_id", "quantity") == sorted(expected)
+        assert versions.current(spark, table).note["marks"] == ingest.high_water(spark, log)
+
+    day, other = "2024-01-05", "2024-01-20"
+    write("a", (day, "S001", 1))
+    write("b", (day, "S002", 2))
+    check((D(2024, 1, 5), 1, 1), (D(2024, 1, 5), 2, 2))
+    write("a", (other, "S001", 3), (day, "S002", 4))  # the older stream goes on after the mark of the newer one
+    check((D(2024, 1, 5), 1, 1), (D(2024, 1, 5), 2, 4), (D(2024, 1, 20), 1, 3))
+    write("b", (day, "S001", 5))
+    write("a", (day, "S001", 6))
+    write("b", (other, "S002", 7), (other, "S001", -1))
+    check((D(2024, 1, 5), 1, 6), (D(2024, 1, 5), 2, 4), (D(2024, 1, 20), 1, 3), (D(2024, 1, 20), 2, 7))
+    version = versions.current(spark, table)
+    assert ingest.compact(spark, log, table) == version  # nothing new
+    # a batch whose rows are there without its record is not finished
+    unfinished = f"{log}/rows/stream={ingest.stream_name(str(tmp_path / 'marks-a'))}/batch_id=99/status=accepted"
+    ingest.accepted_rows(spark, log).drop("stream", "batch_id").write.parquet(unfinished)
+    assert ingest.compact(spark, log, table) == version and ingest.accepted_rows(spark, log).where("batch_id = 99").count() == 0
 
 
 # -- quality, calendar, demand ----------------------------------------------------------------
