@@ -234,8 +234,8 @@ def nearest_many(spark, folder):
 
 
 def nearest_blocks(spark, folder):
-    """The same with the queries in blocks of three."""
-    return retrieval.top_k(_vectors(spark, folder), _queries(spark, folder), k=7, threshold=0.2, block=3)
+    """The same by parts of the chunks, with the queries in blocks of three."""
+    return retrieval.top_k(_vectors(spark, folder), _queries(spark, folder), k=7, threshold=0.2, block=3, few=2)
 
 
 def nearest_filtered(spark, folder):

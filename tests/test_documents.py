@@ -6,6 +6,7 @@ import json
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,8 +194,11 @@ def test_embedding_hook_keeps_order_and_pools_long_texts(spark):
 # -- retrieval ---------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_top_k_equals_brute_force(spark, block):
+@pytest.mark.parametrize("few,block,part_bytes", [(256, 1024, 1 << 20), (0, 1024, 1 << 20), (0, 3, 640)])
+def test_top_k_equals_brute_force(spark, monkeypatch, few, block, part_bytes):
+    monkeypatch.setattr(retrieval, "FEW", few)
+    monkeypatch.setattr(retrieval, "HELD", 10)
+    monkeypatch.setattr(retrieval, "PART_BYTES", part_bytes)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 8)).astype(np.float32)
     x[10] = x[20]  # an exact tie
@@ -215,6 +219,44 @@ def test_top_k_equals_brute_force(spark, block):
         assert {n: j for n, (j, _) in got.get(f"q{i}", {}).items()} == want
 
 
+def clusters(spark, n=3000, size=16):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, size))
+    x = centres[rng.integers(0, 40, n)] + 0.2 * rng.normal(size=(n, size))
+    x[: n // 3] = x[0]  # a third of the chunks are copies
+    chunks = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "chunk_id int, embedding array<double>").repartition(4)
+    return x, chunks
+
+
+@pytest.mark.parametrize("partitions", ["4", "50"])
+def test_parts_are_bounded_and_few_of_them_are_asked(spark, monkeypatch, partitions):
+    """As many query rows as parts may hold hits, whatever the shuffle partitions; the same rows as a scan."""
+    x, chunks = clusters(spark)
+    asked = spark.createDataFrame([(f"q{i}", [float(v) for v in x[i]]) for i in range(0, 3000, 10)], "query_id string, embedding array<double>")
+    rows = sorted(tuple(r) for r in retrieval.top_k(chunks, asked, 6, 0.5).collect())
+    met, chosen = [], retrieval._choose
+
+    def choose(pivots, sample, parts, *rest):
+        met.append((pivots, sample, parts))
+        return chosen(pivots, sample, parts, *rest)
+
+    monkeypatch.setattr(retrieval, "_choose", choose)
+    monkeypatch.setattr(retrieval, "FEW", 10)
+    monkeypatch.setattr(retrieval, "PART_BYTES", 100 * 16 * 8)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        again = sorted(tuple(r) for r in retrieval.top_k(chunks, asked, 6, 0.5).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [r[:3] for r in again] == [r[:3] for r in rows] and np.allclose([r[3] for r in again], [r[3] for r in rows], atol=1.01e-4)
+    pivots, sample, parts = met[0]
+    number = sum(pieces for _, pieces in {(first, pieces) for _, _, first, pieces, _, _ in parts})
+    assert number >= 30 and number == max(first + pieces for _, _, first, pieces, _, _ in parts)
+    wanted = retrieval._choose(pivots, sample, parts, 6, 0.5, {"q": pa.string(), "c": pa.int32()})
+    batch = pa.RecordBatch.from_pydict({"q": [f"q{i}" for i in range(0, 3000, 10)], "v": [x[i].tolist() for i in range(0, 3000, 10)]})
+    assert sum(b.num_rows for b in wanted(iter([batch]))) < number * 300 / 2
+
+
 def test_no_queries_no_hits(spark):
     chunks = spark.createDataFrame([(1, [1.0, 0.0])], "chunk_id long, embedding array<float>")
     queries = spark.createDataFrame([], "query_id string, embedding array<float>")
