@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.operators.filters import discount_pct, stock_bucket
-from shelfline.operators.scale import fits_broadcast, salted_join
+from shelfline.operators.scale import HotKeys, fits_broadcast, salted_join
 
 GRAIN = ["date", "store_id", "product_id"]
 BUCKET_DAYS = 128
+#: Unknown keys that are sent to the rows rather than joined with them.
+FEW_KEYS = 10_000
 
 
 def interval_join(
@@ -24,7 +26,7 @@ def interval_join(
     last: str,
     how: str = "left",
     bucket_days: int = BUCKET_DAYS,
-    measure: DataFrame | None = None,
+    measure: HotKeys | None = None,
 ) -> DataFrame:
     """Sales rows with the windows of their product that cover their date and store.
 
@@ -45,7 +47,7 @@ def interval_join(
     drop = ["_w_store"] if how in ("inner", "left") else []
     if fits_broadcast(windows):
         return salted_join(sales, side, ["product_id"], how, covers).drop(*drop)
-    base = sales if measure is None else measure
+    base = sales if measure is None else measure.df
     span = base.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi")).alias("span")).scalar()
     bucketed = sales.withColumn("_bucket", _bucket(F.col("date"), bucket_days))
     side = (
@@ -58,7 +60,7 @@ def interval_join(
     )
     # by product alone: that is measured once for all joins, and cutting a key too often costs a few window rows
     joined = salted_join(
-        bucketed, side, ["product_id", "_bucket"], how, covers, spread=GRAIN, measure=base, skew=["product_id"]
+        bucketed, side, ["product_id", "_bucket"], how, covers, spread=GRAIN, measure=measure or HotKeys(sales, "product_id"), skew=["product_id"]
     )
     return joined.drop("_bucket", *drop)
 
@@ -158,23 +160,24 @@ def exogenous_set(
     The stock join comes first, while the sales still have the partitioning of their grain.
     """
     stock = inventory.select(*GRAIN, "on_hand_qty", "is_stockout")
+    measure = HotKeys(sales, "product_id", "store_id", "date")
     facts = sales.join(stock, GRAIN, "left")
     facts = interval_join(
         facts,
         prices.select("product_id", "store_id", F.col("price").alias("list_price"), "valid_from", "valid_to"),
         "valid_from",
         "valid_to",
-        measure=sales,
+        measure=measure,
     )
-    facts = interval_join(facts, _promo_windows(promotions), "start_date", "end_date", measure=sales)
+    facts = interval_join(facts, _promo_windows(promotions), "start_date", "end_date", measure=measure)
     stores = store.select(
         F.col("id").alias("store_id"), F.col("code").alias("store_code"), "region", "store_type"
     )
     products = product.select(F.col("id").alias("product_id"), "sku", "category", "brand")
     days = calendar.select("date", "day_of_week", "month", "quarter", "is_holiday")
-    named = salted_join(facts, stores, ["store_id"], spread=GRAIN, measure=sales)
-    named = salted_join(named, products, ["product_id"], spread=GRAIN, measure=sales)
-    named = salted_join(named, days, ["date"], spread=GRAIN, measure=sales)
+    named = salted_join(facts, stores, ["store_id"], spread=GRAIN, measure=measure)
+    named = salted_join(named, products, ["product_id"], spread=GRAIN, measure=measure)
+    named = salted_join(named, days, ["date"], spread=GRAIN, measure=measure)
     return named.select(
         "date",
         "store_code",
@@ -199,17 +202,36 @@ def exogenous_set(
 
 
 def marked_orphans(sales: DataFrame, store: DataFrame, product: DataFrame, calendar: DataFrame) -> DataFrame:
-    """All sales rows with ``no_store``, ``no_product`` and ``no_date``: which references are unknown."""
+    """All sales rows with ``no_store``, ``no_product`` and ``no_date``: which references are unknown.
+
+    The distinct keys of the sales are held against the dimensions first.  Up to ``FEW_KEYS`` unknown ones are sent
+    to the rows, which then stay where they are; with none, nothing is joined at all.
+    """
     marks = [
         ("store_id", store.select(F.col("id").alias("store_id")), "no_store"),
         ("product_id", product.select(F.col("id").alias("product_id")), "no_product"),
         ("date", calendar.select("date"), "no_date"),
     ]
-    checked = sales
+    unknown = None
+    for key, dim, flag in marks:
+        # distinct values combine before the shuffle: a task gives each of its keys once
+        lost = sales.select(key).distinct().join(dim.distinct(), key, "left_anti").withColumn("flag", F.lit(flag))
+        unknown = lost if unknown is None else unknown.unionByName(lost, allowMissingColumns=True)
+    few = unknown.limit(FEW_KEYS + 1).collect()
+    checked, measure = sales, HotKeys(sales, *[key for key, _, _ in marks])
     for key, dim, flag in marks:
-        known = dim.distinct().withColumn(f"_{flag}", F.lit(True))
-        checked = salted_join(checked, known, [key], "left", spread=GRAIN, measure=sales)
-        checked = checked.withColumn(flag, F.col(f"_{flag}").isNull()).drop(f"_{flag}")
+        if len(few) <= FEW_KEYS:
+            lost = [(r[key],) for r in few if r["flag"] == flag]
+            if not lost:
+                checked = checked.withColumn(flag, F.lit(False))
+                continue
+            keys = sales.sparkSession.createDataFrame(lost, f"_{flag} {sales.schema[key].dataType.simpleString()}").withColumn(flag, F.lit(True))
+            checked = checked.join(F.broadcast(keys), F.col(key).eqNullSafe(F.col(f"_{flag}")), "left")
+            checked = checked.drop(f"_{flag}").withColumn(flag, F.coalesce(flag, F.lit(False)))
+        else:
+            known = dim.distinct().withColumn(f"_{flag}", F.lit(True))
+            checked = salted_join(checked, known, [key], "left", spread=GRAIN, measure=measure)
+            checked = checked.withColumn(flag, F.col(f"_{flag}").isNull()).drop(f"_{flag}")
     return checked
 
 
@@ -237,7 +259,8 @@ def resolve_keys(
     stores = store.select(F.col("code").alias("store_code"), F.col("id").alias("store_id"))
     products = product.select("sku", F.col("id").alias("product_id"))
     days = calendar.select("date").distinct().withColumn("date_exists", F.lit(True))
-    out = salted_join(rows, stores, ["store_code"], "left")
-    out = salted_join(out, products, ["sku"], "left", measure=rows)
-    out = salted_join(out, days, ["date"], "left", measure=rows)
+    measure = HotKeys(rows, "store_code", "sku", "date")
+    out = salted_join(rows, stores, ["store_code"], "left", measure=measure)
+    out = salted_join(out, products, ["sku"], "left", measure=measure)
+    out = salted_join(out, days, ["date"], "left", measure=measure)
     return out.withColumn("date_exists", F.coalesce("date_exists", F.lit(False)))

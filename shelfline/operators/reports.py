@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.operators.filters import check_range, equals
-from shelfline.operators.scale import global_row_number, salted_join
+from shelfline.operators.scale import HotKeys, global_row_number, salted_join
 
 # dimension -> (table, key in sales, shown column, carries id)
 DIMENSIONS = {
@@ -374,13 +374,14 @@ def stockout_impact(
     names = store.select(F.col("id").alias("store_id"), F.col("code").alias("store_code"))
     skus = product.select(F.col("id").alias("product_id"), "sku")
     # the dimension joins are inner, so they have to come before the cut
+    measure = HotKeys(out, "store_id", "product_id")
     return (
         salted_join(
-            salted_join(ranked, names, ["store_id"], spread=grain, measure=out),
+            salted_join(ranked, names, ["store_id"], spread=grain, measure=measure),
             skus,
             ["product_id"],
             spread=grain,
-            measure=out,
+            measure=measure,
         )
         .select("date", "store_code", "sku", "is_stockout", "actual_sales", "expected_sales", "estimated_lost_sales")
         .orderBy(F.desc("estimated_lost_sales"), "date", "store_code", "sku")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions import blocks
 from shelfline.operators.filters import equals, paginate
-from shelfline.operators.scale import salted_join
+from shelfline.operators.scale import HotKeys, salted_join
 
 # fixed values: status -> statuses that may follow
 TRANSITIONS = {
@@ -120,8 +120,9 @@ def _paired(pairs: DataFrame, runs: DataFrame, column: str) -> DataFrame:
     a = runs.select(F.col("run_id").alias("run_a"), F.col(column).alias("_a"))
     b = runs.select(F.col("run_id").alias("run_b"), F.col(column).alias("_b"))
     # one run may be compared with very many others
-    first = salted_join(pairs.select("run_a", "run_b"), a, ["run_a"], spread=["run_b"])
-    return salted_join(first, b, ["run_b"], spread=["run_a"], measure=pairs)
+    measure = HotKeys(pairs, "run_a", "run_b")
+    first = salted_join(pairs.select("run_a", "run_b"), a, ["run_a"], spread=["run_b"], measure=measure)
+    return salted_join(first, b, ["run_b"], spread=["run_a"], measure=measure)
 
 
 def _keyed(paired: DataFrame) -> DataFrame:

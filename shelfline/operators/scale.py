@@ -1,7 +1,7 @@
 """Building blocks that keep a plan whole when keys are hot or tables are large.
 
 * ``fits_broadcast``   - is a side provably small enough for a hash broadcast?
-* ``hot_keys``         - the few key values that hold a large share of the rows
+* ``HotKeys``          - the few key values that hold a large share of the rows, from a sketch
 * ``salted_join``      - equi join that spreads hot keys over many tasks
 * ``global_row_number``- exact 1..n numbering without a single-task window
 * ``page_of``          - ORDER BY / OFFSET / LIMIT that also works for deep pages
@@ -11,11 +11,11 @@
 from __future__ import annotations
 
 import atexit
+import math
 import re
 import shutil
 import tempfile
 import uuid
-import weakref
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -88,35 +88,50 @@ def hot_share(spark: SparkSession) -> float:
     return min(LEAST_HOT_SHARE, HOT_PARTITIONS / int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float | None = None) -> DataFrame:
-    """Key values that each hold more than ``share`` of the rows, with their part in ``_part``.
-
-    Counting combines on the map side, and at most ``1 / share`` values can qualify, so the
-    result is bounded whatever the table size.
-    """
-    share = hot_share(df.sparkSession) if share is None else share
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # summing the counts instead of counting again lets Spark reuse the shuffle of the counts
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.withColumn("_part", F.col("_n") / total).where(F.col("_part") > share).drop("_n")
+#: Groups of tasks that merge their sketches before the last step.
+SKETCH_GROUPS = 64
+_MOST_TRACKED = 1_000_000
 
 
-_MEASURED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-_KEY_TYPES = ("int", "bigint", "smallint", "date", "string")
+class HotKeys:
+    """The hot values of join keys of a table, found when first asked for, by one pass that shuffles sketches only.
 
+    A key is a column name or several.  Every task counts the hashes of its key values in a sketch of frequent
+    items, eight counters for each key that can be hot, and the sketches merge.  Counts are estimates: a key
+    that is missed or taken too many only moves work, never a row.
+    """
 
-def measured_keys(df: DataFrame) -> dict[str, list]:
-    """Hot values and their part for every key-like column of ``df``, by one pass that later joins share."""
-    share = hot_share(df.sparkSession)
-    if (found := _MEASURED.get(df)) is None or found[0] != share:
-        names = [c for c, kind in df.dtypes if kind in _KEY_TYPES]
-        cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in names])
-        counts = df.select(F.explode(cells).alias("x")).groupBy("x.c", "x.v").agg(F.count(F.lit(1)).alias("n"))
-        total = counts.agg(F.sum("n") / len(names)).scalar()
-        rows = counts.withColumn("part", F.col("n") / total).where(F.col("part") > share).collect()
-        by = {c: [(r["v"], r["part"]) for r in rows if r["c"] == c] for c in names}
-        _MEASURED[df] = found = (share, by)
-    return found[1]
+    def __init__(self, df: DataFrame, *keys: str | Sequence[str]):
+        self.df, self.keys = df, [(k,) if isinstance(k, str) else tuple(k) for k in keys]
+        self.found: dict[float, dict[tuple, list[tuple[int, float]]]] = {}
+
+    def parts(self, *key: str) -> list[tuple[int, float]]:
+        """``(hash, part of the rows)`` of the values above the session's limit; the hash is ``key_hash``."""
+        share = hot_share(self.df.sparkSession)
+        if share not in self.found:
+            self.found[share] = self._measure(share)
+        return self.found[share][key]
+
+    def _measure(self, share: float) -> dict[tuple, list[tuple[int, float]]]:
+        most = int(1 / share) + 1
+        tracked = min(_MOST_TRACKED, 8 * most)
+        hashed = self.df.select(*[key_hash([F.col(c) for c in key]).alias(f"k{i}") for i, key in enumerate(self.keys)])
+        columns = range(len(self.keys))
+        sketches = [F.expr(f"approx_top_k_accumulate(k{i}, {tracked})").alias(f"k{i}") for i in columns]
+        group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g")
+        merged = hashed.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *sketches)
+        best = [F.expr(f"approx_top_k_estimate(approx_top_k_combine(k{i}, {tracked}), {most})").alias(f"k{i}") for i in columns]
+        # grouped by a constant: a partition without sketches gives nothing to combine
+        row = merged.groupBy(F.lit(0).alias("all")).agg(F.sum("n").alias("n"), *best).first()
+        if row is None:
+            return {key: [] for key in self.keys}
+        total = row["n"]
+        return {key: [(x["item"], x["count"] / total) for x in row[f"k{i}"] if x["count"] > share * total] for i, key in enumerate(self.keys)}
+
+
+def key_hash(columns: Sequence[Column]) -> Column:
+    """64 bits of a key; null is a value like others."""
+    return F.xxhash64(*columns)
 
 
 def salted_join(
@@ -126,8 +141,7 @@ def salted_join(
     how: str = "inner",
     condition: Column | None = None,
     spread: Sequence[str] | None = None,
-    measure: DataFrame | None = None,
-    share: float | None = None,
+    measure: HotKeys | None = None,
     skew: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on the columns ``on`` (plus ``condition``), whatever the skew of ``left``.
@@ -137,8 +151,8 @@ def salted_join(
     the rows is cut into a third of the shuffle partitions, by a hash of ``spread``, and only its
     partner rows are repeated once per piece.  Every left row still meets every right row of its
     key exactly once; the piece is a pure function of the row, so a recomputed task gives the same
-    rows.  In a chain of joins ``measure`` names the table the chain started from: it is counted
-    once for all joins on single columns, instead of ``left``, which would compute the earlier joins.
+    rows.  In a chain of joins ``measure`` names the keys of the table the chain started from: they are
+    measured once for all joins, instead of ``left``, which would compute the earlier joins.
     ``skew`` names those of the columns ``on`` by which hotness is judged (all of them by default).
 
     Right and left may share only the ``on`` columns.  ``how``: inner, left, left_semi or left_anti.
@@ -159,19 +173,21 @@ def salted_join(
         return left.join(renamed, match, how).drop(*drop)
 
     by = list(skew or on)
-    hot = _hot_rows(left, by, measure, share)
-    if hot is None:
+    # the types that the join compares: both sides have to hash alike
+    kinds = [left.select(c).union(renamed.select(f"_r_{c}")).schema[0].dataType for c in by]
+    same = all(left.schema[c].dataType == kind for c, kind in zip(by, kinds))
+    keys = measure if measure is not None and same else HotKeys(left.select(*[F.col(c).cast(kind) for c, kind in zip(by, kinds)]), by)
+    found = keys.parts(*by)
+    if not found:
         return left.join(renamed, match, how).drop(*drop)
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = F.greatest(F.lit(2), F.ceil(F.col("_part") * tasks)).cast("long").alias("_pieces")
+    pieces = left.sparkSession.createDataFrame([(h, max(2, math.ceil(part * tasks))) for h, part in found], "_hot long, _pieces long")
 
     def with_pieces(side: DataFrame, prefix: str) -> DataFrame:
         """The hot keys are few by arithmetic, and rows of this table: both sides get the very same decision."""
-        keys = hot.select(*[F.col(c).alias(f"_h_{c}") for c in by], pieces)
-        same = F.lit(True)
-        for c in by:
-            same = same & F.col(prefix + c).eqNullSafe(F.col(f"_h_{c}"))
-        return side.join(F.broadcast(keys), same, "left").drop(*[f"_h_{c}" for c in by]).withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
+        hashed = side.withColumn("_hash", key_hash([F.col(prefix + c).cast(kind) for c, kind in zip(by, kinds)]))
+        joined = hashed.join(F.broadcast(pieces), F.col("_hash") == F.col("_hot"), "left")
+        return joined.drop("_hash", "_hot").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
 
     salted_left = with_pieces(left, "").withColumn(
         "_salt", F.pmod(F.xxhash64(*(spread or left.columns)), F.col("_pieces"))
@@ -183,19 +199,6 @@ def salted_join(
     return joined.drop("_salt", "_r_salt", *drop)
 
 
-def _hot_rows(left: DataFrame, on: Sequence[str], measure: DataFrame | None, share: float | None) -> DataFrame | None:
-    """Hot keys of a join with ``_part`` as a local table of at most ``1 / share`` rows; ``None`` without any."""
-    base, spark = left if measure is None else measure, left.sparkSession
-    if len(on) == 1 and share is None and dict(base.dtypes).get(on[0]) in _KEY_TYPES:
-        found = measured_keys(base if measure is not None else base.select(*on))[on[0]]
-        kind = base.schema[on[0]].dataType.simpleString()
-        rows = spark.createDataFrame(found, "v string, _part double") if found else None
-        return rows and rows.select(F.col("v").cast(kind).alias(on[0]), "_part")
-    hot = hot_keys(base, on, share)
-    rows = hot.collect()
-    return spark.createDataFrame(rows, hot.schema) if rows else None
-
-
 # -- order over the whole table ----------------------------------------------
 
 

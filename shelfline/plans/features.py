@@ -18,7 +18,7 @@ from shelfline.functions.config import (
     RollingConfig,
 )
 from shelfline.operators.exog import stock_status, with_holidays
-from shelfline.operators.scale import salted_join
+from shelfline.operators.scale import HotKeys, salted_join
 from shelfline.plans.common import END, START, r, rounded
 from shelfline.plans.views import with_views
 from shelfline.sources.star import daily_series, load_star
@@ -32,8 +32,9 @@ def brand_daily(spark, folder):
     stores = star.store.select(F.col("id").alias("store_id"), "region")
     products = star.product.select(F.col("id").alias("product_id"), "brand")
     grain = ["date", "store_id", "product_id"]
-    named = salted_join(star.sales_daily, products, ["product_id"], spread=grain)
-    named = salted_join(named, stores, ["store_id"], spread=grain, measure=star.sales_daily)
+    measure = HotKeys(star.sales_daily, "product_id", "store_id")
+    named = salted_join(star.sales_daily, products, ["product_id"], spread=grain, measure=measure)
+    named = salted_join(named, stores, ["store_id"], spread=grain, measure=measure)
     return daily_series(named, BRAND)
 
 

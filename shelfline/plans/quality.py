@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from shelfline.operators import demand, exog, quality
-from shelfline.operators.scale import new_path, salted_join
+from shelfline.operators.scale import HotKeys, new_path, salted_join
 from shelfline.plans.common import r, rounded
 from shelfline.plans.features import BRAND, brand_daily
 from shelfline.plans.views import with_views
@@ -270,7 +270,7 @@ def demand_spine(star):
         "base_price",
         F.when(F.col("first_sale") > F.date_add(F.lit(BASE_DATE), 120), F.col("first_sale")).alias("launch_date"),
     )
-    return salted_join(promoted.join(stock, grain, "left"), launched, ["product_id"], spread=grain, measure=star.sales_daily)
+    return salted_join(promoted.join(stock, grain, "left"), launched, ["product_id"], spread=grain, measure=HotKeys(star.sales_daily, "product_id"))
 
 
 def expected_demand(spark, folder):

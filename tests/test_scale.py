@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from shelfline.operators import exog, scale
 from shelfline.operators.scale import (
+    HotKeys,
     fits_broadcast,
     global_row_number,
-    hot_keys,
     page_of,
     salted_join,
     shared_dir,
@@ -34,8 +34,13 @@ def right(spark):
     return spark.createDataFrame([(k, f"v{k}-{j}") for k in range(0, 400, 2) for j in range(2)] + [(7, "hot")], "key int, v string")
 
 
+def hash_of(spark, value, kind="int"):
+    return spark.createDataFrame([(value,)], f"key {kind}").select(scale.key_hash([F.col("key")])).first()[0]
+
+
 def test_hot_keys_finds_the_third(skewed):
-    assert [r.key for r in hot_keys(skewed, ["key"], 0.1).collect()] == [7]
+    found = HotKeys(skewed, "key", ("id", "key")).parts("key")
+    assert [h for h, _ in found] == [hash_of(skewed.sparkSession, 7)] and abs(found[0][1] - 1 / 3) < 0.01
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -63,7 +68,7 @@ def test_salted_join_spreads_the_hot_key(spark, no_broadcast, skewed, right):
 def test_hot_null_key(spark, no_broadcast, rows):
     left = spark.createDataFrame([(i, None if i % 2 else i % 50) for i in range(1000)], "id int, key int")
     right = spark.createDataFrame([(k, k * 10) for k in range(50)] + [(None, -1)], "key int, v int")
-    assert None in [r.key for r in hot_keys(left, ["key"], 0.1).collect()]
+    assert hash_of(spark, None) in [h for h, _ in HotKeys(left, "key").parts("key")]
     for how in ("left", "inner", "left_anti"):
         plain = left.join(right, "key", how)
         assert rows(salted_join(left, right, ["key"], how).select(plain.columns)) == rows(plain)
@@ -158,13 +163,41 @@ def test_no_machine_local_folder_on_a_cluster():
 
 def test_hot_keys_are_measured_once_for_all_joins(spark, no_broadcast, skewed, monkeypatch):
     runs = []
-    once = scale.measured_keys
-    monkeypatch.setattr(scale, "measured_keys", lambda df: runs.append(df) or once(df))
-    cached = len(scale._MEASURED)
+    once = HotKeys._measure
+    monkeypatch.setattr(HotKeys, "_measure", lambda self, share: runs.append(self) or once(self, share))
     other = skewed.select("key").distinct().withColumn("x", F.lit(1))
-    joined = salted_join(skewed, other, ["key"], "left", measure=skewed)
-    salted_join(joined, other.withColumnRenamed("x", "y"), ["key"], "left", measure=skewed)
-    assert len(runs) == 2 and all(r is skewed for r in runs) and len(scale._MEASURED) == cached + 1
+    measure = HotKeys(skewed, "key")
+    joined = salted_join(skewed, other, ["key"], "left", measure=measure)
+    salted_join(joined, other.withColumnRenamed("x", "y"), ["key"], "left", measure=measure)
+    assert runs == [measure]
+
+
+def test_measuring_shuffles_sketches_only(spark, no_broadcast, tmp_path):
+    """A unique column of the rows is not touched, and a unique key costs a sketch a task."""
+    rows = spark.range(0, 200_000, 1, 8).select(F.col("id").alias("row_index"), (F.col("id") * 3).alias("key"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("name"))
+    plans, first = [], type(rows).first
+
+    def noted(self):
+        plans.append(self)
+        return first(self)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(rows), "first", noted)
+        measure = HotKeys(rows, "key", "name")
+        unique, named = measure.parts("key"), measure.parts("name")
+    assert unique == [] and [h for h, _ in named] == [hash_of(spark, "hot", "string")] and len(plans) == 1
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    # a row for each task, then one for each group of them
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert "row_index" not in plan and "approx_top_k_accumulate" in plan
+
+
+def test_keys_of_two_types(spark, no_broadcast, rows):
+    """Both sides hash the type that the join compares."""
+    left = spark.createDataFrame([(i, 7 if i % 2 else i) for i in range(600)], "id int, key int")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 600, 7)] + [(7, "x")], "key long, v string")
+    plain = left.join(right, "key", "left")
+    assert rows(salted_join(left, right, ["key"], "left", measure=HotKeys(left, "key")).select(plain.columns)) == rows(plain)
 
 
 def test_limit_follows_the_partitions(spark, no_broadcast):
@@ -173,7 +206,7 @@ def test_limit_follows_the_partitions(spark, no_broadcast):
     spark.conf.set("spark.sql.shuffle.partitions", "2000")
     try:
         rows = spark.range(10_000).select(F.when(F.col("id") < 40, F.lit(-1)).otherwise(F.col("id")).alias("key"))
-        assert [r.key for r in hot_keys(rows, ["key"]).collect()] == [-1]
+        assert [h for h, _ in HotKeys(rows, "key").parts("key")] == [hash_of(spark, -1, "long")]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
@@ -187,10 +220,27 @@ def test_a_chain_of_joins_measures_its_facts_once(spark, no_broadcast, monkeypat
     from shelfline.sources.star import load_star
 
     star = load_star(spark, "/root/testdata/sf0.001")
-    monkeypatch.setattr(scale, "hot_keys", lambda *a: pytest.fail("measured on its own"))
-    before = len(scale._MEASURED)
+    runs, once = [], HotKeys._measure
+    monkeypatch.setattr(HotKeys, "_measure", lambda self, share: runs.append(self) or once(self, share))
     exog.exogenous_set(
         star.sales_daily, star.store, star.product, star.calendar, star.price_history, star.promotion,
         star.inventory_snapshot_daily,
     )
-    assert len(scale._MEASURED) == before + 1
+    assert len(runs) == 1
+
+
+@pytest.mark.parametrize("few", [10_000, 2])
+@pytest.mark.filterwarnings("ignore::UserWarning")
+def test_orphans_with_few_and_many_unknown_keys(spark, no_broadcast, rows, monkeypatch, few):
+    monkeypatch.setattr(exog, "FEW_KEYS", few)
+    day = dt.date(2024, 1, 1)
+    sales = spark.createDataFrame([(day + dt.timedelta(days=i % 9), i % 7, None if i % 50 == 0 else i % 11, i) for i in range(300)], "date date, store_id int, product_id int, n int")
+    store = spark.createDataFrame([(i,) for i in range(5)], "id int")
+    product = spark.createDataFrame([(i,) for i in range(2, 11)], "id long")
+    calendar = spark.createDataFrame([(day + dt.timedelta(days=i),) for i in range(8)], "date date")
+    marked = exog.marked_orphans(sales, store, product, calendar)
+    for r in marked.collect():
+        assert (r.no_store, r.no_product, r.no_date) == (r.store_id >= 5, r.product_id is None or r.product_id < 2, r.date == day + dt.timedelta(days=8))
+    # with known keys the rows are not shuffled
+    whole = exog.orphans(sales.where("store_id < 5 and product_id >= 2 and n % 9 < 8"), store, product, calendar)
+    assert whole.count() == 0 and ("Exchange" in whole._jdf.queryExecution().executedPlan().toString()) is False
