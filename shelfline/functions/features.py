@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfline.functions import blocks
 from shelfline.functions.config import (
@@ -129,17 +130,68 @@ def lag_columns(config: LagConfig, w) -> dict[str, Column]:
     return out
 
 
-def rolling_columns(config: RollingConfig, w) -> dict[str, Column]:
-    """Statistics of the rows before the current one; ``min_periods`` counts values that are not null."""
-    target = F.col(config.target_column)
+def with_rolling(df: DataFrame, config: RollingConfig, w) -> tuple[DataFrame, list[str]]:
+    """Statistics of the rows before the current one; ``min_periods`` counts values that are not null.
+
+    The work for a row does not grow with the windows: counts, sums and squares about the first value of the
+    series (no later one, so nothing leaks) are differences of running sums, and a minimum over n rows is that of two overlapping spans of a
+    power of two, each made of two spans half as long.  All steps share one partitioning and one order.
+    A window of doubles that holds NaN or an infinity has NaN for mean, std and sum.
+    """
+    target, kind = F.col(config.target_column), df.schema[config.target_column].dataType
+    wanted, windows = set(config.aggregations), list(config.windows)
+    floating = isinstance(kind, (T.FloatType, T.DoubleType))
+    summed = wanted & {"mean", "sum"}
+    about = "std" in wanted or (floating and bool(summed))  # sums about a value keep their digits
+    finite = F.abs(target) < F.lit(float("inf"))
+    value = F.when(finite, target).cast("double") if floating else target.cast("double")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    columns = list(df.columns)
+    if about:
+        df = df.withColumn("_r_first", F.first(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    off = value - F.col("_r_first")
+    running = {"_r_n": F.count(target)}
+    if floating:
+        running["_r_odd"] = F.count(F.when(~finite, 1))
+    if about:
+        running |= {"_r_off": F.sum(off), "_r_square": F.sum(off * off)}
+    if summed and not floating:
+        running["_r_sum"] = F.sum(target)
+    extremes = {name: pick for name, pick in (("min", F.least), ("max", F.greatest)) if name in wanted}
+    df = df.withColumns({c: F.coalesce(f.over(before), F.lit(0)) for c, f in running.items()} | {f"_r_{m}0": F.lag(target, 1).over(w) for m in extremes})
+    steps = {f"{c}_{n}": F.col(c) - F.coalesce(F.lag(c, n).over(w), F.lit(0)) for c in running for n in windows}
+    for level in range(1, max(windows).bit_length() if extremes else 1):
+        half = 1 << (level - 1)
+        steps |= {f"_r_{m}{level}": pick(f"_r_{m}{level - 1}", F.lag(f"_r_{m}{level - 1}", half).over(w)) for m, pick in extremes.items()}
+        df, steps = df.withColumns(steps), {}
+    for n in windows:
+        level = n.bit_length() - 1
+        for m, pick in extremes.items():
+            span = F.col(f"_r_{m}{level}")
+            steps[f"_r_{m}_{n}"] = pick(span, F.lag(span, n - (1 << level)).over(w)) if n > 1 << level else span
+    df = df.withColumns(steps) if steps else df
+
+    kinds = dict(df.agg(*[_AGGREGATES[a](target).alias(a) for a in config.aggregations]).dtypes)
     out = {}
-    for n in config.windows:
-        before = w.rowsBetween(-n, -1)
-        needed = n if config.min_periods is None else config.min_periods
-        enough = F.count(target).over(before) >= needed
+    for n in windows:
+        count = F.col(f"_r_n_{n}")
+        enough = count >= (n if config.min_periods is None else config.min_periods)
+        odd = F.col(f"_r_odd_{n}") > 0 if floating else F.lit(False)
+        if floating and summed:
+            total = F.when(count > 0, F.col(f"_r_off_{n}") + F.coalesce("_r_first", F.lit(0.0)) * count)
+        elif summed:
+            total = F.when(count > 0, F.col(f"_r_sum_{n}"))
+        made = {f"{m}": F.col(f"_r_{m}_{n}") for m in extremes}
+        if summed:
+            made |= {"sum": F.when(odd, F.lit(float("nan"))).otherwise(total) if floating else total}
+            made |= {"mean": F.try_divide(made["sum"], count)}
+        if "std" in wanted:
+            squares = F.col(f"_r_square_{n}") - F.try_divide(F.col(f"_r_off_{n}") * F.col(f"_r_off_{n}"), count)
+            std = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(squares, count - 1)))
+            made["std"] = F.when(count > 1, F.when(odd, F.lit(float("nan"))).otherwise(std))
         for name in config.aggregations:
-            out[f"rolling_{name}_{n}"] = F.when(enough, _AGGREGATES[name](target).over(before))
-    return out
+            out[f"rolling_{name}_{n}"] = F.when(enough, made[name].cast(kinds[name]))
+    return df.withColumns(out).select(*columns, *out), list(out)
 
 
 def calendar_columns(config: CalendarConfig, date: str = "date", available: Sequence[str] = ()) -> dict[str, Column]:
@@ -221,19 +273,22 @@ def compute_features(
             rows = blocks.with_row_index(rows.drop(blocks.INDEX), entity, date)
         rows = blocks.with_halo(rows, _lookback(config), block_rows)
         w = blocks.block_window(entity, date)
-    columns: dict[str, Column] = {}
+    given, rolled, columns = rows.columns, [], {}
+    if config.rolling_config:
+        rows, rolled = with_rolling(rows, config.rolling_config, w)
     if config.lag_config:
         columns |= lag_columns(config.lag_config, w)
-    if config.rolling_config:
-        columns |= rolling_columns(config.rolling_config, w)
+    lagged = list(columns)
     if config.calendar_config:
         columns |= calendar_columns(config.calendar_config, date, rows.columns)
     if config.exogenous_config:
         columns |= exogenous_columns(config.exogenous_config, rows.columns, w)
+    names = [*lagged, *rolled, *(c for c in columns if c not in lagged)]
     rows = rows.withColumns(columns) if columns else rows
+    rows = rows.select(*given, *[c for c in names if c not in given])
     if block_rows is not None:
         rows = blocks.drop_halo(rows)
-    return FeatureResult(rows, list(columns), config.config_hash(), df)
+    return FeatureResult(rows, names, config.config_hash(), df)
 
 
 def preview(
