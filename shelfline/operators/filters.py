@@ -49,10 +49,10 @@ def search(df: DataFrame, columns: Sequence[str], text: str | None) -> DataFrame
     return df.where(found)
 
 
-def paginate(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
+def paginate(df: DataFrame, order: Sequence[str], page: int, size: int) -> DataFrame:
     """One page plus the size of the whole filtered set in ``total``.
 
-    ``order`` must be total (end it with a unique key): early and deep pages are found in different ways.
+    ``order`` names columns, with a minus in front for descending ones; it must be total (end it with a unique key).
     """
     total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
     return page_of(df, order, page, size).withColumn("total", total)

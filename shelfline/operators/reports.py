@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.operators.filters import check_range, equals
-from shelfline.operators.scale import HotKeys, global_row_number, salted_join
+from shelfline.operators.scale import HotKeys, salted_join, stands_before, tile_borders
 
 # dimension -> (table, key in sales, shown column, carries id)
 DIMENSIONS = {
@@ -279,20 +279,11 @@ def store_quartiles(
         ),
         "store_id",
     )
-    numbered = global_row_number(named, [F.col("total_revenue"), F.col("store_id")], "_rn")
-    n = numbered.agg(F.count(F.lit(1)).alias("_n")).scalar()
-    small = F.floor(F.col("_n") / tiles).cast("long")
-    extra = F.col("_n") % tiles
-    in_large = extra * (small + 1)
-    at = F.col("_rn") - 1
-    tile = F.when(at < in_large, F.floor(at / (small + 1))).otherwise(
-        extra + F.floor(F.try_divide(at - in_large, small))
-    )
-    return (
-        numbered.withColumn("_n", n)
-        .withColumn("performance_quartile", (tile + 1).cast("int"))
-        .drop("_rn", "_n", "store_id")
-    )
+    order = ["total_revenue", "store_id"]
+    tile = F.lit(1)
+    for border in tile_borders(named, order, tiles):
+        tile = tile + (~stands_before(named, order, border)).cast("int")
+    return named.withColumn("performance_quartile", tile).drop("store_id")
 
 
 def category_mix(

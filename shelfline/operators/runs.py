@@ -39,7 +39,7 @@ def list_runs(
 ) -> DataFrame:
     """A page of the filtered log, newest first."""
     wanted = equals(runs, model_type=model_type, status=status, store_id=store_id, product_id=product_id)
-    return paginate(wanted, [F.desc("created_at"), F.col("run_id")], page, size)
+    return paginate(wanted, ["-created_at", "run_id"], page, size)
 
 
 def config_hash(config: dict[str, Any]) -> str:

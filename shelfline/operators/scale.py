@@ -5,6 +5,7 @@
 * ``salted_join``      - equi join that spreads hot keys over many tasks
 * ``global_row_number``- exact 1..n numbering without a single-task window
 * ``page_of``          - ORDER BY / OFFSET / LIMIT that also works for deep pages
+* ``tile_borders``     - where NTILE changes, without numbering the rows
 * ``durable``          - cut lineage on shared storage (never on executor disks)
 """
 
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 #: A key is hot from this many average shuffle partitions on (but never below ``LEAST_HOT_SHARE`` of few partitions).
 HOT_PARTITIONS = 2
 LEAST_HOT_SHARE = 1 / 20
-DEEP_PAGE_ROWS = 10_000
+#: Rows that a top-k of one task may hold, and the keys between which a round counts rows.
+FETCH, SPLITTERS = 10_000, 31
 
 
 # -- shared storage -----------------------------------------------------------
@@ -226,16 +228,97 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_n
     )
 
 
-def page_of(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
-    """Page ``page`` (1-based) of ``size`` rows.
+# -- rows by rank ---------------------------------------------------------------
 
-    Early pages use Spark's top-k operator, whose cost is ``page * size`` rows per task; pages
-    further out go through ``global_row_number`` so that nothing large meets in one task.
+
+def sort_columns(order: Sequence[str]) -> list[Column]:
+    """Sort expressions of column names; a leading minus means descending (NULLs stand first, or then last)."""
+    return [F.desc(name[1:]) if name.startswith("-") else F.asc(name) for name in order]
+
+
+def _names(order: Sequence[str]) -> list[str]:
+    return [name.removeprefix("-") for name in order]
+
+
+def stands_before(df: DataFrame, order: Sequence[str], row) -> Column:
+    """Whether a row of ``df`` sorts before the key values in ``row``."""
+    found, equal = F.lit(False), F.lit(True)
+    for name, value in zip(order, row):
+        column = F.col(name.removeprefix("-"))
+        literal = F.lit(value).cast(df.schema[name.removeprefix("-")].dataType)
+        if name.startswith("-"):
+            earlier = column.isNotNull() if value is None else column > literal
+        else:
+            earlier = F.lit(False) if value is None else column.isNull() | (column < literal)
+        found = found | (equal & F.coalesce(earlier, F.lit(False)))
+        equal = equal & column.eqNullSafe(literal)
+    return found
+
+
+def narrowed(df: DataFrame, order: Sequence[str], first: int, last: int) -> tuple[DataFrame, int]:
+    """Rows around the ranks ``first`` to ``last`` (from 0) in ``order``, and how many rows stand before them.
+
+    A histogram is counted between some keys of the table, picked by hash; the cells that hold the ranks are all that
+    the next, finer one counts.  Nothing is sorted or written: a round reads the key columns twice, and
+    leaves about a thirtieth of the rows.  It ends when rank ``first`` is within the first ``FETCH`` rows left.
+    """
+    names, before = _names(order), 0
+    while first + 1 - before > FETCH:
+        keys = df.select(*names)
+        picked = keys.orderBy(F.xxhash64(*names), *names).limit(SPLITTERS).distinct().orderBy(*sort_columns(order)).collect()
+        cell = sum((~stands_before(df, order, row)).cast("int") for row in picked) if picked else F.lit(0)
+        counts = {r["cell"]: r["n"] for r in keys.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        skipped, low, high, seen = 0, None, None, before
+        for at in sorted(counts):
+            if seen + counts[at] <= first:
+                skipped = seen + counts[at] - before
+            elif low is None:
+                low = at
+            seen += counts[at]
+            if seen > last:
+                high = at
+                break
+        if low is None:  # the table ends before
+            return df.where(F.lit(False)), first
+        if skipped == 0 and (high is None or high == max(counts)):
+            break  # equal keys: there is nothing left to tell rows apart
+        rows = df
+        if low > 0:
+            rows = rows.where(~stands_before(df, order, picked[low - 1]))
+        if high is not None and high < len(picked):
+            rows = rows.where(stands_before(df, order, picked[high]))
+        df, before = rows, before + skipped
+    return df, before
+
+
+def page_of(df: DataFrame, order: Sequence[str], page: int, size: int) -> DataFrame:
+    """Page ``page`` (1-based) of ``size`` rows in ``order`` (names, a minus for descending; see ``sort_columns``).
+
+    Pages far out are looked for by rank first, so that Spark's top-k operator never holds more than ``FETCH``
+    rows and a page.
     """
     if page < 1 or size < 1:
         raise ValueError("page and size start at 1")
     first = (page - 1) * size
-    if first + size <= DEEP_PAGE_ROWS:
-        return df.orderBy(*order).offset(first).limit(size)
-    numbered = global_row_number(df, order, "_rn")
-    return numbered.where(F.col("_rn").between(first + 1, first + size)).drop("_rn")
+    rows, before = narrowed(df, order, first, first + size - 1)
+    return rows.orderBy(*sort_columns(order)).offset(first - before).limit(size)
+
+
+def tile_borders(df: DataFrame, order: Sequence[str], tiles: int) -> list:
+    """The first key of each tile after the first, for ``ntile(tiles)`` in ``order``; fewer for fewer rows than tiles."""
+    names = _names(order)
+    ranked = F.ntile(tiles).over(Window.orderBy(*sort_columns(order)))
+    place = F.row_number().over(Window.orderBy(*sort_columns(order)))
+    # the window sees at most FETCH rows and one
+    few = df.select(*names).limit(FETCH + 1).withColumn("_tile", ranked).withColumn("_at", place)
+    found = few.groupBy("_tile").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(*names), "_at").alias("key")).collect()
+    if sum(r["n"] for r in found) <= FETCH:
+        return [tuple(r["key"]) for r in sorted(found, key=lambda r: r["_tile"])[1:]]
+    total = df.count()
+    small, extra = divmod(total, tiles)
+    out = []
+    for tile in range(1, tiles):
+        at = tile * small + min(tile, extra)
+        rows, before = narrowed(df.select(*names), order, at, at)
+        out.append(tuple(rows.orderBy(*sort_columns(order)).offset(at - before).limit(1).first()))
+    return out

@@ -48,15 +48,14 @@ def product_search(spark, folder):
 
 def product_page(spark, folder):
     products = filters.equals(load_star(spark, folder).product, category="ECONOMY", brand=None)
-    page = filters.paginate(products.select("id", "sku", "name", "category"), [F.col("sku")], 3, 25)
+    page = filters.paginate(products.select("id", "sku", "name", "category"), ["sku"], 3, 25)
     return page
 
 
 def product_deep_page(spark, folder):
-    """A page far out, taken through the distributed numbering."""
+    """A page far out, found by its ranks."""
     sales = load_star(spark, folder).sales_daily.select("date", "store_id", "product_id", "quantity")
-    order = [F.col("date"), F.col("store_id"), F.col("product_id")]
-    return filters.paginate(sales, order, 11, 5_000)
+    return filters.paginate(sales, ["date", "store_id", "product_id"], 11, 5_000)
 
 
 def order_lookup(spark, folder):

@@ -75,7 +75,7 @@ def test_lookup_and_membership(product, store):
 
 
 def test_paging_with_total(product):
-    page = filters.paginate(product, [F.col("sku")], 2, 2).collect()
+    page = filters.paginate(product, ["sku"], 2, 2).collect()
     assert [r.sku for r in page] == ["SKU-003"] and page[0].total == 3
 
 

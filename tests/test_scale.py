@@ -5,6 +5,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfline.operators import exog, scale
@@ -122,17 +123,47 @@ def test_global_row_number_is_exact_and_spread(spark):
     assert "Window [row_number() windowspecdefinition(y" not in out._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("page,size", [(1, 10), (3, 100), (21, 500), (30, 1000)])
-def test_pages_early_and_deep(spark, page, size):
+@pytest.mark.parametrize("fetch", [10_000, 50])
+@pytest.mark.parametrize("page,size", [(1, 10), (3, 100), (21, 500), (30, 1000), (13, 1000), (14, 1000)])
+def test_pages_early_and_deep(spark, monkeypatch, fetch, page, size):
+    monkeypatch.setattr(scale, "FETCH", fetch)
     df = spark.range(12345).select((F.lit(20000) - F.col("id")).alias("v"))
-    got = [r.v for r in page_of(df, [F.col("v")], page, size).orderBy("v").collect()]
+    got = [r.v for r in page_of(df, ["v"], page, size).collect()]
     every = sorted(20000 - i for i in range(12345))
     assert got == every[(page - 1) * size : page * size]
+    assert "Scan" not in page_of(df, ["v"], page, size)._jdf.queryExecution().optimizedPlan().toString()  # nothing was written
+
+
+@pytest.mark.parametrize("order", [["a", "b", "id"], ["-a", "b", "-id"], ["-b", "-a", "id"]])
+def test_pages_with_ties_and_nulls(spark, monkeypatch, order):
+    monkeypatch.setattr(scale, "FETCH", 20)
+    rng = random.Random(4)
+    data = [(i, None if rng.random() < 0.3 else rng.randrange(3), rng.choice([None, "x", "é", "yy", ""])) for i in range(700)]
+    df = spark.createDataFrame(data, "id int, a int, b string").repartition(3)
+    every = [tuple(r) for r in df.orderBy(*scale.sort_columns(order)).collect()]
+    assert [tuple(r) for page in range(1, 9) for r in page_of(df, order, page, 100).collect()] == every
+
+
+def test_pages_of_equal_keys(spark, monkeypatch):
+    monkeypatch.setattr(scale, "FETCH", 20)
+    df = spark.range(500).select(F.lit(1).alias("v"))
+    assert page_of(df, ["v"], 3, 100).count() == 100 and page_of(df, ["v"], 6, 100).count() == 0
+
+
+@pytest.mark.parametrize("rows,fetch", [(0, 100), (1, 100), (3, 100), (10, 100), (1003, 100), (1003, 10_000)])
+def test_tiles_are_those_of_ntile(spark, monkeypatch, rows, fetch):
+    monkeypatch.setattr(scale, "FETCH", fetch)
+    df = spark.range(rows).select((F.col("id") % 7).alias("v"), F.col("id")).repartition(3)
+    tile = F.lit(1)
+    for border in scale.tile_borders(df, ["v", "id"], 4):
+        tile = tile + (~scale.stands_before(df, ["v", "id"], border)).cast("int")
+    ours = {(r.id, r.t) for r in df.select("id", tile.alias("t")).collect()}
+    assert ours == {(r.id, r.t) for r in df.select("id", F.ntile(4).over(Window.orderBy("v", "id")).alias("t")).collect()}
 
 
 def test_pages_start_at_one(spark):
     with pytest.raises(ValueError):
-        page_of(spark.range(3), [F.col("id")], 0, 5)
+        page_of(spark.range(3), ["id"], 0, 5)
 
 
 class _Session:
