@@ -100,12 +100,20 @@ class HotKeys:
 
     A key is a column name or several.  Every task counts the hashes of its key values in a sketch of frequent
     items, eight counters for each key that can be hot, and the sketches merge.  Counts are estimates: a key
-    that is missed or taken too many only moves work, never a row.
+    that is missed or taken too many only moves work, never a row.  ``sums`` of whole-number columns are taken
+    along, and the number of rows: see ``totals``.
     """
 
-    def __init__(self, df: DataFrame, *keys: str | Sequence[str]):
-        self.df, self.keys = df, [(k,) if isinstance(k, str) else tuple(k) for k in keys]
+    def __init__(self, df: DataFrame, *keys: str | Sequence[str], sums: Sequence[str] = ()):
+        self.df, self.keys, self.sums = df, [(k,) if isinstance(k, str) else tuple(k) for k in keys], list(sums)
         self.found: dict[float, dict[tuple, list[tuple[int, float]]]] = {}
+        self.summed: tuple | None = None
+
+    def totals(self) -> tuple:
+        """The number of rows, and the sum of each column of ``sums``."""
+        if self.summed is None:
+            self.parts(*self.keys[0])
+        return self.summed
 
     def parts(self, *key: str) -> list[tuple[int, float]]:
         """``(hash, part of the rows)`` of the values above the session's limit; the hash is ``key_hash``."""
@@ -117,17 +125,20 @@ class HotKeys:
     def _measure(self, share: float) -> dict[tuple, list[tuple[int, float]]]:
         most = int(1 / share) + 1
         tracked = min(_MOST_TRACKED, 8 * most)
-        hashed = self.df.select(*[key_hash([F.col(c) for c in key]).alias(f"k{i}") for i, key in enumerate(self.keys)])
+        hashed = self.df.select(*[key_hash([F.col(c) for c in key]).alias(f"k{i}") for i, key in enumerate(self.keys)], *[F.col(c).cast("decimal(20,0)").alias(f"s{i}") for i, c in enumerate(self.sums)])
         columns = range(len(self.keys))
         sketches = [F.expr(f"approx_top_k_accumulate(k{i}, {tracked})").alias(f"k{i}") for i in columns]
         group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g")
-        merged = hashed.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *sketches)
+        adds = [F.sum(f"s{i}").alias(f"s{i}") for i in range(len(self.sums))]
+        merged = hashed.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *adds, *sketches)
         best = [F.expr(f"approx_top_k_estimate(approx_top_k_combine(k{i}, {tracked}), {most})").alias(f"k{i}") for i in columns]
         # grouped by a constant: a partition without sketches gives nothing to combine
-        row = merged.groupBy(F.lit(0).alias("all")).agg(F.sum("n").alias("n"), *best).first()
+        row = merged.groupBy(F.lit(0).alias("all")).agg(F.sum("n").alias("n"), *adds, *best).first()
         if row is None:
+            self.summed = (0, *[None for _ in self.sums])
             return {key: [] for key in self.keys}
         total = row["n"]
+        self.summed = (total, *[row[f"s{i}"] for i in range(len(self.sums))])
         return {key: [(x["item"], x["count"] / total) for x in row[f"k{i}"] if x["count"] > share * total] for i, key in enumerate(self.keys)}
 
 
