@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.llm.common import stored
-from shelfline.operators.scale import salted_join
+from shelfline.operators.scale import HotKeys, salted_join
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -22,13 +22,13 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """
     low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
     now = stored(edges.select(low, high).where("low < high").distinct(), "edges")
-    mark = _mark(now)
+    measure = _measured(now)
     for _ in range(most_rounds):
-        if not mark[0]:
+        if not measure.totals()[0]:
             break
-        now = stored(_small_star(_large_star(now)), "edges")
-        before, mark = mark, _mark(now)
-        if mark == before:
+        now = stored(_small_star(_large_star(now, measure)), "edges")
+        before, measure = measure.totals(), _measured(now)
+        if measure.totals() == before:
             break
     else:
         raise RuntimeError("the components did not settle")
@@ -37,24 +37,24 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     return now.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(roots)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Equal for equal sets of edges."""
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("low", "high").cast("decimal(20,0)")).alias("s")).first()
-    return r["n"], r["s"]
+def _measured(edges: DataFrame) -> HotKeys:
+    """One pass for the hubs, and for number and hash, which are equal for equal sets of edges."""
+    marked = edges.select(F.col("low").alias("u"), F.xxhash64("low", "high").alias("mark"))
+    return HotKeys(marked, "u", sums=["mark"])
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, measure: HotKeys) -> DataFrame:
     """Every larger neighbour of a node is hung below the smallest of the node and its neighbours."""
     both = edges.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(edges.select(F.col("high").alias("u"), F.col("low").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     down = edges.select(F.col("low").alias("u"), F.col("high").alias("v"))
-    return salted_join(down, least, ["u"], spread=["v"]).select(F.col("m").alias("low"), F.col("v").alias("high")).distinct()
+    return salted_join(down, least, ["u"], spread=["v"], measure=measure).select(F.col("m").alias("low"), F.col("v").alias("high")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are hung below the smallest of them."""
     least = edges.groupBy("high").agg(F.min("low").alias("m"))
-    hung = salted_join(edges, least, ["high"], spread=["low"]).where("low > m").select(F.col("m").alias("low"), F.col("low").alias("high"))
+    hung = edges.join(least, "high").where("low > m").select(F.col("m").alias("low"), F.col("low").alias("high"))
     return hung.unionByName(least.select(F.col("m").alias("low"), "high")).distinct()
 
 
