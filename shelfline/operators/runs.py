@@ -6,9 +6,11 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Sequence
-from typing import Any
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any, BinaryIO
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from shelfline.functions import blocks
 from shelfline.operators.filters import equals, paginate
 from shelfline.operators.scale import HotKeys, salted_join
 
+#: Bytes of a file that a task hashes at once.
+HASHED_AT_ONCE = 8 << 20
+
 # fixed values: status -> statuses that may follow
 TRANSITIONS = {
     "pending": ("running", "archived"),
@@ -160,23 +165,53 @@ def resolve_aliases(aliases: DataFrame, runs: DataFrame, alias_name: str | None
     )
 
 
-def verify_artifacts(spark: SparkSession, runs: DataFrame, folder: str) -> DataFrame:
+def open_artifact(path: str) -> BinaryIO:
+    """A stream over a file by its full path; stores are those that Arrow knows."""
+    local = re.fullmatch("(?:file:(?://)?)?(/.*)", path, re.DOTALL)
+    store, inside = (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(path)
+    return store.open_input_stream(inside, compression=None)
+
+
+def file_hashes(paths: DataFrame, opener: Callable[[str], BinaryIO] = open_artifact, piece: int = HASHED_AT_ONCE) -> DataFrame:
+    """``path, file_hash`` for rows of ``path``: SHA-256 of files of any size, NULL where there is none.
+
+    A task holds ``piece`` bytes at a time.  ``opener`` runs in the tasks and raises ``FileNotFoundError`` for a
+    file that is missing; pass another one for a store that Arrow does not reach.
+    """
+
+    def hashed(path: str) -> str | None:
+        said = hashlib.sha256()
+        try:
+            with opener(path) as stream:
+                while part := stream.read(piece):
+                    said.update(part)
+        except FileNotFoundError:
+            return None
+        return said.hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [None if path is None else hashed(path) for path in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.string())], ["path", "file_hash"])
+
+    return paths.select("path").mapInArrow(run, "path string, file_hash string")
+
+
+def verify_artifacts(spark: SparkSession, runs: DataFrame, folder: str, opener: Callable[[str], BinaryIO] = open_artifact) -> DataFrame:
     """Stored hash of each run's artifact against the file: ok, mismatch or missing.
 
-    ``artifact_uri`` is the path below ``folder``.  Files are hashed where they are read.
+    ``artifact_uri`` is the path below ``folder``; one that leaves it is missing.  The distinct names are dealt to
+    the tasks, which read the files piece by piece where they lie: their size does not matter, and nothing else in
+    the folder is listed.
     """
-    scheme = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
-    root = re.sub(scheme, "", folder) if re.match(scheme, folder) else os.path.abspath(folder)
-    root = root.rstrip("/") + "/"
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select(F.regexp_replace("path", scheme, "").alias("path"), F.sha2("content", 256).alias("file_hash"))
-        .where(F.col("path").startswith(root))
-        .withColumn("artifact_uri", F.expr(f"substring(path, {len(root) + 1})"))
-        .drop("path")
-    )
+    if not re.match("[A-Za-z][A-Za-z0-9+.-]*:", folder):
+        store = spark.conf.get("spark.hadoop.fs.defaultFS", "file:///")
+        folder = os.path.abspath(folder) if store.startswith("file:") else f"{store.rstrip('/')}/{folder.lstrip('/')}"
+    outside = F.col("artifact_uri").rlike("(^/)|((^|/)[.][.](/|$))")
+    path = F.when(~outside, F.concat(F.lit(folder.rstrip("/") + "/"), "artifact_uri")).alias("path")
+    wanted = runs.select("artifact_uri").distinct().select(path)
+    start = len(folder.rstrip("/")) + 2
+    files = file_hashes(wanted.repartition("path"), opener).select(F.expr(f"substring(path, {start})").alias("artifact_uri"), "file_hash")
     status = (
         F.when(F.col("file_hash").isNull(), "missing")
         .when(F.col("file_hash") == F.col("artifact_hash"), "ok")

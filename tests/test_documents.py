@@ -358,3 +358,36 @@ def test_artifact_verification(spark, tmp_path, rows):
     good = hashlib.sha256(b"model a").hexdigest()
     log = spark.createDataFrame([("a", "m/a.bin", good), ("b", "m/b.bin", good), ("c", "m/c.bin", good)], "run_id string, artifact_uri string, artifact_hash string")
     assert rows(runs.verify_artifacts(spark, log, str(tmp_path)), "run_id", "verification") == [("a", "ok"), ("b", "mismatch"), ("c", "missing")]
+
+
+def test_files_are_hashed_in_pieces(spark, tmp_path):
+    """A file above the size of a piece, an empty one, one whose name says it is compressed; no piece is larger."""
+    content = {"big.bin": bytes(range(256)) * 50_000, "none.bin": b"", "text.gz": b"not compressed"}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    listed = spark.createDataFrame([(f"{tmp_path}/{name}",) for name in (*content, "missing")] + [(None,)], "path string")
+
+    class Noted:
+        def __init__(self, stream):
+            self.stream = stream
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.stream.close()
+
+        def read(self, n):
+            assert n == 1 << 16
+            return self.stream.read(n)
+
+    got = {r.path and r.path.rsplit("/", 1)[1]: r.file_hash for r in runs.file_hashes(listed, lambda path: Noted(runs.open_artifact(path)), 1 << 16).collect()}
+    assert got == {name: hashlib.sha256(data).hexdigest() for name, data in content.items()} | {"missing": None, None: None}
+
+
+def test_artifacts_outside_the_folder_are_missing(spark, tmp_path, rows):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "a.bin").write_bytes(b"a")
+    good = hashlib.sha256(b"a").hexdigest()
+    log = spark.createDataFrame([("a", "../a.bin", good), ("b", f"{tmp_path}/a.bin", good), ("c", "x/../../a.bin", good), ("d", None, good)], "run_id string, artifact_uri string, artifact_hash string")
+    assert rows(runs.verify_artifacts(spark, log, f"file://{tmp_path}/in/"), "verification") == [("missing",)] * 4
