@@ -1,8 +1,8 @@
 """Joins of daily sales with prices, promotions, stock and dimensions.
 
 Validity intervals are inclusive on both ends and a NULL store means "every store".  The product
-key stays an equality, so these are hash or sort-merge joins with the date test as residual
-condition, never nested loops over the tables.
+key stays an equality: these are hash joins with the date test as residual condition, or sweeps in date order for
+many windows, never nested loops over the tables.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from shelfline.operators.filters import discount_pct, stock_bucket
 from shelfline.operators.scale import HotKeys, fits_broadcast, salted_join
+from shelfline.operators.sweep import sweep_join
 
 GRAIN = ["date", "store_id", "product_id"]
-BUCKET_DAYS = 128
 #: Unknown keys that are sent to the rows rather than joined with them.
 FEW_KEYS = 10_000
 
@@ -25,7 +25,6 @@ def interval_join(
     first: str,
     last: str,
     how: str = "left",
-    bucket_days: int = BUCKET_DAYS,
     measure: HotKeys | None = None,
 ) -> DataFrame:
     """Sales rows with the windows of their product that cover their date and store.
@@ -33,40 +32,20 @@ def interval_join(
     ``windows`` has product_id, store_id (NULL = every store), ``first``, ``last`` (NULL = open) and
     payload columns.  Every match counts: several windows over one sale give several rows.
 
-    A small ``windows`` side is broadcast by the optimizer.  Otherwise both sides also carry a time
-    bucket as join key (a sale has one, a window one per bucket it touches inside the sales
-    period), which keeps long histories of one product from meeting all its sales, and products
-    that hold a large share of the sales are salted on top.  ``measure``: see ``salted_join``.
+    A small ``windows`` side is broadcast by the optimizer.  A large one is swept, see ``sweep``: a long history
+    of one product does not meet all its sales, and products that hold a large share of the sales are cut by
+    days.  ``measure``: see ``salted_join``.
     """
     side = windows.withColumnRenamed("store_id", "_w_store")
-    covers = (
-        (F.col("_w_store").isNull() | (F.col("_w_store") == F.col("store_id")))
-        & (F.col("date") >= F.col(first))
-        & (F.col(last).isNull() | (F.col("date") <= F.col(last)))
-    )
     drop = ["_w_store"] if how in ("inner", "left") else []
     if fits_broadcast(windows):
+        covers = (
+            (F.col("_w_store").isNull() | (F.col("_w_store") == F.col("store_id")))
+            & (F.col("date") >= F.col(first))
+            & (F.col(last).isNull() | (F.col("date") <= F.col(last)))
+        )
         return salted_join(sales, side, ["product_id"], how, covers).drop(*drop)
-    base = sales if measure is None else measure.df
-    span = base.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi")).alias("span")).scalar()
-    bucketed = sales.withColumn("_bucket", _bucket(F.col("date"), bucket_days))
-    side = (
-        side.withColumn("_span", span)
-        .withColumn("_from", _bucket(F.greatest(F.col(first), F.col("_span.lo")), bucket_days))
-        .withColumn("_to", _bucket(F.least(F.coalesce(F.col(last), F.col("_span.hi")), F.col("_span.hi")), bucket_days))
-        .where(F.col("_from") <= F.col("_to"))
-        .withColumn("_bucket", F.explode(F.sequence("_from", "_to")))
-        .drop("_span", "_from", "_to")
-    )
-    # by product alone: that is measured once for all joins, and cutting a key too often costs a few window rows
-    joined = salted_join(
-        bucketed, side, ["product_id", "_bucket"], how, covers, spread=GRAIN, measure=measure or HotKeys(sales, "product_id"), skew=["product_id"]
-    )
-    return joined.drop("_bucket", *drop)
-
-
-def _bucket(day: Column, width: int) -> Column:
-    return F.floor(F.unix_date(day) / F.lit(width)).cast("int")
+    return sweep_join(sales, side, "product_id", "date", "store_id", "_w_store", first, last, how, measure).drop(*drop)
 
 
 def active_price(sales: DataFrame, prices: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shelfline.operators import exog, scale
+from shelfline.operators import exog, scale, sweep
 from shelfline.operators.scale import (
     HotKeys,
     fits_broadcast,
@@ -88,30 +88,66 @@ def test_salted_join_refuses_full(skewed, right):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_interval_join_with_buckets_equals_brute_force(spark, no_broadcast, how):
+@pytest.mark.parametrize("partitions", ["4", "40"])
+def test_swept_interval_join_equals_brute_force(spark, no_broadcast, monkeypatch, how, partitions):
+    """Windows of stores and of all, open ones, those before and after all rows, rows without a day, store or product."""
+    monkeypatch.setattr(sweep, "MATCHES", 50)
     rng = random.Random(3)
     day0 = dt.date(2024, 1, 1)
     sales = [(day0 + dt.timedelta(days=rng.randrange(700)), rng.randrange(4), 1 if i % 3 else rng.randrange(5), i)
              for i in range(400)]
-    windows = []
+    sales += [(None, 1, 1, 1000), (day0, None, 1, 1001), (day0, 1, None, 1002)] + [(day0 + dt.timedelta(days=50), 1, 1, 2000 + i) for i in range(200)]
+    windows = [(1, None, None, None, "never"), (None, None, day0, None, "no product"), (1, 1, day0 + dt.timedelta(days=9), day0, "backwards")]
     for i in range(60):
         first = day0 + dt.timedelta(days=rng.randrange(-300, 800))
         last = None if i % 6 == 0 else first + dt.timedelta(days=rng.randrange(0, 400))
         windows.append((rng.randrange(5), rng.choice([None, None, 0, 1, 2]), first, last, f"w{i}"))
     s = spark.createDataFrame(sales, "date date, store_id int, product_id int, n int")
     w = spark.createDataFrame(windows, "product_id int, store_id int, first date, last date, tag string")
-    got = exog.interval_join(s, w, "first", "last", how)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = exog.interval_join(s.repartition(3), w, "first", "last", how)
+        found = got.select(*["n"] if how.startswith("left_") else ["n", "tag"]).collect()
+        assert got.columns == [*s.columns, *([] if how.startswith("left_") else ["first", "last", "tag"])]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     want = []
     for d, st, p, n in sales:
-        hits = [t for wp, ws, a, b, t in windows if wp == p and ws in (None, st) and a <= d and (b is None or d <= b)]
+        hits = [t for wp, ws, a, b, t in windows if d and a and p is not None and wp == p and (ws is None or ws == st) and a <= d and (b is None or d <= b)]
         if how == "left_semi":
             want += [(n,)] * bool(hits)
         elif how == "left_anti":
             want += [(n,)] * (not hits)
         else:
             want += [(n, t) for t in hits] or ([(n, None)] if how == "left" else [])
-    columns = ["n"] if how.startswith("left_") else ["n", "tag"]
-    assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, want))
+    assert sorted(str(tuple(r)) for r in found) == sorted(map(str, want))
+
+
+def test_a_product_of_many_windows_is_swept(spark, no_broadcast):
+    """A hundred thousand windows and as many sales of one product: the work follows the matches."""
+    day0 = dt.date(2000, 1, 1)
+    n = 100_000
+    at = F.date_add(F.lit(day0), (F.col("id") % 5000).cast("int"))
+    s = spark.range(n).select(at.alias("date"), (F.col("id") % 50).cast("int").alias("store_id"), F.lit(1).alias("product_id"), F.col("id").alias("n"))
+    w = spark.range(n).select(F.lit(1).alias("product_id"), (F.col("id") % 1000).cast("int").alias("store_id"), at.alias("first"), F.date_add(at, 1).alias("last"), F.col("id").alias("w"))
+    out = exog.interval_join(s, w, "first", "last", "inner")
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    # a store below 50 has 100 windows, each on two days: one of them has sales of that store, 20 a day
+    plain = s.join(F.broadcast(w.withColumnRenamed("store_id", "own").where("own < 50")).drop("product_id"), (F.col("own") == F.col("store_id")) & F.col("date").between(F.col("first"), F.col("last")))
+    assert out.agg(F.count("*"), F.sum("n"), F.sum("w")).collect() == plain.agg(F.count("*"), F.sum("n"), F.sum("w")).collect()
+
+
+def test_a_hot_product_is_cut_by_days(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 4 < 3, 1).otherwise(F.col("id")).cast("int").alias("product_id"), F.date_add(F.lit(dt.date(2024, 1, 1)), F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id") % 30).cast("int")).alias("date"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        cut = sweep.stretches(rows, "product_id", "date", HotKeys(rows, "product_id")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r["_key"] for r in cut} == {1} and max(r["_salts"] for r in cut) > 1 and [r["_part"] for r in sorted(cut)] == list(range(1, len(cut) + 1))
+    assert sweep.stretches(rows.where("product_id > 1"), "product_id", "date", HotKeys(rows.where("product_id > 1"), "product_id")) is None
 
 
 def test_global_row_number_is_exact_and_spread(spark):
