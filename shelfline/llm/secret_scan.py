@@ -1,9 +1,10 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of key characters with a digit, and values that are assigned to a name.  The
-forest sees their length, the transitions between character classes, how much of them dictionary words
-cover, the path they stand in and the words beside them.  It is trained on labelled findings; where the
-caller has none, a rule labels those candidates of the corpus itself that are clear either way.
+Candidates are long runs of key characters, three such runs joined by dots, and values that are assigned to a
+name, whole if they are quoted.  The forest sees their length, the transitions between character classes, how
+much of them dictionary words cover, the path they stand in and the words beside them.  It is trained on
+labelled findings; where the caller has none, rules label those candidates of the corpus itself that are clear
+either way: by the name they are assigned to, by a public token format, or by harmless words.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,12 +32,18 @@ LABELLED = 20_000
 TREES, DEPTH = 40, 6
 BATCH = 8 << 20
 
-_RUN = "A-Za-z0-9+/=_-"
-_KEY_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-")
-_FROM_DIGIT = re.compile(f"[0-9][{_RUN}]*")
-_ASSIGNED = re.compile(rf"[=:]\s{{0,2}}[\"']?([A-Za-z0-9+/_-][{_RUN}]{{{LEAST_ASSIGNED - 1},}})")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_QUOTED = re.compile(r"""[=:]\s{0,2}(?:"([^"\s]{8,})"|'([^'\s]{8,})')""")
+_ASSIGNED = re.compile(rf"[=:]\s{{0,2}}([A-Za-z0-9+/_-]{{{LEAST_ASSIGNED},}}={{0,2}})")
+_MIXED = re.compile("(?=.*[a-z])(?=.*[A-Z])", re.DOTALL)
 _WORDS = re.compile(r"[A-Za-z]+")
 _PIECES = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
+# How tokens of public services begin.
+_FORMATS = re.compile(
+    r"AKIA[A-Z0-9]{16}$|ASIA[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{20,}$|github_pat_[A-Za-z0-9_]{20,}$|glpat-[A-Za-z0-9_-]{20,}$"
+    r"|sk_live_[A-Za-z0-9]{16,}$|sk-[A-Za-z0-9_-]{20,}$|xox[abprs]-[A-Za-z0-9-]{10,}$|AIza[A-Za-z0-9_-]{30,}$|npm_[A-Za-z0-9]{20,}$|eyJ[A-Za-z0-9_-]+\.eyJ"
+)
 _BEFORE = re.compile(r"([A-Za-z0-9_.-]*)[\"']?\s{0,2}([=:])?\s{0,2}[\"']?$")
 
 # Words that speak for and against a secret beside a candidate, and of paths.
@@ -45,32 +53,48 @@ TEST_PATHS = frozenset("test tests example examples sample samples mock mocks fi
 CONFIG_PATHS = frozenset("config conf settings env secrets credentials deploy ini yml yaml properties toml".split())
 
 _CLASSES = "luds"  # lower, upper, digit, sign
+#: Neighbouring words are counted by hash as well, so that the forest can learn others than the fixed ones.
+BUCKETS = 12
 FEATURES = (
     ["length", "entropy", "digits", "hex", "kinds", "coverage", "longest_word", "assigned", "quoted"]
     + [f"{a}{b}" for a in _CLASSES for b in _CLASSES]
-    + ["secret_before", "secret_after", "harmless_before", "harmless_after", "named_secret", "test_path", "config_path", "path_depth"]
+    + ["secret_before", "secret_after", "harmless_before", "harmless_after", "named_secret", "format", "test_path", "config_path", "path_depth"]
+    + [f"{side}{i}" for side in ("before", "after") for i in range(BUCKETS)]
 )
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans in order, without overlap: runs of ``LEAST`` and more with a digit, and assigned values."""
-    found = set()
-    for m in _FROM_DIGIT.finditer(text):
+    """Spans in order, without overlap.
+
+    Assigned quoted values come first, then dotted runs, then runs of ``LEAST`` and more with a digit or letters
+    of both cases, then shorter assigned values.  Equals signs only end a run: the name before one is not
+    part of it.
+    """
+    found: list[tuple[int, int]] = []
+
+    def add(spans: list[tuple[int, int]]) -> None:
+        nonlocal found
+        free, at = [], 0
+        for start, end in spans:
+            while at < len(found) and found[at][1] <= start:
+                at += 1
+            if at == len(found) or end <= found[at][0]:
+                free.append((start, end))
+        found = sorted([*found, *free])
+
+    add([m.span(1) if m[1] is not None else m.span(2) for m in _QUOTED.finditer(text)])
+    add([m.span() for m in _DOTTED.finditer(text)])
+    runs = []
+    for m in _RUN.finditer(text):
         start = m.start()
-        if found and start < last:
-            continue
-        while start and text[start - 1] in _KEY_CHARACTERS:
-            start -= 1
-        # a sign of assignment or a separator in front is no part of the value
-        while start < m.start() and text[start] in "=-_/+":
+        while start < m.end() and text[start] in "-_/+":  # a separator in front is no part of the value
             start += 1
-        if m.end() - start >= LEAST:
-            found.add((start, m.end()))
-            last = m.end()
-    for m in _ASSIGNED.finditer(text):
-        if not any(a < m.end(1) and m.start(1) < b for a, b in found):
-            found.add(m.span(1))
-    return sorted(found)
+        value = text[start : m.end()]
+        if len(value) >= LEAST and (any(c.isdigit() for c in value) or _MIXED.match(value)):
+            runs.append((start, m.end()))
+    add(runs)
+    add([m.span(1) for m in _ASSIGNED.finditer(text)])
+    return found
 
 
 def _kind(c: str) -> str:
@@ -106,19 +130,31 @@ def describe(text: str, start: int, end: int, path: str, words: frozenset[str])
         float(len(left & HARMLESS_WORDS)),
         float(len(right & HARMLESS_WORDS)),
         float(bool(name & SECRET_WORDS)),
+        float(bool(_FORMATS.match(value))),
         float(bool(places & TEST_PATHS)),
         float(bool(places & CONFIG_PATHS)),
         float(path.count("/")),
+        *_hashed(left),
+        *_hashed(right),
     ]
 
 
+def _hashed(words: set[str]) -> list[float]:
+    out = [0.0] * BUCKETS
+    for w in words:
+        out[zlib.crc32(w.encode()) % BUCKETS] += 1
+    return out
+
+
 def clear_label(features: list[float]) -> int | None:
     """1, 0 or (not clear) None for a candidate of which no finding is known."""
     f = dict(zip(FEATURES, features))
-    if f["test_path"] or f["harmless_before"]:
+    named = f["named_secret"] and f["assigned"] and f["entropy"] >= 3 and f["coverage"] < 0.3 and f["length"] >= (12 if f["quoted"] else 20)
+    # a name or a format speaks louder than a harmless word nearby; in a test it is not clear
+    if named or f["format"]:
+        return None if f["test_path"] else 1
+    if f["test_path"] or f["harmless_before"] and not f["named_secret"]:
         return 0
-    if f["named_secret"] and f["assigned"] and f["length"] >= 20 and f["entropy"] >= 3 and f["coverage"] < 0.3:
-        return 1
     if not f["secret_before"] and (f["digits"] == 1 or f["coverage"] > 0.5 or f["entropy"] < 2.5 or not f["assigned"]):
         return 0
     return None
@@ -157,17 +193,20 @@ def findings(documents: DataFrame, path: str = "source", words: frozenset[str] |
 
 
 def train(labelled: DataFrame, rows: int = LABELLED, seed: int = 7):
-    """A forest from ``features, label`` rows, at most ``rows`` of them, half for each label if there are so many.
+    """A forest from ``features, label`` rows, at most ``rows`` distinct ones, half for each label if there are so many.
 
-    ``None`` if not both labels occur.
+    A vector that occurs often is one row with a larger weight (the logarithm of its count), so that copies of
+    one finding neither fill the sample nor fall out of it.  ``None`` if not both labels occur.
     """
     known = labelled.where("label is not null").select("features", F.col("label").cast("double").alias("label"))
+    known = stored(known.groupBy("features", "label").agg(F.log2(F.count(F.lit(1)) + 1).alias("weight")), "secret-vectors")
     sample = hash_sample(known.where("label = 1"), ["features"], rows // 2).unionByName(hash_sample(known.where("label = 0"), ["features"], rows // 2))
     # one task's worth of rows by the limit; written, as the forest reads it once for each level of depth
-    sample = stored(sample.select(array_to_vector("features").alias("x"), "label"), "secret-sample")
+    sample = stored(sample.select(array_to_vector("features").alias("x"), "label", "weight"), "secret-sample")
     if sample.select("label").distinct().count() < 2:
         return None
-    return RandomForestClassifier(featuresCol="x", labelCol="label", probabilityCol="shares", numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(sample)
+    forest = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", probabilityCol="shares", numTrees=TREES, maxDepth=DEPTH, seed=seed)
+    return forest.fit(sample)
 
 
 def scan(documents: DataFrame, labelled: DataFrame | None = None, path: str = "source", threshold: float = 0.5) -> DataFrame:
