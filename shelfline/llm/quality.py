@@ -3,8 +3,8 @@
 Two generative models of hashed n-grams are counted: one of labelled good documents (the target), one of
 all documents (the raw text).  The log ratio of their probabilities, averaged over a document's n-grams,
 is its importance; with Gumbel noise added, taking the k largest keys samples k documents without
-replacement in proportion to their importance.  k is given, or is the number of documents above the cut
-that parts the labels best on labelled documents that the target model has not seen.
+replacement in proportion to their importance.  k is given, or estimated: as many documents as lie above the
+importance that parts the labels best, on labelled documents that the target model has not seen.
 """
 
 from __future__ import annotations
@@ -141,50 +141,59 @@ def scored(documents: DataFrame, ratio: np.ndarray, seed: int = 0, sharpness: fl
     return rows.mapInArrow(work, schema)
 
 
-def best_cut(keys: np.ndarray, good: np.ndarray) -> float:
-    """The key in the middle of the gap that parts good from bad with the fewest mistakes (shares by class)."""
+def best_cut(values: np.ndarray, good: np.ndarray) -> float:
+    """The value in the middle of the gap that parts good from bad with the fewest mistakes (shares by class)."""
     if not good.any() or good.all():
-        return float(keys.min()) if len(keys) and good.all() else -math.inf
-    order = np.argsort(keys, kind="stable")
-    keys, good = keys[order], good[order]
+        return float(values.min()) if len(values) and good.all() else -math.inf
+    order = np.argsort(values, kind="stable")
+    values, good = values[order], good[order]
     lost = np.concatenate([[0], np.cumsum(good)]) / good.sum()
     let_in = 1 - np.concatenate([[0], np.cumsum(~good)]) / (~good).sum()
     wrong = lost + let_in
     best = np.flatnonzero(wrong == wrong.min())
     at = best[len(best) // 2]
-    low = keys[at - 1] if at else -math.inf
-    high = keys[at] if at < len(keys) else math.inf
+    low = values[at - 1] if at else -math.inf
+    high = values[at] if at < len(values) else math.inf
     return float((low + high) / 2) if math.isfinite(low) and math.isfinite(high) else float(high if at == 0 else low)
 
 
-def fit(documents: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0, rows: int = LABELLED) -> Model:
-    """Count the models and find the cut."""
+def importance_cut(documents: DataFrame, sample: DataFrame, ratio: np.ndarray) -> float:
+    """The importance that parts the labelled documents kept from the target model; one row per id is collected."""
+    held = documents.select("doc_id", "text").join(F.broadcast(sample.where("not fit")), documents["doc_id"] == F.col("id"))
+    rated = scored(held, ratio)
+    # documents that share an id count with their mean
+    found = rated.groupBy("id").agg(F.avg("importance").alias("importance"), F.max("good").alias("good")).toPandas()
+    return best_cut(found["importance"].to_numpy(float), found["good"].to_numpy(bool))
+
+
+def drawn(documents: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0, rows: int = LABELLED) -> tuple[Model, DataFrame]:
+    """The model with the k-th largest key, and the stored ``doc_id, n_grams, importance, key`` of all documents."""
     sample = labelled_sample(labels, rows)
     ratio = fit_ratio(documents, sample)
-    if k is not None:
-        keys = stored(scored(documents.select("doc_id", "text"), ratio, seed).select("key"), "quality-keys")
-        return Model(ratio, kth_largest(keys, "key", k))
-    held = documents.select("doc_id", "text").join(F.broadcast(sample.where("not fit")), documents["doc_id"] == F.col("id"))
-    found = scored(held, ratio, seed).select("key", "good").toPandas()  # at most the rows of the sample (and their repeats)
-    return Model(ratio, best_cut(found["key"].to_numpy(float), found["good"].to_numpy(bool)))
+    keys = stored(scored(documents.select("doc_id", "text"), ratio, seed).drop("text"), "quality-keys")
+    if k is None:
+        k = keys.where(F.col("importance") >= F.lit(importance_cut(documents, sample, ratio))).count()
+    return Model(ratio, kth_largest(keys, "key", k)), keys
 
 
 def classify(documents: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
-    """``doc_id, n_grams, importance, key, kept`` for every document.
+    """``doc_id, n_grams, importance, key, kept`` for every document; the ``k`` with the largest keys are kept.
 
-    Whole texts are scored.  Null texts count as empty; a document without n-grams has importance 0 and
-    is decided by its noise.  Null ids are scored, but no label applies to them.  Repeated rows get the
-    same key, and documents that tie with the k-th key all stay.  Contradicting labels are left out;
-    with no labels, or none of bad documents, the cut lies at the worst good document or keeps all.
-    An empty table gives no rows.  Other columns are ignored.
+    Without ``k`` it is estimated, see ``drawn``.  Whole texts are scored.  Null texts count as empty; a
+    document without n-grams has importance 0 and is decided by its noise.  Null ids are scored, but no label
+    applies to them.  Repeated rows get the same key, and documents that tie with the k-th key all stay.
+    Contradicting labels are left out; with no labels, or none of bad documents, all documents down to the worst
+    good one count for ``k``, or all.  An empty table gives no rows.  Other columns are ignored.
     """
-    model = fit(documents, labels, k, seed)
-    out = scored(documents.select("doc_id", "text"), model.ratio, seed)
-    return out.select("doc_id", "n_grams", "importance", "key", (F.col("key") >= F.lit(model.cut)).alias("kept"))
+    model, keys = drawn(documents, labels, k, seed)
+    return keys.select("doc_id", "n_grams", "importance", "key", (F.col("key") >= F.lit(model.cut)).alias("kept"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
-    """The documents that ``classify`` keeps, with all their columns."""
-    model = fit(documents, labels, k, seed)
+    """The documents that ``classify`` keeps, with all their columns.
+
+    Repeated rows stay or go together; an empty table gives no rows; columns of any name stay as they are.
+    """
+    model, _ = drawn(documents, labels, k, seed)
     rows = scored(documents, model.ratio, seed)
     return rows.where(F.col(rows.columns[-1]) >= F.lit(model.cut)).select(*documents.columns)

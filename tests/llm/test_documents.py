@@ -394,6 +394,48 @@ def test_quality_on_documents_held_out(spark):
     assert best.where("not kept").agg(F.max("key")).first()[0] < cut
 
 
+@pytest.mark.parametrize("k", [None, 40])
+def test_quality_is_the_ratio_of_counts_sampled_by_gumbel_keys(spark, documents, k):
+    """Counts, ratio, importance, noise and the draw, each again in plain Python."""
+    rng = np.random.default_rng(4)
+    good, bad = ([f"{p}{i}" for i in range(30)] for p in "gb")
+    rows = [(i, " ".join(rng.choice(good if i % 3 else bad + good[:10], rng.integers(5, 60))), "s") for i in range(150)]
+    docs = documents(rows)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(100)], "doc_id long, quality int")
+    out = {r.doc_id: r for r in quality.classify(docs, labels, k=k, seed=9).collect()}
+    sample = {r.id: r for r in quality.labelled_sample(labels).collect()}
+    grams = {i: quality.ngrams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for i, t, _ in rows}
+    raw = np.bincount(np.concatenate(list(grams.values())), minlength=quality.BUCKETS)
+    target = np.bincount(np.concatenate([g for i, g in grams.items() if i in sample and sample[i].good and sample[i].fit]), minlength=quality.BUCKETS)
+    p = (raw + 1e-3) / (raw.sum() + 1e-3 * quality.BUCKETS)
+    q = (target + quality.PRIOR * quality.BUCKETS * p) / (target.sum() + quality.PRIOR * quality.BUCKETS)
+    importance = {i: np.log(q / p)[g].mean() for i, g in grams.items()}
+    ids = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(9), "doc_id", "text").alias("h")).collect()}
+    noise = {i: -np.log(-np.log(common.uniform(np.array([h]))[0])) for i, h in ids.items()}
+    keys = {i: importance[i] * quality.SHARPNESS + noise[i] for i in grams}
+    for i, r in out.items():
+        assert r.n_grams == len(grams[i]) and r.importance == pytest.approx(importance[i], abs=1e-9) and r.key == pytest.approx(keys[i], abs=1e-6)
+    if k is None:
+        held = [(importance[i], r.good) for i, r in sample.items() if not r.fit]
+        cuts = sorted({v for v, _ in held})
+        wrong = [sum(v < c for v, g in held if g) / sum(g for _, g in held) + sum(v >= c for v, g in held if not g) / sum(not g for _, g in held) for c in cuts]
+        # any border with the fewest mistakes: the number of documents above it lies between those of two labelled ones
+        best = [j for j, w in enumerate(wrong) if w == min(wrong)]
+        least, most = (sum(v > x if strict else v >= x for v in importance.values()) for x, strict in ((cuts[best[-1]], True), (cuts[max(0, best[0] - 1)], False)))
+        k = sum(r.kept for r in out.values())
+        assert least <= k <= most
+    assert {i for i, r in out.items() if r.kept} == set(sorted(keys, key=lambda i: -keys[i])[:k])
+
+
+def test_repeated_ids_are_one_row_of_the_trial(spark, documents, monkeypatch):
+    """A labelled id that a third of the rows share does not come to the driver row by row."""
+    seen, cut = [], quality.best_cut
+    monkeypatch.setattr(quality, "best_cut", lambda values, good: seen.append(len(values)) or cut(values, good))
+    rows = [(i % 20 if i < 200 else 7, f"{'good' if (i % 20 if i < 200 else 7) % 2 else 'bad'} words {i}", "s") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    assert quality.classify(documents(rows), labels).count() == 300 and seen[0] <= 20
+
+
 def test_quality_messy_rows(spark, messy, no_documents):
     labels = spark.createDataFrame([(5, 1), (5, 0), (4, 1), (None, 1), (6, None), (7, 1)], "doc_id long, quality int")
     assert quality.classify(messy, labels).count() == messy.count()
