@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -220,20 +220,86 @@ def test_packing_messy_rows(messy, no_documents):
 # -- licences ------------------------------------------------------------------------------
 
 
-def test_licences(documents, messy, no_documents):
-    header = licences.TEMPLATES["Apache-2.0 header"].replace(". ", ".\n")
+def brute_licences(text, templates, threshold=0.8):
+    """Every run of words against every template, then the same choice of runs that share no word."""
+    words = re.findall("[a-z0-9]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c if ord(c) < 128 else " " for c in text))
+    grams = list(zip(words, words[1:]))
+    found = []
+    for name, template in templates.items():
+        known = Counter(tuple(g.split(" ")) for g in licences.template_bigrams(template))
+        size, best = sum(known.values()), {}
+        for s in range(len(grams)):
+            seen, common = Counter(), 0
+            for e in range(s, len(grams)):
+                seen[grams[e]] += 1
+                common += seen[grams[e]] <= known[grams[e]]
+                dice = 2 * common / (e - s + 1 + size)
+                if grams[s] in known and grams[e] in known and dice >= threshold and dice > best.get(s, (0,))[0]:
+                    best[s] = (dice, s, e, common)
+        own = []
+        for dice, s, e, common in sorted(best.values(), key=lambda r: (-r[0], r[1])):
+            if all(e + 1 < a or b + 1 < s for _, _, _, a, b in own):
+                own.append((-common, -dice, name, s, e))
+        found += own
+    out = []
+    for run in sorted(found):
+        if all(run[4] + 1 < r[3] or r[4] + 1 < run[3] for r in out):
+            out.append(run)
+    return {(name, s, e - s + 2, round(-dice, 9)) for _, dice, name, s, e in out}
+
+
+def scanned(df, **options):
+    out = defaultdict(set)
+    for r in licences.scan_licences(df, **options).collect():
+        out[r.doc_id].add((r.licence, r.first_word, r.n_words, round(r.dice, 9)))
+    return out
+
+
+SMALL = {name: licences.TEMPLATES[name] for name in ("MIT notice", "Apache-2.0 notice", "MPL-2.0 notice", "CC-BY-4.0 notice", "GPL-3.0 notice", "GPL-2.0 notice")}
+
+
+def test_licences_are_those_of_all_runs(documents):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.integers(1, 5)):
+            words = rng.choice(list(SMALL.values())).split()
+            for _ in range(rng.integers(0, 4)):  # words changed, lost, repeated
+                at = rng.integers(0, len(words))
+                words[at : at + 1] = [[], [words[at]] * 2, ["other"]][rng.integers(0, 3)]
+            parts.append(" ".join(rng.choice(["the", "of", "software", "License", "licensed", "is"], rng.integers(0, 8))) + rng.choice([" ", "\n\n", "\n * "]) + " ".join(words))
+        rows.append((i, "".join(parts), "s"))
+    got = scanned(documents(rows), templates=SMALL)
+    assert got == {i: want for i, t, _ in rows if (want := brute_licences(t, SMALL))}
+
+
+def test_licences_inside_documents(documents, messy, no_documents):
+    def commented(text, sign):
+        words = text.split()
+        return "\n".join(f"{sign} {' '.join(words[i : i + 9])}" for i in range(0, len(words), 9))
+
+    code = "int main(void) {\n  return 0;\n}\n" * 30
     mit = licences.TEMPLATES["MIT"].replace(": ", ":\n\n")
-    df = documents(
-        [
-            (1, "Some words.\nReleased under the  MIT licence, MIT License!\nMore.", "s"),
-            (2, "Intro.\n\n" + header + "\n\nEnd of it.", "s"),
-            (3, mit, "s"),
-            (4, "Released under the MIT License.", "s"),
-            (4, "Released under the MIT License.", "s"),
-        ]
-    )
-    found = {(r.doc_id, r.scope, r.licence) for r in licences.scan_licences(df).collect()}
-    assert {(2, "paragraph", "Apache-2.0 header"), (3, "document", "MIT"), (4, "line", "MIT notice")} <= found
+    rows = [
+        (1, "Hello. Released under the MIT License. Then come other words of the same line.", "s"),
+        (2, "/*\n * Copyright (c) 2020 Somebody\n *\n" + commented(licences.TEMPLATES["MIT"], " *") + "\n */\n" + code, "s"),
+        (3, "A file.\n\n" + mit + "\n\nAnd more of it.", "s"),
+        (4, "Released under the MIT License.", "s"),
+        (4, "Released under the MIT License.", "s"),
+        (5, commented(licences.TEMPLATES["BSD-2-Clause"], "#") + "\n" + code, "s"),
+        (6, code + commented(licences.TEMPLATES["BSD-3-Clause"], "//") + "\n" + commented(licences.TEMPLATES["Zlib"], "//"), "s"),
+        (7, code + licences.TEMPLATES["Apache-2.0"] + "\n" + code, "s"),
+        (8, commented(licences.TEMPLATES["Apache-2.0 header"], "#") + "\n" + code, "s"),
+    ]
+    df = documents(rows)
+    got = {i: sorted(r[0] for r in found) for i, found in scanned(df).items()}
+    assert got == {1: ["MIT notice"], 2: ["MIT"], 3: ["MIT"], 4: ["MIT notice"], 5: ["BSD-2-Clause"], 6: ["BSD-3-Clause", "Zlib"], 7: ["Apache-2.0"], 8: ["Apache-2.0 header"]}
+    for i, text, _ in rows:
+        words = re.findall("[a-z0-9]+", text.lower())
+        for name, first, n, dice in scanned(df)[i]:
+            template = licences.TEMPLATES[name]
+            assert dice > 0.97 and words[first : first + n] == re.findall("[a-z0-9]+", template.lower())
     assert licences.scan_licences(df.where("doc_id = 4")).count() == 2
     assert licences.scan_licences(messy).count() == 0 and licences.scan_licences(no_documents).count() == 0
     assert licences.scan_licences(df, templates={"one": "word"}).count() == 0
