@@ -293,11 +293,12 @@ def test_licences_inside_documents(documents, messy, no_documents):
         (8, commented(licences.TEMPLATES["Apache-2.0 header"], "#") + "\n" + code, "s"),
     ]
     df = documents(rows)
-    got = {i: sorted(r[0] for r in found) for i, found in scanned(df).items()}
+    found = scanned(df)
+    got = {i: sorted(r[0] for r in runs) for i, runs in found.items()}
     assert got == {1: ["MIT notice"], 2: ["MIT"], 3: ["MIT"], 4: ["MIT notice"], 5: ["BSD-2-Clause"], 6: ["BSD-3-Clause", "Zlib"], 7: ["Apache-2.0"], 8: ["Apache-2.0 header"]}
     for i, text, _ in rows:
         words = re.findall("[a-z0-9]+", text.lower())
-        for name, first, n, dice in scanned(df)[i]:
+        for name, first, n, dice in found[i]:
             template = licences.TEMPLATES[name]
             assert dice > 0.97 and words[first : first + n] == re.findall("[a-z0-9]+", template.lower())
     assert licences.scan_licences(df.where("doc_id = 4")).count() == 2
