@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfline.operators.scale import salted_join
+from shelfline.operators.exog import GRAIN, active_promotions
+from shelfline.operators.scale import HotKeys, salted_join
 
 # fixed values: (month, day) -> name
 FIXED_HOLIDAYS = {
@@ -109,105 +109,46 @@ def promotion_store_days(promotions: DataFrame, assortment: DataFrame) -> DataFr
 
 # -- expected demand ------------------------------------------------------------------
 
+#: What the units of a day are compared by.
+SIGNALS = ("day_of_week", "is_holiday", "on_promotion")
 
-@dataclass(frozen=True, kw_only=True)
-class DemandConfig:
-    """Parameters of expected demand; noise and anomalies are left out."""
-
-    base_demand: float = 100.0
-    trend: str = "none"
-    trend_slope: float = 0.001
-    # fixed values: Monday to Sunday
-    weekly: tuple[float, ...] = (0.8, 0.9, 1.0, 1.0, 1.1, 1.3, 1.2)
-    monthly: dict[int, float] = field(default_factory=dict)
-    holidays: dict[dt.date, float] = field(default_factory=dict)
-    promotion_lift: float = 1.3
-    stockout_behavior: str = "zero"
-    price_elasticity: float = -0.5
-    ramp_days: int = 30
-    use_launch_ramp: bool = True
-
-    def __post_init__(self):
-        if self.trend not in ("none", "linear", "exponential"):
-            raise ValueError(f"unknown trend {self.trend!r}")
-
-
-# fixed values: the six presets
-SCENARIOS = {
-    "retail_standard": DemandConfig(base_demand=100, trend="linear", trend_slope=0.0005),
-    "holiday_rush": DemandConfig(
-        base_demand=80,
-        trend="exponential",
-        trend_slope=0.005,
-        monthly={10: 1.0, 11: 1.3, 12: 1.8},
-        holidays={
-            dt.date(2024, 11, 28): 2.0,
-            dt.date(2024, 11, 29): 3.0,
-            dt.date(2024, 12, 24): 1.5,
-            dt.date(2024, 12, 25): 0.3,
-        },
-    ),
-    "high_variance": DemandConfig(base_demand=100),
-    "stockout_heavy": DemandConfig(base_demand=50),
-    "new_launches": DemandConfig(base_demand=80, trend="linear", trend_slope=0.002, ramp_days=45),
-    "sparse": DemandConfig(base_demand=100),
-}
 
+def signalled_sales(sales: DataFrame, promotions: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Sales by grain with weekday, holiday and promotion of the day; days that the calendar lacks are no holidays."""
+    days = calendar.select("date", "is_holiday")
+    flagged = active_promotions(sales, promotions).groupBy(*GRAIN).agg(
+        F.first("quantity").alias("quantity"), F.bool_or("on_promotion").alias("on_promotion")
+    )
+    named = salted_join(flagged, days, ["date"], "left", measure=HotKeys(sales, "date"))
+    return named.select(*GRAIN, "quantity", F.weekday("date").alias("day_of_week"), F.coalesce("is_holiday", F.lit(False)).alias("is_holiday"), "on_promotion")
 
-def expected_demand(config: DemandConfig, base_date: Column) -> Column:
-    """Expected units of a row, a whole number that is never negative.
 
-    Reads date, base_price, current_price (NULL = unchanged), is_promotion, is_stockout and
-    launch_date (NULL = established product).  Halves round to the even neighbour.
-    """
-    day = F.col("date")
-    one = F.lit(1.0)
-    elapsed = F.datediff(day, base_date).cast("double")
-    demand = F.lit(float(config.base_demand))
-    if config.trend == "linear":
-        demand = demand * (one + F.lit(config.trend_slope) * elapsed)
-    elif config.trend == "exponential":
-        demand = demand * F.exp(F.lit(config.trend_slope) * elapsed)
-    if config.weekly:
-        weights = F.array(*[F.lit(float(v)) for v in config.weekly])
-        demand = demand * F.coalesce(F.try_element_at(weights, F.weekday(day) + 1), one)
-    demand = demand * _chosen(F.month(day), config.monthly)
-    demand = demand * _chosen(day, config.holidays)
-    demand = demand * F.when(F.col("is_promotion"), F.lit(config.promotion_lift)).otherwise(one)
-    base, current = F.col("base_price").cast("double"), F.col("current_price").cast("double")
-    change = F.when(current.isNotNull() & (base > 0), F.try_divide(current - base, base))
-    demand = demand * F.coalesce(one + F.lit(config.price_elasticity) * change, one)
-    if config.ramp_days > 0 and config.use_launch_ramp:
-        age = F.datediff(day, F.col("launch_date")).cast("double")
-        ramp = F.when(age < config.ramp_days, age / F.lit(float(config.ramp_days)))
-        demand = demand * F.coalesce(ramp, one)
-    units = F.greatest(F.lit(0), F.rint(demand).cast("long"))
-    if config.stockout_behavior == "zero":
-        units = F.when(F.coalesce(F.col("is_stockout"), F.lit(False)), F.lit(0)).otherwise(units)
-    return units.cast("long")
-
-
-def _chosen(key: Column, factors: dict) -> Column:
-    chosen = F.lit(1.0)
-    for value, factor in factors.items():
-        chosen = F.when(key == F.lit(value), F.lit(float(factor))).otherwise(chosen)
-    return chosen
-
-
-def demand_by_scenario(
-    spine: DataFrame, base_date: dt.date, scenarios: dict[str, DemandConfig] | None = None
-) -> DataFrame:
-    """Every spine row once per scenario; the scenarios are columns of the plan, not a join.
-
-    The demands are computed as plain columns first, which Spark compiles; inside the exploded array
-    the same expressions would be interpreted.
+def demand_factors(leveled: DataFrame) -> DataFrame:
+    """``multiplier`` of each combination of the signals, counted from rows with ``quantity`` and ``level``.
+
+    The factor of a signal's value is the units sold on its rows, over the units that their levels add up to; a
+    combination takes the product of its factors.  There are at most 28 combinations.
     """
-    scenarios = scenarios or SCENARIOS
-    columns = {f"_d_{name}": expected_demand(c, F.lit(base_date)) for name, c in scenarios.items()}
-    cells = F.array(
-        *[F.struct(F.lit(n).alias("scenario"), F.col(f"_d_{n}").alias("expected_demand")) for n in scenarios]
-    )
-    return spine.withColumns(columns).select(*spine.columns, F.inline(cells))
+    cells = leveled.groupBy(*SIGNALS).agg(F.sum(F.col("quantity").cast("double")).alias("sold"), F.sum("level").alias("normal"))
+    multiplier = F.lit(1.0)
+    for signal in SIGNALS:
+        rows = Window.partitionBy(signal)
+        multiplier = multiplier * F.coalesce(F.try_divide(F.sum("sold").over(rows), F.sum("normal").over(rows)), F.lit(1.0))
+    return cells.select(*SIGNALS, multiplier.alias("multiplier"))
+
+
+def expected_demand(sales: DataFrame, promotions: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Each sale with the units to be expected: the mean of its product, times what weekday, holiday and promotion were
+    seen to change."""
+    rows = signalled_sales(sales, promotions, calendar)
+    # summed before the join: a row per product and task
+    levels = rows.groupBy("product_id").agg(F.avg("quantity").alias("level"))
+    leveled = salted_join(rows, levels, ["product_id"], spread=GRAIN, measure=HotKeys(sales, "product_id"))
+    named = demand_factors(leveled).withColumnsRenamed({s: f"_{s}" for s in SIGNALS})
+    same = F.lit(True)
+    for signal in SIGNALS:
+        same = same & (F.col(signal) == F.col(f"_{signal}"))
+    return leveled.join(F.broadcast(named), same).select(*GRAIN, "quantity", (F.col("level") * F.col("multiplier")).alias("expected_demand"))
 
 
 # -- sparsity --------------------------------------------------------------------------

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from shelfline.operators import demand, exog, quality
-from shelfline.operators.scale import HotKeys, new_path, salted_join
+from shelfline.operators.scale import new_path
 from shelfline.plans.common import r, rounded
 from shelfline.plans.features import BRAND, brand_daily
 from shelfline.plans.views import with_views
@@ -16,7 +16,6 @@ from shelfline.sources.star import load_star
 from shelfline.streaming import ingest
 
 KNOWN_SINCE = 1996  # the ingest calendar starts here, so 1995 rows have an unknown date
-BASE_DATE = dt.date(1995, 1, 1)
 
 
 def raw_batch(star):
@@ -251,40 +250,22 @@ def promotion_store_days(spark, folder):
     )
 
 
-def demand_spine(star):
-    """Sales grain with list price, promotion, stockout and the launch day of late products."""
-    grain = exog.GRAIN
-    priced = exog.best_price(star.sales_daily, star.price_history).select(
-        *grain, "quantity", F.col("list_price").alias("current_price")
-    )
-    promoted = (
-        exog.active_promotions(priced, star.promotion)
-        .groupBy(*grain)
-        .agg(F.first("current_price").alias("current_price"), F.bool_or("on_promotion").alias("is_promotion"))
-    )
-    stock = star.inventory_snapshot_daily.select(*grain, "is_stockout")
-    first_sale = star.sales_daily.groupBy("product_id").agg(F.min("date").alias("first_sale"))
-    base = star.product.select(F.col("id").alias("product_id"), "base_price")
-    launched = base.join(first_sale, "product_id").select(
-        "product_id",
-        "base_price",
-        F.when(F.col("first_sale") > F.date_add(F.lit(BASE_DATE), 120), F.col("first_sale")).alias("launch_date"),
-    )
-    return salted_join(promoted.join(stock, grain, "left"), launched, ["product_id"], spread=grain, measure=HotKeys(star.sales_daily, "product_id"))
+def _expected(spark, folder):
+    star = load_star(spark, folder)
+    return demand.expected_demand(star.sales_daily, star.promotion, star.calendar)
 
 
 def expected_demand(spark, folder):
-    """Expected units per scenario and sales row."""
-    rows = demand.demand_by_scenario(demand_spine(load_star(spark, folder)), BASE_DATE)
-    return rows.select("scenario", "date", "store_id", "product_id", "expected_demand")
+    """Units sold and expected for every sales row, from factors counted in the sales themselves."""
+    return rounded(_expected(spark, folder), "expected_demand", digits=3)
 
 
 def demand_totals(spark, folder):
-    """Expected units per scenario and year next to the number of rows."""
-    rows = demand.demand_by_scenario(demand_spine(load_star(spark, folder)), BASE_DATE)
-    return rows.groupBy("scenario", F.year("date").alias("year")).agg(
-        F.sum("expected_demand").alias("expected_demand"), F.count(F.lit(1)).alias("rows")
+    """Units sold and expected per year next to the number of rows."""
+    per = _expected(spark, folder).groupBy(F.year("date").alias("year")).agg(
+        F.sum("quantity").alias("quantity"), F.sum("expected_demand").alias("expected_demand"), F.count(F.lit(1)).alias("rows")
     )
+    return rounded(per, "expected_demand", digits=2)
 
 
 def missing_share(spark, folder):
@@ -400,50 +381,18 @@ def _holiday_sql():
 
 _PRICE_ON = """price_history ph on ph.product_id = s.product_id and (ph.store_id is null or ph.store_id = s.store_id)
   and s.date >= ph.valid_from and (ph.valid_to is null or s.date <= ph.valid_to)"""
-_SPINE = f"""
-select s.date, s.store_id, s.product_id, cast(p.base_price as double) as base, cast(pr.price as double) as cur,
-       exists (select 1 from promotion m where m.product_id = s.product_id and (m.store_id is null or m.store_id = s.store_id)
-               and s.date between m.start_date and m.end_date) as promo,
-       i.is_stockout, case when l.first_sale > date '{BASE_DATE}' + 120 then l.first_sale end as launch
-from sales_daily s join product p on p.id = s.product_id
-left join (select date, store_id, product_id, price from (
-    select s.date, s.store_id, s.product_id, price, row_number() over (partition by s.date, s.store_id, s.product_id
-           order by ph.store_id is null, valid_from desc, price desc) as rn
-    from sales_daily s join {_PRICE_ON}) t where rn = 1) pr using (date, store_id, product_id)
-left join inventory_snapshot_daily i using (date, store_id, product_id)
-join (select product_id, min(date) as first_sale from sales_daily group by 1) l on l.product_id = s.product_id"""
+_EXPECTED = """select date, store_id, product_id, quantity, year,
+       level * sum(quantity) over (partition by dow)::double / sum(level) over (partition by dow)
+             * sum(quantity) over (partition by is_holiday)::double / sum(level) over (partition by is_holiday)
+             * sum(quantity) over (partition by promo)::double / sum(level) over (partition by promo) as expected_demand
+from (select s.*, weekday, cast(year(date) as int) as year, isodow(date) as dow, c.is_holiday, avg(quantity) over (partition by product_id) as level,
+             exists (select 1 from promotion m where m.product_id = s.product_id and (m.store_id is null or m.store_id = s.store_id)
+                     and s.date between m.start_date and m.end_date) as promo
+      from sales_daily s join (select date, day_of_week as weekday, is_holiday from calendar) c using (date)) t"""
 
 
 def _demand_sql(query):
-    elapsed = f"cast(date - date '{BASE_DATE}' as double)"
-    parts = []
-    for name, c in demand.SCENARIOS.items():
-        trend = {
-            "none": "",
-            "linear": f" * (1.0::double + {c.trend_slope}::double * {elapsed})",
-            "exponential": f" * exp({c.trend_slope}::double * {elapsed})",
-        }[c.trend]
-        weekly = " ".join(f"when {i + 1} then {v}::double" for i, v in enumerate(c.weekly))
-        monthly = ""
-        if c.monthly:
-            monthly = " * case month(date) " + " ".join(f"when {m} then {v}::double" for m, v in c.monthly.items()) + " else 1.0::double end"
-        ramp = (
-            f"case when launch is not null and cast(date - launch as double) < {c.ramp_days} "
-            f"then cast(date - launch as double) / {c.ramp_days}::double else 1.0::double end"
-        )
-        parts.append(
-            f"""select '{name}' as scenario, date, store_id, product_id, case when coalesce(is_stockout, false) then 0 else
-       greatest(0, cast(round_even({float(c.base_demand)}::double{trend} * case isodow(date) {weekly} end{monthly}
-       * case when promo then {c.promotion_lift}::double else 1.0::double end
-       * coalesce(1.0::double + ({c.price_elasticity})::double * case when cur is not null and base > 0 then (cur - base) / base end, 1.0::double)
-       * {ramp}, 0) as bigint)) end as expected_demand from spine"""
-        )
-    return with_views(
-        "sales_daily product price_history promotion inventory_snapshot_daily",
-        query,
-        spine=_SPINE,
-        demand=" union all ".join(parts),
-    )
+    return with_views("sales_daily promotion calendar", query, demand=_EXPECTED)
 
 
 _NEW_ROWS = f"{r('unit_price', 'unit_price')}, {r('total_amount', 'total_amount')}"
@@ -547,10 +496,10 @@ from (select store_id, product_id, start_date, end_date from promotion where sto
       select a.store_id, product_id, start_date, end_date from (select product_id, start_date, end_date from promotion where store_id is null) c
       join (select distinct store_id, product_id from sales_daily) a using (product_id)) t) u group by 1, 2""",
     ),
-    "expected_demand": _demand_sql("select * from demand"),
+    "expected_demand": _demand_sql(f"select date, store_id, product_id, quantity, {r('expected_demand', 'expected_demand', 3)} from demand"),
     "expected_demand_by_year": _demand_sql(
-        """select scenario, cast(year(date) as int) as year, cast(sum(expected_demand) as bigint) as expected_demand, count(*) as rows
-from demand group by 1, 2"""
+        f"""select year, cast(sum(quantity) as bigint) as quantity, {r('sum(expected_demand)', 'expected_demand', 2)}, count(*) as rows
+from demand group by 1"""
     ),
     "missing_pairs": with_views(
         "sales_daily store product",

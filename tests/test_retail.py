@@ -327,35 +327,25 @@ def test_price_windows(spark):
     assert got == {(None, 5.0): D(2024, 1, 31), (None, 6.0): None, (2, 7.0): None}
 
 
-def spine(spark, *rows):
-    return spark.createDataFrame(list(rows), "date date, base_price double, current_price double, is_promotion boolean, is_stockout boolean, launch_date date")
-
-
-def demand_of(spark, config, *rows):
-    return [r[0] for r in spine(spark, *rows).select(demand.expected_demand(config, F.lit(DAY0))).collect()]
-
-
-def test_expected_demand_factors(spark):
-    flat = dict(weekly=(), use_launch_ramp=True)
-    base = (10.0, None, False, False, None)
-    c = demand.DemandConfig
-    assert demand_of(spark, c(**flat), (DAY0, *base)) == [100]
-    assert demand_of(spark, c(), (DAY0, *base), (D(2024, 1, 6), *base)) == [80, 130]
-    assert demand_of(spark, c(trend="linear", trend_slope=0.01, **flat), (D(2024, 1, 11), *base)) == [110]
-    assert demand_of(spark, c(trend="exponential", trend_slope=0.1, **flat), (D(2024, 1, 11), *base)) == [272]
-    assert demand_of(spark, c(monthly={1: 1.5}, holidays={DAY0: 2.0}, **flat), (DAY0, *base)) == [300]
-    assert demand_of(spark, c(**flat), (DAY0, 10.0, 12.0, True, False, None)) == [117]  # 1.3 * (1 - 0.5 * 0.2)
-    assert demand_of(spark, c(**flat), (DAY0, 10.0, None, True, True, None)) == [0]
-    assert demand_of(spark, c(stockout_behavior="backlog", **flat), (DAY0, 10.0, None, False, True, None)) == [100]
-    assert demand_of(spark, c(**flat), (D(2024, 1, 16), 10.0, None, False, False, DAY0)) == [50]
-    assert demand_of(spark, c(**flat), (DAY0, 10.0, None, False, False, D(2024, 1, 10))) == [0]
-    assert demand_of(spark, c(base_demand=0.5, **flat), (DAY0, *base)) == [0]  # halves go to the even number
-
-
-def test_every_scenario_sees_every_row(spark):
-    rows = spine(spark, (DAY0, 10.0, None, False, False, None), (D(2024, 12, 1), 10.0, None, True, False, None))
-    out = demand.demand_by_scenario(rows, DAY0)
-    assert out.count() == 12 and {r.scenario for r in out.collect()} == set(demand.SCENARIOS)
+def test_expected_demand_is_counted(spark):
+    """Levels and factors again in plain Python."""
+    days = [DAY0 + dt.timedelta(days=i) for i in range(28)]
+    data = [(d, s, p, (i * 7 + s * 3 + p) % 11 + (20 if d.weekday() == 5 else 0)) for i, d in enumerate(days) for s in (1, 2) for p in (101, 102)]
+    sales = spark.createDataFrame([(d, s, p, q, dec(1), dec(q)) for d, s, p, q in data], SALES)
+    promotions = spark.createDataFrame([(i, 101, s, "x", None, None, a, b) for i, s, a, b in ((1, None, days[3], days[9]), (2, 1, days[8], days[12]))],
+                                       "id int, product_id int, store_id int, name string, discount_pct decimal(5,4), discount_amount decimal(10,2), start_date date, end_date date")
+    calendar = spark.createDataFrame([(d, i == 5) for i, d in enumerate(days[:-1])], "date date, is_holiday boolean")
+    promoted = lambda d, s, p: p == 101 and (days[3] <= d <= days[9] or s == 1 and days[8] <= d <= days[12])
+    level = {p: sum(q for *_, k, q in data if k == p) / 56 for p in (101, 102)}
+    signals = [(d.weekday(), d == days[5], promoted(d, s, p)) for d, s, p, _ in data]
+
+    def factor(which, value):
+        rows = [r for r, g in zip(data, signals) if g[which] == value]
+        return sum(r[3] for r in rows) / sum(level[r[2]] for r in rows)
+
+    want = {(d, s, p): level[p] * factor(0, g[0]) * factor(1, g[1]) * factor(2, g[2]) for (d, s, p, _), g in zip(data, signals)}
+    got = {(r.date, r.store_id, r.product_id): r.expected_demand for r in demand.expected_demand(sales, promotions, calendar).collect()}
+    assert got == pytest.approx(want) and len(got) == len(data)
 
 
 def test_gaps(spark):
