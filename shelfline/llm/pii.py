@@ -1,7 +1,7 @@
 """Personal data, found also where it is disguised, at its place in the source text.
 
 Base detectors search the text as it is.  Texts that show signs of a disguise also pass a chain of
-transducers (look-alike characters, hidden characters, spelled digits, at/dot disguises).  Each keeps, for
+transducers (coded, look-alike and hidden characters, spelled digits, at/dot disguises).  Each keeps, for
 every character it writes, where that came from, so what the detectors find in the normalised text maps
 back to the characters of the source.
 """
@@ -125,6 +125,10 @@ _TO_PLAIN = str.maketrans(_ALIKE)
 _STRANGE = frozenset([*_ALIKE, *_HIDDEN])
 _HIDDEN_RUN = re.compile(f"[{_HIDDEN}]+")
 
+# Names of signs in web pages; printable ASCII characters may stand there by number as well, signs of addresses by percent code.
+_NAMED = {"commat": "@", "period": ".", "plus": "+", "lowbar": "_", "hyphen": "-"}
+_CODED = re.compile(rf"&#(?:(?P<number>[0-9]{{2,3}})|[xX](?P<hex>[0-9A-Fa-f]{{2}}));|&(?P<name>{'|'.join(_NAMED)});|%(?P<code>40|2[BbDdEe])")
+
 # The English names of the digits.
 DIGIT_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 _DIGIT = "|".join(DIGIT_WORDS)
@@ -160,6 +164,15 @@ class Trace:
         self.start = np.arange(len(text))
         self.end = self.start + 1
 
+    def decode(self) -> None:
+        """Characters that are written by number, name or percent code."""
+        edits = []
+        for m in _CODED.finditer(self.text):
+            new = _NAMED[m["name"]] if m["name"] else chr(int(m["number"]) if m["number"] else int(m["hex"] or m["code"], 16))
+            if "!" <= new <= "~":
+                edits.append((*m.span(), new))
+        self.replace(edits)
+
     def plain(self) -> None:
         """Look-alikes are single characters: places stay."""
         self.text = self.text.translate(_TO_PLAIN)
@@ -209,6 +222,8 @@ def disguised(text: str) -> bool:
     """Cheap signs that a transducer could change something that matters."""
     if not text.isascii() and not _STRANGE.isdisjoint(set(text)):
         return True
+    if ("&" in text or "%" in text) and _CODED.search(text):
+        return True
     low = text.casefold()  # as the patterns ignore case
     if "dot" in low and _DOT_WORD.search(text) or _BRACKET.search(text) or "plus" in low and _PLUS_WORD.search(text):
         return True
@@ -217,6 +232,7 @@ def disguised(text: str) -> bool:
 
 def normalise(text: str) -> Trace:
     trace = Trace(text)
+    trace.decode()
     trace.sub(_HIDDEN_RUN, "")
     trace.plain()
     trace.digits()
@@ -243,7 +259,8 @@ def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
         more = []
         for a, b in detect(trace.text):
             start, end = int(trace.start[a]), int(trace.end[b - 1])
-            if text[start:end] != trace.text[a:b] and all(e <= start or end <= s or start <= s and e <= end for s, e in base[kind]):
+            meets = [(s, e) for s, e in base[kind] if s < end and start < e]
+            if text[start:end] != trace.text[a:b] and (start, end) not in meets and all(start <= s and e <= end for s, e in meets):
                 more.append((start, end))
         found[kind] = sorted(base[kind] + more)
     return base, found
@@ -292,7 +309,7 @@ def scan(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame) -> DataFrame:
     """The documents with ``<kind>`` in place of personal data in ``text``; ``n_chars`` follows where it is there.
 
-    Null texts stay null; no row goes.
+    Null texts stay null; no row goes, repeated ones stay as often as they are, and an empty table stays empty.
     """
     text, size = free_names(documents, "redacted", "redacted_chars")
     names, at = documents.columns, [c.lower() for c in documents.columns].index("text")
