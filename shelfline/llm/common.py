@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +21,41 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_NOTED: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the cluster's shared folder and read it back.
 
     Cuts the lineage and pays for an expensive column once.  The files are shared, so a lost
-    executor costs nothing that was written.
+    executor costs nothing that was written.  They stay until ``discard`` or the owner of the folder removes them.
     """
     path = new_path(df.sparkSession, name)
+    for paths in _NOTED:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of all tables that are stored meanwhile, in order."""
+    paths: list[str] = []
+    _NOTED.append(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED.pop()  # the last one opened
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove stored tables that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        at = hadoop.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

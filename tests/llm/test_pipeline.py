@@ -1,10 +1,11 @@
 """The pipeline's stages, one after the other, against what each promises."""
 
+import os
 from collections import Counter
 
 import corpus_pipeline
 from shelfline.llm import pii
-from shelfline.llm.common import stored
+from shelfline.llm.common import discard, noted, stored
 
 
 def test_stages(spark, folder):
@@ -28,6 +29,23 @@ def test_stages(spark, folder):
     assert first == ids[4]
 
 
+def test_stored_tables_are_noted_and_discarded(spark):
+    with noted() as outer:
+        first = stored(spark.range(3), "test-a")
+        with noted() as inner:
+            second = stored(spark.range(4), "test-b")
+        third = stored(spark.range(5), "test-c")
+    stored(spark.range(1), "test-d")
+    assert len(outer) == 3 and inner == outer[1:2]
+    discard(spark, inner)
+    assert first.count() == 3 and third.count() == 5 and not os.path.exists(inner[0])
+    assert os.path.exists(outer[0]) and second.schema == first.schema
+
+
 def test_run_is_the_stages(spark, folder):
-    out = corpus_pipeline.run(spark, folder)
+    with noted() as paths:
+        out = corpus_pipeline.run(spark, folder)
+    # what is left feeds the last stage, or was made by it
+    left = [p for p in paths if os.path.exists(p)]
+    assert sum("pipeline-" in p for p in left) == 1 and any("pipeline-mixing" in p for p in left) and len(paths) > 2 * len(left)
     assert out.columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count()
