@@ -18,6 +18,8 @@ from shelfline.operators.scale import salted_join
 from shelfline.sources import versions
 
 SOURCE_KEY = ("source_type", "source_path")
+#: Bytes of text that a task works on at once.
+TEXT_BYTES = 16 << 20
 
 
 def content_hash(text: Column) -> Column:
@@ -70,12 +72,22 @@ def token_totals(chunks: DataFrame, by: Sequence[str]) -> DataFrame:
 
 # -- markdown ---------------------------------------------------------------------
 
+def _small(batch: pa.RecordBatch, size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Halves of a batch, until each has few bytes or one row: texts may be of any length."""
+    if batch.num_rows <= 1 or batch.nbytes <= size:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from _small(batch.slice(0, half), size)
+        yield from _small(batch.slice(half), size)
+
+
 def _slices(documents: DataFrame, columns: str, work) -> DataFrame:
     """Rows that ``work`` makes of each text, next to the other columns; texts never leave their task."""
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _small(whole)):
             found = [list(work(t)) if t is not None else [] for t in batch.column(len(names) - 1).to_pylist()]
             rows = pa.array([i for i, made in enumerate(found) for _ in made], pa.int64())
             made = [pa.array([r[c] for rs in found for r in rs], kind) for c, kind in enumerate(kinds)]
@@ -262,6 +274,19 @@ class EmbeddingProvider(ABC):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+def _runs(texts: list[str], size: int = TEXT_BYTES) -> Iterator[list[str]]:
+    """Texts in order, some at a time: about ``size`` characters or one text."""
+    held, n = [], 0
+    for text in texts:
+        if held and n + len(text) > size:
+            yield held
+            held, n = [], 0
+        held.append(text)
+        n += len(text)
+    if held:
+        yield held
+
+
 def embed(rows: DataFrame, provider: EmbeddingProvider, text: str = "content", tokens=None) -> DataFrame:
     """``embedding`` for every row.
 
@@ -280,15 +305,17 @@ def embed(rows: DataFrame, provider: EmbeddingProvider, text: str = "content", t
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            cut = [parts(t) for t in texts.fillna("")]
-            flat = [p for ps in cut for p, _ in ps]
-            out: list[list[float]] = []
-            for start in range(0, len(flat), provider.batch_size):
-                out.extend(provider.embed(flat[start : start + provider.batch_size]))
-            if any(len(v) != provider.dimension for v in out):
-                raise ValueError(f"provider did not return {provider.dimension} values per text")
-            made = iter(out)
-            pooled = [np.average([next(made) for _ in ps], axis=0, weights=[n for _, n in ps]).tolist() for ps in cut]
-            yield pd.Series(pooled, index=texts.index)
+            pooled: list[list[float]] = []
+            for some in _runs(texts.fillna("").tolist()):
+                cut = [parts(t) for t in some]
+                flat = [p for ps in cut for p, _ in ps]
+                out: list[list[float]] = []
+                for start in range(0, len(flat), provider.batch_size):
+                    out.extend(provider.embed(flat[start : start + provider.batch_size]))
+                if any(len(v) != provider.dimension for v in out):
+                    raise ValueError(f"provider did not return {provider.dimension} values per text")
+                made = iter(out)
+                pooled += [np.average([next(made) for _ in ps], axis=0, weights=[n for _, n in ps]).tolist() for ps in cut]
+            yield pd.Series(pooled, index=texts.index, dtype=object)
 
     return rows.withColumn("embedding", vectors(F.col(text)))

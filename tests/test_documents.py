@@ -391,3 +391,12 @@ def test_artifacts_outside_the_folder_are_missing(spark, tmp_path, rows):
     good = hashlib.sha256(b"a").hexdigest()
     log = spark.createDataFrame([("a", "../a.bin", good), ("b", f"{tmp_path}/a.bin", good), ("c", "x/../../a.bin", good), ("d", None, good)], "run_id string, artifact_uri string, artifact_hash string")
     assert rows(runs.verify_artifacts(spark, log, f"file://{tmp_path}/in/"), "verification") == [("missing",)] * 4
+
+
+def test_texts_are_taken_by_bytes(spark):
+    """Texts of uneven length, some at a time, in the same order."""
+    texts = ["x" * n for n in (5, 1, 30, 2, 2, 2, 50)]
+    assert list(docs._runs(texts, 10)) == [texts[:2], texts[2:3], texts[3:6], texts[6:]] and list(docs._runs([], 10)) == []
+    batch = pa.RecordBatch.from_pydict({"t": texts})
+    pieces = list(docs._small(batch, 40))
+    assert [t for p in pieces for t in p.column(0).to_pylist()] == texts and len(pieces) > 2
