@@ -21,6 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key is hot from this many average shuffle partitions on (but never below ``LEAST_HOT_SHARE`` of few partitions).
 HOT_PARTITIONS = 2
@@ -74,15 +75,39 @@ def fits_broadcast(df: DataFrame) -> bool:
     """True when the size of ``df`` is below the session's broadcast threshold.
 
     The optimizer's estimate does not count the rows that an explode makes; where there is one, a side
-    that looks small is counted.
+    that looks small is counted.  A session over Spark Connect shows no estimate: there the rows are counted.
     """
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    limit = broadcast_limit(df.sparkSession)
+    if limit <= 0:
+        return False
+    if not hasattr(df, "_jdf"):
+        return df.count() * row_size(df.schema) <= limit
     plan = df._jdf.queryExecution().optimizedPlan()
-    if limit <= 0 or int(str(plan.stats().sizeInBytes())) > limit:
+    if int(str(plan.stats().sizeInBytes())) > limit:
         return False
-    if "Generate" not in plan.toString():
-        return True
-    return df.count() * (df._jdf.schema().defaultSize() + 8) <= limit
+    return "Generate" not in plan.toString() or df.count() * row_size(df.schema) <= limit
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes."""
+    number, unit = re.fullmatch(r"(-?[0-9]+)([a-z]*)", spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40}[unit]
+
+
+def row_size(schema: T.StructType) -> int:
+    """Bytes of a row by the sizes that the optimizer assumes: 20 for a text, 100 for binary, one element of a list."""
+
+    def size(kind: T.DataType) -> int:
+        if isinstance(kind, T.StructType):
+            return sum(size(f.dataType) for f in kind.fields)
+        if isinstance(kind, T.ArrayType):
+            return size(kind.elementType)
+        if isinstance(kind, T.MapType):
+            return size(kind.keyType) + size(kind.valueType)
+        known = {T.StringType: 20, T.BinaryType: 100, T.DecimalType: 16, T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
+        return known.get(type(kind), 8)
+
+    return size(schema) + 8
 
 
 def hot_share(spark: SparkSession) -> float:

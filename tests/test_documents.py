@@ -130,9 +130,12 @@ def test_pack_chunks_job(spark):
 def test_sections_are_linear():
     def seconds(n):
         text = "".join(f"{'#' * (i % 6 + 1)} h{i}\ntext of it\n" for i in range(n))
-        began = time.perf_counter()
-        assert len(outline(text)) == n
-        return time.perf_counter() - began
+        tries = []
+        for _ in range(3):  # the least of them: other processes may be busy
+            began = time.process_time()
+            assert len(outline(text)) == n
+            tries.append(time.process_time() - began)
+        return min(tries)
 
     seconds(4000)
     assert seconds(16_000) < 12 * seconds(4000)

@@ -311,3 +311,29 @@ def test_orphans_with_few_and_many_unknown_keys(spark, no_broadcast, rows, monke
     # with known keys the rows are not shuffled
     whole = exog.orphans(sales.where("store_id < 5 and product_id >= 2 and n % 9 < 8"), store, product, calendar)
     assert whole.count() == 0 and ("Exchange" in whole._jdf.queryExecution().executedPlan().toString()) is False
+
+
+def test_broadcast_limit_is_read_in_bytes(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    try:
+        for text, size in (("-1", -1), ("10485760b", 10 << 20), ("10MB", 10 << 20), ("2g", 2 << 30), ("7", 7)):
+            spark.conf.set(name, text)
+            assert scale.broadcast_limit(spark) == size
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_a_side_without_an_estimate_is_counted(spark):
+    class Remote:
+        """A table as a remote session shows it: without a plan."""
+
+        def __init__(self, df, rows):
+            self.sparkSession, self.schema, self.rows = df.sparkSession, df.schema, rows
+
+        def count(self):
+            return self.rows
+
+    df = spark.createDataFrame([], "a int, b string, c array<struct<x: long, y: double>>")
+    assert scale.row_size(df.schema) == 4 + 20 + 16 + 8
+    assert fits_broadcast(Remote(df, 1000)) and not fits_broadcast(Remote(df, 1_000_000))
