@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfline.operators.documents import SOURCE_KEY, content_hash, detect_changes
+from shelfline.operators.documents import SOURCE_KEY, detect_changes
 from shelfline.operators.scale import salted_join
 from shelfline.sources import versions
 from shelfline.sources.sinks import last_per_key
