@@ -8,13 +8,15 @@ a slice of the original text between two tokens, so no text is lost and none is
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 #: One to six marks, white space and a text; only a line feed ends a line.
 _HEADING = re.compile(r"^(#{1,6})[^\S\n]+([^\n]+)", re.M)
 _WORD = re.compile(r"\S+")
+_LINE_FEED = re.compile("\n")
+_STOP = re.compile("[.!?]")
 
 
 class Words:
@@ -79,13 +81,8 @@ def chunks(text: str, rules: ChunkRules, tokens) -> Iterator[tuple[tuple[str, ..
     starts = [a for a, _ in spans]
     sections = outline(text)
     first = [bisect_right(starts, s.start - 1) for s in sections]
-    paragraphs, sentences = [], []
-    for i in range(1, n):
-        gap = text[spans[i - 1][1] : starts[i]]
-        if gap.count("\n") > 1:
-            paragraphs.append(i)
-        if gap and text[spans[i - 1][1] - 1] in ".!?":
-            sentences.append(i)
+    # a text of one chunk needs no borders
+    paragraphs, sentences = _borders(text, spans, starts) if n > rules.size else ([], [])
     at = 0
     while at < n:
         back = min(rules.overlap, at)
@@ -96,6 +93,23 @@ def chunks(text: str, rules: ChunkRules, tokens) -> Iterator[tuple[tuple[str, ..
         at = end
 
 
+def _borders(text: str, spans: list[tuple[int, int]], starts: list[int]) -> tuple[list[int], list[int]]:
+    """Tokens with a blank line before them, and tokens after the end of a sentence."""
+    paragraphs, sentences, n = [], [], len(spans)
+    before = 0  # the token that the last line feed between tokens stands before
+    for m in _LINE_FEED.finditer(text):
+        i = bisect_left(starts, m.end())
+        if 0 < i < n and spans[i - 1][1] <= m.start():
+            if i == before and paragraphs[-1:] != [i]:
+                paragraphs.append(i)
+            before = i
+    for m in _STOP.finditer(text):
+        i = bisect_left(starts, m.end())
+        if 0 < i < n and spans[i - 1][1] == m.end() < starts[i]:
+            sentences.append(i)
+    return paragraphs, sentences
+
+
 def _last(borders: tuple[list[int], ...], low: int, high: int) -> int:
     """The last border between ``low`` and ``high`` of the first kind that has one, else ``high``."""
     for kind in borders:
