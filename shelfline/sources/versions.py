@@ -132,6 +132,20 @@ def append(rows: DataFrame, path: str, layout: Layout, before: Version, note: di
     return _publish(rows.sparkSession, path, Version(before.number + 1, before.schema, folders, before.note if note is None else note))
 
 
+def rewrite(spark: SparkSession, path: str, layout: Layout, most: int = 8) -> Version:
+    """A version in which partitions that appends have spread over more than ``most`` folders are one folder again.
+
+    The rows stay the same; files of such a partition come out at the size that the session advises.
+    """
+    before = current(spark, path)
+    values = [v for v, folders in before.folders.items() if len(folders) > most]
+    if not values:
+        return before
+    rows = read(spark, path, layout, values, before)
+    # adaptive execution joins small pieces and splits large ones, so no partition has to fit into a task
+    return replace(rows.withColumn(layout.column, layout.of()).hint("rebalance", layout.column).drop(layout.column), path, layout, values, before)
+
+
 def upsert_into(
     path: str,
     batch: DataFrame,

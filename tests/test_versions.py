@@ -104,3 +104,14 @@ def test_buckets(spark, tmp_path, rows):
     after = versions.upsert_into(path, batch, layout, ["k"], ["v"])
     assert rows(versions.read(spark, path, layout).where("v > 0")) == [(3, 1), (500, 2)] and versions.read(spark, path, layout).count() == 101
     assert len({f for fs in after.folders.values() for f in fs}) == 2
+
+
+def test_rewrite_joins_the_folders_of_a_partition(spark, table, rows):
+    for day in (10, 11, 12):
+        versions.insert_new_into(table, batch_of(spark, (D(2024, 3, day), 1, 1, day)), MONTHS)
+    before, expected = versions.current(spark, table), rows(versions.read(spark, table, MONTHS))
+    assert len(before.folders["2024-03"]) == 4
+    assert versions.rewrite(spark, table, MONTHS) == before
+    after = versions.rewrite(spark, table, MONTHS, most=3)
+    assert {len(f) for f in after.folders.values()} == {1} and rows(versions.read(spark, table, MONTHS)) == expected
+    assert {m for m in after.folders if after.folders[m] != before.folders[m]} == {"2024-03"}
