@@ -36,7 +36,7 @@ _DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _QUOTED = re.compile(r"""[=:]\s{0,2}(?:"([^"\s]{8,})"|'([^'\s]{8,})')""")
 _ASSIGNED = re.compile(rf"[=:]\s{{0,2}}([A-Za-z0-9+/_-]{{{LEAST_ASSIGNED},}}={{0,2}})")
-_MIXED = re.compile("(?=.*[a-z])(?=.*[A-Z])", re.DOTALL)
+_MIXED = re.compile("(?=.*[a-z])(?=.+[A-Z])")  # a capital at the start alone is a word
 _WORDS = re.compile(r"[A-Za-z]+")
 _PIECES = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
 # How tokens of public services begin.
@@ -66,8 +66,8 @@ FEATURES = (
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans in order, without overlap.
 
-    Assigned quoted values come first, then dotted runs, then runs of ``LEAST`` and more with a digit or letters
-    of both cases, then shorter assigned values.  Equals signs only end a run: the name before one is not
+    Assigned quoted values come first, then dotted runs, then runs of ``LEAST`` and more with a digit or a capital
+    among small letters, then shorter assigned values.  Equals signs only end a run: the name before one is not
     part of it.
     """
     found: list[tuple[int, int]] = []
