@@ -79,32 +79,38 @@ def price_windows(events: DataFrame, keys: Sequence[str] = ("product_id", "store
     return events.select(*keys, "price", "valid_from", F.date_sub(following, 1).alias("valid_to"))
 
 
+def disjoint_windows(promotions: DataFrame) -> DataFrame:
+    """The promotions of each (product, store), cut to the days that none of those before has; a NULL store is one of its own.
+
+    What is dealt and sorted are windows; their days are only made of the result, each of them once.
+    """
+    dated = promotions.where(F.col("start_date") <= F.col("end_date")).select("product_id", "store_id", "start_date", "end_date")
+    earlier = Window.partitionBy("product_id", "store_id").orderBy("start_date", "end_date").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.greatest("start_date", F.date_add(F.max("end_date").over(earlier), 1))  # the first window has none before it
+    return dated.withColumn("start_date", first).where(F.col("start_date") <= F.col("end_date"))
+
+
+def _days_of(windows: DataFrame) -> DataFrame:
+    return windows.select("product_id", "store_id", F.explode(F.sequence("start_date", "end_date")).alias("date"))
+
+
 def promotion_days(promotions: DataFrame) -> DataFrame:
     """Distinct (product, store, day) on promotion; a NULL store stands for every store."""
-    return promotions.select(
-        "product_id", "store_id", F.explode(F.sequence("start_date", "end_date")).alias("date")
-    ).distinct()
+    return _days_of(disjoint_windows(promotions))
 
 
 def promotion_store_days(promotions: DataFrame, assortment: DataFrame) -> DataFrame:
     """``promotion_days`` with NULL stores replaced by every store that carries the product.
 
-    ``assortment`` has one row per (store_id, product_id).  Overlapping promotions are merged while
-    the days still belong to a product; after the stores are attached no row occurs twice, so the
-    expanded rows need no further shuffle.  No store meets a product it does not carry.
+    ``assortment`` has one row per (store_id, product_id).  The windows of every store are merged for each product before
+    stores are attached, and with a store's own ones after it; both are shuffled as windows, not as days.
+    No store meets a product it does not carry.
     """
-    days = promotion_days(promotions)
-    chain = days.where(F.col("store_id").isNull()).select("product_id", "date")
+    chain = disjoint_windows(promotions.where(F.col("store_id").isNull())).drop("store_id")
     carried = assortment.select("store_id", "product_id").distinct()
-    everywhere = salted_join(carried, chain, ["product_id"], spread=["store_id"]).select(
-        "product_id", "store_id", "date"
-    )
-    own = days.where(F.col("store_id").isNotNull())
-    covered = own.join(chain, ["product_id", "date"], "left_semi").join(
-        carried, ["store_id", "product_id"], "left_semi"
-    )
-    alone = own.join(covered, ["product_id", "store_id", "date"], "left_anti")
-    return everywhere.unionByName(alone)
+    everywhere = salted_join(carried, chain, ["product_id"], spread=["store_id"])
+    own = promotions.where(F.col("store_id").isNotNull()).select(*everywhere.columns)
+    return _days_of(disjoint_windows(everywhere.unionByName(own)))
 
 
 # -- expected demand ------------------------------------------------------------------

@@ -156,6 +156,20 @@ def test_own_promotion_inside_a_chain_wide_one_counts_once(spark):
     assert got == [(7, d) for d in range(1, 9)] + [(9, 4)]
 
 
+def test_days_are_made_of_disjoint_windows(spark, rows):
+    promos = spark.createDataFrame(
+        [(1, None, D(2024, 1, 1), D(2024, 1, 9)), (1, None, D(2024, 1, 2), D(2024, 1, 3)), (1, None, D(2024, 1, 8), D(2024, 1, 10)),
+         (1, 7, D(2024, 1, 1), D(2024, 1, 1)), (2, None, D(2024, 1, 5), D(2024, 1, 4)), (2, None, None, D(2024, 1, 4)), (3, None, D(2024, 1, 4), None)],
+        "product_id int, store_id int, start_date date, end_date date")
+    days = demand.promotion_days(promos)
+    assert sorted((r.store_id or 0, r.date.day) for r in days.collect()) == [(0, d) for d in range(1, 11)] + [(7, 1)]
+    stores = demand.promotion_store_days(promos, spark.createDataFrame([(7, 1), (8, 1), (8, 2)], "store_id int, product_id int"))
+    assert sorted((r.store_id, r.date.day) for r in stores.collect()) == [(s, d) for s in (7, 8) for d in range(1, 11)]
+    for made in (days, stores):  # the days are made last: no join, shuffle or aggregate sees them
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("explode(sequence(start_date") == 1 and "Generate explode" in "".join(plan.splitlines()[:2])
+
+
 def test_stock_buckets(spark):
     df = spark.createDataFrame([(3, 2), (4, 2), (13, 2), (14, 2), (None, 2)], "h int, u int")
     assert [r[0] for r in df.select(filters.stock_bucket(F.col("h"), F.col("u"))).collect()] == ["LOW", "MEDIUM", "MEDIUM", "OK", "OK"]
