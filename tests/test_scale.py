@@ -283,6 +283,14 @@ def test_exploded_sides_are_counted(spark):
     assert not fits_broadcast(small)
 
 
+def test_a_side_that_only_looks_small_is_not_broadcast(spark):
+    left = spark.range(1000).select((F.col("id") % 100).alias("k"), "id")
+    large = spark.range(100).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(20_000))).alias("x"))
+    assert not fits_broadcast(large)
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert "BroadcastExchange" not in salted_join(left, large, ["k"], how)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_chain_of_joins_measures_its_facts_once(spark, no_broadcast, monkeypatch):
     from shelfline.sources.star import load_star
 
