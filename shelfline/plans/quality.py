@@ -118,12 +118,21 @@ def inserted_months(spark, folder):
     return rounded(versions.read(spark, path, months, version=versions.insert_new_into(path, batch, months)), "unit_price", "total_amount")
 
 
+def _whole_code(key):
+    """A store's code that no other store has; those of the store table keep four digits."""
+    return F.format_string("S%04d", F.col(key))
+
+
+def _coded_stores(star):
+    return star.store.withColumn("code", _whole_code("id"))
+
+
 def _natural_keys(batch):
-    """Order lines as sales rows with store codes and SKUs."""
+    """Order lines as sales rows with whole store codes and SKUs."""
     return batch.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_index"),
         F.col("l_shipdate").cast("date").alias("date"),
-        F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 4, "0")).alias("store_code"),
+        _whole_code("l_suppkey").alias("store_code"),
         F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string")).alias("sku"),
         F.col("l_quantity").cast("int").alias("quantity"),
         F.lit(1).cast("decimal(10,2)").alias("unit_price"),
@@ -138,7 +147,7 @@ def stream_ingest(spark, folder):
     log = new_path(spark, "ingest-log")
     days = star.calendar.where(F.col("year") >= KNOWN_SINCE)
     query = ingest.start_ingest(
-        stream, star.store, star.product, days, log, new_path(spark, "ingest-checkpoint"), _natural_keys
+        stream, _coded_stores(star), star.product, days, log, new_path(spark, "ingest-checkpoint"), _natural_keys
     )
     query.awaitTermination()
     return rounded(ingest.current_sales(spark, log), "unit_price", "total_amount")
@@ -160,7 +169,7 @@ def stream_compacted(spark, folder):
         rows.withColumn("l_quantity", F.col("l_quantity") + 100 * more).write.mode("append").parquet(incoming)
         stream = spark.readStream.schema(lines.schema).parquet(incoming)
         days = star.calendar.where(F.col("year") >= KNOWN_SINCE)
-        ingest.start_ingest(stream, star.store, star.product, days, log, marks, _natural_keys).awaitTermination()
+        ingest.start_ingest(stream, _coded_stores(star), star.product, days, log, marks, _natural_keys).awaitTermination()
         ingest.compact(spark, log, table)
     return rounded(ingest.read_table(spark, table), "unit_price", "total_amount")
 
