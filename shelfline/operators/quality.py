@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfline.operators.exog import is_orphan, marked_orphans, resolve_keys
+from shelfline.operators.exog import each_store, is_orphan, marked_orphans, matched_keys
 
 CODE_CHARS, SKU_CHARS = 20, 50
 
@@ -61,19 +61,17 @@ def _message() -> Column:
 def judge(rows: DataFrame, store: DataFrame, product: DataFrame, calendar: DataFrame) -> DataFrame:
     """Every row with its ids, an ``error_code`` (NULL = good) and a message.
 
-    Field rules come first, then the first unknown key of store, product, date.
+    Field rules come first, then the first unknown key of store, product, date.  A row is judged once, and comes
+    out once for each store of its code.
     """
-    resolved = resolve_keys(rows, store, product, calendar)
+    matched = matched_keys(rows, store, product, calendar)
     unknown = (
-        F.when(F.col("store_id").isNull(), "UNKNOWN_STORE")
+        F.when(~F.col("store_known"), "UNKNOWN_STORE")
         .when(F.col("product_id").isNull(), "UNKNOWN_PRODUCT")
         .when(~F.col("date_exists"), "UNKNOWN_DATE")
     )
-    return (
-        resolved.withColumn("error_code", F.coalesce(row_rule_error(rows.schema), unknown))
-        .withColumn("error_message", _message())
-        .drop("date_exists")
-    )
+    judged = matched.withColumn("error_code", F.coalesce(row_rule_error(rows.schema), unknown)).withColumn("error_message", _message())
+    return each_store(judged).select(*rows.columns, "store_id", "product_id", "error_code", "error_message")
 
 
 def accepted(judged: DataFrame) -> DataFrame:

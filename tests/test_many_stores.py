@@ -2,12 +2,14 @@
 
 import shutil
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tests.oracle_check import compare
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,3 +33,16 @@ def test_streams_tell_stores_by_their_whole_code(spark, folder):
     for name in ("stream_ingest", "stream_compact"):
         got = entry.queries()[name](spark, folder).collect()
         assert len(got) == len(grains) and {(r.date, r.store_id, r.product_id) for r in got} == set(map(tuple, grains))
+
+
+def test_rows_are_shuffled_and_judged_before_the_stores_of_a_code_multiply_them(spark, folder, no_broadcast):
+    con = duckdb.connect()
+    for name in ("nation", "region", "part", "supplier", "lineitem"):
+        con.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
+    for name in ("resolve_keys", "ingest_accepted", "ingest_rejected"):
+        df = entry.queries()[name](spark, folder)
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        # the plan reads from the result down: no join or aggregate comes after the rows are multiplied
+        above = plan[: next(i for i, line in enumerate(plan) if "Generate" in line)]
+        assert not any(word in line for line in above for word in ("Join", "Aggregate"))
+        assert compare(df, con, entry.oracle_sql()[name]) is None
