@@ -176,10 +176,11 @@ def stream_compacted(spark, folder):
 
 def duplicate_grains(spark, folder):
     star = load_star(spark, folder)
-    lines = star.raw("lineitem").withColumn("day", F.col("l_shipdate").cast("date"))
+    grain = ["day", "l_suppkey", "l_partkey"]
+    lines = star.raw("lineitem").select(F.col("l_shipdate").cast("date").alias("day"), *grain[1:])
     return quality.grain_report(
         {
-            "raw_lines": (lines, ["day", "l_suppkey", "l_partkey"]),
+            "raw_lines": (star.dealt(lines, *grain), grain),
             "sales_daily": (star.sales_daily, ["date", "store_id", "product_id"]),
             "inventory": (star.inventory_snapshot_daily, ["date", "store_id", "product_id"]),
             "store_code": (star.store, ["code"]),
