@@ -170,7 +170,7 @@ def promotion_lift(spark, folder):
 
 def stockout_impact(spark, folder):
     star = load_star(spark, folder)
-    out = reports.stockout_impact(star.inventory_snapshot_daily, star.sales_daily, star.store, star.product)
+    out = reports.stockout_impact(star.inventory_snapshot_daily, star.sales_daily, star.store, star.product, tasks=star.tasks)
     return rounded(out, "expected_sales", "estimated_lost_sales")
 
 
