@@ -9,7 +9,7 @@ from tests.oracle_check import compare, connect
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["duplicate_grains", "stockout_impact"])
+@pytest.mark.parametrize("name", ["duplicate_grains", "stockout_impact", "feature_stockout"])
 def test_a_task_holds_no_more_lines_of_a_larger_table(spark, monkeypatch, name):
     monkeypatch.setattr(star, "TASK_ROWS", 500)
     tasks = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 500)
