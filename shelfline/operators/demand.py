@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.operators.exog import GRAIN, active_promotions
-from shelfline.operators.scale import HotKeys, salted_join
+from shelfline.operators.scale import HotKeys, kept, salted_join
 
 # fixed values: (month, day) -> name
 FIXED_HOLIDAYS = {
@@ -145,11 +145,15 @@ def demand_factors(leveled: DataFrame) -> DataFrame:
 
 def expected_demand(sales: DataFrame, promotions: DataFrame, calendar: DataFrame) -> DataFrame:
     """Each sale with the units to be expected: the mean of its product, times what weekday, holiday and promotion were
-    seen to change."""
-    rows = signalled_sales(sales, promotions, calendar)
+    seen to change.
+
+    Levels, factors and result read the sales with their signals, which are written before: the match with the
+    promotions is made once.
+    """
+    rows = kept(signalled_sales(sales, promotions, calendar), "signalled-sales")
     # summed before the join: a row per product and task
     levels = rows.groupBy("product_id").agg(F.avg("quantity").alias("level"))
-    leveled = salted_join(rows, levels, ["product_id"], spread=GRAIN, measure=HotKeys(sales, "product_id"))
+    leveled = salted_join(rows, levels, ["product_id"], spread=GRAIN, measure=HotKeys(rows, "product_id"))
     named = demand_factors(leveled).withColumnsRenamed({s: f"_{s}" for s in SIGNALS})
     same = F.lit(True)
     for signal in SIGNALS:

@@ -17,3 +17,9 @@ def test_a_task_holds_no_more_lines_of_a_larger_table(spark, monkeypatch, name):
     dealt = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_NUM" in line]
     assert tasks > 4 and dealt and all(f", {tasks})" in line for line in dealt)
     assert compare(df, connect(DATA), entry.oracle_sql()[name]) is None
+
+
+def test_promotions_are_matched_once_for_levels_factors_and_result(spark, no_broadcast):
+    df = entry.queries()["expected_demand"](spark, DATA)
+    assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert compare(df, connect(DATA), entry.oracle_sql()["expected_demand"]) is None
