@@ -19,7 +19,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words at least 0.8 alike."""
+    """One document of each group of near copies: linked by SimHash or keys of shingles, and by count at least 0.8 alike."""
     return near_copies.keep_one(docs)
 
 

@@ -1,6 +1,7 @@
 """Near copies by the exact Jaccard similarity of word shingles.
 
-Two texts are linked if the sets of their shingles of five words are at least 0.8 alike.  Candidates share
+Two texts are linked if the sets of their shingles of five words are at least 0.8 alike.  Candidates are what
+``simhash`` links, fingerprints of three-word shingles within three bits, and sets that share
 one of 48 keys, each made of the least values of six hash functions over the shingles: a pair at 0.8 has
 none in common once in two million, a more similar one far less often.  Every candidate is counted exactly
 before it is linked.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shelfline.llm.common import cut, free_names, stored, text_key, text_of
 from shelfline.llm.graph import components, forest, group_starts, sorted_groups
-from shelfline.llm.simhash import BATCH, shingles
+from shelfline.llm.simhash import BATCH, fingerprint, linked, shingles
 from shelfline.operators.scale import salted_join
 
 SHINGLE = 5
@@ -57,19 +58,21 @@ def keys_of(tokens: np.ndarray) -> np.ndarray:
 
 
 def prints(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, text_key, fp, n, keys``: ``fp`` is a hash of the set of ``n`` shingles, 0 for no words."""
+    """``doc_id, text_key, fp, n, sim, keys``: ``fp`` is a hash of the set of ``n`` shingles, 0 for no words, ``sim`` the SimHash."""
     rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), text_key(documents, "doc_id").alias("text_key"), text_of(documents).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in cut(whole, BATCH):
-                sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
+                texts = batch.column("text").to_pylist()
+                sets = [shingle_set(t, size) for t in texts]
+                sim = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
                 fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 keys = pa.array([keys_of(s) for s in sets], pa.list_(pa.int64()))
                 n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp), n, keys], ["doc_id", "text_key", "fp", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp), n, pa.array(sim), keys], ["doc_id", "text_key", "fp", "n", "sim", "keys"])
 
-    return rows.mapInArrow(work, "doc_id long, text_key long, fp long, n long, keys array<long>")
+    return rows.mapInArrow(work, "doc_id long, text_key long, fp long, n long, sim long, keys array<long>")
 
 
 def alike(a: int, b: int, common: np.ndarray | int, similarity: float = SIMILARITY) -> np.ndarray | bool:
@@ -119,6 +122,18 @@ def _small_pairs(met: DataFrame) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long").distinct()
 
 
+def _simhash_pairs(found: DataFrame) -> DataFrame:
+    """``a, b``: the first set of each SimHash with all others of it, and with the first sets of those that ``linked`` finds."""
+    met = found.where("n > 0").select("fp", "sim").distinct()
+    first = stored(met.groupBy("sim").agg(F.min("fp").alias("first")), "near-simhash")
+    same = salted_join(met, first, ["sim"], spread=["fp"]).select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    near = linked(first.select(F.col("sim").alias("fp")))
+    for side in ("a", "b"):
+        near = salted_join(near, first.select(F.col("sim").alias(side), F.col("first").alias(f"first_{side}")), [side], spread=["a", "b"])
+    near = near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    return same.unionByName(near).where("a < b").distinct()
+
+
 def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets are similar enough."""
     left = salted_join(pairs, sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), ["a"], spread=["a", "b"])
@@ -194,8 +209,8 @@ def classes(documents: DataFrame, found: DataFrame, size: int = SHINGLE, similar
     groups = groups.groupBy("n", "total", "mark", "mark2").agg(F.min("key").alias("key"))
     met = stored(keyed.drop("size").join(groups.select("key", "n", "total"), "key"), "near-groups")
     small, large = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
-    pairs = stored(_small_pairs(small), "near-pairs")
-    wanted = met.select("fp").distinct()
+    pairs = stored(_small_pairs(small).unionByName(_simhash_pairs(found)).distinct(), "near-pairs")
+    wanted = met.select("fp").unionByName(pairs.select(F.col("a").alias("fp"))).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     sets = stored(_sets(documents, uniq.join(wanted, "fp", "left_semi").select("fp", "o"), size), "near-tokens")
     edges = _checked(pairs, sets, similarity).unionByName(_compared(large, sets, block, similarity))
     roots = components(edges)

@@ -3,9 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from shelfline.llm import near_copies
+from shelfline.llm import near_copies, simhash
 
 
 def sets_of(texts):
@@ -86,3 +87,20 @@ def test_groups_of_equal_size_are_told_apart_by_their_members(spark, monkeypatch
     marked = spark.createDataFrame(rows, "key long, fp long").groupBy("key").agg(*near_copies._member_marks())
     assert marked.select("mark", "mark2").distinct().count() == 2000
     assert {t for _, t in marked.select("mark", "mark2").dtypes} == {"decimal(30,0)"}
+
+
+def test_simhash_finds_candidates_that_share_no_key(spark, folder, documents, monkeypatch):
+    """Long texts and copies with one changed word, and no keys at all."""
+    monkeypatch.setattr(near_copies, "keys_of", lambda tokens: np.zeros(0, np.int64))
+    rnd = random.Random(7)
+    rows = []
+    for i in range(4):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(20_000)]
+        changed = [*words[:9000], "changed", *words[9001:]]
+        rows += [(10 * i, " ".join(words), "s"), (10 * i + 1, " ".join(changed), "s")]
+    linked = [simhash.fingerprint(a[1]) ^ simhash.fingerprint(b[1]) for a, b in zip(rows[::2], rows[1::2])]
+    near = [i for i, bits in enumerate(linked) if bits.bit_count() <= simhash.DISTANCE]
+    assert near
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    kept = {r.doc_id for r in stage(spark, documents(rows), folder).collect()}
+    assert kept == {r[0] for r in rows} - {10 * i + 1 for i in near}
