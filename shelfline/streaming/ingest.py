@@ -28,6 +28,8 @@ from shelfline.sources.sinks import GRAIN, MEASURES, last_per_key
 ARRIVAL = "arrival"
 _ARRIVAL_TYPE = "struct<arrived:bigint,stream:string,batch_id:bigint,row_index:bigint>"
 _MONTHS = versions.by_month()
+#: Files that a task of a batch may have open at once: more than there are statuses, so its rows need no sort to be written.
+_OPEN_FILES = 4
 
 
 def read_files(
@@ -66,6 +68,7 @@ def start_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch) if prepare else batch
         at, spark = f"stream={name}/batch_id={batch_id}", batch.sparkSession
+        spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", _OPEN_FILES)  # in the stream's own session
         arrived = _arrived(spark, f"{log}/done/{at}") or time.time_ns() // 1000
         judged = judge(rows, store, product, calendar).withColumn(
             "status", F.when(F.col("error_code").isNull(), "accepted").otherwise("rejected")
