@@ -31,15 +31,19 @@ def detect_changes(documents: DataFrame, sources: DataFrame) -> DataFrame:
 
     ``status``: unchanged for an equal hash, updated for a known source, else indexed.
     """
+    return detect_changed_hashes(documents.withColumn("content_hash", content_hash(F.col("content"))), sources)
+
+
+def detect_changed_hashes(documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """``detect_changes`` for documents that carry their ``content_hash``; they need no text."""
     keys = list(SOURCE_KEY)
     known = sources.select(*keys, "source_id", F.col("content_hash").alias("_stored"), F.lit(True).alias("_known"))
-    fresh = documents.withColumn("content_hash", content_hash(F.col("content")))
     status = (
         F.when(F.col("_stored") == F.col("content_hash"), "unchanged")
         .when(F.col("_known"), "updated")
         .otherwise("indexed")
     )
-    return fresh.join(known, keys, "left").withColumn("status", status).drop("_stored", "_known")
+    return documents.join(known, keys, "left").withColumn("status", status).drop("_stored", "_known")
 
 
 def replace_chunks(chunks: DataFrame, fresh: DataFrame, gone: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Change detection on a stream of documents.
 
 The state is a table of source keys and content hashes, laid out in buckets of the key.  A micro-batch reads and
-rewrites the buckets of its keys.  Its result goes to a folder of its own first; then the state and the
-mark of the batch are published in one version.  A batch that is repeated before that finds the state it
-found the first time and overwrites its folder; one that is repeated after it is known by the mark and left alone.
+rewrites the buckets of its keys.  Its texts are written once, where they are read, and never shuffled: all that
+is judged are hashes.  The result goes to a folder of its own too; then the state and the mark of the batch
+are published in one version.  A batch that is repeated before that finds the state it found the first time
+and overwrites its folders; one that is repeated after it is known by the mark and left alone.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfline.operators.documents import SOURCE_KEY, detect_changes
+from shelfline.operators.documents import SOURCE_KEY, content_hash, detect_changed_hashes
 from shelfline.operators.scale import salted_join
 from shelfline.sources import versions
 from shelfline.sources.sinks import last_per_key
@@ -45,14 +46,20 @@ def apply_batch(batch: DataFrame, batch_id: int, stream: str, state: str, log: s
     marks = before.note.get("marks", {})
     if marks.get(stream, -1) >= batch_id:
         return False
-    fresh = last_per_key(batch.select(*SOURCE_KEY, "content", order), SOURCE_KEY, order)
-    touched = versions.touched(batch, layout)
+    at = f"stream={stream}/batch_id={batch_id}"
+    # numbered and hashed where the texts are read; what follows reads the other columns of the files
+    texts = batch.select(*SOURCE_KEY, "content", F.col(order).alias("order"), content_hash(F.col("content")).alias("content_hash"))
+    texts = texts.withColumn("text_id", F.monotonically_increasing_id())
+    texts.write.mode("overwrite").parquet(f"{log}/texts/{at}")
+    place = F.struct("order", "text_id").alias("place")
+    named = spark.read.schema(texts.schema).parquet(f"{log}/texts/{at}").select(*SOURCE_KEY, "content_hash", "text_id", place)
+    fresh = last_per_key(named, SOURCE_KEY, "place").drop("place")
+    touched = versions.touched(named, layout)
     known = versions.read(spark, state, layout, touched, before)
     made = F.sha2(F.concat_ws("\x1f", *SOURCE_KEY), 256)
-    judged = detect_changes(fresh, known).withColumn("source_id", F.coalesce("source_id", made))
-    at = f"stream={stream}/batch_id={batch_id}"
-    # written before the state changes, and read again: the texts are judged once
-    judged.select(*SOURCE_KEY, "source_id", "content_hash", "status", "content").write.mode("overwrite").parquet(f"{log}/rows/{at}")
+    judged = detect_changed_hashes(fresh, known).withColumn("source_id", F.coalesce("source_id", made))
+    # written before the state changes, and read again: a batch is judged once
+    judged.select(*SOURCE_KEY, "source_id", "content_hash", "status", "text_id").write.mode("overwrite").parquet(f"{log}/rows/{at}")
     done = spark.read.parquet(f"{log}/rows/{at}").select(*[f.split()[0] for f in _STATE.split(", ")])
     others = salted_join(known, done.select(*SOURCE_KEY), SOURCE_KEY, "left_anti")
     versions.replace(others.unionByName(done), state, layout, touched, before, {**before.note, "marks": {**marks, stream: batch_id}})
@@ -70,7 +77,8 @@ def start_change_detection(
 ) -> StreamingQuery:
     """Judge each micro-batch of documents (source key, content, ``order``) against all before it; the running query.
 
-    Of several texts of a source in one batch the last by ``order`` counts.  One stream writes a state.
+    Of several texts of a source in one batch the last by ``order`` counts (one without order only if all are).
+    One stream writes a state.
     """
     name = stream_name(checkpoint)
 
@@ -84,9 +92,16 @@ def start_change_detection(
 
 
 def judged_documents(spark: SparkSession, log: str, state: str, columns: Sequence[str] = (*SOURCE_KEY, "source_id", "content_hash", "status")) -> DataFrame:
-    """The documents of all batches that the state knows, with their status; ``batch_id`` counts from 0."""
+    """The documents of all batches that the state knows, with their status; ``batch_id`` counts from 0.
+
+    ``content`` may be one of the columns; the texts are joined for it.
+    """
     rows = spark.read.option("basePath", f"{log}/rows").parquet(f"{log}/rows")
     finished = F.lit(False)
     for stream, last in versions.current(spark, state).note.get("marks", {}).items():
         finished = finished | (F.col("stream") == stream) & (F.col("batch_id") <= last)
-    return rows.where(finished).select("stream", F.col("batch_id").cast("long").alias("batch_id"), *columns)
+    rows = rows.where(finished)
+    if "content" in columns:
+        texts = spark.read.option("basePath", f"{log}/texts").parquet(f"{log}/texts").where(finished)
+        rows = rows.join(texts.select("stream", "batch_id", "text_id", "content"), ["stream", "batch_id", "text_id"])
+    return rows.select("stream", F.col("batch_id").cast("long").alias("batch_id"), *columns)

@@ -1,5 +1,6 @@
 """Change detection on a stream of documents."""
 
+import hashlib
 import json
 
 import pytest
@@ -79,3 +80,33 @@ def test_a_batch_rewrites_the_buckets_of_its_keys(spark, incoming):
     incoming(("p7", "y"))
     after = changes.versions.current(spark, incoming.state).folders
     assert sum(before[b] != after[b] for b in before) == 1 and len(hashes(spark, incoming.state)) == 200
+
+
+def test_texts_are_written_once_and_not_shuffled(spark, incoming, monkeypatch):
+    judge, seen = changes.detect_changed_hashes, []
+
+    def judged(fresh, known):
+        seen.append(fresh)
+        return judge(fresh, known)
+
+    monkeypatch.setattr(changes, "detect_changed_hashes", judged)
+    incoming(("a", "one"), ("b", "two"), ("a", "three"), ("c", None))
+    incoming(("a", "one"), ("b", "two"))
+    assert seen and all("content" not in s.columns for s in seen)
+    assert all("content:string" not in s._jdf.queryExecution().executedPlan().toString() for s in seen)  # nor do scans read them
+    columns = ["source_path", "status", "content", "content_hash"]
+    found = {(r.batch_id, r.source_path): r for r in changes.judged_documents(spark, incoming.log, incoming.state, columns).collect()}
+    assert {k: (r.status, r.content) for k, r in found.items()} == {
+        (0, "a"): ("indexed", "three"), (0, "b"): ("indexed", "two"), (0, "c"): ("indexed", None), (1, "a"): ("updated", "one"), (1, "b"): ("unchanged", "two")}
+    assert all(r.content_hash == (r.content and hashlib.sha256(r.content.encode()).hexdigest()) for r in found.values())
+
+
+def test_texts_without_order_or_of_one_place_keep_their_hash(spark, incoming):
+    incoming(("z", "x"))
+    stream = changes.judged_documents(spark, incoming.log, incoming.state).first().stream
+    batch = spark.createDataFrame([("md", "a", "no order", None), ("md", "b", "one", 5), ("md", "b", "other", 5), ("md", "b", "none", None)], ROW)
+    assert changes.apply_batch(batch, 1, stream, incoming.state, incoming.log, "row_index", 16)
+    found = changes.judged_documents(spark, incoming.log, incoming.state, ["source_path", "content", "content_hash"]).where("batch_id = 1").collect()
+    texts = {r.source_path: r.content for r in found}
+    assert len(found) == 2 and texts["a"] == "no order" and texts["b"] in ("one", "other")
+    assert all(r.content_hash == hashlib.sha256(r.content.encode()).hexdigest() for r in found)
