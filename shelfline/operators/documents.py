@@ -18,8 +18,9 @@ from shelfline.operators.scale import salted_join
 from shelfline.sources import versions
 
 SOURCE_KEY = ("source_type", "source_path")
-#: Bytes of text that a task works on at once.
-TEXT_BYTES = 16 << 20
+#: Bytes of text that a task hands to a model at once, and those that it cuts at once: their tokens and
+#: slices are Python objects of several times the size, and what a worker once held it keeps.
+TEXT_BYTES, CUT_BYTES = 16 << 20, 1 << 20
 
 
 def content_hash(text: Column) -> Column:
@@ -76,7 +77,7 @@ def token_totals(chunks: DataFrame, by: Sequence[str]) -> DataFrame:
 
 # -- markdown ---------------------------------------------------------------------
 
-def _small(batch: pa.RecordBatch, size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+def _small(batch: pa.RecordBatch, size: int = CUT_BYTES) -> Iterator[pa.RecordBatch]:
     """Halves of a batch, until each has few bytes or one row: texts may be of any length."""
     if batch.num_rows <= 1 or batch.nbytes <= size:
         yield batch
@@ -90,13 +91,17 @@ def _slices(documents: DataFrame, columns: str, work) -> DataFrame:
     """Rows that ``work`` makes of each text, next to the other columns; texts never leave their task."""
     names = documents.columns
 
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(i, r) for i, t in enumerate(batch.column(len(names) - 1)) if t.is_valid for r in work(t.as_py())]
+        rows = pa.array([i for i, _ in found], pa.int64())
+        made = [pa.array([r[c] for _, r in found], kind) for c, kind in enumerate(kinds)]
+        kept = [batch.column(i).take(rows) for i in range(len(names) - 1)]
+        return pa.RecordBatch.from_arrays([*kept, *made], [f.name for f in schema])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in _small(whole)):
-            found = [list(work(t)) if t is not None else [] for t in batch.column(len(names) - 1).to_pylist()]
-            rows = pa.array([i for i, made in enumerate(found) for _ in made], pa.int64())
-            made = [pa.array([r[c] for rs in found for r in rs], kind) for c, kind in enumerate(kinds)]
-            kept = [batch.column(i).take(rows) for i in range(len(names) - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, *made], [f.name for f in schema])
+        for whole in batches:
+            yield from map(cut, _small(whole))
+            del whole  # before the next one is read
 
     made_type = T._parse_datatype_string(columns)
     kinds = [to_arrow_type(f.dataType) for f in made_type]

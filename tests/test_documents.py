@@ -403,3 +403,16 @@ def test_texts_are_taken_by_bytes(spark):
     batch = pa.RecordBatch.from_pydict({"t": texts})
     pieces = list(docs._small(batch, 40))
     assert [t for p in pieces for t in p.column(0).to_pylist()] == texts and len(pieces) > 2
+
+
+def test_a_worker_cuts_few_texts_at_once(spark, rows, monkeypatch):
+    """However many texts Spark sends in a batch, the tokens and slices of about a megabyte are held."""
+    texts = [f"# T{i}\n" + f"word{i} " * 3000 for i in range(400)]
+    batch = pa.RecordBatch.from_pydict({"t": texts})
+    pieces = list(docs._small(batch))
+    assert [t for p in pieces for t in p.column(0).to_pylist()] == texts and max(p.nbytes for p in pieces) <= 1 << 20
+    table = spark.createDataFrame([(i, t if i % 7 else None) for i, t in enumerate(texts)], "id int, content string").coalesce(1)
+    sections = docs.split_sections(table)
+    assert rows(sections, "id", "content") == sorted(((i, t + "\n") for i, t in enumerate(texts) if i % 7), key=lambda r: (False, str(r[0])))
+    found = docs.pack_chunks(table, "id").groupBy("id").count()
+    assert {(r["id"], r["count"]) for r in found.collect()} == {(i, 7) for i in range(400) if i % 7}
