@@ -57,7 +57,7 @@ def change_stream(spark, folder):
     stream_changes.create_state(spark, state, buckets=8)
     for rows in rounds:
         rows = rows.select("source_type", "source_path", "content", F.col("doc_id").alias("row_index"))
-        rows.write.mode("append").parquet(incoming)
+        rows.write.mode("append").option("compression", stream_changes.TEXT_CODEC).parquet(incoming)
         stream = spark.readStream.schema(rows.schema).parquet(incoming)
         stream_changes.start_change_detection(stream, state, log, marks, buckets=8).awaitTermination()
     return stream_changes.judged_documents(spark, log, state, ["source_type", "source_path", "status"]).drop("stream")

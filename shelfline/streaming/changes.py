@@ -22,6 +22,8 @@ from shelfline.sources.sinks import last_per_key
 from shelfline.streaming.ingest import stream_name
 
 BUCKETS = 256
+#: Texts are most of what is written; this codec takes about two thirds of the bytes of the default one.
+TEXT_CODEC = "zstd"
 _STATE = "source_type string, source_path string, source_id string, content_hash string"
 
 
@@ -50,7 +52,7 @@ def apply_batch(batch: DataFrame, batch_id: int, stream: str, state: str, log: s
     # numbered and hashed where the texts are read; what follows reads the other columns of the files
     texts = batch.select(*SOURCE_KEY, "content", F.col(order).alias("order"), content_hash(F.col("content")).alias("content_hash"))
     texts = texts.withColumn("text_id", F.monotonically_increasing_id())
-    texts.write.mode("overwrite").parquet(f"{log}/texts/{at}")
+    texts.write.mode("overwrite").option("compression", TEXT_CODEC).parquet(f"{log}/texts/{at}")
     place = F.struct("order", "text_id").alias("place")
     named = spark.read.schema(texts.schema).parquet(f"{log}/texts/{at}").select(*SOURCE_KEY, "content_hash", "text_id", place)
     fresh = last_per_key(named, SOURCE_KEY, "place").drop("place")
